@@ -12,8 +12,6 @@ Regex dialect notes (the semantics follow Python ``re`` on ``str``):
   (UNIX_LINES) for the same, hence ``(?md)``.
 * Python ``\\d`` is any Unicode decimal digit: ``\\p{Nd}``.
 """
-from __future__ import annotations
-
 import functools
 from typing import Callable
 

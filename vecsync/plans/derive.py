@@ -72,3 +72,100 @@ def vectorization_log(events: DataFrame) -> DataFrame:
         F.when(et.isin("click", "purchase"), F.lit(DIMENSION)).alias("vector_dimension"),
         F.col("user_id"),
     )
+
+
+# --- change feed -------------------------------------------------------------
+
+def _k() -> F.Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def change_feed(events: DataFrame) -> DataFrame:
+    """``events`` rendered as a row-change feed ``(event_id, ts, value)``.
+
+    table: click/purchase → documents, view → pages, signup →
+    conversations, error → audit_log (no routing config).  operation from
+    props.k: < 25 INSERT, >= 90 DELETE, else UPDATE.  An UPDATE changes the
+    text when k < 60.  k >= 98 yields a truncated (malformed) payload and
+    k in (96, 97) a payload without its ``table`` key.
+    """
+    k, et, u = _k(), F.col("event_type"), F.col("user_id")
+    table = (F.when(et.isin("click", "purchase"), "documents").when(et == "view", "pages")
+              .when(et == "signup", "conversations").otherwise("audit_log"))
+    op = F.when(k < 25, "INSERT").when(k >= 90, "DELETE").otherwise("UPDATE")
+    new_text = F.concat(F.lit("text "), F.floor(k / 3).cast("string"))
+    old_text = F.when(k < 60, F.concat(F.lit("text "), (F.floor(k / 3) - 1).cast("string"))) \
+                .otherwise(new_text)
+    new_vec = F.when((k >= 20) & (k < 25), F.array(F.lit(0.5), F.lit(-0.5)))
+    new_row = F.to_json(F.struct(u.alias("id"), new_text.alias("text"),
+                                 new_vec.alias("text_vector")))
+    old_row = F.to_json(F.struct(u.alias("id"), old_text.alias("text")))
+    db = F.when(k < 50, F.lit(DATABASE)).otherwise(F.lit("primary"))
+    fields = [db.alias("database"), F.lit(SCHEMA).alias("schema"), table.alias("table"),
+              op.alias("operation"),
+              F.when(op != "DELETE", new_row).alias("id"),
+              F.when(op != "INSERT", old_row).alias("old_id"),
+              F.lit("default").alias("config_key"),
+              F.lit("text_embedding_model").alias("model_column")]
+    keep_nulls = {"ignoreNullFields": "false"}
+    full = F.to_json(F.struct(*fields), keep_nulls)
+    no_table = F.to_json(F.struct(*[f for i, f in enumerate(fields) if i != 2]), keep_nulls)
+    value = (F.when(k >= 98, F.substring(full, 1, 40))
+              .when(k >= 96, no_table).otherwise(full))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                         value.alias("value"))
+
+
+# --- routing configuration -------------------------------------------------------
+
+ROUTING_COLUMNS = ("config_order int, database string, database_name string, schema string, "
+                   "table string, text_column string, id_column string, "
+                   "vector_column string, model_column string, embedding_config string, "
+                   "cleaning_enabled boolean, cleaning_config string")
+
+# Fixed value: the vectorization targets of the test deployment (config input).
+ROUTING_ROWS = [
+    (1, "primary", DATABASE, SCHEMA, "documents", "text", "id", "text_vector",
+     "text_embedding_model", "default", True, "basic_text"),
+    (2, "primary", DATABASE, SCHEMA, "documents", "source", "id", "source_vector",
+     "source_embedding_model", "default", False, None),
+    (3, "primary", DATABASE, SCHEMA, "pages", "text", "id", "text_vector",
+     "text_embedding_model", "default", True, "html_to_text"),
+    (4, "primary", DATABASE, SCHEMA, "conversations", "text", "id", "text_vector",
+     "text_embedding_model", "default", True, "markdown_to_text"),
+    (5, "primary", DATABASE, SCHEMA, "benchmark", "text", "item_id", "text_vector",
+     "text_embedding_model", "default", False, None),
+    (6, "primary", DATABASE, SCHEMA, "part", "p_name", "p_partkey", "p_type",
+     "p_name_embedding_model", "default", True, "no_such_preset"),
+]
+
+
+def text_rows(documents: DataFrame, pages: DataFrame, conversations: DataFrame,
+              benchmark: DataFrame, part: DataFrame) -> DataFrame:
+    """All configured text in long form: (table, row_id string, text)."""
+    def part_of(df, table, id_expr, text_col):
+        return df.select(F.lit(table).alias("table"), id_expr.cast("string").alias("row_id"),
+                         F.col(text_col).alias("text"))
+    return (part_of(documents, "documents", F.col("doc_id"), "text")
+            .unionByName(part_of(pages, "pages", F.col("page_id"), "html"))
+            .unionByName(part_of(conversations, "conversations",
+                                 F.concat_ws(":", "conv_id", "turn"), "text"))
+            .unionByName(part_of(benchmark, "benchmark", F.col("item_id"), "text"))
+            .unionByName(part_of(part, "part", F.col("p_partkey"), "p_name")))
+
+
+def routing_config(spark) -> DataFrame:
+    return spark.createDataFrame(ROUTING_ROWS, ROUTING_COLUMNS)
+
+
+# --- previous snapshot for change detection --------------------------------------
+
+def old_snapshot(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The previous version of ``documents``: rows of source 'src0' did not
+    exist yet, German rows carried a revision note that has since been removed, and the
+    ``benchmark`` items were rows that have since been deleted (negative ids)."""
+    prev = (documents.filter(F.col("source") != "src0")
+            .select("doc_id", F.when(F.col("lang") == "de", F.concat("text", F.lit(" (rev. 1)")))
+                    .otherwise(F.col("text")).alias("text")))
+    gone = benchmark.select((-F.col("item_id") - 1).alias("doc_id"), "text")
+    return prev.unionByName(gone)

@@ -32,3 +32,206 @@ SELECT lang, total_rows, null_before, vectors_created, skipped_blank, invalid_ve
        {S.completion_pct('null_after', 'total_rows')} AS completion_after
 FROM g
 """
+
+
+# ---------------------------------------------------------------------------
+# shared SQL pieces
+# ---------------------------------------------------------------------------
+def _lit(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    return S.q(v)
+
+
+ROUTING_CTE = "routing(config_order, database, database_name, schema, \"table\", text_column, " \
+    "id_column, vector_column, model_column, embedding_config, cleaning_enabled, cleaning_config) AS " \
+    "(VALUES " + ", ".join("(" + ", ".join(_lit(v) for v in row) + ")"
+                           for row in derive.ROUTING_ROWS) + ")"
+
+ROUTE_KEYS_CTE = """route_keys AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY _db, schema, "table" ORDER BY config_order) AS _rn
+    FROM (SELECT database AS _db, * FROM routing
+          UNION SELECT database_name AS _db, * FROM routing) a
+  ) b WHERE _rn = 1
+)"""
+
+TEXT_ROWS_CTE = """text_rows AS (
+  SELECT 'documents' AS "table", CAST(doc_id AS VARCHAR) AS row_id, text FROM documents
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
+  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text
+            FROM conversations
+  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), text FROM benchmark
+  UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part
+)"""
+
+ROUTED_TEXTS_CTE = f"""routed_texts AS (
+  SELECT t.*, k.cleaning_enabled, k.cleaning_config
+  FROM text_rows t JOIN route_keys k
+    ON k._db = '{derive.DATABASE}' AND k.schema = '{derive.SCHEMA}' AND k."table" = t."table"
+)"""
+
+
+def clean_by_config(t: str) -> str:
+    return (f"CASE WHEN coalesce(cleaning_enabled, FALSE) THEN CASE "
+            f"WHEN cleaning_config = 'basic_text' THEN {S.basic_clean(t)} "
+            f"WHEN cleaning_config = 'html_to_text' THEN {S.basic_clean(S.html_clean(t))} "
+            f"WHEN cleaning_config = 'markdown_to_text' THEN {S.basic_clean(S.markdown_clean(t))} "
+            f"ELSE {S.basic_clean(t)} END ELSE {t} END")
+
+
+K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+
+# expected feed fields, computed straight from events (independent of JSON)
+FEED_CTE = f"""ev AS (
+  SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, {K} AS k,
+    CASE WHEN event_type IN ('click', 'purchase') THEN 'documents' WHEN event_type = 'view' THEN 'pages'
+         WHEN event_type = 'signup' THEN 'conversations' ELSE 'audit_log' END AS "table",
+    CASE WHEN {K} < 25 THEN 'INSERT' WHEN {K} >= 90 THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+    CASE WHEN {K} < 50 THEN '{derive.DATABASE}' ELSE 'primary' END AS database
+  FROM events
+), feed AS (
+  SELECT *, '{derive.SCHEMA}' AS schema, user_id AS row_id,
+    CASE WHEN operation <> 'DELETE' THEN 'text ' || CAST(CAST(floor(k / 3) AS BIGINT) AS VARCHAR) END AS new_text,
+    CASE WHEN operation = 'INSERT' THEN NULL
+         WHEN k < 60 THEN 'text ' || CAST(CAST(floor(k / 3) - 1 AS BIGINT) AS VARCHAR)
+         ELSE 'text ' || CAST(CAST(floor(k / 3) AS BIGINT) AS VARCHAR) END AS old_text,
+    (operation = 'INSERT' AND k BETWEEN 20 AND 24) AS has_new_vector
+  FROM ev WHERE k < 96
+)"""
+
+ROUTED_FEED_CTE = """routed_feed AS (
+  SELECT f.*, k._db, k.database AS config_name, k.config_order, k.text_column, k.vector_column
+  FROM feed f JOIN route_keys k ON k._db = f.database AND k.schema = f.schema AND k."table" = f."table"
+)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ---------------------------------------------------------------------------
+ORACLE["scan_text_table"] = "SELECT doc_id AS row_id, text FROM documents"
+ORACLE["scan_multi_target"] = """
+SELECT conv_id, turn, 'role' AS text_column, role AS text FROM conversations
+UNION ALL SELECT conv_id, turn, 'text', text FROM conversations"""
+ORACLE["clean_basic"] = f"SELECT doc_id, {S.basic_clean('text')} AS cleaned FROM documents"
+ORACLE["clean_markdown"] = f"SELECT doc_id, {S.markdown_clean('text')} AS cleaned FROM documents"
+ORACLE["clean_html"] = f"SELECT page_id, {S.html_clean('html')} AS cleaned FROM pages"
+ORACLE["clean_html_parser"] = ORACLE["clean_html"]
+ORACLE["clean_steps"] = f"""
+SELECT page_id, {S.basic_clean(S.markdown_clean(S.html_clean('html')))} AS cleaned,
+       'web_cleanup:html_to_markdown->markdown_cleanup->basic_cleanup' AS config_name,
+       'unicode_normalize' AS skipped_steps
+FROM pages"""
+ORACLE["clean_presets"] = f"""
+SELECT doc_id, 'basic_text' AS preset, {S.basic_clean('text')} AS cleaned FROM documents
+UNION ALL SELECT doc_id, 'html_to_text', {S.basic_clean(S.html_clean('text'))} FROM documents
+UNION ALL SELECT doc_id, 'markdown_to_text', {S.basic_clean(S.markdown_clean('text'))} FROM documents"""
+ORACLE["clean_routed"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, TEXT_ROWS_CTE, ROUTED_TEXTS_CTE) + \
+    f'SELECT "table", row_id, {clean_by_config("text")} AS cleaned FROM routed_texts'
+ORACLE["cleaned_with_provenance"] = f"""
+SELECT doc_id, {S.basic_clean('text')} AS text_cleaned,
+       'basic_text:basic_cleanup' AS text_cleaning_config,
+       TIMESTAMP '{derive.AS_OF}' AS text_cleaned_at
+FROM documents"""
+ORACLE["clean_extra"] = f"""
+SELECT doc_id, lower(text) AS lowered,
+       regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g') AS no_punct,
+       regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g') AS newlines_limited,
+       trim(regexp_replace(text, {S.q(S.WS + '+')}, ' ', 'g')) AS ws_normalized
+FROM documents"""
+
+ORACLE["snapshot_diff"] = """
+WITH old AS (
+  SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' (rev. 1)' ELSE text END AS text
+  FROM documents WHERE source <> 'src0'
+  UNION ALL SELECT -item_id - 1, text FROM benchmark
+)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
+  CASE WHEN o.doc_id IS NULL THEN 'INSERT' WHEN n.doc_id IS NULL THEN 'DELETE'
+       WHEN o.text IS DISTINCT FROM n.text THEN 'UPDATE' ELSE 'UNCHANGED' END AS operation,
+  length(o.text) AS old_len, length(n.text) AS new_len
+FROM old o FULL OUTER JOIN documents n ON o.doc_id = n.doc_id"""
+
+ORACLE["feed_parse"] = with_(FEED_CTE) + """
+SELECT event_id, database, schema, "table", operation, row_id, new_text, old_text,
+       'default' AS config_key FROM feed"""
+ORACLE["feed_valid"] = f"""
+SELECT event_id, {K} < 96 AS is_valid,
+       CASE WHEN {K} >= 98 THEN NULL WHEN {K} >= 96 THEN 'table' ELSE '' END AS missing_fields
+FROM events"""
+ORACLE["feed_rejects"] = f"""
+SELECT event_id, CASE WHEN {K} >= 98 THEN 'malformed_json' ELSE 'missing_fields:table' END
+       AS reject_reason
+FROM events WHERE {K} >= 96"""
+ORACLE["route_events"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, FEED_CTE, ROUTED_FEED_CTE) + """
+SELECT event_id, database, "table", config_name, config_order, text_column, vector_column
+FROM routed_feed"""
+ORACLE["unrouted_events"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, FEED_CTE) + """
+SELECT event_id, database, "table" FROM feed f
+WHERE NOT EXISTS (SELECT 1 FROM route_keys k
+                  WHERE k._db = f.database AND k.schema = f.schema AND k."table" = f."table")"""
+ORACLE["needs_vectorization"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, FEED_CTE, ROUTED_FEED_CTE) + """
+SELECT event_id, "table", operation, row_id,
+  (operation = 'INSERT' AND NOT has_new_vector)
+  OR (operation = 'UPDATE' AND old_text IS DISTINCT FROM new_text) AS needs_vectorization
+FROM routed_feed"""
+ORACLE["debounce_events"] = with_(FEED_CTE) + """
+SELECT event_id, "table", row_id, ts FROM (
+  SELECT *, lag(ts) OVER (PARTITION BY "table", row_id ORDER BY ts) AS prev FROM feed) x
+WHERE prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= CAST(3600000000 AS BIGINT)"""
+ORACLE["latest_event"] = with_(FEED_CTE) + """
+SELECT event_id, "table", row_id, operation FROM (
+  SELECT *, row_number() OVER (PARTITION BY "table", row_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM feed) x WHERE rn = 1"""
+ORACLE["backfill_set"] = """
+SELECT d.doc_id, 'low' AS priority FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id AND e.embedding IS NOT NULL)"""
+ORACLE["skip_blank"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, TEXT_ROWS_CTE, ROUTED_TEXTS_CTE) + f"""
+SELECT "table", row_id,
+  CASE WHEN {S.basic_clean('text')} = '' OR {clean_by_config('text')} = '' THEN 'skipped'
+       ELSE 'embed' END AS status
+FROM routed_texts"""
+ORACLE["conditional_backfill"] = """
+SELECT d.doc_id, d.lang, l.quality, l.toxic
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE e.embedding IS NULL AND l.quality = 1 AND l.toxic = 0 AND d.lang IN ('en', 'de')"""
+ORACLE["outdated_model"] = f"""
+SELECT vec_id AS doc_id, '{derive.PREVIOUS_MODEL}' AS text_embedding_model
+FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+WHERE e.embedding IS NOT NULL AND e.label = 0"""
+_LOG_STATUS = ("CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'retry' "
+               "WHEN event_type = 'view' THEN 'skipped' ELSE 'success' END")
+ORACLE["recent_log"] = "\nUNION ALL\n".join(
+    f"SELECT {_LOG_STATUS} AS status, count(*) AS n, '{iv}' AS look_back FROM events "
+    f"WHERE CAST(ts AS TIMESTAMP) > TIMESTAMP '{derive.AS_OF}' - INTERVAL {n} {u} GROUP BY 1"
+    for iv, n, u in (("1 HOURS", 1, "HOUR"), ("24 HOURS", 24, "HOUR"), ("7 DAYS", 7, "DAY")))
+ORACLE["input_quality"] = with_(TEXT_ROWS_CTE) + f"""
+SELECT "table", CASE WHEN text IS NULL THEN 'null_text' WHEN {S.basic_clean('text')} = '' THEN 'blank'
+                     ELSE 'ok' END AS quality, count(*) AS n
+FROM text_rows GROUP BY ALL"""
+
+
+def _desired_sql() -> str:
+    rows = []
+    for (order, _db, _pdb, _sc, table, text, _id, vec, model, _emb, clean, _cfg) in derive.ROUTING_ROWS:
+        vec = vec or f"{text}_vector"
+        model = model or f"{text}_embedding_model"
+        items = [(vec, "vector"), (model, "model"), (f"{vec}_created_at", "timestamp")]
+        if clean:
+            items += [(f"{text}_cleaned", "cleaned"), (f"{text}_cleaned_config", "cleaned_config"),
+                      (f"{text}_cleaned_at", "cleaned_timestamp")]
+        rows += [f"({order}, '{table}', '{text}', '{c}', '{r}')" for c, r in items]
+    return ("WITH desired(config_order, \"table\", text_column, column_name, role) AS (VALUES "
+            + ", ".join(rows) + "), " + TEXT_ROWS_CTE + """
+SELECT d.*, c.rows_to_fill FROM desired d
+LEFT JOIN (SELECT "table", count(*) AS rows_to_fill FROM text_rows GROUP BY 1) c USING ("table")""")
+
+
+ORACLE["desired_columns"] = _desired_sql()

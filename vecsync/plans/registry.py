@@ -30,3 +30,241 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("completion_after_backfill")
 def q_completion_after_backfill(spark, d):
     return backfill.completion_after_backfill(T(spark, d, "documents"), T(spark, d, "embeddings"))
+
+
+# ---------------------------------------------------------------------------
+# shared wiring
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import clean as C  # noqa: E402
+from ..operators import detect, routing as R  # noqa: E402
+from ..sources import feed as FD  # noqa: E402
+from ..sources.tables import scan_multi_target, scan_text_table  # noqa: E402
+from . import derive  # noqa: E402
+
+
+def user(spark, d):
+    return derive.user_table(T(spark, d, "documents"), T(spark, d, "embeddings"))
+
+
+def text_rows(spark, d):
+    return derive.text_rows(*(T(spark, d, n) for n in
+                              ("documents", "pages", "conversations", "benchmark", "part")))
+
+
+def feed(spark, d):
+    return derive.change_feed(T(spark, d, "events"))
+
+
+def parsed_feed(spark, d):
+    p = FD.parse_feed(feed(spark, d))
+    return p.withColumn("row_id", FD.row_field("id", "id", "bigint")) \
+            .withColumn("row_id", F.coalesce("row_id", FD.row_field("old_id", "id", "bigint"))) \
+            .withColumn("new_text", FD.row_field("id", "text")) \
+            .withColumn("old_text", FD.row_field("old_id", "text")) \
+            .withColumn("new_vector", FD.row_field("id", "text_vector"))
+
+
+def routed_texts(spark, d):
+    """Long-form texts joined with their (first) routing config."""
+    rows = text_rows(spark, d).withColumn("database", F.lit(derive.DATABASE)) \
+                              .withColumn("schema", F.lit(derive.SCHEMA))
+    return R.route_events(rows, derive.routing_config(spark))
+
+
+# --- S1 / S2 ----------------------------------------------------------------
+@register("scan_text_table")
+def q_scan_text_table(spark, d):
+    return scan_text_table(T(spark, d, "documents"), "doc_id", "text")
+
+
+@register("scan_multi_target")
+def q_scan_multi_target(spark, d):
+    return scan_multi_target(T(spark, d, "conversations"), ["conv_id", "turn"], ["role", "text"])
+
+
+# --- F1–F8 ------------------------------------------------------------------
+@register("clean_basic")
+def q_clean_basic(spark, d):
+    return T(spark, d, "documents").select("doc_id", C.basic_clean(F.col("text")).alias("cleaned"))
+
+
+@register("clean_markdown")
+def q_clean_markdown(spark, d):
+    return T(spark, d, "documents").select("doc_id",
+                                           C.markdown_clean(F.col("text")).alias("cleaned"))
+
+
+@register("clean_html")
+def q_clean_html(spark, d):
+    return T(spark, d, "pages").select("page_id", C.html_clean(F.col("html")).alias("cleaned"))
+
+
+@register("clean_html_parser")
+def q_clean_html_parser(spark, d):
+    return T(spark, d, "pages").select("page_id",
+                                       C.html_clean_parser(F.col("html")).alias("cleaned"))
+
+
+CLEAN_STEPS = ["html_extraction", "unicode_normalize", "markdown_conversion",
+               "whitespace_cleanup"]
+
+
+@register("clean_steps")
+def q_clean_steps(spark, d):
+    fns, labels, skipped = C.resolve_steps(CLEAN_STEPS)
+    return T(spark, d, "pages").select(
+        "page_id", C.pipeline(CLEAN_STEPS)(F.col("html")).alias("cleaned"),
+        F.lit(C.pipeline_config_name("web_cleanup", CLEAN_STEPS)).alias("config_name"),
+        F.lit(",".join(skipped)).alias("skipped_steps"))
+
+
+@register("clean_presets")
+def q_clean_presets(spark, d):
+    docs = T(spark, d, "documents")
+    cols = [C.pipeline(steps)(F.col("text")).alias(name) for name, steps in C.PRESETS.items()]
+    return docs.select("doc_id", *cols).unpivot(["doc_id"], list(C.PRESETS), "preset", "cleaned")
+
+
+@register("clean_routed")
+def q_clean_routed(spark, d):
+    r = routed_texts(spark, d)
+    return r.select("table", "row_id",
+                    R.clean_by_config(F.col("text"), F.col("cleaning_enabled"),
+                                      F.col("cleaning_config")).alias("cleaned"))
+
+
+@register("cleaned_with_provenance")
+def q_cleaned_with_provenance(spark, d):
+    steps = C.PRESETS["basic_text"]
+    return T(spark, d, "documents").select(
+        "doc_id", C.pipeline(steps)(F.col("text")).alias("text_cleaned"),
+        F.lit(C.pipeline_config_name("basic_text", steps)).alias("text_cleaning_config"),
+        F.lit(derive.AS_OF).cast("timestamp").alias("text_cleaned_at"))
+
+
+@register("clean_extra")
+def q_clean_extra(spark, d):
+    t = F.col("text")
+    return T(spark, d, "documents").select(
+        "doc_id", C.lowercase(t).alias("lowered"), C.remove_punctuation(t).alias("no_punct"),
+        C.limit_newlines(t).alias("newlines_limited"),
+        C.normalize_whitespace(t).alias("ws_normalized"))
+
+
+# --- J2 / P1–P9 / W3 / W4 / S3 / S8 / J1 / J3 ----------------------------------
+@register("snapshot_diff")
+def q_snapshot_diff(spark, d):
+    old = derive.old_snapshot(T(spark, d, "documents"), T(spark, d, "benchmark"))
+    diff = detect.snapshot_diff(old, T(spark, d, "documents"), "doc_id", "text")
+    return diff.select("doc_id", "operation", F.length("old_text").alias("old_len"),
+                       F.length("new_text").alias("new_len"))
+
+
+@register("feed_parse")
+def q_feed_parse(spark, d):
+    return parsed_feed(spark, d).select("event_id", "database", "schema", "table", "operation",
+                                        "row_id", "new_text", "old_text", "config_key")
+
+
+@register("feed_valid")
+def q_feed_valid(spark, d):
+    v = FD.with_validation(feed(spark, d))
+    return v.select("event_id", F.col("reject_reason").isNull().alias("is_valid"),
+                    F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+@register("feed_rejects")
+def q_feed_rejects(spark, d):
+    return FD.feed_rejects(feed(spark, d)).select("event_id", "reject_reason")
+
+
+@register("route_events")
+def q_route_events(spark, d):
+    r = R.route_events(parsed_feed(spark, d), derive.routing_config(spark))
+    return r.select("event_id", "database", "table", "config_name", "config_order",
+                    "text_column", "vector_column")
+
+
+@register("unrouted_events")
+def q_unrouted_events(spark, d):
+    return R.unrouted_events(parsed_feed(spark, d), derive.routing_config(spark)) \
+            .select("event_id", "database", "table")
+
+
+@register("needs_vectorization")
+def q_needs_vectorization(spark, d):
+    r = R.route_events(parsed_feed(spark, d), derive.routing_config(spark))
+    flag = detect.needs_vectorization(F.col("operation"), F.col("new_vector"),
+                                      F.col("old_text"), F.col("new_text"))
+    return r.select("event_id", "table", "operation", "row_id",
+                    flag.alias("needs_vectorization"))
+
+
+@register("debounce_events")
+def q_debounce_events(spark, d):
+    p = parsed_feed(spark, d)
+    return detect.debounce(p, ["table", "row_id"], "ts", 3600.0) \
+                 .select("event_id", "table", "row_id", "ts")
+
+
+@register("latest_event")
+def q_latest_event(spark, d):
+    p = parsed_feed(spark, d)
+    return detect.latest_per_key(p, ["table", "row_id"], "ts", ["event_id"]) \
+                 .select("event_id", "table", "row_id", "operation")
+
+
+@register("backfill_set")
+def q_backfill_set(spark, d):
+    return detect.backfill_set(user(spark, d), "text_vector").select("doc_id", "priority")
+
+
+@register("skip_blank")
+def q_skip_blank(spark, d):
+    r = routed_texts(spark, d)
+    cleaned = R.clean_by_config(F.col("text"), F.col("cleaning_enabled"), F.col("cleaning_config"))
+    return r.select("table", "row_id", detect.blank_status(F.col("text"), cleaned).alias("status"))
+
+
+CONDITIONS = ["quality = 1", "toxic = 0", "lang IN ('en', 'de')"]
+
+
+@register("conditional_backfill")
+def q_conditional_backfill(spark, d):
+    u = user(spark, d).join(T(spark, d, "labels"), "doc_id", "left")
+    todo = detect.apply_conditions(detect.backfill_set(u, "text_vector"), CONDITIONS)
+    return todo.select("doc_id", "lang", "quality", "toxic")
+
+
+@register("outdated_model")
+def q_outdated_model(spark, d):
+    return detect.outdated_model(user(spark, d), "text_vector", "text_embedding_model",
+                                 derive.CURRENT_MODEL).select("doc_id", "text_embedding_model")
+
+
+@register("recent_log")
+def q_recent_log(spark, d):
+    log = derive.vectorization_log(T(spark, d, "events"))
+    parts = [detect.look_back(log, "created_at", derive.AS_OF, iv)
+             .groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("look_back", F.lit(iv))
+             for iv in ("1 HOURS", "24 HOURS", "7 DAYS")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("input_quality")
+def q_input_quality(spark, d):
+    r = text_rows(spark, d)
+    return r.groupBy("table", detect.input_quality(F.col("text")).alias("quality")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("desired_columns")
+def q_desired_columns(spark, d):
+    """P11 with the number of rows each companion column will be filled for."""
+    counts = text_rows(spark, d).groupBy("table").agg(F.count(F.lit(1)).alias("rows_to_fill"))
+    return R.desired_columns(derive.routing_config(spark)) \
+            .select("config_order", "table", "text_column", "column_name", "role") \
+            .join(counts, "table", "left")
