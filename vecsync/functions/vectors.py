@@ -71,13 +71,17 @@ def mock_embedding(text: Column, dimension: int) -> Column:
     """deterministic test embedding.
 
     base = sum(code points) / (len + 1);  v_i = round((base + i*0.001) mod 2 - 1, 6)
+
+    ``base`` is bound once per row through a one-element outer ``transform``;
+    written directly inside the inner lambda it would be re-evaluated for
+    every component (no common-subexpression elimination inside lambdas).
     """
     t = F.coalesce(text, F.lit(""))
     base = code_point_sum(t) / (F.length(t) + F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.round(F.pmod(base + i * F.lit(0.001), F.lit(2.0)) - F.lit(1.0), 6)
-                   .cast("float"))
+    idx = F.sequence(F.lit(0), F.lit(dimension - 1))
+    return F.transform(F.array(base), lambda b: F.transform(
+        idx, lambda i: F.round(F.pmod(b + i * F.lit(0.001), F.lit(2.0)) - F.lit(1.0), 6)
+                        .cast("float")))[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -169,3 +169,68 @@ def old_snapshot(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     .otherwise(F.col("text")).alias("text")))
     gone = benchmark.select((-F.col("item_id") - 1).alias("doc_id"), "text")
     return prev.unionByName(gone)
+
+
+# --- task table / status history --------------------------------------------------
+
+def task_table(events: DataFrame) -> DataFrame:
+    """pending_tasks rows derived from ``events`` (one task per event)."""
+    k, et = _k(), F.col("event_type")
+    ts = F.col("ts").cast("timestamp")
+    status = (F.when(et == "view", "completed").when(et == "error", "failed")
+               .when(et == "purchase", "processing").otherwise("pending"))
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("t-"), F.col("event_id").cast("string")).alias("task_id"),
+        F.lit(DATABASE).alias("database_name"), F.lit(SCHEMA).alias("schema_name"),
+        event_table_name().alias("table_name"),
+        F.to_json(F.struct(F.col("user_id").alias("id"))).alias("row_id"),
+        F.lit("default").alias("config_key"),
+        F.when(et == "purchase", "high").when(et == "click", "medium").otherwise("low")
+         .alias("priority"),
+        F.least(F.floor(k / 25), F.lit(3)).cast("int").alias("retry_count"),
+        F.lit(3).alias("max_retries"),
+        ts.alias("created_at"),
+        (ts + F.make_dt_interval(F.lit(0), F.lit(0), k)).alias("scheduled_at"),
+        F.when(status != "pending", ts).alias("started_at"),
+        F.when(status.isin("completed", "failed"),
+               ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("value")))
+         .alias("completed_at"),
+        status.alias("status"))
+
+
+def status_history(events: DataFrame) -> DataFrame:
+    """null_vector_status history: one check per (table, day) of the log."""
+    log = vectorization_log(events)
+    g = log.groupBy("database_name", "schema_name", "table_name", "vector_column",
+                    F.to_date("created_at").alias("_day")).agg(
+        F.max("created_at").alias("checked_at"),
+        F.count_if(F.col("status") != "success").cast("int").alias("null_vectors"),
+        F.count(F.lit(1)).cast("int").alias("total_rows"),
+        F.max(F.when(F.col("status") == "success", F.col("created_at"))).alias("last_vectorized_at"))
+    return g.select("checked_at", "database_name", "schema_name", "table_name", "vector_column",
+                    F.lit("default").alias("config_key"), "null_vectors", "total_rows",
+                    "last_vectorized_at")
+
+
+def drift_log(events: DataFrame) -> DataFrame:
+    """schema_drift_log rows: one per failed attempt of the log's last week."""
+    log = vectorization_log(events).filter(F.col("status") == "failed")
+    k = F.col("text_length")
+    return log.select(
+        F.col("created_at").alias("detected_at"), "database_name", "schema_name", "table_name",
+        F.when(k < 30, "missing_column").when(k < 60, "wrong_type")
+         .otherwise("dimension_mismatch").alias("drift_type"),
+        (k >= 50).alias("resolved"))
+
+
+def collision_log(events: DataFrame) -> DataFrame:
+    """collision_log rows: one per retried attempt."""
+    log = vectorization_log(events).filter(F.col("status") == "retry")
+    k = F.col("text_length")
+    return log.select(
+        F.col("created_at").alias("occurred_at"), "database_name", "schema_name", "table_name",
+        F.concat(F.lit("text_vector_v"), F.col("text_length").cast("string"))
+         .alias("desired_column_name"),
+        F.when(k < 20, "critical").when(k < 50, "warning").when(k < 80, "info")
+         .otherwise("safe").alias("collision_severity"))

@@ -235,3 +235,262 @@ LEFT JOIN (SELECT "table", count(*) AS rows_to_fill FROM text_rows GROUP BY 1) c
 
 
 ORACLE["desired_columns"] = _desired_sql()
+
+
+# ---------------------------------------------------------------------------
+# batch 3
+# ---------------------------------------------------------------------------
+_TABLE_OF_USER = ("CASE WHEN user_id < 50 THEN 'documents' WHEN user_id < 100 THEN 'pages' "
+                  "ELSE 'conversations' END")
+LOG_CTE = f"""log AS (
+  SELECT event_id AS log_id, CAST(ts AS TIMESTAMP) AS created_at,
+    '{derive.DATABASE}' AS database_name, '{derive.SCHEMA}' AS schema_name,
+    {_TABLE_OF_USER} AS table_name, '{{"id":' || CAST(user_id AS VARCHAR) || '}}' AS row_id,
+    'text' AS text_column, 'text_vector' AS vector_column,
+    CASE WHEN event_type = 'purchase' THEN '{derive.PREVIOUS_MODEL}' ELSE '{derive.CURRENT_MODEL}' END
+      AS embedding_model,
+    value AS processing_time, {_LOG_STATUS} AS status,
+    CASE WHEN event_type = 'error' THEN 'embedding request failed' END AS error_message,
+    {K} AS text_length,
+    CASE WHEN event_type IN ('click', 'purchase') THEN {derive.DIMENSION} END AS vector_dimension,
+    user_id
+  FROM events
+)"""
+
+HISTORY_CTE = """history AS (
+  SELECT max(created_at) AS checked_at, database_name, schema_name, table_name, vector_column,
+    'default' AS config_key,
+    CAST(count(*) FILTER (WHERE status <> 'success') AS INTEGER) AS null_vectors,
+    CAST(count(*) AS INTEGER) AS total_rows,
+    max(created_at) FILTER (WHERE status = 'success') AS last_vectorized_at
+  FROM log GROUP BY database_name, schema_name, table_name, vector_column, CAST(created_at AS DATE)
+)"""
+
+TASKS_CTE = f"""tasks AS (
+  SELECT *, CASE WHEN status <> 'pending' THEN created_at END AS started_at,
+    CASE WHEN status IN ('completed', 'failed')
+         THEN created_at + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) END AS completed_at
+  FROM (
+    SELECT event_id AS id, 't-' || CAST(event_id AS VARCHAR) AS task_id,
+      '{derive.DATABASE}' AS database_name, '{derive.SCHEMA}' AS schema_name,
+      {_TABLE_OF_USER} AS table_name, '{{"id":' || CAST(user_id AS VARCHAR) || '}}' AS row_id,
+      'default' AS config_key,
+      CASE WHEN event_type = 'purchase' THEN 'high' WHEN event_type = 'click' THEN 'medium'
+           ELSE 'low' END AS priority,
+      CAST(least(floor({K} / 25), 3) AS INTEGER) AS retry_count, 3 AS max_retries,
+      CAST(ts AS TIMESTAMP) AS created_at,
+      CAST(ts AS TIMESTAMP) + to_minutes(CAST({K} AS BIGINT)) AS scheduled_at,
+      CASE WHEN event_type = 'view' THEN 'completed' WHEN event_type = 'error' THEN 'failed'
+           WHEN event_type = 'purchase' THEN 'processing' ELSE 'pending' END AS status,
+      value
+    FROM events) t
+)"""
+
+DRIFT_CTE = """drift AS (
+  SELECT created_at AS detected_at, database_name, schema_name, table_name,
+    CASE WHEN text_length < 30 THEN 'missing_column' WHEN text_length < 60 THEN 'wrong_type'
+         ELSE 'dimension_mismatch' END AS drift_type, text_length >= 50 AS resolved
+  FROM log WHERE status = 'failed'
+)"""
+
+COLL_CTE = """coll AS (
+  SELECT created_at AS occurred_at, database_name, schema_name, table_name,
+    'text_vector_v' || CAST(text_length AS VARCHAR) AS desired_column_name,
+    CASE WHEN text_length < 20 THEN 'critical' WHEN text_length < 50 THEN 'warning'
+         WHEN text_length < 80 THEN 'info' ELSE 'safe' END AS collision_severity
+  FROM log WHERE status = 'retry'
+)"""
+
+USER_CTE = f"""usr AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, e.embedding AS text_vector,
+    CASE WHEN e.vec_id IS NULL THEN NULL WHEN e.label = 0 THEN '{derive.PREVIOUS_MODEL}'
+         ELSE '{derive.CURRENT_MODEL}' END AS text_embedding_model,
+    CASE WHEN e.vec_id IS NOT NULL THEN TIMESTAMP '{derive.VECTORS_CREATED_AT}' END
+      AS text_vector_created_at
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+)"""
+
+TNC_CTE = """tnc AS (
+  SELECT 'documents' AS table_name, count(*) FILTER (WHERE text_vector IS NULL) AS null_vectors,
+         count(*) AS total_rows FROM usr
+  UNION ALL
+  SELECT "table", count(*), count(*) FROM text_rows WHERE "table" <> 'documents' GROUP BY 1
+)"""
+
+
+def checksum(v: str) -> str:
+    return f"round(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE))), 4)"
+
+
+_AS_OF = f"TIMESTAMP '{derive.AS_OF}'"
+
+ORACLE["null_vector_counts"] = with_(USER_CTE) + """
+SELECT lang, count(*) FILTER (WHERE text_vector IS NULL) AS null_vectors, count(*) AS total_rows
+FROM usr GROUP BY lang"""
+ORACLE["completion"] = with_(USER_CTE) + f"""
+SELECT lang, {S.completion_pct('n', 't')} AS completion_percentage FROM (
+  SELECT lang, count(*) FILTER (WHERE text_vector IS NULL) AS n, count(*) AS t FROM usr GROUP BY lang)"""
+ORACLE["check_null_vectors"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
+SELECT table_name, 'text_vector' AS vector_column, null_vectors, total_rows,
+  {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage,
+  CASE WHEN null_vectors > 0 THEN 'incomplete' ELSE 'complete' END AS status,
+  null_vectors > 0 AS backfill_requested
+FROM tnc"""
+ORACLE["backfill_requests"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + """
+SELECT table_name, 'text_vector' AS vector_column, null_vectors AS null_count, 'low' AS priority
+FROM tnc WHERE null_vectors > 0"""
+ORACLE["null_status_daily"] = with_(LOG_CTE, HISTORY_CTE, USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
+, allrows AS (
+  SELECT table_name, checked_at, null_vectors, total_rows, vector_column FROM history
+  UNION ALL
+  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS INTEGER),
+         CAST(total_rows AS INTEGER), 'text_vector' FROM tnc
+)
+SELECT table_name, CAST(checked_at AS DATE) AS day, checked_at, null_vectors, total_rows,
+  {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage
+FROM (SELECT *, row_number() OVER (PARTITION BY table_name, vector_column, CAST(checked_at AS DATE)
+                                   ORDER BY checked_at DESC) AS rn FROM allrows) x
+WHERE rn = 1"""
+ORACLE["system_health"] = with_(LOG_CTE) + f"""
+SELECT count(*) AS total_vectorizations,
+  count(*) FILTER (WHERE status = 'success') AS successful,
+  count(*) FILTER (WHERE status = 'failed') AS failed,
+  count(*) FILTER (WHERE created_at > {_AS_OF} - INTERVAL 1 HOUR) AS last_hour,
+  avg(processing_time) FILTER (WHERE status = 'success') AS avg_processing_time_ms,
+  max(created_at) AS last_vectorization
+FROM log WHERE created_at > {_AS_OF} - INTERVAL 24 HOUR"""
+ORACLE["system_health_full"] = with_(LOG_CTE, HISTORY_CTE, DRIFT_CTE, COLL_CTE) + f"""
+, nvs AS (SELECT *, {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage
+          FROM history WHERE checked_at > {_AS_OF} - INTERVAL 24 HOUR)
+, keys AS (SELECT DISTINCT database_name, schema_name, table_name FROM nvs)
+, vl AS (SELECT * FROM log WHERE created_at > {_AS_OF} - INTERVAL 24 HOUR
+         AND (database_name, schema_name, table_name) IN (SELECT * FROM keys))
+SELECT
+  (SELECT count(vector_column) FROM nvs) AS vectors_populated,
+  (SELECT count(*) FILTER (WHERE null_vectors > 0) FROM nvs) AS tables_with_nulls,
+  (SELECT round(CAST(avg(completion_percentage) AS DOUBLE), 6) FROM nvs) AS avg_completion_percentage,
+  (SELECT count(DISTINCT embedding_model) FROM vl) AS unique_models,
+  (SELECT count(*) FILTER (WHERE status = 'failed') FROM vl) AS failed_vectorizations,
+  (SELECT count(*) FILTER (WHERE status = 'success') FROM vl) AS successful_vectorizations,
+  (SELECT round(avg(processing_time) FILTER (WHERE status = 'success'), 6) FROM vl) AS avg_processing_time_ms,
+  (SELECT round(quantile_cont(processing_time, 0.95) FILTER (WHERE status = 'success'), 6) FROM vl)
+    AS p95_processing_time_ms,
+  (SELECT count(*) FILTER (WHERE NOT resolved) FROM drift
+   WHERE (database_name, schema_name, table_name) IN (SELECT * FROM keys)) AS unresolved_drift_issues,
+  (SELECT count(*) FILTER (WHERE collision_severity = 'critical') FROM coll
+   WHERE occurred_at > {_AS_OF} - INTERVAL 7 DAY
+     AND (database_name, schema_name, table_name) IN (SELECT * FROM keys)) AS critical_collisions,
+  (SELECT max(checked_at) FROM nvs) AS last_null_check,
+  (SELECT max(created_at) FROM vl) AS last_vectorization,
+  (SELECT max(detected_at) FROM drift
+   WHERE (database_name, schema_name, table_name) IN (SELECT * FROM keys)) AS last_drift_detection"""
+ORACLE["status_summary"] = with_(LOG_CTE) + """
+SELECT table_name, count(*) AS total,
+  count(*) FILTER (WHERE status = 'success') AS successful,
+  count(*) FILTER (WHERE status = 'failed') AS failed,
+  count(*) FILTER (WHERE status = 'retry') AS retried,
+  count(*) FILTER (WHERE status = 'skipped') AS skipped,
+  coalesce(array_to_string(list_sort(list_distinct(list(error_message) FILTER (WHERE status = 'failed'))), ';'), '')
+    AS failure_reasons,
+  round(coalesce(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 0), 6) AS success_rate
+FROM log GROUP BY table_name"""
+ORACLE["throughput"] = with_(LOG_CTE) + """
+SELECT run, processed, successful, round(secs, 6) AS elapsed_s,
+  round(CASE WHEN secs > 0 THEN processed / secs END, 6) AS docs_per_s,
+  round(successful * 100.0 / processed, 6) AS success_pct
+FROM (SELECT CAST(created_at AS DATE) AS run, count(*) AS processed,
+             count(*) FILTER (WHERE status = 'success') AS successful,
+             (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6 AS secs
+      FROM log GROUP BY 1)"""
+ORACLE["queue_depth"] = with_(TASKS_CTE) + \
+    "SELECT status, priority, count(*) AS tasks FROM tasks GROUP BY ALL"
+ORACLE["latest_status"] = with_(LOG_CTE, HISTORY_CTE) + """
+SELECT table_name, vector_column, checked_at, null_vectors, total_rows FROM (
+  SELECT *, rank() OVER (PARTITION BY database_name, schema_name, table_name, vector_column
+                         ORDER BY checked_at DESC) AS r FROM history) x WHERE r = 1"""
+ORACLE["completion_summary"] = with_(LOG_CTE, HISTORY_CTE) + f"""
+SELECT database_name, schema_name, table_name, vector_column, config_key, null_vectors, total_rows,
+  pct AS completion_percentage, last_vectorized_at, checked_at,
+  CASE WHEN pct >= 95 THEN 'healthy' WHEN pct >= 80 THEN 'warning' ELSE 'critical' END AS health_status,
+  CASE WHEN last_vectorized_at < {_AS_OF} - INTERVAL 1 HOUR THEN 'stale'
+       WHEN last_vectorized_at < {_AS_OF} - INTERVAL 10 MINUTE THEN 'recent' ELSE 'current' END
+    AS freshness_status
+FROM (SELECT *, {S.completion_pct('null_vectors', 'total_rows')} AS pct,
+             rank() OVER (PARTITION BY database_name, schema_name, table_name, vector_column
+                          ORDER BY checked_at DESC) AS r FROM history) x
+WHERE r = 1"""
+ORACLE["recent_history"] = with_(LOG_CTE, COLL_CTE) + """
+SELECT table_name, rn, occurred_at, desired_column_name, collision_severity FROM (
+  SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY occurred_at DESC, desired_column_name)
+    AS rn FROM coll) x WHERE rn <= 5"""
+ORACLE["next_tasks"] = with_(TASKS_CTE) + f"""
+SELECT id, priority, scheduled_at, table_name FROM tasks
+WHERE status = 'pending' AND scheduled_at <= {_AS_OF}
+ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END,
+         scheduled_at, id
+LIMIT 50"""
+ORACLE["retry_schedule"] = with_(TASKS_CTE) + """
+SELECT id, retry_count,
+  CASE WHEN retry_count >= 3 THEN 'dead' ELSE 'retry' END AS decision,
+  CASE WHEN retry_count < 3 THEN retry_count + 1 END AS next_retry_count,
+  CASE WHEN retry_count < 3 THEN 5.0 * pow(2.0, retry_count) END AS delay_s,
+  CASE WHEN retry_count < 3
+       THEN completed_at + to_microseconds(CAST(5000000 * pow(2, retry_count) AS BIGINT)) END
+    AS retry_at
+FROM tasks WHERE status = 'failed'"""
+ORACLE["dead_letter"] = with_(TASKS_CTE) + """
+SELECT id, task_id, table_name, row_id, retry_count FROM tasks
+WHERE status = 'failed' AND retry_count >= max_retries"""
+ORACLE["attempt_history"] = with_(LOG_CTE) + """
+SELECT log_id, table_name, row_id,
+  row_number() OVER w AS attempt_no,
+  coalesce(sum(CAST(status = 'failed' AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS failures_before
+FROM log WINDOW w AS (PARTITION BY table_name, row_id ORDER BY created_at, log_id)"""
+ORACLE["embed_deterministic"] = f"""
+SELECT doc_id, {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('text', derive.DIMENSION))} AS checksum
+FROM documents"""
+ORACLE["embed_udf"] = f"""
+SELECT doc_id, {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('c', derive.DIMENSION))} AS checksum
+FROM (SELECT doc_id, {S.basic_clean('text')} AS c FROM documents)"""
+ORACLE["write_back"] = with_(USER_CTE) + f"""
+SELECT doc_id,
+  CASE WHEN text_vector IS NULL AND c <> '' THEN '{derive.CURRENT_MODEL}' ELSE text_embedding_model END
+    AS text_embedding_model,
+  CASE WHEN text_vector IS NULL AND c <> '' THEN {_AS_OF} ELSE text_vector_created_at END
+    AS text_vector_created_at,
+  CASE WHEN text_vector IS NULL AND c <> '' THEN {derive.DIMENSION} ELSE len(text_vector) END AS dim,
+  CASE WHEN text_vector IS NULL AND c <> '' THEN {checksum(S.mock_embedding('c', derive.DIMENSION))}
+       ELSE {checksum('text_vector')} END AS checksum
+FROM (SELECT *, {S.basic_clean('text')} AS c FROM usr)"""
+ORACLE["vectorization_log_rows"] = f"""
+SELECT '{{"id":' || CAST(doc_id AS VARCHAR) || '}}' AS row_id,
+  CASE WHEN c = '' THEN 'skipped' ELSE 'success' END AS status,
+  length(text) AS text_length,
+  CASE WHEN c = '' THEN NULL ELSE {derive.DIMENSION} END AS vector_dimension,
+  '{derive.CURRENT_MODEL}' AS embedding_model
+FROM (SELECT d.*, {S.basic_clean('d.text')} AS c FROM documents d
+      WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id))"""
+ORACLE["vector_validity"] = with_(USER_CTE) + f"""
+SELECT {S.vector_status('text_vector', derive.DIMENSION)} AS vector_status, count(*) AS n
+FROM usr GROUP BY 1"""
+ORACLE["parse_responses"] = f"""
+SELECT doc_id, 0 AS pos, 4 AS dim, {checksum(S.mock_embedding('text', 4))} AS checksum
+FROM documents"""
+ORACLE["parse_errors"] = with_(LOG_CTE) + """
+SELECT log_id, CASE WHEN text_length < 90 THEN 'failure ' || CAST(text_length AS VARCHAR)
+                    ELSE '{"code":' || CAST(text_length AS VARCHAR) || '}' END AS message
+FROM log WHERE status = 'failed'"""
+ORACLE["classify_failures"] = with_(LOG_CTE) + """
+SELECT log_id, status_code,
+  CASE WHEN status_code = 429 THEN 'rate_limit' WHEN status_code IN (401, 403) THEN 'authentication'
+       WHEN status_code = 422 THEN 'validation' WHEN status_code = 0 THEN 'network'
+       WHEN status_code >= 500 THEN 'server' ELSE 'api' END AS error_class,
+  status_code NOT IN (401, 403, 422) AS retryable,
+  CASE WHEN status_code = 429 THEN coalesce(retry_after, 60) END AS wait_s
+FROM (SELECT log_id,
+        CASE WHEN text_length < 10 THEN 429 WHEN text_length < 20 THEN 401 WHEN text_length < 25 THEN 403
+             WHEN text_length < 35 THEN 422 WHEN text_length < 60 THEN 500 WHEN text_length < 80 THEN 503
+             ELSE 0 END AS status_code,
+        CASE WHEN text_length BETWEEN 5 AND 9 THEN text_length END AS retry_after
+      FROM log WHERE status = 'failed')"""

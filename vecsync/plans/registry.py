@@ -268,3 +268,278 @@ def q_desired_columns(spark, d):
     return R.desired_columns(derive.routing_config(spark)) \
             .select("config_order", "table", "text_column", "column_name", "role") \
             .join(counts, "table", "left")
+
+
+# ---------------------------------------------------------------------------
+# batch 3: embedding, write-back, monitoring, tasks
+# ---------------------------------------------------------------------------
+from ..functions import errors as ER  # noqa: E402
+from ..functions import vectors as V  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+from ..operators import monitor as M  # noqa: E402
+from ..operators import tasks as TK  # noqa: E402
+from ..operators import writeback as WB  # noqa: E402
+
+
+def checksum(v):
+    return F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+
+
+def log(spark, d):
+    return derive.vectorization_log(T(spark, d, "events"))
+
+
+def tasks(spark, d):
+    return derive.task_table(T(spark, d, "events"))
+
+
+def history(spark, d):
+    return derive.status_history(T(spark, d, "events"))
+
+
+def target_null_counts(spark, d):
+    """A1 per configured target: documents from the stored vectors, the other
+    text tables have no vector column yet (every row counts as NULL)."""
+    docs = M.null_vector_counts(user(spark, d), "text_vector") \
+        .withColumn("table_name", F.lit("documents"))
+    others = text_rows(spark, d).filter(F.col("table") != "documents") \
+        .groupBy(F.col("table").alias("table_name")) \
+        .agg(F.count(F.lit(1)).alias("null_vectors"), F.count(F.lit(1)).alias("total_rows"))
+    return docs.unionByName(others).select(
+        F.lit(derive.DATABASE).alias("database_name"), F.lit(derive.SCHEMA).alias("schema_name"),
+        "table_name", F.lit("text_vector").alias("vector_column"), "null_vectors", "total_rows")
+
+
+@register("null_vector_counts")
+def q_null_vector_counts(spark, d):
+    return M.null_vector_counts(user(spark, d), "text_vector", ["lang"])
+
+
+@register("completion")
+def q_completion(spark, d):
+    c = M.null_vector_counts(user(spark, d), "text_vector", ["lang"])
+    return c.select("lang", M.completion_pct(F.col("null_vectors"), F.col("total_rows"))
+                    .alias("completion_percentage"))
+
+
+@register("check_null_vectors")
+def q_check_null_vectors(spark, d):
+    c = target_null_counts(spark, d)
+    return c.select("table_name", "vector_column", "null_vectors", "total_rows",
+                    M.completion_pct(F.col("null_vectors"), F.col("total_rows"))
+                    .alias("completion_percentage"),
+                    F.when(F.col("null_vectors") > 0, "incomplete").otherwise("complete")
+                    .alias("status"),
+                    (F.col("null_vectors") > 0).alias("backfill_requested"))
+
+
+@register("backfill_requests")
+def q_backfill_requests(spark, d):
+    return TK.backfill_requests(target_null_counts(spark, d)) \
+             .select("table_name", "vector_column", "null_count", "priority")
+
+
+CHECK_TIME = "2024-01-30 23:59:59"
+
+
+@register("null_status_daily")
+def q_null_status_daily(spark, d):
+    checks = target_null_counts(spark, d).select(
+        F.lit(CHECK_TIME).cast("timestamp").alias("checked_at"), "database_name", "schema_name",
+        "table_name", "vector_column", F.lit("default").alias("config_key"),
+        F.col("null_vectors").cast("int").alias("null_vectors"),
+        F.col("total_rows").cast("int").alias("total_rows"),
+        F.lit(None).cast("timestamp").alias("last_vectorized_at"))
+    return WB.upsert_daily_status(history(spark, d), checks).select(
+        "table_name", F.to_date("checked_at").alias("day"), "checked_at", "null_vectors",
+        "total_rows", "completion_percentage")
+
+
+@register("system_health")
+def q_system_health(spark, d):
+    return M.system_health(log(spark, d), derive.AS_OF)
+
+
+@register("system_health_full")
+def q_system_health_full(spark, d):
+    ev = T(spark, d, "events")
+    h = M.system_health_full(history(spark, d), log(spark, d), derive.drift_log(ev),
+                             derive.collision_log(ev), derive.AS_OF)
+    return h.withColumn("avg_completion_percentage", F.round("avg_completion_percentage", 6)) \
+            .withColumn("avg_processing_time_ms", F.round("avg_processing_time_ms", 6)) \
+            .withColumn("p95_processing_time_ms", F.round("p95_processing_time_ms", 6))
+
+
+@register("status_summary")
+def q_status_summary(spark, d):
+    return M.status_summary(log(spark, d), ["table_name"]) \
+            .withColumn("failure_reasons", F.array_join("failure_reasons", ";"))
+
+
+@register("throughput")
+def q_throughput(spark, d):
+    return M.throughput(log(spark, d), F.to_date("created_at"))
+
+
+@register("queue_depth")
+def q_queue_depth(spark, d):
+    return M.queue_depth(tasks(spark, d))
+
+
+@register("latest_status")
+def q_latest_status(spark, d):
+    return M.latest_status(history(spark, d)).select("table_name", "vector_column", "checked_at",
+                                                     "null_vectors", "total_rows")
+
+
+@register("completion_summary")
+def q_completion_summary(spark, d):
+    return M.completion_summary(history(spark, d), derive.AS_OF)
+
+
+@register("recent_history")
+def q_recent_history(spark, d):
+    cl = derive.collision_log(T(spark, d, "events"))
+    return M.recent_history(cl, ["table_name"], "occurred_at", 5, ["desired_column_name"]) \
+            .select("table_name", "rn", "occurred_at", "desired_column_name", "collision_severity")
+
+
+@register("next_tasks")
+def q_next_tasks(spark, d):
+    return TK.next_tasks(tasks(spark, d), derive.AS_OF, 50) \
+             .select("id", "priority", "scheduled_at", "table_name")
+
+
+FAILED_TASKS = F.col("status") == "failed"
+
+
+@register("retry_schedule")
+def q_retry_schedule(spark, d):
+    f = tasks(spark, d).filter(FAILED_TASKS)
+    return TK.schedule_retries(f, 5.0, 3).select("id", "retry_count", "decision",
+                                                 "next_retry_count", "delay_s", "retry_at")
+
+
+@register("dead_letter")
+def q_dead_letter(spark, d):
+    f = tasks(spark, d).filter(FAILED_TASKS)
+    _, dead = WB.split_dead_letter(f, F.col("retry_count"), F.col("max_retries"))
+    return dead.select("id", "task_id", "table_name", "row_id", "retry_count")
+
+
+@register("attempt_history")
+def q_attempt_history(spark, d):
+    h = TK.attempt_history(log(spark, d), ["table_name", "row_id"], "created_at", "log_id",
+                           F.col("status") == "failed")
+    return h.select("log_id", "table_name", "row_id", "attempt_no", "failures_before")
+
+
+@register("embed_deterministic")
+def q_embed_deterministic(spark, d):
+    v = V.mock_embedding(F.col("text"), derive.DIMENSION)
+    return T(spark, d, "documents").select("doc_id", v.alias("v")) \
+        .select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+
+
+@register("embed_udf")
+def q_embed_udf(spark, d):
+    docs = T(spark, d, "documents").select("doc_id", C.basic_clean(F.col("text")).alias("clean"))
+    e = EM.embed_column(docs, "clean", "v", "mock", dimension=derive.DIMENSION, batch_size=64)
+    return e.select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+
+
+def backfill_updates(spark, d):
+    """New vectors for the backfill set through the Arrow UDF embedder."""
+    todo = detect.backfill_set(user(spark, d), "text_vector") \
+        .select("doc_id", C.basic_clean(F.col("text")).alias("clean")) \
+        .filter(F.col("clean") != "")
+    e = EM.embed_column(todo, "clean", "new_vector", "mock", dimension=derive.DIMENSION)
+    return e.filter(V.is_valid_vector(F.col("new_vector"), derive.DIMENSION)).select(
+        "doc_id", "new_vector", F.lit(derive.CURRENT_MODEL).alias("new_model"),
+        F.lit(derive.AS_OF).cast("timestamp").alias("new_created_at"))
+
+
+@register("write_back")
+def q_write_back(spark, d):
+    out = WB.write_back(user(spark, d), backfill_updates(spark, d), "doc_id", "text_vector",
+                        "text_embedding_model", "text_vector_created_at")
+    return out.select("doc_id", "text_embedding_model", "text_vector_created_at",
+                      F.size("text_vector").alias("dim"),
+                      checksum(F.col("text_vector")).alias("checksum"))
+
+
+@register("vectorization_log_rows")
+def q_vectorization_log_rows(spark, d):
+    from .backfill import backfill_vectors
+    done = backfill_vectors(user(spark, d)).filter(F.col("backfill_status") != "present")
+    st = F.when(F.col("backfill_status") == "created", "success") \
+          .when(F.col("backfill_status") == "skipped", "skipped").otherwise("failed")
+    rows = WB.log_rows(done.withColumn("st", st), derive.DATABASE, derive.SCHEMA, "documents",
+                       "text", "text_vector", derive.CURRENT_MODEL, derive.AS_OF, "doc_id", "st",
+                       "text", "text_vector")
+    return rows.select("row_id", "status", "text_length", "vector_dimension", "embedding_model")
+
+
+@register("vector_validity")
+def q_vector_validity(spark, d):
+    u = user(spark, d)
+    return u.groupBy(V.vector_status(F.col("text_vector"), derive.DIMENSION).alias("vector_status")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+def response_bodies(spark, d):
+    """Embedding responses rendered per language in one of the four shapes."""
+    docs = T(spark, d, "documents").select(
+        "doc_id", "lang", V.mock_embedding(F.col("text"), 4).alias("v"))
+    vj = F.to_json(F.col("v"))
+    body = (F.when(F.col("lang") == "en",
+                   F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"),
+                                                       F.col("v").alias("embedding"))).alias("data"))))
+             .when(F.col("lang") == "fr", F.to_json(F.struct(F.array("v").alias("embeddings"))))
+             .when(F.col("lang") == "de", F.concat(F.lit("["), vj, F.lit("]")))
+             .otherwise(F.to_json(F.struct(F.col("v").alias("vector")))))
+    return docs.select("doc_id", "lang", body.alias("body"))
+
+
+@register("parse_responses")
+def q_parse_responses(spark, d):
+    r = response_bodies(spark, d).withColumn("vs", ER.parse_embedding_response(F.col("body")))
+    return r.select("doc_id", F.posexplode("vs").alias("pos", "v")) \
+            .select("doc_id", "pos", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+
+
+def error_bodies(spark, d):
+    lg = log(spark, d).filter(F.col("status") == "failed")
+    k = F.col("text_length")
+    msg = F.concat(F.lit("failure "), k.cast("string"))
+    body = (F.when(k < 15, F.to_json(F.struct(F.struct(msg.alias("message")).alias("error"))))
+             .when(k < 30, F.to_json(F.struct(msg.alias("error"))))
+             .when(k < 45, F.to_json(F.struct(msg.alias("message"))))
+             .when(k < 60, F.to_json(F.struct(msg.alias("detail"))))
+             .when(k < 75, F.to_json(F.struct(F.array(msg, F.lit("more")).alias("detail"))))
+             .when(k < 90, F.to_json(F.struct(msg.alias("description"))))
+             .otherwise(F.to_json(F.struct(k.alias("code")))))
+    return lg.select("log_id", "text_length", body.alias("body"))
+
+
+@register("parse_errors")
+def q_parse_errors(spark, d):
+    return error_bodies(spark, d).select("log_id", ER.parse_error_message(F.col("body"))
+                                         .alias("message"))
+
+
+def status_codes(spark, d):
+    k = F.col("text_length")
+    code = (F.when(k < 10, 429).when(k < 20, 401).when(k < 25, 403).when(k < 35, 422)
+             .when(k < 60, 500).when(k < 80, 503).otherwise(0))
+    ra = F.when((k < 10) & (k >= 5), k)
+    return log(spark, d).filter(F.col("status") == "failed") \
+        .select("log_id", code.alias("status_code"), ra.alias("retry_after"))
+
+
+@register("classify_failures")
+def q_classify_failures(spark, d):
+    s = status_codes(spark, d)
+    c = ER.classify_failure(F.col("status_code"), F.col("retry_after"))
+    return s.select("log_id", "status_code", c["error_class"].alias("error_class"),
+                    c["retryable"].alias("retryable"), c["wait_s"].alias("wait_s"))

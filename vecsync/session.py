@@ -18,6 +18,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # embedding calls are side effects: never run a task twice on purpose
     "spark.speculation": "false",
 }
