@@ -10,20 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Known output widths per model (reference provider tables).
+# Known output widths per model, as the providers list them.
 KNOWN_MODEL_DIMENSIONS = {
-    "text-embedding-ada-002": 1536,
-    "text-embedding-3-small": 1536,
-    "text-embedding-3-large": 3072,
-    "BAAI/bge-small-en-v1.5": 384,
+    # self-hosted (OpenAI-compatible) servers
+    "minishlab/potion-multilingual-128M": 768,
+    "BAAI/bge-m3": 1024,
     "BAAI/bge-base-en-v1.5": 768,
     "BAAI/bge-large-en-v1.5": 1024,
-    "BAAI/bge-m3": 1024,
     "sentence-transformers/all-MiniLM-L6-v2": 384,
     "sentence-transformers/all-mpnet-base-v2": 768,
+    # hosted API
+    "text-embedding-3-small": 1536,
+    "text-embedding-3-large": 3072,
+    "text-embedding-ada-002": 1536,
 }
 # Models that may be asked for a narrower vector (never a wider one).
 SHORTENABLE_MODEL_PREFIX = "text-embedding-3"
+# Default width per named embedding config (768 when the name is unknown).
+CONFIG_DEFAULT_DIMENSIONS = {
+    "openai-small": 1536,
+    "openai-large": 3072,
+    "infinity_static": 768,
+    "infinity_bge": 1024,
+    "default": 768,
+}
 
 VECTOR_TYPE = "array<float>"
 

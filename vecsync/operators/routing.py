@@ -80,9 +80,9 @@ def desired_columns(routing: DataFrame) -> DataFrame:
     arr = F.when(F.coalesce(F.col("cleaning_enabled"), F.lit(False)),
                  F.array(*items, *clean_items)).otherwise(F.array(*items))
     return (routing.select("config_order", "database", "database_name", "schema", "table",
-                           "text_column", F.explode(arr).alias("c"))
+                           "text_column", "embedding_config", F.explode(arr).alias("c"))
                    .select("config_order", "database", "database_name", "schema", "table",
-                           "text_column", "c.column_name", "c.role"))
+                           "text_column", "embedding_config", "c.column_name", "c.role"))
 
 
 def clean_by_config(text: Column, enabled: Column, pipeline_name: Column) -> Column:

@@ -234,3 +234,20 @@ def collision_log(events: DataFrame) -> DataFrame:
          .alias("desired_column_name"),
         F.when(k < 20, "critical").when(k < 50, "warning").when(k < 80, "info")
          .otherwise("safe").alias("collision_severity"))
+
+
+# --- embedding configs (config input) ------------------------------------------------
+
+EMBEDDING_CONFIG_COLUMNS = "config_name string, provider string, model string, dimensions int"
+# Fixed value: the embedding configs of the test deployment.
+EMBEDDING_CONFIG_ROWS = [
+    ("default", "mock", CURRENT_MODEL, DIMENSION),
+    ("openai-small", "openai", "text-embedding-3-small", 512),
+    ("openai-large", "openai", "text-embedding-3-large", 4096),
+    ("infinity_bge", "infinity", "BAAI/bge-m3", 1024),
+    ("infinity_static", "infinity", "minishlab/potion-multilingual-128M", 512),
+]
+
+
+def embedding_configs(spark) -> DataFrame:
+    return spark.createDataFrame(EMBEDDING_CONFIG_ROWS, EMBEDDING_CONFIG_COLUMNS)

@@ -543,3 +543,238 @@ def q_classify_failures(spark, d):
     c = ER.classify_failure(F.col("status_code"), F.col("retry_after"))
     return s.select("log_id", "status_code", c["error_class"].alias("error_class"),
                     c["retryable"].alias("retryable"), c["wait_s"].alias("wait_s"))
+
+
+# ---------------------------------------------------------------------------
+# batch 4: catalog, collisions, naming, reconciliation
+# ---------------------------------------------------------------------------
+from functools import reduce as _reduce  # noqa: E402
+
+from pyspark.sql import DataFrame as _DF  # noqa: E402
+
+from ..functions.vectors import CONFIG_DEFAULT_DIMENSIONS  # noqa: E402
+from ..operators import catalog as K  # noqa: E402
+from ..sources.tables import TABLES  # noqa: E402
+
+
+def catalog_tables(spark, d):
+    """The given tables, with ``documents`` seen as the user table (its
+    stored vectors and companion columns joined in)."""
+    out = {t: T(spark, d, t) for t in TABLES if t != "documents"}
+    out["documents"] = user(spark, d)
+    return out
+
+
+def catalog(spark, d):
+    return K.column_catalog(spark, catalog_tables(spark, d), derive.DATABASE, derive.SCHEMA)
+
+
+def registry_rows(spark, d):
+    """column_registry derived from the catalog: every vector column and its
+    ``{text}_embedding_model`` sibling are registered."""
+    c = catalog(spark, d)
+    vec = c.filter("is_vector").select("database_name", "schema_name", "table_name",
+                                       F.col("column_name").alias("vcol"), "dimension")
+    model = c.select("table_name", F.col("column_name").alias("mcol"))
+    base = F.regexp_replace("vcol", "_vector$", "")
+    vrows = vec.select("database_name", "schema_name", "table_name",
+                       F.col("vcol").alias("original_column_name"),
+                       F.col("vcol").alias("actual_column_name"),
+                       F.lit("vector").alias("column_type"), "dimension")
+    mrows = vec.join(model, (vec.table_name == model.table_name)
+                     & (model.mcol == F.concat(base, F.lit("_embedding_model")))) \
+        .select(vec.database_name, vec.schema_name, vec.table_name,
+                F.col("mcol").alias("original_column_name"),
+                F.col("mcol").alias("actual_column_name"),
+                F.lit("model").alias("column_type"), F.lit(None).cast("int").alias("dimension"))
+    return vrows.unionByName(mrows).select(
+        "*", F.lit(derive.CURRENT_MODEL).alias("model_name"),
+        F.lit(derive.VECTORS_CREATED_AT).cast("timestamp").alias("created_at"),
+        F.lit("default").alias("config_key"))
+
+
+def desired(spark, d):
+    return R.desired_columns(derive.routing_config(spark)).select(
+        F.col("database").alias("database_name"), F.col("schema").alias("schema_name"),
+        F.col("table").alias("table_name"), "text_column", "column_name", "role")
+
+
+def collisions(spark, d):
+    hist = K.history_keys(registry_rows(spark, d),
+                          derive.collision_log(T(spark, d, "events")))
+    return K.classify_collisions(desired(spark, d), catalog(spark, d), hist)
+
+
+ROLE_TYPES = {"vector": "vector", "model": "text", "timestamp": "timestamptz",
+              "cleaned": "text", "cleaned_config": "text", "cleaned_timestamp": "timestamptz"}
+
+
+def role_type(role):
+    out = None
+    for r, t in ROLE_TYPES.items():
+        out = F.when(role == r, t) if out is None else out.when(role == r, t)
+    return out
+
+
+@register("column_catalog")
+def q_column_catalog(spark, d):
+    return catalog(spark, d).select("table_name", "column_name", "data_type",
+                                    "ordinal_position", "is_vector", "dimension", "row_count")
+
+
+@register("vector_tables")
+def q_vector_tables(spark, d):
+    return K.vector_tables(catalog(spark, d)).select(
+        "table_name", F.array_join("vector_columns", ",").alias("vector_columns"))
+
+
+def feed_tables(spark, d):
+    return parsed_feed(spark, d).select(F.col("table").alias("table_name")).distinct()
+
+
+@register("table_status")
+def q_table_status(spark, d):
+    configured = derive.routing_config(spark).select(F.col("table").alias("table_name")) \
+        .unionByName(feed_tables(spark, d))
+    return K.table_status(catalog(spark, d), configured)
+
+
+@register("missing_components")
+def q_missing_components(spark, d):
+    existing = catalog(spark, d).select("table_name").distinct()
+    return K.missing_components(feed_tables(spark, d), existing)
+
+
+@register("classify_collisions")
+def q_classify_collisions(spark, d):
+    return collisions(spark, d).select(
+        "table_name", "column_name", "severity", "collision_type", "matched_pattern",
+        "existing_column_type", F.array_join("alternative_names", ",").alias("alternatives"))
+
+
+@register("alternative_names")
+def q_alternative_names(spark, d):
+    """F9 for every column of every table: alternatives to each existing name."""
+    c = catalog(spark, d)
+    ex = c.groupBy("table_name").agg(F.collect_set("column_name").alias("existing"))
+    return c.select("table_name", "column_name").join(F.broadcast(ex), "table_name").select(
+        "table_name", "column_name",
+        F.array_join(K.alternative_names(F.col("column_name"), F.col("existing")), ",")
+         .alias("alternatives"),
+        F.array_join(K.prefix_alternatives(F.col("column_name"), F.col("existing")), ",")
+         .alias("prefix_alternatives"))
+
+
+@register("resolve_columns")
+def q_resolve_columns(spark, d):
+    return K.resolve_columns(collisions(spark, d)).select(
+        "table_name", "column_name", "severity", "resolved_column_name", "resolution_strategy",
+        "blocked")
+
+
+@register("collision_summary")
+def q_collision_summary(spark, d):
+    return K.collision_summary(collisions(spark, d)) \
+        .withColumn("critical_columns", F.array_join("critical_columns", ","))
+
+
+@register("collision_log_rows")
+def q_collision_log_rows(spark, d):
+    r = K.resolve_columns(collisions(spark, d))
+    return K.collision_log_rows(r, derive.AS_OF, "default").select(
+        "table_name", "desired_column_name", "collision_severity", "collision_type",
+        "resolution_strategy", "resolved_column_name", "details")
+
+
+@register("column_history")
+def q_column_history(spark, d):
+    hist = K.history_keys(registry_rows(spark, d), derive.collision_log(T(spark, d, "events")))
+    return desired(spark, d).join(hist, ["schema_name", "table_name", "column_name"],
+                                  "left_semi").select("table_name", "column_name", "role")
+
+
+@register("column_mapping")
+def q_column_mapping(spark, d):
+    m = K.column_mapping(desired(spark, d), registry_rows(spark, d))
+    return m.select("table_name", "text_column", "role", "column_name", "actual_column_name")
+
+
+@register("reconcile_plan")
+def q_reconcile_plan(spark, d):
+    r = K.resolve_columns(collisions(spark, d)).withColumn("column_type", role_type(F.col("role")))
+    return K.reconcile_plan(r, catalog(spark, d)).select(
+        "table_name", "column_name", "resolved_column_name", "ddl", "blocked", "large_table")
+
+
+@register("schema_drift")
+def q_schema_drift(spark, d):
+    routing = derive.routing_config(spark)
+    dims = F.create_map(*[x for k_, v in CONFIG_DEFAULT_DIMENSIONS.items()
+                          for x in (F.lit(k_), F.lit(v))])
+    exp = R.desired_columns(routing).select(
+        F.col("schema").alias("schema_name"), F.col("table").alias("table_name"),
+        "column_name", role_type(F.col("role")).alias("expected_type"),
+        F.when(F.col("role") == "vector", F.coalesce(dims[F.col("embedding_config")], F.lit(768)))
+         .alias("expected_dimension"))
+    return K.schema_drift(exp, catalog(spark, d)).select(
+        "table_name", "column_name", "drift_type", "expected_type", "actual_type",
+        "expected_dimension", "actual_dimension")
+
+
+@register("model_dimension_check")
+def q_model_dimension_check(spark, d):
+    c = catalog(spark, d).filter("is_vector")
+    routing = derive.routing_config(spark)
+    used = routing.join(c, (routing.table == c.table_name) & (routing.vector_column == c.column_name)) \
+        .groupBy(F.col("embedding_config").alias("config_name")) \
+        .agg(F.max("dimension").alias("observed_dimension"))
+    chk = K.model_dimension_check(derive.embedding_configs(spark), K.known_dimensions(spark))
+    return chk.join(used, "config_name", "left").select(
+        "config_name", "model", "dimensions", "known_dimension", "observed_dimension", "status")
+
+
+@register("add_companions")
+def q_add_companions(spark, d):
+    u = user(spark, d)
+    want = {"text_vector": "array<float>", "text_embedding_model": "string",
+            "text_vector_created_at": "timestamp", "text_cleaned": "string",
+            "text_cleaned_config": "string", "text_cleaned_at": "timestamp"}
+    add = {c: F.lit(None).cast(t) for c, t in want.items() if c not in u.columns}
+    out = u.withColumns(add)
+    return out.select("doc_id", F.col("text_vector").isNotNull().alias("has_vector"),
+                      "text_embedding_model", "text_cleaned", "text_cleaned_config",
+                      F.lit(",".join(sorted(add))).alias("added_columns"))
+
+
+@register("registry_upsert")
+def q_registry_upsert(spark, d):
+    old = registry_rows(spark, d)
+    r = K.resolve_columns(collisions(spark, d)).filter(~F.col("blocked"))
+    new = r.select("database_name", "schema_name", "table_name",
+                   F.col("column_name").alias("original_column_name"),
+                   F.col("resolved_column_name").alias("actual_column_name"),
+                   F.when(F.col("role").startswith("cleaned"), "cleaned")
+                    .otherwise(F.col("role")).alias("column_type"),
+                   F.lit(None).cast("int").alias("dimension"),
+                   F.lit(derive.CURRENT_MODEL).alias("model_name"),
+                   F.lit(derive.AS_OF).cast("timestamp").alias("created_at"),
+                   F.lit("default").alias("config_key"))
+    return WB.upsert_registry(old, new).select(
+        "table_name", "original_column_name", "actual_column_name", "column_type", "dimension",
+        "created_at")
+
+
+@register("all_targets_completion")
+def q_all_targets_completion(spark, d):
+    per_table = [M.null_vector_counts(user(spark, d), "text_vector")
+                 .withColumn("table_name", F.lit("documents"))]
+    rows = text_rows(spark, d)
+    for t in ("pages", "conversations", "benchmark", "part"):
+        per_table.append(rows.filter(F.col("table") == t)
+                         .withColumn("no_vector", F.lit(None).cast("array<float>"))
+                         .transform(lambda df: M.null_vector_counts(df, "no_vector"))
+                         .withColumn("table_name", F.lit(t)))
+    allc = _reduce(_DF.unionByName, per_table)
+    return allc.select("table_name", "null_vectors", "total_rows",
+                       M.completion_pct(F.col("null_vectors"), F.col("total_rows"))
+                       .alias("completion_percentage"))
