@@ -494,3 +494,228 @@ FROM (SELECT log_id,
              ELSE 0 END AS status_code,
         CASE WHEN text_length BETWEEN 5 AND 9 THEN text_length END AS retry_after
       FROM log WHERE status = 'failed')"""
+
+
+# ---------------------------------------------------------------------------
+# batch 4: catalog
+# ---------------------------------------------------------------------------
+_GIVEN = ("region nation customer supplier part orders lineitem events embeddings pages "
+          "benchmark labels conversations").split()
+_USER_COLS = [("doc_id", "bigint"), ("text", "text"), ("lang", "text"), ("source", "text"),
+              ("text_vector", "vector"), ("text_embedding_model", "text"),
+              ("text_vector_created_at", "timestamptz")]
+CAT_CTE = ("cat0 AS (\n  SELECT table_name, column_name, CASE data_type WHEN 'VARCHAR' THEN 'text' "
+           "WHEN 'INTEGER' THEN 'integer' WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp' "
+           "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT[]' THEN 'vector' ELSE 'unknown' END AS data_type, "
+           "CAST(ordinal_position AS INTEGER) AS ordinal_position\n  FROM information_schema.columns "
+           "WHERE table_name IN (" + ", ".join(S.q(t) for t in _GIVEN) + ")\n  UNION ALL SELECT * FROM (VALUES "
+           + ", ".join(f"('documents', '{c}', '{t}', {i})" for i, (c, t) in enumerate(_USER_COLS, 1))
+           + ") v(table_name, column_name, data_type, ordinal_position)\n), counts AS (\n  "
+           + "\n  UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
+                                  for t in _GIVEN + ["documents"])
+           + "\n), dims AS (\n  SELECT 'embeddings' AS table_name, 'embedding' AS column_name, "
+           "CASE WHEN min(len(embedding)) = max(len(embedding)) THEN max(len(embedding)) END AS dimension "
+           "FROM embeddings\n  UNION ALL SELECT 'documents', 'text_vector', CASE WHEN min(len(e.embedding)) = "
+           "max(len(e.embedding)) THEN max(len(e.embedding)) END FROM documents d JOIN embeddings e "
+           "ON e.vec_id = d.doc_id\n), cat AS (\n  SELECT '" + derive.DATABASE + "' AS database_name, '"
+           + derive.SCHEMA + "' AS schema_name, c.*, n.row_count, c.data_type = 'vector' AS is_vector, "
+           "CAST(d.dimension AS INTEGER) AS dimension\n  FROM cat0 c LEFT JOIN counts n USING (table_name) "
+           "LEFT JOIN dims d USING (table_name, column_name)\n)")
+
+ORACLE["column_catalog"] = with_(CAT_CTE) + """
+SELECT table_name, column_name, data_type, ordinal_position, is_vector, dimension, row_count FROM cat"""
+ORACLE["vector_tables"] = with_(CAT_CTE) + """
+SELECT table_name, array_to_string(list_sort(list(column_name)), ',') AS vector_columns
+FROM cat WHERE is_vector GROUP BY table_name"""
+ORACLE["table_status"] = with_(CAT_CTE, FEED_CTE) + """
+, conf AS (SELECT DISTINCT table_name FROM (
+    SELECT * FROM (VALUES ('documents'), ('pages'), ('conversations'), ('benchmark'), ('part')) v(table_name)
+    UNION ALL SELECT "table" FROM feed))
+, per AS (SELECT table_name, max(row_count) AS row_count,
+                 bool_or(column_name LIKE '%\\_vector' ESCAPE '\\') AS hv FROM cat GROUP BY 1)
+SELECT c.table_name, p.row_count IS NOT NULL AS exists, coalesce(p.row_count, 0) AS row_count,
+       coalesce(p.hv, FALSE) AS has_vector_column
+FROM conf c LEFT JOIN per p USING (table_name)"""
+ORACLE["missing_components"] = with_(CAT_CTE, FEED_CTE) + """
+SELECT DISTINCT "table" AS table_name FROM feed WHERE "table" NOT IN (SELECT table_name FROM cat)"""
+
+_PATTERNS_RX = "(?i)^(?:" + "|".join(
+    [r".*_vector$", r".*_embedding$", r".*_cleaned$", r".*_model$", r".*_created_at$",
+     r".*_updated_at$", r".*_vector_v\d+$", r".*_embedding_v\d+$"]) + ")"
+
+
+def _desired_rows_sql() -> str:
+    rows = []
+    for (order, db, _pdb, sc, table, text, _id, vec, model, emb, clean, _cfg) in derive.ROUTING_ROWS:
+        items = [(vec, "vector"), (model, "model"), (f"{vec}_created_at", "timestamp")]
+        if clean:
+            items += [(f"{text}_cleaned", "cleaned"), (f"{text}_cleaned_config", "cleaned_config"),
+                      (f"{text}_cleaned_at", "cleaned_timestamp")]
+        rows += [f"('{db}', '{sc}', '{table}', '{text}', '{emb}', '{c}', '{r}')" for c, r in items]
+    return ("desired(database_name, schema_name, table_name, text_column, embedding_config, "
+            "column_name, role) AS (VALUES " + ", ".join(rows) + ")")
+
+
+COLL_CTES = [CAT_CTE, LOG_CTE, COLL_CTE, _desired_rows_sql(), """reg AS (
+  SELECT v.database_name, v.schema_name, v.table_name, v.column_name AS original_column_name,
+         v.column_name AS actual_column_name, 'vector' AS column_type, v.dimension
+  FROM cat v WHERE v.is_vector
+  UNION ALL
+  SELECT v.database_name, v.schema_name, v.table_name, m.column_name, m.column_name, 'model', NULL
+  FROM cat v JOIN cat m ON m.table_name = v.table_name
+   AND m.column_name = regexp_replace(v.column_name, '_vector$', '') || '_embedding_model'
+  WHERE v.is_vector
+)""", """hist AS (
+  SELECT DISTINCT schema_name, table_name, column_name FROM (
+    SELECT schema_name, table_name, original_column_name AS column_name FROM reg
+    UNION ALL SELECT schema_name, table_name, actual_column_name FROM reg
+    UNION ALL SELECT schema_name, table_name, desired_column_name FROM coll)
+)""", f"""cls0 AS (
+  SELECT d.*, c.data_type AS existing_column_type, c.is_vector, c.dimension,
+    h.column_name IS NOT NULL AS has_history,
+    (SELECT list(column_name) FROM cat x WHERE x.table_name = d.table_name) AS existing
+  FROM desired d
+  LEFT JOIN cat c ON c.table_name = d.table_name AND c.column_name = d.column_name
+  LEFT JOIN hist h ON h.schema_name = d.schema_name AND h.table_name = d.table_name
+                  AND h.column_name = d.column_name
+), cls1 AS (
+  SELECT *, CASE WHEN existing_column_type IS NULL THEN 'no_collision'
+                 WHEN is_vector THEN 'existing_vector' WHEN has_history THEN 'previous_vectorizer'
+                 WHEN regexp_matches(column_name, {S.q(_PATTERNS_RX)}) THEN 'vectorizer_pattern'
+                 ELSE 'unrelated_column' END AS collision_type
+  FROM cls0
+), cls2 AS (
+  SELECT *, CASE collision_type WHEN 'no_collision' THEN 'safe'
+                 WHEN 'existing_vector' THEN 'critical' WHEN 'previous_vectorizer' THEN 'critical'
+                 WHEN 'vectorizer_pattern' THEN 'warning' ELSE 'info' END AS severity,
+    list_filter([column_name || '_v2', column_name || '_v3', column_name || '_v4', column_name || '_v5',
+                 column_name || '_v6', column_name || '_v7', column_name || '_v8', column_name || '_v9'],
+                lambda x: NOT list_contains(coalesce(existing, []), x))[1:3] AS vers
+  FROM cls1
+), cls3 AS (
+  SELECT *, list_filter([column_name || '_2', column_name || '_3', column_name || '_4', column_name || '_5',
+                         column_name || '_6', column_name || '_7', column_name || '_8', column_name || '_9'],
+                        lambda x: NOT list_contains(coalesce(existing, []), x) AND NOT list_contains(vers, x))
+              [1:5 - len(vers)] AS nums
+  FROM cls2
+), cls AS (
+  SELECT *, CASE WHEN severity IN ('critical', 'warning') THEN list_concat(vers, nums,
+      list_filter([column_name || '_new', column_name || '_alt', column_name || '_updated', column_name || '_current'],
+                  lambda x: NOT list_contains(coalesce(existing, []), x) AND NOT list_contains(vers, x)
+                            AND NOT list_contains(nums, x))[1:7 - len(vers) - len(nums)])
+      ELSE [] END AS alts,
+    CASE collision_type WHEN 'no_collision' THEN 'No collision detected'
+         WHEN 'existing_vector' THEN 'Column is already a vector column'
+         WHEN 'previous_vectorizer' THEN 'Column was previously managed by the vectorizer'
+         WHEN 'vectorizer_pattern' THEN 'Column name suggests vectorizer origin'
+         ELSE 'Column exists but appears unrelated to vectorization' END AS details
+  FROM cls3
+), res AS (
+  SELECT *, CASE WHEN severity = 'safe' THEN column_name
+                 ELSE coalesce(alts[1], column_name || '_v2') END AS resolved_column_name,
+    CASE WHEN severity = 'safe' THEN 'none' WHEN alts[1] IS NOT NULL THEN 'alternative_name'
+         ELSE 'suffix' END AS resolution_strategy,
+    severity = 'critical' AS blocked
+  FROM cls
+)"""]
+
+_PAT_CASE = "CASE " + " ".join(
+    f"WHEN regexp_matches(column_name, {S.q('(?i)^(?:' + p + ')')}) THEN {S.q(p)}"
+    for p in [r".*_vector$", r".*_embedding$", r".*_cleaned$", r".*_model$", r".*_created_at$",
+              r".*_updated_at$", r".*_vector_v\d+$", r".*_embedding_v\d+$"]) + " END"
+
+ORACLE["classify_collisions"] = with_(*COLL_CTES) + f"""
+SELECT table_name, column_name, severity, collision_type,
+  CASE WHEN collision_type = 'vectorizer_pattern' THEN {_PAT_CASE} END AS matched_pattern,
+  existing_column_type, array_to_string(alts, ',') AS alternatives
+FROM cls"""
+ORACLE["resolve_columns"] = with_(*COLL_CTES) + """
+SELECT table_name, column_name, severity, resolved_column_name, resolution_strategy, blocked FROM res"""
+ORACLE["collision_summary"] = with_(*COLL_CTES) + """
+SELECT schema_name, table_name, count(*) AS total,
+  count(*) FILTER (WHERE severity = 'critical') AS n_critical,
+  count(*) FILTER (WHERE severity = 'warning') AS n_warning,
+  count(*) FILTER (WHERE severity = 'info') AS n_info,
+  count(*) FILTER (WHERE severity = 'safe') AS n_safe,
+  count(*) FILTER (WHERE collision_type = 'existing_vector') AS n_existing_vector,
+  count(*) FILTER (WHERE collision_type = 'previous_vectorizer') AS n_previous_vectorizer,
+  count(*) FILTER (WHERE collision_type = 'vectorizer_pattern') AS n_vectorizer_pattern,
+  count(*) FILTER (WHERE collision_type = 'unrelated_column') AS n_unrelated_column,
+  count(*) FILTER (WHERE collision_type = 'no_collision') AS n_no_collision,
+  coalesce(array_to_string(list_sort(list_distinct(list(column_name) FILTER (WHERE severity = 'critical'))), ','), '')
+    AS critical_columns,
+  NOT bool_or(severity = 'critical') AS safe_to_proceed
+FROM cls GROUP BY schema_name, table_name"""
+ORACLE["collision_log_rows"] = with_(*COLL_CTES) + """
+SELECT table_name, column_name AS desired_column_name, severity AS collision_severity, collision_type,
+  resolution_strategy, resolved_column_name, details
+FROM res WHERE severity <> 'safe'"""
+ORACLE["column_history"] = with_(*COLL_CTES) + """
+SELECT table_name, column_name, role FROM cls0 WHERE has_history"""
+ORACLE["column_mapping"] = with_(*COLL_CTES) + """
+SELECT d.table_name, d.text_column, d.role, d.column_name,
+       coalesce(r.actual_column_name, d.column_name) AS actual_column_name
+FROM desired d LEFT JOIN reg r ON r.schema_name = d.schema_name AND r.table_name = d.table_name
+  AND r.column_type = d.role AND r.original_column_name = d.column_name"""
+_ROLE_TYPE = ("CASE role WHEN 'vector' THEN 'vector' WHEN 'model' THEN 'text' WHEN 'timestamp' THEN "
+              "'timestamptz' WHEN 'cleaned' THEN 'text' WHEN 'cleaned_config' THEN 'text' "
+              "WHEN 'cleaned_timestamp' THEN 'timestamptz' END")
+ORACLE["reconcile_plan"] = with_(*COLL_CTES) + f"""
+SELECT r.table_name, r.column_name, r.resolved_column_name,
+  'ALTER TABLE ' || r.schema_name || '.' || r.table_name || ' ADD COLUMN ' || r.resolved_column_name
+    || ' ' || {_ROLE_TYPE} AS ddl,
+  r.blocked,
+  coalesce((SELECT max(row_count) FROM cat x WHERE x.table_name = r.table_name), 0) > 1000000 AS large_table
+FROM res r
+WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.table_name = r.table_name
+                  AND c.column_name = r.resolved_column_name)"""
+ORACLE["schema_drift"] = with_(*COLL_CTES) + f"""
+, expd AS (
+  SELECT schema_name, table_name, column_name, {_ROLE_TYPE} AS expected_type,
+    CASE WHEN role = 'vector' THEN CASE embedding_config WHEN 'openai-small' THEN 1536
+      WHEN 'openai-large' THEN 3072 WHEN 'infinity_static' THEN 768 WHEN 'infinity_bge' THEN 1024
+      WHEN 'default' THEN 768 ELSE 768 END END AS expected_dimension
+  FROM desired)
+SELECT * FROM (
+  SELECT e.table_name, e.column_name,
+    CASE WHEN c.data_type IS NULL THEN 'missing_column' WHEN c.data_type <> e.expected_type THEN 'wrong_type'
+         WHEN e.expected_dimension IS NOT NULL AND e.expected_dimension IS DISTINCT FROM c.dimension
+         THEN 'dimension_mismatch' END AS drift_type,
+    e.expected_type, c.data_type AS actual_type, e.expected_dimension, c.dimension AS actual_dimension
+  FROM expd e LEFT JOIN cat c ON c.table_name = e.table_name AND c.column_name = e.column_name
+) x WHERE drift_type IS NOT NULL"""
+
+_KNOWN = ", ".join(f"({S.q(m)}, {d})" for m, d in
+                   __import__("vecsync.functions.vectors", fromlist=["x"]).KNOWN_MODEL_DIMENSIONS.items())
+_CONFIGS = ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in derive.EMBEDDING_CONFIG_ROWS)
+ORACLE["model_dimension_check"] = with_(CAT_CTE, ROUTING_CTE) + f"""
+, known(model, known_dimension) AS (VALUES {_KNOWN})
+, cfg(config_name, provider, model, dimensions) AS (VALUES {_CONFIGS})
+, used AS (SELECT r.embedding_config AS config_name, max(c.dimension) AS observed_dimension
+           FROM routing r JOIN cat c ON c.table_name = r."table" AND c.column_name = r.vector_column
+           WHERE c.is_vector GROUP BY 1)
+SELECT g.config_name, g.model, g.dimensions, k.known_dimension, u.observed_dimension,
+  CASE WHEN k.known_dimension IS NULL THEN 'unknown' WHEN g.dimensions = k.known_dimension THEN 'ok'
+       WHEN starts_with(g.model, 'text-embedding-3') AND g.dimensions > k.known_dimension THEN 'exceeds_max'
+       WHEN starts_with(g.model, 'text-embedding-3') THEN 'ok' ELSE 'mismatch' END AS status
+FROM cfg g LEFT JOIN known k USING (model) LEFT JOIN used u USING (config_name)"""
+ORACLE["add_companions"] = with_(USER_CTE) + """
+SELECT doc_id, text_vector IS NOT NULL AS has_vector, text_embedding_model,
+  CAST(NULL AS VARCHAR) AS text_cleaned, CAST(NULL AS VARCHAR) AS text_cleaned_config,
+  'text_cleaned,text_cleaned_at,text_cleaned_config' AS added_columns
+FROM usr"""
+ORACLE["registry_upsert"] = with_(*COLL_CTES) + f"""
+, allr AS (
+  SELECT table_name, original_column_name, actual_column_name, column_type, dimension,
+         TIMESTAMP '{derive.VECTORS_CREATED_AT}' AS created_at, database_name, schema_name FROM reg
+  UNION ALL
+  SELECT table_name, column_name, resolved_column_name,
+         CASE WHEN starts_with(role, 'cleaned') THEN 'cleaned' ELSE role END, NULL, {_AS_OF},
+         database_name, schema_name
+  FROM res WHERE NOT blocked)
+SELECT table_name, original_column_name, actual_column_name, column_type, dimension, created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY database_name, schema_name, table_name, actual_column_name
+                                   ORDER BY created_at DESC) AS rn FROM allr) x WHERE rn = 1"""
+ORACLE["all_targets_completion"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
+SELECT table_name, null_vectors, total_rows,
+  {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage FROM tnc"""
