@@ -719,3 +719,43 @@ FROM (SELECT *, row_number() OVER (PARTITION BY database_name, schema_name, tabl
 ORACLE["all_targets_completion"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
 SELECT table_name, null_vectors, total_rows,
   {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage FROM tnc"""
+
+
+# ---------------------------------------------------------------------------
+# batch 5: vectors
+# ---------------------------------------------------------------------------
+def _knn_sql(score: str) -> str:
+    return f"""
+WITH q AS (SELECT item_id AS query_id,
+                  CAST({S.mock_embedding(S.basic_clean('text'), derive.DIMENSION)} AS DOUBLE[]) AS qv
+           FROM benchmark),
+s AS (SELECT q.query_id, e.vec_id, {score} AS score
+      FROM q CROSS JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings) e)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) x
+WHERE rank <= 10"""
+
+
+ORACLE["knn_exact"] = _knn_sql("list_distance(ev, qv)")
+ORACLE["knn_exact_cosine"] = _knn_sql("1.0 - list_cosine_similarity(ev, qv)")
+ORACLE["knn_exact_ip"] = _knn_sql("-list_inner_product(ev, qv)")
+ORACLE["vector_text_roundtrip"] = "SELECT vec_id, len(embedding) AS dim, TRUE AS roundtrip_equal FROM embeddings"
+ORACLE["truncate_vectors"] = f"""
+SELECT vec_id, {checksum('embedding[1:16]')} AS checksum,
+  {checksum('list_transform(embedding[1:16], lambda x: CAST(x / sqrt(list_sum(list_transform(embedding[1:16], lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT))')}
+    AS checksum_unit,
+  16 AS dim
+FROM embeddings"""
+ORACLE["dimension_migration"] = with_(USER_CTE) + """
+SELECT lang, 'text_vector' AS old_column, max(len(text_vector)) AS old_dimension,
+  'text_vector_32' AS new_column, 32 AS new_dimension,
+  count(*) FILTER (WHERE text_vector IS NOT NULL AND len(text_vector) <> 32) AS rows_to_migrate,
+  count(*) AS total_rows, 0 AS rows_migrated, 'pending' AS status
+FROM usr GROUP BY lang"""
+ORACLE["migration_progress"] = with_(USER_CTE) + f"""
+SELECT lang, rows_migrated, total_rows,
+  CASE WHEN rows_migrated = 0 THEN 'pending' WHEN rows_migrated < total_rows THEN 'in_progress'
+       ELSE 'completed' END AS status
+FROM (SELECT lang, count(*) FILTER (WHERE text_embedding_model = '{derive.CURRENT_MODEL}'
+                                    AND text_vector IS NOT NULL) AS rows_migrated,
+             count(*) AS total_rows FROM usr GROUP BY lang)"""

@@ -778,3 +778,71 @@ def q_all_targets_completion(spark, d):
     return allc.select("table_name", "null_vectors", "total_rows",
                        M.completion_pct(F.col("null_vectors"), F.col("total_rows"))
                        .alias("completion_percentage"))
+
+
+# ---------------------------------------------------------------------------
+# batch 5: vectors, k-NN, migration
+# ---------------------------------------------------------------------------
+from ..operators import knn as KN  # noqa: E402
+
+KNN_K = 10
+
+
+def knn_queries(spark, d):
+    """Query vectors: the benchmark passages embedded with the test embedder."""
+    b = T(spark, d, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"),
+                    V.mock_embedding(C.basic_clean(F.col("text")), derive.DIMENSION)
+                    .alias("query_vector"))
+
+
+def _knn(metric):
+    def q(spark, d):
+        r = KN.knn_exact(spark, T(spark, d, "embeddings"), knn_queries(spark, d), KNN_K, metric)
+        return r.withColumn("score", F.round("score", 6))
+    return q
+
+
+register("knn_exact")(_knn("l2"))
+register("knn_exact_cosine")(_knn("cosine"))
+register("knn_exact_ip")(_knn("ip"))
+
+
+@register("knn_ivf")
+def q_knn_ivf(spark, d):
+    corpus, qs = T(spark, d, "embeddings"), knn_queries(spark, d)
+    approx = KN.knn_ivf(spark, corpus, qs, KNN_K, nlist=8, nprobe=3)
+    exact = KN.knn_exact(spark, corpus, qs, KNN_K)
+    rec = KN.recall_at_k(approx, exact)
+    return approx.join(rec, "query_id").withColumn("score", F.round("score", 6))
+
+
+@register("vector_text_roundtrip")
+def q_vector_text_roundtrip(spark, d):
+    e = T(spark, d, "embeddings")
+    back = V.text_to_vector(V.vector_to_text(F.col("embedding")))
+    return e.select("vec_id", F.size(back).alias("dim"),
+                    (back == F.col("embedding")).alias("roundtrip_equal"))
+
+
+@register("truncate_vectors")
+def q_truncate_vectors(spark, d):
+    e = T(spark, d, "embeddings")
+    return e.select("vec_id", checksum(V.truncate_vector(F.col("embedding"), 16)).alias("checksum"),
+                    checksum(V.truncate_vector(F.col("embedding"), 16, True)).alias("checksum_unit"),
+                    F.size(V.truncate_vector(F.col("embedding"), 16)).alias("dim"))
+
+
+@register("dimension_migration")
+def q_dimension_migration(spark, d):
+    return KN.dimension_migration_plan(user(spark, d), "text_vector", "text_vector_32", 32,
+                                       ["lang"])
+
+
+@register("migration_progress")
+def q_migration_progress(spark, d):
+    u = user(spark, d)
+    migrated = u.withColumn("text_vector_32", F.when(
+        F.col("text_embedding_model") == derive.CURRENT_MODEL,
+        V.truncate_vector(F.col("text_vector"), 32, True)))
+    return M.migration_progress(migrated, "text_vector_32", ["lang"])
