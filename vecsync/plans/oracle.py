@@ -759,3 +759,32 @@ SELECT lang, rows_migrated, total_rows,
 FROM (SELECT lang, count(*) FILTER (WHERE text_embedding_model = '{derive.CURRENT_MODEL}'
                                     AND text_vector IS NOT NULL) AS rows_migrated,
              count(*) AS total_rows FROM usr GROUP BY lang)"""
+
+
+# ---------------------------------------------------------------------------
+# batch 6: streaming (availableNow result == batch result)
+# ---------------------------------------------------------------------------
+ORACLE["stream_route"] = ORACLE["route_events"]
+ORACLE["stream_dedup"] = ORACLE["debounce_events"]
+ORACLE["stream_retry"] = ORACLE["retry_schedule"]
+ORACLE["stream_vectorize"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, FEED_CTE) + f"""
+, rf AS (
+  SELECT f.*, k.cleaning_enabled, k.cleaning_config FROM feed f
+  JOIN route_keys k ON k._db = f.database AND k.schema = f.schema AND k."table" = f."table"
+), need AS (
+  SELECT *, {clean_by_config('new_text')} AS clean FROM rf
+  WHERE ((operation = 'INSERT' AND NOT has_new_vector)
+         OR (operation = 'UPDATE' AND old_text IS DISTINCT FROM new_text))
+), latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "table", row_id ORDER BY ts DESC, event_id DESC) AS rn
+                 FROM need WHERE {S.basic_clean('new_text')} <> '' AND clean <> '') x WHERE rn = 1
+)
+SELECT "table", row_id, event_id, '{derive.CURRENT_MODEL}' AS model, {derive.DIMENSION} AS dim,
+       {checksum(S.mock_embedding('clean', derive.DIMENSION))} AS checksum
+FROM latest"""
+ORACLE["stream_late"] = ORACLE["stream_vectorize"]
+ORACLE["stream_daily_status"] = with_(LOG_CTE) + """
+SELECT table_name, CAST(created_at AS DATE) AS day, count(*) AS total,
+  count(*) FILTER (WHERE status = 'success') AS successful,
+  count(*) FILTER (WHERE status <> 'success') AS not_vectorized
+FROM log GROUP BY 1, 2"""

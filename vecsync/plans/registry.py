@@ -846,3 +846,81 @@ def q_migration_progress(spark, d):
         F.col("text_embedding_model") == derive.CURRENT_MODEL,
         V.truncate_vector(F.col("text_vector"), 32, True)))
     return M.migration_progress(migrated, "text_vector_32", ["lang"])
+
+
+# ---------------------------------------------------------------------------
+# batch 6: streaming (availableNow runs over a landed copy of the derived feed)
+# ---------------------------------------------------------------------------
+from ..streaming import jobs as ST  # noqa: E402
+
+
+def landed_feed(spark, d, replay: bool = False):
+    feed = derive.change_feed(T(spark, d, "events"))
+    path = ST.land_feed(feed, ST.scratch(spark, "landing"))
+    if replay:  # the first three days of the feed arrive again, last
+        old = feed.filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp"))
+        old.write.mode("append").parquet(os.path.join(path, "replay"))
+    return path
+
+
+import os  # noqa: E402
+
+
+@register("stream_route")
+def q_stream_route(spark, d):
+    s = ST.stream_route(ST.read_feed(spark, landed_feed(spark, d)), derive.routing_config(spark))
+    out = ST.run_to_table(spark, s.select("event_id", "database", "table", "config_name",
+                                          "config_order", "text_column", "vector_column"),
+                          "stream_route")
+    return out
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, d):
+    p = ST.parsed(ST.read_feed(spark, landed_feed(spark, d)))
+    s = ST.stream_debounce(p.select("event_id", "table", "row_id", "ts"), ["table", "row_id"],
+                           "ts", 3600.0, "event_id long, table string, row_id long, ts timestamp")
+    return ST.run_to_table(spark, s, "stream_dedup")
+
+
+def _stream_vectors(spark, d, replay):
+    out, ck = ST.scratch(spark, "vectors"), ST.scratch(spark, "vectors-ck")
+    # several micro-batches in arbitrary file order: the result must not depend on it
+    q = ST.stream_vectorize(spark, ST.read_feed(spark, landed_feed(spark, d, replay), 2),
+                            derive.routing_config(spark), out, ck, derive.DIMENSION,
+                            derive.CURRENT_MODEL)
+    q.awaitTermination()
+    cur = ST.current_vectors(spark, out)
+    return cur.select("table", "row_id", "event_id", "model", F.size("vector").alias("dim"),
+                      checksum(F.col("vector")).alias("checksum"))
+
+
+@register("stream_vectorize")
+def q_stream_vectorize(spark, d):
+    return _stream_vectors(spark, d, False)
+
+
+@register("stream_late")
+def q_stream_late(spark, d):
+    return _stream_vectors(spark, d, True)
+
+
+@register("stream_daily_status")
+def q_stream_daily_status(spark, d):
+    ev = T(spark, d, "events")
+    path = ST.land_feed(ev, ST.scratch(spark, "events-landing"))
+    stream = ST.read_feed(spark, path, None, ev.schema)
+    s = ST.stream_daily_status(derive.vectorization_log(stream))
+    return ST.run_to_table(spark, s, "stream_daily_status", "complete")
+
+
+@register("stream_retry")
+def q_stream_retry(spark, d):
+    failed = tasks(spark, d).filter(FAILED_TASKS).select(
+        "id", "retry_count", F.col("completed_at").alias("failed_at"))
+    path = ST.scratch(spark, "failed-landing")
+    failed.write.parquet(path)
+    stream = spark.readStream.schema(failed.schema).parquet(path)
+    s = ST.stream_retry(stream, 5.0, 3).select("id", "retry_count", "decision",
+                                               "next_retry_count", "delay_s", "retry_at")
+    return ST.run_to_table(spark, s, "stream_retry")
