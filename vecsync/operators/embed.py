@@ -208,3 +208,35 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+def batch_plan(df: DataFrame, group: list[str], order: list[str], batch_size: int
+               ) -> DataFrame:
+    """W2, table form: ``batch_no = floor((row_number() - 1) / batch_size)``
+    per group in ``order`` — computed without a global or per-group window.
+
+    Rows are range-partitioned on (group, order) and sorted inside each
+    partition; a row's position inside its partition comes from
+    ``monotonically_increasing_id``.  A small side table (one row per
+    partition and group) gives each piece its offset, i.e. the number of
+    rows of the same group in earlier partitions.  A group holding a third
+    of all rows is spread over many partitions like any other.  ``order``
+    must identify rows uniquely inside a group (a total order).
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    keys = [*group, *order]
+    x = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_pos", F.monotonically_increasing_id()))
+    pieces = x.groupBy("_pid", *group).agg(F.min("_pos").alias("_first"),
+                                           F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    rn = F.col("_offset") + (F.col("_pos") - F.col("_first")) + 1
+    return (x.join(F.broadcast(pieces.select("_pid", *group, "_first", "_offset")),
+                   ["_pid", *group])
+             .withColumn("row_number", rn)
+             .withColumn("batch_no", F.floor((F.col("row_number") - 1) / batch_size))
+             .drop("_pid", "_pos", "_first", "_offset"))

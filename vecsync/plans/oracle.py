@@ -788,3 +788,28 @@ SELECT table_name, CAST(created_at AS DATE) AS day, count(*) AS total,
   count(*) FILTER (WHERE status = 'success') AS successful,
   count(*) FILTER (WHERE status <> 'success') AS not_vectorized
 FROM log GROUP BY 1, 2"""
+ORACLE["batch_plan"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, TEXT_ROWS_CTE) + f"""
+, r AS (SELECT t."table", t.row_id, k.config_order FROM text_rows t JOIN route_keys k
+        ON k._db = '{derive.DATABASE}' AND k.schema = '{derive.SCHEMA}' AND k."table" = t."table")
+SELECT "table", row_id, row_number() OVER (PARTITION BY config_order ORDER BY row_id) AS row_number,
+  CAST(floor((row_number() OVER (PARTITION BY config_order ORDER BY row_id) - 1) / 100) AS BIGINT) AS batch_no
+FROM r"""
+ORACLE["alternative_names"] = with_(CAT_CTE) + """
+, a0 AS (SELECT c.table_name, c.column_name,
+                (SELECT list(column_name) FROM cat x WHERE x.table_name = c.table_name) AS ex
+         FROM cat c)
+, a1 AS (SELECT *, list_filter([column_name || '_v2', column_name || '_v3', column_name || '_v4',
+                  column_name || '_v5', column_name || '_v6', column_name || '_v7', column_name || '_v8',
+                  column_name || '_v9'], lambda x: NOT list_contains(ex, x))[1:3] AS vers FROM a0)
+, a2 AS (SELECT *, list_filter([column_name || '_2', column_name || '_3', column_name || '_4',
+                  column_name || '_5', column_name || '_6', column_name || '_7', column_name || '_8',
+                  column_name || '_9'], lambda x: NOT list_contains(ex, x) AND NOT list_contains(vers, x))
+                  [1:5 - len(vers)] AS nums FROM a1)
+SELECT table_name, column_name,
+  array_to_string(list_concat(vers, nums, list_filter([column_name || '_new', column_name || '_alt',
+      column_name || '_updated', column_name || '_current'],
+      lambda x: NOT list_contains(ex, x) AND NOT list_contains(vers, x) AND NOT list_contains(nums, x))
+      [1:7 - len(vers) - len(nums)]), ',') AS alternatives,
+  array_to_string(list_filter(['new_' || column_name, 'alt_' || column_name, 'v2_' || column_name],
+      lambda x: NOT list_contains(ex, x))[1:5], ',') AS prefix_alternatives
+FROM a2"""

@@ -924,3 +924,10 @@ def q_stream_retry(spark, d):
     s = ST.stream_retry(stream, 5.0, 3).select("id", "retry_count", "decision",
                                                "next_retry_count", "delay_s", "retry_at")
     return ST.run_to_table(spark, s, "stream_retry")
+
+
+@register("batch_plan")
+def q_batch_plan(spark, d):
+    r = routed_texts(spark, d).select("config_order", "table", "row_id")
+    return EM.batch_plan(r, ["config_order"], ["row_id"], 100) \
+             .select("table", "row_id", "row_number", "batch_no")
