@@ -410,19 +410,20 @@ def q_next_tasks(spark, d):
              .select("id", "priority", "scheduled_at", "table_name")
 
 
-FAILED_TASKS = F.col("status") == "failed"
+def FAILED_TASKS():
+    return F.col("status") == "failed"
 
 
 @register("retry_schedule")
 def q_retry_schedule(spark, d):
-    f = tasks(spark, d).filter(FAILED_TASKS)
+    f = tasks(spark, d).filter(FAILED_TASKS())
     return TK.schedule_retries(f, 5.0, 3).select("id", "retry_count", "decision",
                                                  "next_retry_count", "delay_s", "retry_at")
 
 
 @register("dead_letter")
 def q_dead_letter(spark, d):
-    f = tasks(spark, d).filter(FAILED_TASKS)
+    f = tasks(spark, d).filter(FAILED_TASKS())
     _, dead = WB.split_dead_letter(f, F.col("retry_count"), F.col("max_retries"))
     return dead.select("id", "task_id", "table_name", "row_id", "retry_count")
 
@@ -916,7 +917,7 @@ def q_stream_daily_status(spark, d):
 
 @register("stream_retry")
 def q_stream_retry(spark, d):
-    failed = tasks(spark, d).filter(FAILED_TASKS).select(
+    failed = tasks(spark, d).filter(FAILED_TASKS()).select(
         "id", "retry_count", F.col("completed_at").alias("failed_at"))
     path = ST.scratch(spark, "failed-landing")
     failed.write.parquet(path)
