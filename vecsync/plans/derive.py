@@ -89,10 +89,13 @@ def change_feed(events: DataFrame) -> DataFrame:
     text when k < 60.  k >= 98 yields a truncated (malformed) payload and
     k in (96, 97) a payload without its ``table`` key.
     """
-    k, et, u = _k(), F.col("event_type"), F.col("user_id")
+    e = events.select("event_id", "ts", "user_id", "event_type", _k().alias("_k"))
+    k, et, u = F.col("_k"), F.col("event_type"), F.col("user_id")
     table = (F.when(et.isin("click", "purchase"), "documents").when(et == "view", "pages")
               .when(et == "signup", "conversations").otherwise("audit_log"))
     op = F.when(k < 25, "INSERT").when(k >= 90, "DELETE").otherwise("UPDATE")
+    e = e.select("event_id", "ts", "user_id", "_k", table.alias("_table"), op.alias("_op"))
+    k, op = F.col("_k"), F.col("_op")
     new_text = F.concat(F.lit("text "), F.floor(k / 3).cast("string"))
     old_text = F.when(k < 60, F.concat(F.lit("text "), (F.floor(k / 3) - 1).cast("string"))) \
                 .otherwise(new_text)
@@ -101,19 +104,18 @@ def change_feed(events: DataFrame) -> DataFrame:
                                  new_vec.alias("text_vector")))
     old_row = F.to_json(F.struct(u.alias("id"), old_text.alias("text")))
     db = F.when(k < 50, F.lit(DATABASE)).otherwise(F.lit("primary"))
-    fields = [db.alias("database"), F.lit(SCHEMA).alias("schema"), table.alias("table"),
+    fields = [db.alias("database"), F.lit(SCHEMA).alias("schema"), F.col("_table").alias("table"),
               op.alias("operation"),
               F.when(op != "DELETE", new_row).alias("id"),
               F.when(op != "INSERT", old_row).alias("old_id"),
               F.lit("default").alias("config_key"),
               F.lit("text_embedding_model").alias("model_column")]
     keep_nulls = {"ignoreNullFields": "false"}
-    full = F.to_json(F.struct(*fields), keep_nulls)
-    no_table = F.to_json(F.struct(*[f for i, f in enumerate(fields) if i != 2]), keep_nulls)
-    value = (F.when(k >= 98, F.substring(full, 1, 40))
-              .when(k >= 96, no_table).otherwise(full))
-    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                         value.alias("value"))
+    no_table = [f for i, f in enumerate(fields) if i != 2]
+    value = (F.when(k >= 98, F.substring(F.to_json(F.struct(*fields), keep_nulls), 1, 40))
+              .when(k >= 96, F.to_json(F.struct(*no_table), keep_nulls))
+              .otherwise(F.to_json(F.struct(*fields), keep_nulls)))
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
 
 
 # --- routing configuration -------------------------------------------------------

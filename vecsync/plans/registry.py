@@ -58,12 +58,7 @@ def feed(spark, d):
 
 
 def parsed_feed(spark, d):
-    p = FD.parse_feed(feed(spark, d))
-    return p.withColumn("row_id", FD.row_field("id", "id", "bigint")) \
-            .withColumn("row_id", F.coalesce("row_id", FD.row_field("old_id", "id", "bigint"))) \
-            .withColumn("new_text", FD.row_field("id", "text")) \
-            .withColumn("old_text", FD.row_field("old_id", "text")) \
-            .withColumn("new_vector", FD.row_field("id", "text_vector"))
+    return FD.with_row_fields(FD.parse_feed(feed(spark, d)))
 
 
 def routed_texts(spark, d):

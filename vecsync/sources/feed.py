@@ -32,29 +32,48 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+def _as_map(value_col: str) -> F.Column:
+    """One JSON parse per event: keys, scalar fields and nested row objects
+    (kept as JSON text) all come from this map; invalid JSON → NULL."""
+    return F.from_json(F.col(value_col), "map<string,string>")
+
+
+def _validated(feed: DataFrame, value_col: str) -> DataFrame:
+    m = feed.select("*", _as_map(value_col).alias("_m"))
+    keys = F.map_keys(F.col("_m"))
+    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_FIELDS]), keys)
+    return (m.withColumn("missing_fields", missing)
+             .withColumn("reject_reason",
+                         F.when(F.col("_m").isNull(), F.lit("malformed_json"))
+                          .when(F.size(F.col("missing_fields")) > 0,
+                                F.concat(F.lit("missing_fields:"),
+                                         F.array_join(F.col("missing_fields"), ",")))))
+
+
 def with_validation(feed: DataFrame, value_col: str = "value") -> DataFrame:
     """Adds ``missing_fields`` (array) and ``reject_reason``.
 
     Invalid JSON → 'malformed_json'; a required key absent →
-    'missing_fields:<k1,k2>'; else NULL (valid).
+    'missing_fields:<k1,k2>'; else NULL (valid).  A key that is present with
+    a null value is valid, as in the reference.
     """
-    keys = F.json_object_keys(F.col(value_col))
-    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_FIELDS]), keys)
-    return (feed.withColumn("missing_fields", missing)
-                .withColumn("reject_reason",
-                            F.when(keys.isNull(), F.lit("malformed_json"))
-                             .when(F.size(missing) > 0,
-                                   F.concat(F.lit("missing_fields:"),
-                                            F.array_join(missing, ",")))))
+    return _validated(feed, value_col).drop("_m")
 
 
 def parse_feed(feed: DataFrame, value_col: str = "value") -> DataFrame:
     """S3 + P4: valid events as typed columns (invalid ones are dropped here
-    and kept by ``feed_rejects``)."""
-    v = with_validation(feed, value_col).filter(F.col("reject_reason").isNull())
-    ev = F.from_json(F.col(value_col), EVENT_SCHEMA)
+    and kept by ``feed_rejects``).
+
+    The valid rows are emitted through ``inline`` of a 0/1-element array
+    instead of a Filter: a Filter on the parse result would be pushed below
+    the projection and parse every payload twice.
+    """
+    v = _validated(feed, value_col)
     keep = [c for c in feed.columns if c != value_col]
-    return v.select(*keep, ev.alias("e")).select(*keep, "e.*")
+    fields = [F.element_at(F.col("_m"), F.lit(f.name)).alias(f.name)
+              for f in EVENT_SCHEMA.fields]
+    row = F.struct(*[F.col(c) for c in keep], *fields)
+    return v.select(F.inline(F.when(F.col("reject_reason").isNull(), F.array(row))))
 
 
 def feed_rejects(feed: DataFrame, value_col: str = "value") -> DataFrame:
@@ -69,3 +88,19 @@ def row_field(row_json_col: str, field: F.Column | str, cast: str = "string") ->
         return F.get_json_object(F.col(row_json_col), f"$.{field}").cast(cast)
     as_map = F.from_json(F.col(row_json_col), "map<string,string>")
     return F.element_at(as_map, field).cast(cast)
+
+
+def with_row_fields(events: DataFrame, id_field: str = "id", text_field: str = "text",
+                    vector_field: str = "text_vector") -> DataFrame:
+    """``row_id``, ``new_text``, ``old_text``, ``new_vector`` from the NEW / OLD
+    row objects — each row object is parsed once into a map."""
+    x = events.select("*", F.from_json(F.col("id"), "map<string,string>").alias("_new"),
+                      F.from_json(F.col("old_id"), "map<string,string>").alias("_old"))
+    new, old = F.col("_new"), F.col("_old")
+    return x.select(
+        *events.columns,
+        F.coalesce(F.element_at(new, F.lit(id_field)),
+                   F.element_at(old, F.lit(id_field))).cast("bigint").alias("row_id"),
+        F.element_at(new, F.lit(text_field)).alias("new_text"),
+        F.element_at(old, F.lit(text_field)).alias("old_text"),
+        F.element_at(new, F.lit(vector_field)).alias("new_vector"))

@@ -64,12 +64,7 @@ def read_feed(spark: SparkSession, path: str, files_per_trigger: int | None = No
 
 def parsed(feed: DataFrame) -> DataFrame:
     """S3 + P4 on a stream; row id / texts pulled from the row objects."""
-    p = FD.parse_feed(feed)
-    return (p.withColumn("row_id", F.coalesce(FD.row_field("id", "id", "bigint"),
-                                              FD.row_field("old_id", "id", "bigint")))
-             .withColumn("new_text", FD.row_field("id", "text"))
-             .withColumn("old_text", FD.row_field("old_id", "text"))
-             .withColumn("new_vector", FD.row_field("id", "text_vector")))
+    return FD.with_row_fields(FD.parse_feed(feed))
 
 
 # --- ST2 ---------------------------------------------------------------------------
