@@ -85,7 +85,11 @@ def main():
             docs.select("doc_id", C.basic_clean(F.col("text")).alias("c")), "c", "v", "mock",
             dimension=derive.DIMENSION, batch_size=256)), n_docs),
         "flagship_completion_after_backfill": (lambda: collect(
-            backfill.completion_after_backfill(docs, read_table(spark, d, "embeddings"))), n_docs),
+            backfill.completion_after_backfill(docs, read_table(spark, d, "embeddings"),
+                                               embedder="udf")), n_docs),
+        "flagship_native_embedding": (lambda: collect(
+            backfill.completion_after_backfill(docs, read_table(spark, d, "embeddings"),
+                                               embedder="native")), n_docs),
         "backfill_write_back": (stage_backfill_write, n_docs),
         "null_vector_counts": (lambda: collect(RG.QUERIES["null_vector_counts"](spark, d)), n_docs),
         "system_health": (lambda: collect(RG.QUERIES["system_health"](spark, d)), n_events),

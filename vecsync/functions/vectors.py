@@ -73,8 +73,7 @@ def truncate_vector(v: Column, n: int, renormalize: bool = False) -> Column:
 
 def code_point_sum(text: Column) -> Column:
     """Sum of the Unicode code points of a string (``split(s,'')`` is per code point)."""
-    return F.aggregate(F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("long")),
-                       F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda a, ch: a + F.ascii(ch))
 
 
 def mock_embedding(text: Column, dimension: int) -> Column:

@@ -57,12 +57,40 @@ def backfill_vectors(user: DataFrame, text_col: str = "text",
               .drop("_needs", "_clean", "_new", "_vstat"))
 
 
+def backfill_status_udf(user: DataFrame, text_col: str = "text",
+                        vector_col: str = "text_vector", dimension: int = derive.DIMENSION,
+                        clean: Callable[[Column], Column] = basic_clean,
+                        provider: str = "mock", keep: tuple[str, ...] = ("lang",),
+                        **embedder_config) -> DataFrame:
+    """Backfill statuses with the Arrow embedder (UD1) instead of a native
+    expression.  Only (id, kept columns, flag, cleaned text of the rows that
+    need a vector) cross into Python; stored vectors never do."""
+    from ..operators.embed import embed_column
+
+    needs = F.col(vector_col).isNull()
+    cleaned = F.when(needs, clean(F.col(text_col)))
+    base = user.select(*keep, needs.alias("_needs"), cleaned.alias("_clean"))
+    todo = base.withColumn("_send", F.when(F.col("_clean") != "", F.col("_clean")))
+    e = embed_column(todo.drop("_clean"), "_send", "_new", provider, dimension=dimension,
+                     **embedder_config)
+    vstat = vector_status(F.col("_new"), dimension)
+    status = (F.when(~F.col("_needs"), "present")
+               .when(F.col("_send").isNull(), "skipped")
+               .when(vstat == "ok", "created").otherwise(vstat))
+    return e.select(*keep, status.alias("backfill_status"))
+
+
 def completion_after_backfill(documents: DataFrame, embeddings: DataFrame,
-                              dimension: int = derive.DIMENSION) -> DataFrame:
+                              dimension: int = derive.DIMENSION,
+                              embedder: str = "native") -> DataFrame:
     """After backfill, what is the completion per language and how many
-    vectors were created?"""
+    vectors were created?  ``embedder`` = 'native' (F18 as an expression)
+    or 'udf' (the Arrow embedder, UD1)."""
     user = derive.user_table(documents, embeddings)
-    done = backfill_vectors(user, dimension=dimension)
+    if embedder == "udf":
+        done = backfill_status_udf(user, dimension=dimension)
+    else:
+        done = backfill_vectors(user, dimension=dimension)
     st = F.col("backfill_status")
     g = done.groupBy("lang").agg(
         F.count(F.lit(1)).alias("total_rows"),
@@ -70,7 +98,7 @@ def completion_after_backfill(documents: DataFrame, embeddings: DataFrame,
         F.count_if(st == "created").alias("vectors_created"),
         F.count_if(st == "skipped").alias("skipped_blank"),
         F.count_if(~st.isin("present", "created", "skipped")).alias("invalid_vectors"),
-        F.count_if(F.col("text_vector").isNull()).alias("null_after"))
+        F.count_if(~st.isin("present", "created")).alias("null_after"))
     return g.select(
         "lang", "total_rows", "null_before", "vectors_created", "skipped_blank",
         "invalid_vectors", "null_after",

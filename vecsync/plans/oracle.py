@@ -115,6 +115,7 @@ def with_(*ctes: str) -> str:
 
 
 # ---------------------------------------------------------------------------
+ORACLE["completion_after_backfill_native"] = ORACLE["completion_after_backfill"]
 ORACLE["scan_text_table"] = "SELECT doc_id AS row_id, text FROM documents"
 ORACLE["scan_multi_target"] = """
 SELECT conv_id, turn, 'role' AS text_column, role AS text FROM conversations

@@ -29,7 +29,14 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register("completion_after_backfill")
 def q_completion_after_backfill(spark, d):
-    return backfill.completion_after_backfill(T(spark, d, "documents"), T(spark, d, "embeddings"))
+    return backfill.completion_after_backfill(T(spark, d, "documents"), T(spark, d, "embeddings"),
+                                              embedder="udf")
+
+
+@register("completion_after_backfill_native")
+def q_completion_after_backfill_native(spark, d):
+    return backfill.completion_after_backfill(T(spark, d, "documents"), T(spark, d, "embeddings"),
+                                              embedder="native")
 
 
 # ---------------------------------------------------------------------------
