@@ -99,3 +99,17 @@ def test_ivf_full_probe_has_full_recall(spark):
     exact = KN.knn_exact(spark, cdf, qdf, 5)
     rec = [r.recall for r in KN.recall_at_k(approx, exact).collect()]
     assert rec and min(rec) == 1.0
+
+
+def test_attempt_history_hot_key_matches_plain_window(spark):
+    from vecsync.operators.tasks import attempt_history
+    rows = [(i, "hot" if i % 4 else f"k{i}", i * 500, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, bad boolean") \
+        .withColumn("ts", F.timestamp_seconds("s"))
+    got = attempt_history(df, ["k"], "ts", "id", F.col("bad"), bucket_seconds=3600)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.withColumn("attempt_no", F.row_number().over(w)).withColumn(
+        "failures_before", F.coalesce(F.sum(F.col("bad").cast("int")).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    key = lambda r: (r.id, r.attempt_no, r.failures_before)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
