@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import score as score_expr
 
 MAX_QUERIES = 100_000
+# upper bound of one in-task score matrix (rows × queries or rows × centroids)
+SCORE_CELLS = 4_000_000
 
 
 def _metric_scores(block: np.ndarray, queries: np.ndarray, metric: str,
@@ -64,19 +66,24 @@ def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            block = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            sc = _metric_scores(block, mat, metric, qnorm)            # batch × Q
-            kk = min(k, len(pdf))
-            ids = pdf[id_col].to_numpy()
-            if kk < len(pdf):
-                # candidates: the k smallest per query, plus every row tied with the
-                # k-th score, so the global tie-break by id stays exact
-                part = np.partition(sc, kk - 1, axis=0)[kk - 1]       # per-query cut
-                rows, cols = np.nonzero(sc <= part[None, :])
-            else:
-                rows, cols = np.nonzero(np.ones_like(sc, dtype=bool))
-            yield pd.DataFrame({qid_col: ids_q[cols], id_col: ids[rows],
-                                "score": sc[rows, cols]})
+            all_ids = pdf[id_col].to_numpy()
+            vecs = pdf[vec_col].to_numpy()
+            # score matrix kept near SCORE_CELLS entries: rows × queries
+            step = max(1, SCORE_CELLS // max(len(ids_q), 1))
+            for lo in range(0, len(pdf), step):
+                block = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
+                ids = all_ids[lo:lo + step]
+                sc = _metric_scores(block, mat, metric, qnorm)        # rows × Q
+                kk = min(k, len(ids))
+                if kk < len(ids):
+                    # candidates: the k smallest per query, plus every row tied with
+                    # the k-th score, so the global tie-break by id stays exact
+                    part = np.partition(sc, kk - 1, axis=0)[kk - 1]   # per-query cut
+                    rows, cols = np.nonzero(sc <= part[None, :])
+                else:
+                    rows, cols = np.nonzero(np.ones_like(sc, dtype=bool))
+                yield pd.DataFrame({qid_col: ids_q[cols], id_col: ids[rows],
+                                    "score": sc[rows, cols]})
 
     cand = corpus.select(id_col, vec_col).mapInPandas(
         run, f"{qid_col} long, {id_col} long, score double")
@@ -107,11 +114,17 @@ def _nearest_cells(spark: SparkSession, df: DataFrame, vec_col: str, centers, np
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            block = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            d = ((block[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-            best = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+            cn = (c * c).sum(axis=1)
+            vecs = pdf[vec_col].to_numpy()
+            step = max(1, SCORE_CELLS // len(c))
+            best = []
+            for lo in range(0, len(pdf), step):
+                block = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
+                # squared L2 via the BLAS expansion: memory rows × centroids only
+                d = (block * block).sum(axis=1)[:, None] + cn[None, :] - 2.0 * (block @ c.T)
+                best.extend(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32))
             pdf = pdf.copy()
-            pdf[out] = list(best.astype(np.int32))
+            pdf[out] = best
             yield pdf
 
     schema = df.select(*cols, F.array(F.lit(0)).alias(out)).schema
