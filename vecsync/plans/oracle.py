@@ -357,7 +357,7 @@ SELECT count(*) AS total_vectorizations,
   count(*) FILTER (WHERE status = 'success') AS successful,
   count(*) FILTER (WHERE status = 'failed') AS failed,
   count(*) FILTER (WHERE created_at > {_AS_OF} - INTERVAL 1 HOUR) AS last_hour,
-  avg(processing_time) FILTER (WHERE status = 'success') AS avg_processing_time_ms,
+  round(avg(processing_time) FILTER (WHERE status = 'success'), 6) AS avg_processing_time_ms,
   max(created_at) AS last_vectorization
 FROM log WHERE created_at > {_AS_OF} - INTERVAL 24 HOUR"""
 ORACLE["system_health_full"] = with_(LOG_CTE, HISTORY_CTE, DRIFT_CTE, COLL_CTE) + f"""

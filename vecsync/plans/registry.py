@@ -359,7 +359,8 @@ def q_null_status_daily(spark, d):
 
 @register("system_health")
 def q_system_health(spark, d):
-    return M.system_health(log(spark, d), derive.AS_OF)
+    return M.system_health(log(spark, d), derive.AS_OF) \
+            .withColumn("avg_processing_time_ms", F.round("avg_processing_time_ms", 6))
 
 
 @register("system_health_full")
