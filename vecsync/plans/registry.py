@@ -248,12 +248,16 @@ def q_outdated_model(spark, d):
 
 @register("recent_log")
 def q_recent_log(spark, d):
-    log = derive.vectorization_log(T(spark, d, "events"))
-    parts = [detect.look_back(log, "created_at", derive.AS_OF, iv)
-             .groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("look_back", F.lit(iv))
-             for iv in ("1 HOURS", "24 HOURS", "7 DAYS")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """P7 at three look-backs from one scan: the widest window is the pushed
+    filter, the narrower ones are conditional counts."""
+    lg = detect.look_back(log(spark, d), "created_at", derive.AS_OF, "7 DAYS")
+    a = F.lit(derive.AS_OF).cast("timestamp")
+    c = lg.groupBy("status").agg(
+        F.count_if(F.col("created_at") > a - F.expr("INTERVAL 1 HOURS")).alias("1 HOURS"),
+        F.count_if(F.col("created_at") > a - F.expr("INTERVAL 24 HOURS")).alias("24 HOURS"),
+        F.count(F.lit(1)).alias("7 DAYS"))
+    return c.unpivot(["status"], ["1 HOURS", "24 HOURS", "7 DAYS"], "look_back", "n") \
+            .filter(F.col("n") > 0)
 
 
 @register("input_quality")
