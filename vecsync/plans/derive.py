@@ -86,7 +86,8 @@ def change_feed(events: DataFrame) -> DataFrame:
     table: click/purchase → documents, view → pages, signup →
     conversations, error → audit_log (no routing config).  operation from
     props.k: < 25 INSERT, >= 90 DELETE, else UPDATE.  An UPDATE changes the
-    text when k < 60.  k >= 98 yields a truncated (malformed) payload and
+    text when k < 60.  k >= 98 yields a payload without its opening brace (invalid
+    JSON) and
     k in (96, 97) a payload without its ``table`` key.
     """
     e = events.select("event_id", "ts", "user_id", "event_type", _k().alias("_k"))
@@ -112,7 +113,7 @@ def change_feed(events: DataFrame) -> DataFrame:
               F.lit("text_embedding_model").alias("model_column")]
     keep_nulls = {"ignoreNullFields": "false"}
     no_table = [f for i, f in enumerate(fields) if i != 2]
-    value = (F.when(k >= 98, F.substring(F.to_json(F.struct(*fields), keep_nulls), 1, 40))
+    value = (F.when(k >= 98, F.regexp_replace(F.to_json(F.struct(*fields), keep_nulls), "^[{]", ""))
               .when(k >= 96, F.to_json(F.struct(*no_table), keep_nulls))
               .otherwise(F.to_json(F.struct(*fields), keep_nulls)))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
