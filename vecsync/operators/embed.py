@@ -37,6 +37,9 @@ class Embedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         raise NotImplementedError
 
+    def embed_single(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
     def embed_batches(self, texts: list[str]) -> list[list[float]]:
         """Consecutive chunks of ``batch_size``; the last one may be short."""
         if not texts:

@@ -334,7 +334,7 @@ SELECT lang, {S.completion_pct('n', 't')} AS completion_percentage FROM (
 ORACLE["check_null_vectors"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
 SELECT table_name, 'text_vector' AS vector_column, null_vectors, total_rows,
   {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage,
-  CASE WHEN null_vectors > 0 THEN 'incomplete' ELSE 'complete' END AS status,
+  'success' AS status,
   null_vectors > 0 AS backfill_requested
 FROM tnc"""
 ORACLE["backfill_requests"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + """
@@ -814,3 +814,20 @@ SELECT table_name, column_name,
   array_to_string(list_filter(['new_' || column_name, 'alt_' || column_name, 'v2_' || column_name],
       lambda x: NOT list_contains(ex, x))[1:5], ',') AS prefix_alternatives
 FROM a2"""
+
+ORACLE["reconcile_summary"] = with_(*COLL_CTES) + """
+, plan AS (SELECT r.* FROM res r WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.table_name = r.table_name
+                                                  AND c.column_name = r.resolved_column_name))
+, t AS (SELECT table_name, count(*) AS changes, count(*) FILTER (WHERE NOT blocked) AS ok_changes,
+               bool_or(blocked) AS blocked,
+               CASE WHEN bool_or(blocked) THEN 'failed' ELSE 'success' END AS status
+        FROM plan GROUP BY table_name)
+SELECT count(*) AS total_tables, count(*) FILTER (WHERE status = 'success') AS successful,
+  count(*) FILTER (WHERE status = 'failed') AS failed, 0 AS partial,
+  round(coalesce(count(*) FILTER (WHERE status = 'success') / count(*), 0), 6) AS success_rate,
+  sum(changes) AS total_changes,
+  sum(CASE WHEN status = 'success' THEN ok_changes ELSE 0 END) AS successful_changes,
+  count(*) FILTER (WHERE blocked) AS critical_collisions,
+  coalesce(array_to_string(list_sort(list(table_name) FILTER (WHERE status = 'failed')), ','), '')
+    AS failed_tables
+FROM t"""

@@ -334,8 +334,7 @@ def q_check_null_vectors(spark, d):
     return c.select("table_name", "vector_column", "null_vectors", "total_rows",
                     M.completion_pct(F.col("null_vectors"), F.col("total_rows"))
                     .alias("completion_percentage"),
-                    F.when(F.col("null_vectors") > 0, "incomplete").otherwise("complete")
-                    .alias("status"),
+                    F.lit("success").alias("status"),
                     (F.col("null_vectors") > 0).alias("backfill_requested"))
 
 
@@ -939,3 +938,32 @@ def q_batch_plan(spark, d):
     r = routed_texts(spark, d).select("config_order", "table", "row_id")
     return EM.batch_plan(r, ["config_order"], ["row_id"], 100) \
              .select("table", "row_id", "row_number", "batch_no")
+
+
+@register("reconcile_summary")
+def q_reconcile_summary(spark, d):
+    """A6 over reconciliation: per table success / failed (a critical
+    collision blocks the table in safe mode), then one summary row."""
+    r = K.resolve_columns(collisions(spark, d)).withColumn("column_type", role_type(F.col("role")))
+    plan = K.reconcile_plan(r, catalog(spark, d))
+    per_table = plan.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("changes"),
+        F.count_if(~F.col("blocked")).alias("ok_changes"),
+        F.bool_or("blocked").alias("blocked"))
+    st = F.when(F.col("blocked"), "failed").otherwise("success")
+    t = per_table.withColumn("status", st)
+    return t.agg(
+        F.count(F.lit(1)).alias("total_tables"),
+        F.count_if(F.col("status") == "success").alias("successful"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("status") == "partial").alias("partial"),
+        F.round(F.coalesce(F.try_divide(F.count_if(F.col("status") == "success").cast("double"),
+                                        F.count(F.lit(1)).cast("double")), F.lit(0.0)), 6)
+         .alias("success_rate"),
+        F.sum("changes").alias("total_changes"),
+        F.sum(F.when(F.col("status") == "success", F.col("ok_changes")).otherwise(0))
+         .alias("successful_changes"),
+        F.count_if(F.col("blocked")).alias("critical_collisions"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "failed",
+                                                         F.col("table_name")))), ",")
+         .alias("failed_tables"))
