@@ -16,7 +16,9 @@ def spark():
 
     from vecsync.session import LOCAL_DEFAULTS, checkpoint_dir
 
-    b = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8")
+    import tempfile
+    b = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="vecsync-wh-")))
     for k, v in LOCAL_DEFAULTS.items():
         b = b.config(k, v)
     s = b.getOrCreate()

@@ -52,3 +52,20 @@ def test_knn_has_no_cartesian_product(spark, q):
 def test_health_rollup_has_no_cross_join(spark, q):
     p = plan(q["system_health_full"](spark, SF001))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_bucketed_snapshots_diff_without_shuffle(spark):
+    from vecsync.operators.detect import snapshot_diff
+    from vecsync.operators.writeback import write_bucketed_snapshot
+    from vecsync.plans import derive
+    from vecsync.sources.tables import read_table
+    docs = read_table(spark, SF001, "documents")
+    old = derive.old_snapshot(docs, read_table(spark, SF001, "benchmark"))
+    write_bucketed_snapshot(docs.select("doc_id", "text"), "snap_new", "doc_id", 8)
+    write_bucketed_snapshot(old, "snap_old", "doc_id", 8)
+    diff = snapshot_diff(spark.table("snap_old"), spark.table("snap_new"), "doc_id", "text")
+    p = plan(diff)
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    eager = snapshot_diff(old, docs, "doc_id", "text")
+    key = lambda r: (r.doc_id, r.operation)
+    assert sorted(map(key, diff.collect())) == sorted(map(key, eager.collect()))
