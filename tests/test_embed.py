@@ -69,7 +69,7 @@ def fake(responses):
 
 
 def http(transport, sleeps, **kw):
-    return EM.HttpEmbedder(model="m", dimension=2, endpoint="http://h:1/v1", transport=transport,
+    return EM.HttpEmbedder(model="m", dimension=2, endpoint="http://h:1", transport=transport,
                            sleep=sleeps.append, retry_delay=1.0, max_retries=3, **kw)
 
 
@@ -133,3 +133,12 @@ def test_error_messages_python_and_native(spark, body, want):
     assert EM.parse_error_body(s) == want
     df = spark.createDataFrame([(s,)], "b string")
     assert df.select(ER.parse_error_message(F.col("b")).alias("m")).first().m == want
+
+
+def test_provider_url_rules():
+    mk = lambda p, ep: EM.make_embedder(p, endpoint=ep)
+    assert mk("openai", "https://api.example.com/v1").url() == "https://api.example.com/v1/embeddings"
+    assert mk("infinity", "http://h:7997").url() == "http://h:7997/v1/embeddings"
+    assert mk("custom", "http://h/api/embeddings").url() == "http://h/api/embeddings"
+    assert mk("custom", "http://h/v1/embeddings?x=1").url() == "http://h/v1/embeddings?x=1"
+    assert mk("custom", "http://h").url() == "http://h/v1/embeddings"

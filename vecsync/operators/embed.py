@@ -144,10 +144,12 @@ class HttpEmbedder(Embedder):
     deterministic = False
 
     def url(self) -> str:
+        """Custom endpoints: used as given when they already name the
+        embeddings route, else ``/v1/embeddings`` is appended."""
         ep = self.options.get("endpoint", "").rstrip("/")
-        if ep.endswith("/embeddings"):
+        if ep.endswith("/embeddings") or "/v1/embeddings" in ep:
             return ep
-        return ep + ("/embeddings" if ep.endswith("/v1") else "/v1/embeddings")
+        return ep + "/v1/embeddings"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         o = self.options
@@ -176,8 +178,28 @@ class HttpEmbedder(Embedder):
             attempt += 1
 
 
+class OpenAIEmbedder(HttpEmbedder):
+    """Hosted OpenAI-style API: ``{base_url}/embeddings``."""
+
+    name = "openai"
+
+    def url(self) -> str:
+        base = self.options.get("endpoint", "https://api.openai.com/v1").rstrip("/")
+        return base + "/embeddings"
+
+
+class SelfHostedEmbedder(HttpEmbedder):
+    """Self-hosted OpenAI-compatible server: ``{endpoint}/v1/embeddings``."""
+
+    name = "infinity"
+
+    def url(self) -> str:
+        return self.options.get("endpoint", "").rstrip("/") + "/v1/embeddings"
+
+
 PROVIDERS: dict[str, type[Embedder]] = {"mock": MockEmbedder, "http": HttpEmbedder,
-                                        "openai": HttpEmbedder, "custom": HttpEmbedder}
+                                        "custom": HttpEmbedder, "openai": OpenAIEmbedder,
+                                        "infinity": SelfHostedEmbedder}
 
 
 def register_provider(name: str, cls: type[Embedder]) -> None:
