@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 # Characters Python's str.isspace() accepts (what ``\s`` matches in ``re``).
 WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same set without the plain space (used to skip single spaces, see basic_clean).
+WS_NOT_SPACE = (r"[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # Control characters removed by the basic cleaner (after whitespace collapse).
 CTRL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # Subtrees dropped by the HTML cleaner.
@@ -54,7 +57,9 @@ def basic_clean(c: Column) -> Column:
 
     The delete runs after the collapse, so ``"a \\x00 b"`` becomes ``"a  b"``.
     """
-    c = F.regexp_replace(_nz(c), WS + "+", " ")
+    # ``WS+ -> ' '`` rewritten so that a lone plain space (most of them) is not
+    # a match: runs of two or more, or one non-space whitespace character.
+    c = F.regexp_replace(_nz(c), WS + "{2,}|" + WS_NOT_SPACE, " ")
     c = F.trim(c)  # only spaces remain at the ends after the collapse
     return F.regexp_replace(c, CTRL, "")
 
@@ -123,7 +128,7 @@ def limit_newlines(c: Column, max_consecutive: int = 2) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(_nz(c), WS + "+", " "))
+    return F.trim(F.regexp_replace(_nz(c), WS + "{2,}|" + WS_NOT_SPACE, " "))
 
 
 CLEANERS: dict[str, Callable[[Column], Column]] = {
