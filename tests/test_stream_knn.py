@@ -113,3 +113,15 @@ def test_attempt_history_hot_key_matches_plain_window(spark):
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     key = lambda r: (r.id, r.attempt_no, r.failures_before)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_knn_exact_ties_break_by_id(spark):
+    base = np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 1.0]], dtype=np.float32)
+    corpus = np.repeat(base, 40, axis=0)            # many exact ties
+    cdf = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(corpus)],
+                                "vec_id long, embedding array<float>").repartition(5)
+    qdf = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, query_vector array<float>")
+    got = [r.vec_id for r in KN.knn_exact(spark, cdf, qdf, 25).orderBy("rank").collect()]
+    s = np.sqrt(((corpus.astype(np.float64) - np.array([0.0, 1.0])) ** 2).sum(1))
+    want = list(np.lexsort((np.arange(len(corpus)), s))[:25])
+    assert got == want

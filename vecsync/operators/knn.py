@@ -3,10 +3,10 @@
 T4: the query set is bounded (its row count is checked against
 ``max_queries`` before it is shipped to executors as one broadcast
 matrix).  Each task scores its corpus batches against all queries with one
-BLAS matrix product and keeps only the ``k`` best per query and batch
-(``argpartition``), so at most ``k × batches`` candidates per query reach
-the shuffle; a ``row_number() <= k`` window (WindowGroupLimit) per query
-then gives the exact answer.  No join operator, no all-pairs output.
+BLAS matrix product and keeps a running top-``k`` per query (total order
+score, then id), so at most ``k × tasks`` candidates per query reach the
+shuffle; a ``row_number() <= k`` window (WindowGroupLimit) per query then
+gives the exact answer.  No join operator, no all-pairs output.
 
 T5: k-means cells (``pyspark.ml``) as the coarse quantiser.  Each corpus
 vector gets its nearest centroid; each query probes its ``nprobe`` nearest
@@ -43,11 +43,27 @@ def _metric_scores(block: np.ndarray, queries: np.ndarray, metric: str,
     raise ValueError(metric)
 
 
+def _top_k(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
+    """Per query the ``k`` smallest by the total order (score, id)."""
+    order = np.lexsort((ids, sc, qi))
+    qi, ids, sc = qi[order], ids[order], sc[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+    sizes = np.diff(np.r_[starts, len(qi)])
+    rank = np.arange(len(qi)) - np.repeat(starts, sizes)
+    keep = rank < k
+    return qi[keep], ids[keep], sc[keep]
+
+
 def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
               metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "query_vector",
               max_queries: int = MAX_QUERIES) -> DataFrame:
-    """T4: exact top-``k`` corpus rows per query: (query_id, rank, id, score)."""
+    """T4: exact top-``k`` corpus rows per query: (query_id, rank, id, score).
+
+    Each task keeps a running top-k per query over all its batches (total
+    order score, then id, so the merge stays exact) and emits it once: at
+    most ``k × tasks`` rows per query reach the shuffle.
+    """
     n = queries.count()
     if n > max_queries:
         raise ValueError(f"{n} queries exceed the broadcast bound {max_queries}; "
@@ -59,31 +75,32 @@ def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_q, mat = bc.value
+        if len(ids_q) == 0:
+            return
         qnorm = np.sqrt((mat * mat).sum(axis=1))
+        acc_q = np.empty(0, dtype=np.int64)
+        acc_id = np.empty(0, dtype=np.int64)
+        acc_s = np.empty(0, dtype=np.float64)
+        step = max(1, SCORE_CELLS // len(ids_q))   # rows × queries per score matrix
         for pdf in batches:
-            if len(pdf) == 0 or len(ids_q) == 0:
-                continue
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            all_ids = pdf[id_col].to_numpy()
+            all_ids = pdf[id_col].to_numpy().astype(np.int64)
             vecs = pdf[vec_col].to_numpy()
-            # score matrix kept near SCORE_CELLS entries: rows × queries
-            step = max(1, SCORE_CELLS // max(len(ids_q), 1))
             for lo in range(0, len(pdf), step):
                 block = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
                 ids = all_ids[lo:lo + step]
                 sc = _metric_scores(block, mat, metric, qnorm)        # rows × Q
                 kk = min(k, len(ids))
-                if kk < len(ids):
-                    # candidates: the k smallest per query, plus every row tied with
-                    # the k-th score, so the global tie-break by id stays exact
-                    part = np.partition(sc, kk - 1, axis=0)[kk - 1]   # per-query cut
-                    rows, cols = np.nonzero(sc <= part[None, :])
-                else:
-                    rows, cols = np.nonzero(np.ones_like(sc, dtype=bool))
-                yield pd.DataFrame({qid_col: ids_q[cols], id_col: ids[rows],
-                                    "score": sc[rows, cols]})
+                # rows at or below each query's k-th score (ties kept), then the
+                # exact (score, id) cut merged into the running top-k
+                cut = np.partition(sc, kk - 1, axis=0)[kk - 1]
+                rows, cols = np.nonzero(sc <= cut[None, :])
+                acc_q, acc_id, acc_s = _top_k(np.r_[acc_q, cols], np.r_[acc_id, ids[rows]],
+                                              np.r_[acc_s, sc[rows, cols]], k)
+        if len(acc_q):
+            yield pd.DataFrame({qid_col: ids_q[acc_q], id_col: acc_id, "score": acc_s})
 
     cand = corpus.select(id_col, vec_col).mapInPandas(
         run, f"{qid_col} long, {id_col} long, score double")
