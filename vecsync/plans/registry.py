@@ -6,12 +6,29 @@ same names.
 """
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce as _reduce
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ..sources.tables import read_table
-from . import backfill
+from pyspark.sql import DataFrame as _DF
+from pyspark.sql import functions as F
+
+from ..functions import clean as C
+from ..functions import errors as ER
+from ..functions import vectors as V
+from ..functions.vectors import CONFIG_DEFAULT_DIMENSIONS
+from ..operators import catalog as K
+from ..operators import detect, routing as R
+from ..operators import embed as EM
+from ..operators import knn as KN
+from ..operators import monitor as M
+from ..operators import tasks as TK
+from ..operators import writeback as WB
+from ..sources import feed as FD
+from ..sources.tables import TABLES, read_table, scan_multi_target, scan_text_table
+from ..streaming import jobs as ST
+from . import backfill, derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,13 +59,6 @@ def q_completion_after_backfill_native(spark, d):
 # ---------------------------------------------------------------------------
 # shared wiring
 # ---------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..functions import clean as C  # noqa: E402
-from ..operators import detect, routing as R  # noqa: E402
-from ..sources import feed as FD  # noqa: E402
-from ..sources.tables import scan_multi_target, scan_text_table  # noqa: E402
-from . import derive  # noqa: E402
 
 
 def user(spark, d):
@@ -279,12 +289,6 @@ def q_desired_columns(spark, d):
 # ---------------------------------------------------------------------------
 # batch 3: embedding, write-back, monitoring, tasks
 # ---------------------------------------------------------------------------
-from ..functions import errors as ER  # noqa: E402
-from ..functions import vectors as V  # noqa: E402
-from ..operators import embed as EM  # noqa: E402
-from ..operators import monitor as M  # noqa: E402
-from ..operators import tasks as TK  # noqa: E402
-from ..operators import writeback as WB  # noqa: E402
 
 
 def checksum(v):
@@ -555,13 +559,6 @@ def q_classify_failures(spark, d):
 # ---------------------------------------------------------------------------
 # batch 4: catalog, collisions, naming, reconciliation
 # ---------------------------------------------------------------------------
-from functools import reduce as _reduce  # noqa: E402
-
-from pyspark.sql import DataFrame as _DF  # noqa: E402
-
-from ..functions.vectors import CONFIG_DEFAULT_DIMENSIONS  # noqa: E402
-from ..operators import catalog as K  # noqa: E402
-from ..sources.tables import TABLES  # noqa: E402
 
 
 def catalog_tables(spark, d):
@@ -790,7 +787,6 @@ def q_all_targets_completion(spark, d):
 # ---------------------------------------------------------------------------
 # batch 5: vectors, k-NN, migration
 # ---------------------------------------------------------------------------
-from ..operators import knn as KN  # noqa: E402
 
 KNN_K = 10
 
@@ -858,7 +854,6 @@ def q_migration_progress(spark, d):
 # ---------------------------------------------------------------------------
 # batch 6: streaming (availableNow runs over a landed copy of the derived feed)
 # ---------------------------------------------------------------------------
-from ..streaming import jobs as ST  # noqa: E402
 
 
 def landed_feed(spark, d, replay: bool = False):
@@ -870,9 +865,6 @@ def landed_feed(spark, d, replay: bool = False):
     return path
 
 
-import os  # noqa: E402
-
-
 @register("stream_route")
 def q_stream_route(spark, d):
     s = ST.stream_route(ST.read_feed(spark, landed_feed(spark, d)), derive.routing_config(spark))
