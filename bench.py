@@ -51,12 +51,8 @@ def main():
 
     def stage_backfill_write():
         out = ST.scratch(spark, "bench-writeback")
-        upd = RG.backfill_updates(spark, d)
-        # materialise the embeddings once (side-effect boundary), then write back
-        upd = upd.checkpoint(eager=True)
-        res = RG.WB.write_back(RG.user(spark, d), upd, "doc_id", "text_vector",
-                               "text_embedding_model", "text_vector_created_at")
-        res.write.parquet(out)
+        # embeddings are checkpointed inside (side-effect boundary), then written back
+        backfill.backfill_write_back(RG.user(spark, d)).write.parquet(out)
 
     def stage_stream():
         out, ck = ST.scratch(spark, "bench-stream"), ST.scratch(spark, "bench-stream-ck")

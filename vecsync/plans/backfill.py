@@ -104,3 +104,34 @@ def completion_after_backfill(documents: DataFrame, embeddings: DataFrame,
         "invalid_vectors", "null_after",
         completion_pct(F.col("null_before"), F.col("total_rows")).alias("completion_before"),
         completion_pct(F.col("null_after"), F.col("total_rows")).alias("completion_after"))
+
+
+def backfill_write_back(user: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                        vector_col: str = "text_vector",
+                        model_col: str = "text_embedding_model",
+                        created_col: str = "text_vector_created_at",
+                        dimension: int = derive.DIMENSION, model: str = derive.CURRENT_MODEL,
+                        as_of: str = derive.AS_OF, provider: str = "mock",
+                        clean: Callable[[Column], Column] = basic_clean,
+                        **embedder_config) -> DataFrame:
+    """P2 → F1 → P3 → UD1 → P8 → S4 as a job with a side-effect boundary.
+
+    The provider is called once per row: the new vectors are checkpointed
+    into the shared checkpoint folder before the write-back join, so a lost
+    executor or a re-planned join never re-runs the embedding calls.
+    """
+    from ..operators.embed import embed_column
+    from ..operators.writeback import write_back
+    from ..session import checkpoint_dir
+
+    todo = (user.filter(F.col(vector_col).isNull())
+                .select(id_col, clean(F.col(text_col)).alias("_clean"))
+                .filter(F.col("_clean") != ""))
+    emb = embed_column(todo, "_clean", "new_vector", provider, dimension=dimension,
+                       **embedder_config)
+    updates = emb.filter(vector_status(F.col("new_vector"), dimension) == "ok").select(
+        id_col, "new_vector", F.lit(model).alias("new_model"),
+        F.lit(as_of).cast("timestamp").alias("new_created_at"))
+    checkpoint_dir(user.sparkSession)
+    updates = updates.checkpoint(eager=True)
+    return write_back(user, updates, id_col, vector_col, model_col, created_col)

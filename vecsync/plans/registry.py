@@ -459,21 +459,9 @@ def q_embed_udf(spark, d):
     return e.select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
 
 
-def backfill_updates(spark, d):
-    """New vectors for the backfill set through the Arrow UDF embedder."""
-    todo = detect.backfill_set(user(spark, d), "text_vector") \
-        .select("doc_id", C.basic_clean(F.col("text")).alias("clean")) \
-        .filter(F.col("clean") != "")
-    e = EM.embed_column(todo, "clean", "new_vector", "mock", dimension=derive.DIMENSION)
-    return e.filter(V.is_valid_vector(F.col("new_vector"), derive.DIMENSION)).select(
-        "doc_id", "new_vector", F.lit(derive.CURRENT_MODEL).alias("new_model"),
-        F.lit(derive.AS_OF).cast("timestamp").alias("new_created_at"))
-
-
 @register("write_back")
 def q_write_back(spark, d):
-    out = WB.write_back(user(spark, d), backfill_updates(spark, d), "doc_id", "text_vector",
-                        "text_embedding_model", "text_vector_created_at")
+    out = backfill.backfill_write_back(user(spark, d))
     return out.select("doc_id", "text_embedding_model", "text_vector_created_at",
                       F.size("text_vector").alias("dim"),
                       checksum(F.col("text_vector")).alias("checksum"))
