@@ -104,3 +104,19 @@ def with_row_fields(events: DataFrame, id_field: str = "id", text_field: str = "
         F.element_at(new, F.lit(text_field)).alias("new_text"),
         F.element_at(old, F.lit(text_field)).alias("old_text"),
         F.element_at(new, F.lit(vector_field)).alias("new_vector"))
+
+
+def read_feed_kafka(spark, bootstrap_servers: str, topic: str,
+                    starting_offsets: str = "earliest", **options) -> DataFrame:
+    """S3 from Kafka: ``(event_id, ts, value)`` in the shape every feed
+    operator expects (event_id = partition/offset packed into one long).
+    Needs the Spark Kafka connector on the classpath."""
+    r = (spark.readStream.format("kafka")
+         .option("kafka.bootstrap.servers", bootstrap_servers)
+         .option("subscribe", topic).option("startingOffsets", starting_offsets))
+    for k, v in options.items():
+        r = r.option(k, v)
+    raw = r.load()
+    return raw.select(
+        (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("event_id"),
+        F.col("timestamp").alias("ts"), F.col("value").cast("string").alias("value"))

@@ -30,3 +30,14 @@ def scan_multi_target(df: DataFrame, id_columns: list[str],
     """One row per (id, text column) for a table with several targets."""
     return (df.select(*id_columns, *[F.col(c).cast("string") for c in text_columns])
               .unpivot(id_columns, text_columns, "text_column", "text"))
+
+
+def read_jdbc_table(spark: SparkSession, url: str, table: str, id_column: str,
+                    lower: int, upper: int, partitions: int, properties: dict | None = None,
+                    columns: list[str] | None = None) -> DataFrame:
+    """S1 over a database: a partitioned JDBC scan (``partitions`` parallel
+    range queries on ``id_column``), pruned to ``columns``.  Needs the JDBC
+    driver jar on the classpath."""
+    df = spark.read.jdbc(url, table, column=id_column, lowerBound=lower, upperBound=upper,
+                         numPartitions=partitions, properties=properties or {})
+    return df.select(*columns) if columns else df
