@@ -38,6 +38,13 @@ CONFIG_DEFAULT_DIMENSIONS = {
 VECTOR_TYPE = "array<float>"
 
 
+def vsize(v: Column | str) -> Column:
+    """Vector length, NULL for a NULL vector under any ANSI setting
+    (legacy ``size(NULL)`` is -1)."""
+    c = F.col(v) if isinstance(v, str) else v
+    return F.when(c.isNotNull(), F.size(c))
+
+
 def vector_status(v: Column, dimension: int | Column) -> Column:
     """P8: 'null_vector' | 'wrong_dimension' | 'non_numeric' | 'ok'."""
     dim = dimension if isinstance(dimension, Column) else F.lit(dimension)

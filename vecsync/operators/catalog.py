@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import KNOWN_MODEL_DIMENSIONS, SHORTENABLE_MODEL_PREFIX
+from ..functions.vectors import KNOWN_MODEL_DIMENSIONS, SHORTENABLE_MODEL_PREFIX, vsize
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference semantics)
@@ -90,7 +90,7 @@ def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], database:
         vec = [f.name for f in df.schema.fields if normalize_type(f.dataType) == "vector"]
         aggs = [F.count(F.lit(1)).alias("row_count")]
         for c in vec:
-            aggs += [F.min(F.size(c)).alias(f"min__{c}"), F.max(F.size(c)).alias(f"max__{c}")]
+            aggs += [F.min(vsize(c)).alias(f"min__{c}"), F.max(vsize(c)).alias(f"max__{c}")]
         a = df.agg(*aggs)
         st = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"min__{c}").alias("dmin"),
                                 F.col(f"max__{c}").alias("dmax")) for c in vec]) if vec else \

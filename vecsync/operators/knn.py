@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import score as score_expr
+from ..functions.vectors import score as score_expr, vsize
 
 MAX_QUERIES = 100_000
 # upper bound of one in-task score matrix (rows × queries or rows × centroids)
@@ -184,7 +184,7 @@ def dimension_migration_plan(df: DataFrame, vector_col: str, new_column: str,
     """a new column of the new width + one pending migration row per
     target with the rows that need re-embedding (old column kept)."""
     g = df.groupBy(*(by or [])).agg(
-        F.max(F.size(vector_col)).alias("old_dimension"),
+        F.max(vsize(vector_col)).alias("old_dimension"),
         F.count_if(F.col(vector_col).isNotNull()
                    & (F.size(vector_col) != new_dimension)).alias("rows_to_migrate"),
         F.count(F.lit(1)).alias("total_rows"))

@@ -9,6 +9,7 @@ Running the write-back twice with the same input changes nothing.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import vsize
 from ..operators.monitor import completion_pct
 
 
@@ -60,7 +61,7 @@ def log_rows(results: DataFrame, database: str, schema: str, table: str, text_co
         F.lit(model).alias("embedding_model"),
         F.col(status_col).alias("status"),
         F.length(F.col(text_col)).alias("text_length"),
-        F.size(F.col(vector_col)).alias("vector_dimension"))
+        vsize(vector_col).alias("vector_dimension"))
 
 
 def upsert_daily_status(history: DataFrame, checks: DataFrame,

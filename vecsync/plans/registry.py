@@ -449,21 +449,21 @@ def q_attempt_history(spark, d):
 def q_embed_deterministic(spark, d):
     v = V.mock_embedding(F.col("text"), derive.DIMENSION)
     return T(spark, d, "documents").select("doc_id", v.alias("v")) \
-        .select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+        .select("doc_id", V.vsize("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
 
 
 @register("embed_udf")
 def q_embed_udf(spark, d):
     docs = T(spark, d, "documents").select("doc_id", C.basic_clean(F.col("text")).alias("clean"))
     e = EM.embed_column(docs, "clean", "v", "mock", dimension=derive.DIMENSION, batch_size=64)
-    return e.select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+    return e.select("doc_id", V.vsize("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
 
 
 @register("write_back")
 def q_write_back(spark, d):
     out = backfill.backfill_write_back(user(spark, d))
     return out.select("doc_id", "text_embedding_model", "text_vector_created_at",
-                      F.size("text_vector").alias("dim"),
+                      V.vsize("text_vector").alias("dim"),
                       checksum(F.col("text_vector")).alias("checksum"))
 
 
@@ -504,7 +504,7 @@ def response_bodies(spark, d):
 def q_parse_responses(spark, d):
     r = response_bodies(spark, d).withColumn("vs", ER.parse_embedding_response(F.col("body")))
     return r.select("doc_id", F.posexplode("vs").alias("pos", "v")) \
-            .select("doc_id", "pos", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+            .select("doc_id", "pos", V.vsize("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
 
 
 def error_bodies(spark, d):
@@ -812,7 +812,7 @@ def q_knn_ivf(spark, d):
 def q_vector_text_roundtrip(spark, d):
     e = T(spark, d, "embeddings")
     back = V.text_to_vector(V.vector_to_text(F.col("embedding")))
-    return e.select("vec_id", F.size(back).alias("dim"),
+    return e.select("vec_id", V.vsize(back).alias("dim"),
                     (back == F.col("embedding")).alias("roundtrip_equal"))
 
 
@@ -821,7 +821,7 @@ def q_truncate_vectors(spark, d):
     e = T(spark, d, "embeddings")
     return e.select("vec_id", checksum(V.truncate_vector(F.col("embedding"), 16)).alias("checksum"),
                     checksum(V.truncate_vector(F.col("embedding"), 16, True)).alias("checksum_unit"),
-                    F.size(V.truncate_vector(F.col("embedding"), 16)).alias("dim"))
+                    V.vsize(V.truncate_vector(F.col("embedding"), 16)).alias("dim"))
 
 
 @register("dimension_migration")
@@ -878,7 +878,7 @@ def _stream_vectors(spark, d, replay):
                             derive.CURRENT_MODEL)
     q.awaitTermination()
     cur = ST.current_vectors(spark, out)
-    return cur.select("table", "row_id", "event_id", "model", F.size("vector").alias("dim"),
+    return cur.select("table", "row_id", "event_id", "model", V.vsize("vector").alias("dim"),
                       checksum(F.col("vector")).alias("checksum"))
 
 
