@@ -36,7 +36,7 @@ def user(spark):
     return spark.createDataFrame(
         [(i, t, None, None, None) for i, t in enumerate(TEXTS)],
         "doc_id long, text string, text_vector array<float>, text_embedding_model string, "
-        "text_vector_created_at timestamp")
+        "text_vector_created_at timestamp_ntz")
 
 
 def test_blank_texts_are_skipped(spark):
@@ -49,7 +49,7 @@ def test_write_back_is_idempotent(spark):
     u = user(spark)
     upd = spark.createDataFrame(
         [(0, [1.0, 2.0], "m", dt.datetime(2024, 1, 2)), (99, [3.0], "m", dt.datetime(2024, 1, 2))],
-        "doc_id long, new_vector array<float>, new_model string, new_created_at timestamp")
+        "doc_id long, new_vector array<float>, new_model string, new_created_at timestamp_ntz")
     once = WB.write_back(u, upd, "doc_id", "text_vector", "text_embedding_model",
                          "text_vector_created_at")
     twice = WB.write_back(once, upd, "doc_id", "text_vector", "text_embedding_model",
@@ -63,10 +63,10 @@ def test_write_back_is_idempotent(spark):
 def test_stale_update_loses(spark):
     u = spark.createDataFrame([(1, [9.0], "new", dt.datetime(2024, 1, 5))],
                               "doc_id long, text_vector array<float>, text_embedding_model string, "
-                              "text_vector_created_at timestamp")
+                              "text_vector_created_at timestamp_ntz")
     upd = spark.createDataFrame([(1, [1.0], "old", dt.datetime(2024, 1, 1))],
                                 "doc_id long, new_vector array<float>, new_model string, "
-                                "new_created_at timestamp")
+                                "new_created_at timestamp_ntz")
     r = WB.write_back(u, upd, "doc_id", "text_vector", "text_embedding_model",
                       "text_vector_created_at").first()
     assert r.text_vector == [9.0] and r.text_embedding_model == "new"

@@ -20,7 +20,7 @@ def test_stream_debounce_multi_batch_equals_batch(spark):
     path = ST.land_feed_in_order(f, ST.scratch(spark, "t-land"), chunks=4)
     p = ST.parsed(ST.read_feed(spark, path, 1)).select("event_id", "table", "row_id", "ts")
     s = ST.stream_debounce(p, ["table", "row_id"], "ts", 3600.0,
-                           "event_id long, table string, row_id long, ts timestamp")
+                           "event_id long, table string, row_id long, ts timestamp_ntz")
     got = ST.run_to_table(spark, s, "t-dedup")
     batch = detect.debounce(ST.parsed(f).select("event_id", "table", "row_id", "ts"),
                             ["table", "row_id"], "ts", 3600.0)

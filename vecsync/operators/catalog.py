@@ -261,7 +261,7 @@ def collision_summary(collisions: DataFrame) -> DataFrame:
 def collision_log_rows(resolved: DataFrame, occurred_at: str, config_key: str) -> DataFrame:
     """K5: collision-log rows from classified + resolved collisions."""
     return resolved.filter(F.col("severity") != "safe").select(
-        F.lit(occurred_at).cast("timestamp").alias("occurred_at"), "database_name",
+        F.lit(occurred_at).cast("timestamp_ntz").alias("occurred_at"), "database_name",
         "schema_name", "table_name", F.col("column_name").alias("desired_column_name"),
         "existing_column_type",
         F.to_json(F.struct("existing_column_type", "dimension")).alias("existing_column_info"),

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import basic_clean
+from ..functions.time import epoch_us
 
 
 def _ts(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x).cast("timestamp")
+    return x if isinstance(x, Column) else F.lit(x).cast("timestamp_ntz")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,7 +91,7 @@ def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
     previous non-empty bucket, found on the small per-(key, bucket) aggregate.
     Exact for any window; ``bucket_seconds`` only sets the parallelism.
     """
-    ts_us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    ts_us = epoch_us(F.col(ts_col))
     b = F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
     x = df.withColumn("_bucket", b).withColumn("_us", ts_us)
     last = (x.groupBy(*key, "_bucket").agg(F.max("_us").alias("_last"))

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import epoch_us
+
 TABLE_KEY = ["database_name", "schema_name", "table_name"]
 
 
 def _ts(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x).cast("timestamp")
+    return x if isinstance(x, Column) else F.lit(x).cast("timestamp_ntz")
 
 
 # --- A1 / A2 -----------------------------------------------------------------
@@ -175,7 +177,7 @@ def throughput(log: DataFrame, run_col: Column) -> DataFrame:
         F.count_if(F.col("status") == "success").alias("successful"),
         F.min("created_at").alias("started_at"),
         F.max("created_at").alias("finished_at"))
-    secs = (F.unix_micros(F.col("finished_at")) - F.unix_micros(F.col("started_at"))) / 1e6
+    secs = (epoch_us(F.col("finished_at")) - epoch_us(F.col("started_at"))) / 1e6
     return g.select(
         "run", "processed", "successful",
         F.round(secs, 6).alias("elapsed_s"),

@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.errors import retry_schedule
+from ..functions.time import epoch_us
 
 # Fixed value: priority order of the task queue.
 PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
@@ -19,7 +20,7 @@ def next_tasks(tasks: DataFrame, as_of, n: int) -> DataFrame:
     """The ``n`` due pending tasks in queue order (priority, scheduled_at, id).
     Planned as TakeOrderedAndProject: each task keeps its top n, the driver
     merges n × partitions rows."""
-    a = F.lit(as_of).cast("timestamp")
+    a = F.lit(as_of).cast("timestamp_ntz")
     due = tasks.filter((F.col("status") == "pending") & (F.col("scheduled_at") <= a))
     return due.orderBy(priority_rank(F.col("priority")), F.col("scheduled_at"), F.col("id")) \
               .limit(n)
@@ -41,7 +42,7 @@ def attempt_history(log: DataFrame, key: list[str], ts_col: str, tiebreak: str,
     per-(key, bucket) aggregate supplies the offsets of earlier buckets.
     Exact for any bucket size; the bucket only sets the parallelism.
     """
-    ts_us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    ts_us = epoch_us(F.col(ts_col))
     x = (log.withColumn("_b", F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)))
             .withColumn("_f", failed.cast("int")))
     w = Window.partitionBy(*key, "_b").orderBy(F.col(ts_col), F.col(tiebreak))

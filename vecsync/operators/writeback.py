@@ -53,7 +53,7 @@ def log_rows(results: DataFrame, database: str, schema: str, table: str, text_co
              text_col: str, vector_col: str) -> DataFrame:
     """One vectorization-log row per attempt."""
     return results.select(
-        F.lit(as_of).cast("timestamp").alias("created_at"),
+        F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
         F.lit(database).alias("database_name"), F.lit(schema).alias("schema_name"),
         F.lit(table).alias("table_name"),
         F.to_json(F.struct(F.col(id_col).alias("id"))).alias("row_id"),

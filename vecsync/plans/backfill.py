@@ -52,7 +52,7 @@ def backfill_vectors(user: DataFrame, text_col: str = "text",
     return (df.withColumn("backfill_status", status)
               .withColumn(vector_col, F.when(created, F.col("_new")).otherwise(v))
               .withColumn(model_col, F.when(created, F.lit(model)).otherwise(F.col(model_col)))
-              .withColumn(created_col, F.when(created, F.lit(as_of).cast("timestamp"))
+              .withColumn(created_col, F.when(created, F.lit(as_of).cast("timestamp_ntz"))
                           .otherwise(F.col(created_col)))
               .drop("_needs", "_clean", "_new", "_vstat"))
 
@@ -131,7 +131,7 @@ def backfill_write_back(user: DataFrame, id_col: str = "doc_id", text_col: str =
                        **embedder_config)
     updates = emb.filter(vector_status(F.col("new_vector"), dimension) == "ok").select(
         id_col, "new_vector", F.lit(model).alias("new_model"),
-        F.lit(as_of).cast("timestamp").alias("new_created_at"))
+        F.lit(as_of).cast("timestamp_ntz").alias("new_created_at"))
     checkpoint_dir(user.sparkSession)
     updates = updates.checkpoint(eager=True)
     return write_back(user, updates, id_col, vector_col, model_col, created_col)

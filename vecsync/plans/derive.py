@@ -36,7 +36,7 @@ def user_table(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
         F.col("embedding").alias("text_vector"),
         F.when(F.col("label") == 0, F.lit(PREVIOUS_MODEL))
          .otherwise(F.lit(CURRENT_MODEL)).alias("text_embedding_model"),
-        F.lit(VECTORS_CREATED_AT).cast("timestamp").alias("text_vector_created_at"))
+        F.lit(VECTORS_CREATED_AT).cast("timestamp_ntz").alias("text_vector_created_at"))
     return (documents.select("doc_id", "text", "lang", "source")
             .join(vecs, "doc_id", "left"))
 
@@ -56,7 +56,7 @@ def vectorization_log(events: DataFrame) -> DataFrame:
                .when(et == "view", "skipped").otherwise("success"))
     return events.select(
         F.col("event_id").alias("log_id"),
-        F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("ts").cast("timestamp_ntz").alias("created_at"),
         F.lit(DATABASE).alias("database_name"),
         F.lit(SCHEMA).alias("schema_name"),
         event_table_name().alias("table_name"),
@@ -116,7 +116,7 @@ def change_feed(events: DataFrame) -> DataFrame:
     value = (F.when(k >= 98, F.regexp_replace(F.to_json(F.struct(*fields), keep_nulls), "^[{]", ""))
               .when(k >= 96, F.to_json(F.struct(*no_table), keep_nulls))
               .otherwise(F.to_json(F.struct(*fields), keep_nulls)))
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
+    return e.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), value.alias("value"))
 
 
 # --- routing configuration -------------------------------------------------------
@@ -179,7 +179,7 @@ def old_snapshot(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def task_table(events: DataFrame) -> DataFrame:
     """pending_tasks rows derived from ``events`` (one task per event)."""
     k, et = _k(), F.col("event_type")
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts").cast("timestamp_ntz")
     status = (F.when(et == "view", "completed").when(et == "error", "failed")
                .when(et == "purchase", "processing").otherwise("pending"))
     return events.select(

@@ -504,7 +504,7 @@ _GIVEN = ("region nation customer supplier part orders lineitem events embedding
           "benchmark labels conversations").split()
 _USER_COLS = [("doc_id", "bigint"), ("text", "text"), ("lang", "text"), ("source", "text"),
               ("text_vector", "vector"), ("text_embedding_model", "text"),
-              ("text_vector_created_at", "timestamptz")]
+              ("text_vector_created_at", "timestamp")]
 CAT_CTE = ("cat0 AS (\n  SELECT table_name, column_name, CASE data_type WHEN 'VARCHAR' THEN 'text' "
            "WHEN 'INTEGER' THEN 'integer' WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp' "
            "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT[]' THEN 'vector' ELSE 'unknown' END AS data_type, "
@@ -659,8 +659,8 @@ SELECT d.table_name, d.text_column, d.role, d.column_name,
 FROM desired d LEFT JOIN reg r ON r.schema_name = d.schema_name AND r.table_name = d.table_name
   AND r.column_type = d.role AND r.original_column_name = d.column_name"""
 _ROLE_TYPE = ("CASE role WHEN 'vector' THEN 'vector' WHEN 'model' THEN 'text' WHEN 'timestamp' THEN "
-              "'timestamptz' WHEN 'cleaned' THEN 'text' WHEN 'cleaned_config' THEN 'text' "
-              "WHEN 'cleaned_timestamp' THEN 'timestamptz' END")
+              "'timestamp' WHEN 'cleaned' THEN 'text' WHEN 'cleaned_config' THEN 'text' "
+              "WHEN 'cleaned_timestamp' THEN 'timestamp' END")
 ORACLE["reconcile_plan"] = with_(*COLL_CTES) + f"""
 SELECT r.table_name, r.column_name, r.resolved_column_name,
   'ALTER TABLE ' || r.schema_name || '.' || r.table_name || ' ADD COLUMN ' || r.resolved_column_name

@@ -153,7 +153,7 @@ def q_cleaned_with_provenance(spark, d):
     return T(spark, d, "documents").select(
         "doc_id", C.pipeline(steps)(F.col("text")).alias("text_cleaned"),
         F.lit(C.pipeline_config_name("basic_text", steps)).alias("text_cleaning_config"),
-        F.lit(derive.AS_OF).cast("timestamp").alias("text_cleaned_at"))
+        F.lit(derive.AS_OF).cast("timestamp_ntz").alias("text_cleaned_at"))
 
 
 @register("clean_extra")
@@ -261,7 +261,7 @@ def q_recent_log(spark, d):
     """P7 at three look-backs from one scan: the widest window is the pushed
     filter, the narrower ones are conditional counts."""
     lg = detect.look_back(log(spark, d), "created_at", derive.AS_OF, "7 DAYS")
-    a = F.lit(derive.AS_OF).cast("timestamp")
+    a = F.lit(derive.AS_OF).cast("timestamp_ntz")
     c = lg.groupBy("status").agg(
         F.count_if(F.col("created_at") > a - F.expr("INTERVAL 1 HOURS")).alias("1 HOURS"),
         F.count_if(F.col("created_at") > a - F.expr("INTERVAL 24 HOURS")).alias("24 HOURS"),
@@ -354,11 +354,11 @@ CHECK_TIME = "2024-01-30 23:59:59"
 @register("null_status_daily")
 def q_null_status_daily(spark, d):
     checks = target_null_counts(spark, d).select(
-        F.lit(CHECK_TIME).cast("timestamp").alias("checked_at"), "database_name", "schema_name",
+        F.lit(CHECK_TIME).cast("timestamp_ntz").alias("checked_at"), "database_name", "schema_name",
         "table_name", "vector_column", F.lit("default").alias("config_key"),
         F.col("null_vectors").cast("int").alias("null_vectors"),
         F.col("total_rows").cast("int").alias("total_rows"),
-        F.lit(None).cast("timestamp").alias("last_vectorized_at"))
+        F.lit(None).cast("timestamp_ntz").alias("last_vectorized_at"))
     return WB.upsert_daily_status(history(spark, d), checks).select(
         "table_name", F.to_date("checked_at").alias("day"), "checked_at", "null_vectors",
         "total_rows", "completion_percentage")
@@ -581,7 +581,7 @@ def registry_rows(spark, d):
                 F.lit("model").alias("column_type"), F.lit(None).cast("int").alias("dimension"))
     return vrows.unionByName(mrows).select(
         "*", F.lit(derive.CURRENT_MODEL).alias("model_name"),
-        F.lit(derive.VECTORS_CREATED_AT).cast("timestamp").alias("created_at"),
+        F.lit(derive.VECTORS_CREATED_AT).cast("timestamp_ntz").alias("created_at"),
         F.lit("default").alias("config_key"))
 
 
@@ -597,8 +597,8 @@ def collisions(spark, d):
     return K.classify_collisions(desired(spark, d), catalog(spark, d), hist)
 
 
-ROLE_TYPES = {"vector": "vector", "model": "text", "timestamp": "timestamptz",
-              "cleaned": "text", "cleaned_config": "text", "cleaned_timestamp": "timestamptz"}
+ROLE_TYPES = {"vector": "vector", "model": "text", "timestamp": "timestamp",
+              "cleaned": "text", "cleaned_config": "text", "cleaned_timestamp": "timestamp"}
 
 
 def role_type(role):
@@ -729,8 +729,8 @@ def q_model_dimension_check(spark, d):
 def q_add_companions(spark, d):
     u = user(spark, d)
     want = {"text_vector": "array<float>", "text_embedding_model": "string",
-            "text_vector_created_at": "timestamp", "text_cleaned": "string",
-            "text_cleaned_config": "string", "text_cleaned_at": "timestamp"}
+            "text_vector_created_at": "timestamp_ntz", "text_cleaned": "string",
+            "text_cleaned_config": "string", "text_cleaned_at": "timestamp_ntz"}
     add = {c: F.lit(None).cast(t) for c, t in want.items() if c not in u.columns}
     out = u.withColumns(add)
     return out.select("doc_id", F.col("text_vector").isNotNull().alias("has_vector"),
@@ -749,7 +749,7 @@ def q_registry_upsert(spark, d):
                     .otherwise(F.col("role")).alias("column_type"),
                    F.lit(None).cast("int").alias("dimension"),
                    F.lit(derive.CURRENT_MODEL).alias("model_name"),
-                   F.lit(derive.AS_OF).cast("timestamp").alias("created_at"),
+                   F.lit(derive.AS_OF).cast("timestamp_ntz").alias("created_at"),
                    F.lit("default").alias("config_key"))
     return WB.upsert_registry(old, new).select(
         "table_name", "original_column_name", "actual_column_name", "column_type", "dimension",
@@ -848,7 +848,7 @@ def landed_feed(spark, d, replay: bool = False):
     feed = derive.change_feed(T(spark, d, "events"))
     path = ST.land_feed(feed, ST.scratch(spark, "landing"))
     if replay:  # the first three days of the feed arrive again, last
-        old = feed.filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp"))
+        old = feed.filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz"))
         old.write.mode("append").parquet(os.path.join(path, "replay"))
     return path
 
@@ -866,7 +866,7 @@ def q_stream_route(spark, d):
 def q_stream_dedup(spark, d):
     p = ST.parsed(ST.read_feed(spark, landed_feed(spark, d)))
     s = ST.stream_debounce(p.select("event_id", "table", "row_id", "ts"), ["table", "row_id"],
-                           "ts", 3600.0, "event_id long, table string, row_id long, ts timestamp")
+                           "ts", 3600.0, "event_id long, table string, row_id long, ts timestamp_ntz")
     return ST.run_to_table(spark, s, "stream_dedup")
 
 

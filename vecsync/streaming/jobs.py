@@ -6,8 +6,9 @@ the shared ``spark.checkpoint.dir``; sinks are idempotent per micro-batch
 (``foreachBatch`` writes ``batch_id=<n>`` with overwrite, so a replayed
 batch replaces its own output instead of duplicating it).
 
-``events.ts`` is TIMESTAMP_NTZ, which cannot carry a watermark; streams cast
-it to TIMESTAMP (session time zone UTC).
+``events.ts`` is TIMESTAMP_NTZ (wall clock), which cannot carry a watermark;
+stateful streams derive an event-time instant with the same UTC reading
+(``functions.time.event_time``), so nothing depends on the session zone.
 """
 import os
 import uuid
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clean as C
+from ..functions.time import epoch_date, epoch_us, event_time
 from ..functions.vectors import is_valid_vector
 from ..operators import detect, routing as R
 from ..operators.embed import embed_column
 from ..session import checkpoint_dir
 from ..sources import feed as FD
 
-FEED_SCHEMA = "event_id long, ts timestamp, value string"
+FEED_SCHEMA = "event_id long, ts timestamp_ntz, value string"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -92,16 +94,17 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
     memory."""
     win_us = int(window_seconds * 1_000_000)
     cols = [f.split()[0] for f in out_schema.split(",")]
+    events = events.withColumn("_et", event_time(F.col(ts_col))) \
+                   .withColumn("_us", epoch_us(F.col(ts_col)))
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs)).sort_values([ts_col, cols[0]])
+        pdf = pd.concat(list(pdfs)).sort_values(["_us", cols[0]])
         keep = []
-        for t in pdf[ts_col]:
-            us = int(pd.Timestamp(t).value // 1000)
+        for us in pdf["_us"].tolist():
             keep.append(last is None or us - last >= win_us)
             last = us
         state.update((last,))
@@ -113,7 +116,7 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
         if len(out):
             yield out
 
-    return (events.withWatermark(ts_col, delay).groupBy(*key)
+    return (events.withWatermark("_et", delay).groupBy(*key)
             .applyInPandasWithState(fn, out_schema, "last_us long", "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
@@ -179,12 +182,13 @@ def stream_retry(failed: DataFrame, retry_delay: float, max_retries: int) -> Dat
 
 def stream_daily_status(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     """ST5: per (table, day) tumbling window of the vectorization log."""
-    return (log.withWatermark("created_at", delay)
-               .groupBy("table_name", F.window("created_at", "1 day"))
+    return (log.withColumn("_et", event_time(F.col("created_at")))
+               .withWatermark("_et", delay)
+               .groupBy("table_name", F.window("_et", "1 day"))
                .agg(F.count(F.lit(1)).alias("total"),
                     F.count_if(F.col("status") == "success").alias("successful"),
                     F.count_if(F.col("status") != "success").alias("not_vectorized"))
-               .select("table_name", F.to_date(F.col("window.start")).alias("day"), "total",
+               .select("table_name", epoch_date(F.col("window.start")).alias("day"), "total",
                        "successful", "not_vectorized"))
 
 
