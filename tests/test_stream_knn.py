@@ -125,3 +125,15 @@ def test_knn_exact_ties_break_by_id(spark):
     s = np.sqrt(((corpus.astype(np.float64) - np.array([0.0, 1.0])) ** 2).sum(1))
     want = list(np.lexsort((np.arange(len(corpus)), s))[:25])
     assert got == want
+
+
+def test_watermark_dedup_keeps_one_row_per_key_in_a_batch(spark):
+    f = feed(spark)
+    path = ST.land_feed(f, ST.scratch(spark, "t-land3"), files=2)
+    p = ST.parsed(ST.read_feed(spark, path)).select("event_id", "table", "row_id", "ts") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    got = ST.run_to_table(spark, ST.stream_dedup(p, ["table", "row_id"], "ts", "1 hour"),
+                          "t-wm-dedup")
+    keys = ST.parsed(f).select("table", "row_id").distinct().count()
+    assert got.count() == keys
+    assert got.select("table", "row_id").distinct().count() == keys
