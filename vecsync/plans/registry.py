@@ -207,7 +207,7 @@ def q_unrouted_events(spark, d):
 
 @register("needs_vectorization")
 def q_needs_vectorization(spark, d):
-    r = R.route_events(parsed_feed(spark, d), derive.routing_config(spark))
+    r = FD.with_config_fields(R.route_events(parsed_feed(spark, d), derive.routing_config(spark)))
     flag = detect.needs_vectorization(F.col("operation"), F.col("new_vector"),
                                       F.col("old_text"), F.col("new_text"))
     return r.select("event_id", "table", "operation", "row_id",

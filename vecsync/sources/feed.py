@@ -120,3 +120,18 @@ def read_feed_kafka(spark, bootstrap_servers: str, topic: str,
     return raw.select(
         (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("event_id"),
         F.col("timestamp").alias("ts"), F.col("value").cast("string").alias("value"))
+
+
+def with_config_fields(routed: DataFrame) -> DataFrame:
+    """After routing: take ``row_id`` / ``new_text`` / ``old_text`` from the
+    row objects by each event's configured ``id_column`` / ``text_column``
+    (tables differ in both), one map parse per row object."""
+    x = routed.select("*", F.from_json(F.col("id"), "map<string,string>").alias("_new"),
+                      F.from_json(F.col("old_id"), "map<string,string>").alias("_old"))
+    new, old = F.col("_new"), F.col("_old")
+    idc, txt = F.col("id_column"), F.col("text_column")
+    return (x.withColumn("row_id", F.coalesce(F.element_at(new, idc), F.element_at(old, idc))
+                         .cast("bigint"))
+             .withColumn("new_text", F.element_at(new, txt))
+             .withColumn("old_text", F.element_at(old, txt))
+             .drop("_new", "_old"))

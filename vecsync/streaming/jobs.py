@@ -72,8 +72,9 @@ def parsed(feed: DataFrame) -> DataFrame:
 # --- ST2 ---------------------------------------------------------------------------
 
 def stream_route(feed: DataFrame, routing: DataFrame) -> DataFrame:
-    """ST2: stream ⋈ static routing table (broadcast, size-checked)."""
-    return R.route_events(parsed(feed), routing)
+    """ST2: stream ⋈ static routing table (broadcast, size-checked); the row
+    id and texts are read by each target's configured column names."""
+    return FD.with_config_fields(R.route_events(parsed(feed), routing))
 
 
 # --- ST3 ---------------------------------------------------------------------------
