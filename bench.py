@@ -35,7 +35,11 @@ def main():
     from vecsync.sources.tables import read_table
     from vecsync.streaming import jobs as ST
 
-    spark = get_spark(f"local[{CPUS}]", int(CPUS))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):   # stage / task times for offline reading
+        extra = {"spark.eventLog.enabled": "true",
+                 "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = get_spark(f"local[{CPUS}]", int(CPUS), extra=extra)
     d = SF_DIR
     docs = read_table(spark, d, "documents")
     pages = read_table(spark, d, "pages")

@@ -25,7 +25,7 @@ LOCAL_DEFAULTS = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "vecsync") -> SparkSession:
+              app: str = "vecsync", extra: dict | None = None) -> SparkSession:
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -36,6 +36,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     b = b.config("spark.driver.memory", os.environ.get("VECSYNC_DRIVER_MEM", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
