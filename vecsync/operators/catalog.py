@@ -75,36 +75,42 @@ def normalize_type(dt: T.DataType) -> str:
 
 def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], database: str,
                    schema: str) -> DataFrame:
-    """K1: one row per column of every table, plus ``row_count`` and the
-    observed vector width (min = max of ``size``) computed by one scan per
-    table (all scans in one job via ``union``)."""
-    rows = []
+    """K1: one row per column of every table, with ``row_count`` and the
+    vector width.
+
+    The catalog is metadata (one row per column), built once: every table's
+    row count and — only for vector columns without a declared width — the
+    observed width (min = max of ``size``) come from one union job whose
+    result has one row per table; nothing else reaches the driver, and later
+    uses of the catalog never rescan the tables.  Parquet answers the counts
+    from footers.
+    """
+    rows, stats = [], []
     for name, df in tables.items():
+        undeclared = []
         for pos, f in enumerate(df.schema.fields, start=1):
             declared = f.metadata.get("vector_dimension") if f.metadata else None
-            rows.append((database, schema, name, f.name, normalize_type(f.dataType),
-                         f.dataType.simpleString(), f.nullable, pos, declared))
-    cols = spark.createDataFrame(rows, CATALOG_SCHEMA)
-    stats = []
-    for name, df in tables.items():
-        vec = [f.name for f in df.schema.fields if normalize_type(f.dataType) == "vector"]
-        aggs = [F.count(F.lit(1)).alias("row_count")]
-        for c in vec:
-            aggs += [F.min(vsize(c)).alias(f"min__{c}"), F.max(vsize(c)).alias(f"max__{c}")]
-        a = df.agg(*aggs)
-        st = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"min__{c}").alias("dmin"),
-                                F.col(f"max__{c}").alias("dmax")) for c in vec]) if vec else \
-            F.array().cast("array<struct<column_name:string,dmin:int,dmax:int>>")
-        stats.append(a.select(F.lit(name).alias("table_name"), "row_count", st.alias("dims")))
-    st = reduce(DataFrame.unionByName, stats)
-    counts = st.select("table_name", "row_count")
-    dims = st.select("table_name", F.explode("dims").alias("d")).select(
-        "table_name", "d.column_name",
-        F.when(F.col("d.dmin") == F.col("d.dmax"), F.col("d.dmax")).alias("observed_dimension"))
-    out = (cols.join(F.broadcast(counts), "table_name", "left")
-               .join(F.broadcast(dims), ["table_name", "column_name"], "left"))
-    return out.withColumn("is_vector", F.col("data_type") == "vector") \
-              .withColumn("dimension", F.coalesce("declared_dimension", "observed_dimension"))
+            typ = normalize_type(f.dataType)
+            rows.append([database, schema, name, f.name, typ, f.dataType.simpleString(),
+                         f.nullable, pos, declared])
+            if typ == "vector" and declared is None:
+                undeclared.append(f.name)
+        dims = F.array(*[F.struct(F.lit(c).alias("c"), F.min(vsize(c)).alias("lo"),
+                                  F.max(vsize(c)).alias("hi")) for c in undeclared]) \
+            if undeclared else F.array().cast("array<struct<c:string,lo:int,hi:int>>")
+        stats.append(df.agg(F.count(F.lit(1)).alias("n"), dims.alias("dims"))
+                       .select(F.lit(name).alias("t"), "n", "dims"))
+    per_table = {r.t: r for r in reduce(DataFrame.unionByName, stats).collect()}
+    out = []
+    for r in rows:
+        st = per_table[r[2]]
+        observed = {d.c: (d.hi if d.lo == d.hi else None) for d in st.dims}
+        dim = r[8] if r[8] is not None else observed.get(r[3])
+        out.append((*r, int(st.n), r[4] == "vector", dim))
+    schema_out = T.StructType(CATALOG_SCHEMA.fields + [
+        T.StructField("row_count", T.LongType()), T.StructField("is_vector", T.BooleanType()),
+        T.StructField("dimension", T.IntegerType())])
+    return spark.createDataFrame(out, schema_out)
 
 
 # --- A8 / A9 / U1 ----------------------------------------------------------------
