@@ -391,10 +391,12 @@ SELECT table_name, count(*) AS total,
   count(*) FILTER (WHERE status = 'failed') AS failed,
   count(*) FILTER (WHERE status = 'retry') AS retried,
   count(*) FILTER (WHERE status = 'skipped') AS skipped,
-  coalesce(array_to_string(list_sort(list_distinct(list(error_message) FILTER (WHERE status = 'failed'))), ';'), '')
-    AS failure_reasons,
+  count(DISTINCT error_message) FILTER (WHERE status = 'failed') AS n_failure_reasons,
   round(coalesce(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 0), 6) AS success_rate
 FROM log GROUP BY table_name"""
+ORACLE["failure_reasons"] = with_(LOG_CTE) + """
+SELECT table_name, coalesce(error_message, '') AS reason, count(*) AS failures
+FROM log WHERE status = 'failed' GROUP BY ALL"""
 ORACLE["throughput"] = with_(LOG_CTE) + """
 SELECT run, processed, successful, round(secs, 6) AS elapsed_s,
   round(CASE WHEN secs > 0 THEN processed / secs END, 6) AS docs_per_s,

@@ -382,8 +382,12 @@ def q_system_health_full(spark, d):
 
 @register("status_summary")
 def q_status_summary(spark, d):
-    return M.status_summary(log(spark, d), ["table_name"]) \
-            .withColumn("failure_reasons", F.array_join("failure_reasons", ";"))
+    return M.status_summary(log(spark, d), ["table_name"])
+
+
+@register("failure_reasons")
+def q_failure_reasons(spark, d):
+    return M.failure_reasons(log(spark, d), ["table_name"])
 
 
 @register("throughput")
