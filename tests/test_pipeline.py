@@ -70,3 +70,16 @@ def test_stale_update_loses(spark):
     r = WB.write_back(u, upd, "doc_id", "text_vector", "text_embedding_model",
                       "text_vector_created_at").first()
     assert r.text_vector == [9.0] and r.text_embedding_model == "new"
+
+
+def test_merge_write_back_needs_a_row_level_table(spark):
+    import pytest
+    from vecsync.operators.writeback import merge_vectors_into
+    spark.createDataFrame([(1, None, None, None)],
+                          "doc_id long, v array<float>, m string, c timestamp_ntz") \
+        .write.mode("overwrite").saveAsTable("merge_target_v1")
+    upd = spark.createDataFrame([(1, [1.0], "x", None)],
+                                "doc_id long, new_vector array<float>, new_model string, "
+                                "new_created_at timestamp_ntz")
+    with pytest.raises(Exception, match="MERGE"):
+        merge_vectors_into(upd, "merge_target_v1", "doc_id", "v", "m", "c")

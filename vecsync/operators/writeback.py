@@ -105,3 +105,24 @@ def write_bucketed_snapshot(df: DataFrame, table_name: str, id_col: str, buckets
     """
     (df.repartition(buckets, id_col)
        .write.mode(mode).bucketBy(buckets, id_col).sortBy(id_col).saveAsTable(table_name))
+
+
+def merge_vectors_into(updates: DataFrame, table_name: str, id_col: str, vector_col: str,
+                       model_col: str, created_col: str, new_vector: str = "new_vector",
+                       new_model: str = "new_model", new_created: str = "new_created_at",
+                       guard_stale: bool = True) -> None:
+    """S4 in place, for a table format with row-level operations (a V2
+    catalog table): ``MERGE`` the newest update per id; missing ids are
+    skipped, stale updates lose (as in ``write_back``)."""
+    w = Window.partitionBy(id_col).orderBy(F.col(new_created).desc())
+    src = (updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+                  .select(id_col, new_vector, new_model, new_created).alias("s"))
+    tq = table_name.split(".")[-1]          # the target is addressed by its name
+    t = F.col(f"{tq}.{created_col}")
+    cond = F.col(f"{tq}.{id_col}") == F.col(f"s.{id_col}")
+    fresh = (t.isNull() | (F.col(f"s.{new_created}") >= t)) if guard_stale else F.lit(True)
+    (src.mergeInto(f"{table_name}", cond)
+        .whenMatched(fresh)
+        .update({vector_col: F.col(f"s.{new_vector}"), model_col: F.col(f"s.{new_model}"),
+                 created_col: F.col(f"s.{new_created}")})
+        .merge())
