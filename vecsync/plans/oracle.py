@@ -507,9 +507,11 @@ _GIVEN = ("region nation customer supplier part orders lineitem events embedding
 _USER_COLS = [("doc_id", "bigint"), ("text", "text"), ("lang", "text"), ("source", "text"),
               ("text_vector", "vector"), ("text_embedding_model", "text"),
               ("text_vector_created_at", "timestamp")]
-CAT_CTE = ("cat0 AS (\n  SELECT table_name, column_name, CASE data_type WHEN 'VARCHAR' THEN 'text' "
-           "WHEN 'INTEGER' THEN 'integer' WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp' "
-           "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT[]' THEN 'vector' ELSE 'unknown' END AS data_type, "
+CAT_CTE = ("cat0 AS (\n  SELECT DISTINCT table_name, column_name, CASE WHEN data_type = 'VARCHAR' THEN 'text' "
+           "WHEN data_type = 'INTEGER' THEN 'integer' WHEN data_type = 'BIGINT' THEN 'bigint' "
+           "WHEN data_type IN ('TIMESTAMP', 'TIMESTAMP_NS', 'TIMESTAMP_US', 'TIMESTAMP_MS') THEN 'timestamp' "
+           "WHEN data_type = 'BOOLEAN' THEN 'boolean' "
+           "WHEN data_type IN ('FLOAT[]', 'DOUBLE[]') THEN 'vector' ELSE 'unknown' END AS data_type, "
            "CAST(ordinal_position AS INTEGER) AS ordinal_position\n  FROM information_schema.columns "
            "WHERE table_name IN (" + ", ".join(S.q(t) for t in _GIVEN) + ")\n  UNION ALL SELECT * FROM (VALUES "
            + ", ".join(f"('documents', '{c}', '{t}', {i})" for i, (c, t) in enumerate(_USER_COLS, 1))
