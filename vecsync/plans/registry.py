@@ -6,7 +6,6 @@ same names.
 """
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import reduce as _reduce
 
@@ -853,7 +852,7 @@ def landed_feed(spark, d, replay: bool = False):
     path = ST.land_feed(feed, ST.scratch(spark, "landing"))
     if replay:  # the first three days of the feed arrive again, last
         old = feed.filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz"))
-        old.write.mode("append").parquet(os.path.join(path, "replay"))
+        old.write.mode("append").parquet(path)   # newer files: read after the rest
     return path
 
 

@@ -209,3 +209,15 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """ST6: events that arrived after the watermark had passed them, summed
+    over the query's progress reports (stateful operators only)."""
+    total = 0
+    for p in query.recentProgress or []:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) \
+                else op.numRowsDroppedByWatermark
+            total += int(v or 0)
+    return total
