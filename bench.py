@@ -56,7 +56,7 @@ def main():
     def stage_backfill_write():
         out = ST.scratch(spark, "bench-writeback")
         # embeddings are checkpointed inside (side-effect boundary), then written back
-        backfill.backfill_write_back(RG.user(spark, d)).write.parquet(out)
+        RG.WB.write_snapshot(backfill.backfill_write_back(RG.user(spark, d)), out)
 
     def stage_stream():
         out, ck = ST.scratch(spark, "bench-stream"), ST.scratch(spark, "bench-stream-ck")

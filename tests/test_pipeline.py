@@ -83,3 +83,8 @@ def test_merge_write_back_needs_a_row_level_table(spark):
                                 "new_created_at timestamp_ntz")
     with pytest.raises(Exception, match="MERGE"):
         merge_vectors_into(upd, "merge_target_v1", "doc_id", "v", "m", "c")
+
+
+def test_call_level_backoff(spark):
+    df = spark.range(4).select(ER.call_backoff_delay(1.5, F.col("id")).alias("d"))
+    assert [r.d for r in df.collect()] == [1.5, 3.0, 6.0, 12.0]
