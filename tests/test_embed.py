@@ -142,3 +142,9 @@ def test_provider_url_rules():
     assert mk("custom", "http://h/api/embeddings").url() == "http://h/api/embeddings"
     assert mk("custom", "http://h/v1/embeddings?x=1").url() == "http://h/v1/embeddings?x=1"
     assert mk("custom", "http://h").url() == "http://h/v1/embeddings"
+
+
+def test_embed_column_bounded_tasks(spark):
+    df = one_col(spark, TEXTS * 5).repartition(6)
+    out = EM.embed_column(df, "t", "v", "mock", max_tasks=2, dimension=4)
+    assert out.rdd.getNumPartitions() == 2 and out.count() == len(TEXTS) * 5

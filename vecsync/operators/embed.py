@@ -211,11 +211,17 @@ def make_embedder(provider: str, **config) -> Embedder:
 
 
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
-                 provider: str = "mock", **config) -> DataFrame:
+                 provider: str = "mock", max_tasks: int | None = None,
+                 **config) -> DataFrame:
     """UD1: ``df`` plus ``out_col array<float>`` computed by the named embedder.
 
     NULL texts give NULL vectors (they are not sent).  One client per task.
+    ``max_tasks`` bounds how many tasks call the provider at once (a
+    provider's rate limit is global, tasks are not): the rows are spread
+    evenly over that many partitions first.
     """
+    if max_tasks:
+        df = df.repartition(max_tasks)
     schema = T.StructType(df.schema.fields + [
         T.StructField(out_col, T.ArrayType(T.FloatType(), False), True)])
     cls = PROVIDERS[provider]
