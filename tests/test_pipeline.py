@@ -88,3 +88,12 @@ def test_merge_write_back_needs_a_row_level_table(spark):
 def test_call_level_backoff(spark):
     df = spark.range(4).select(ER.call_backoff_delay(1.5, F.col("id")).alias("d"))
     assert [r.d for r in df.collect()] == [1.5, 3.0, 6.0, 12.0]
+
+
+def test_null_counts_text_only_flag(spark):
+    df = spark.createDataFrame([(None, None), ("a", None), ("b", [1.0])],
+                               "text string, v array<float>")
+    all_rows = M.null_vector_counts(df, "v").first()
+    text_rows = M.null_vector_counts(df, "v", text_col="text", text_only=True).first()
+    assert (all_rows.null_vectors, all_rows.total_rows) == (2, 3)
+    assert (text_rows.null_vectors, text_rows.total_rows) == (1, 2)

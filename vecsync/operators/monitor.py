@@ -21,9 +21,15 @@ def _ts(x) -> Column:
 
 # --- A1 / A2 -----------------------------------------------------------------
 
-def null_vector_counts(df: DataFrame, vector_col: str, by: list[str] | None = None
-                       ) -> DataFrame:
-    """A1: NULL-vector count and total in one scan, per group."""
+def null_vector_counts(df: DataFrame, vector_col: str, by: list[str] | None = None,
+                       text_col: str | None = None, text_only: bool = False) -> DataFrame:
+    """A1: NULL-vector count and total in one scan, per group.
+
+    Every row counts, as the reference's code does (quirk Q7); with
+    ``text_only`` only rows whose ``text_col`` is not NULL count.
+    """
+    if text_only:
+        df = df.filter(F.col(text_col).isNotNull())
     aggs = [F.count_if(F.col(vector_col).isNull()).alias("null_vectors"),
             F.count(F.lit(1)).alias("total_rows")]
     return df.groupBy(*(by or [])).agg(*aggs)
