@@ -97,3 +97,15 @@ def test_null_counts_text_only_flag(spark):
     text_rows = M.null_vector_counts(df, "v", text_col="text", text_only=True).first()
     assert (all_rows.null_vectors, all_rows.total_rows) == (2, 3)
     assert (text_rows.null_vectors, text_rows.total_rows) == (1, 2)
+
+
+def test_companion_columns_ddl_is_idempotent(spark):
+    from vecsync.operators.catalog import alter_table_add_columns
+    spark.createDataFrame([(1, "a")], "id long, text string").write.mode("overwrite") \
+        .saveAsTable("companions_t")
+    want = {"text_vector": "array<float>", "text_embedding_model": "string",
+            "text_vector_created_at": "timestamp_ntz"}
+    first = alter_table_add_columns(spark, "companions_t", want)
+    second = alter_table_add_columns(spark, "companions_t", want)
+    assert len(first) == 1 and second == []
+    assert set(want) <= set(spark.table("companions_t").columns)

@@ -338,3 +338,27 @@ def model_dimension_check(configs: DataFrame, known: DataFrame) -> DataFrame:
     status = (F.when(kd.isNull(), "unknown").when(d == kd, "ok")
                .when(short & (d > kd), "exceeds_max").when(short, "ok").otherwise("mismatch"))
     return j.withColumn("status", status)
+
+
+# --- P10 ------------------------------------------------------------------------------
+
+def add_missing_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """P10: companion columns (name → SQL type) added as typed NULLs, only
+    where the DataFrame lacks them; existing columns and values are kept."""
+    add = {c: F.lit(None).cast(t) for c, t in wanted.items() if c not in df.columns}
+    return df.withColumns(add) if add else df
+
+
+def alter_table_add_columns(spark: SparkSession, table: str, wanted: dict[str, str],
+                            dry_run: bool = False) -> list[str]:
+    """P10 for a catalog table: ``ALTER TABLE … ADD COLUMNS`` for the missing
+    companions only (idempotent).  Returns the statements (run unless
+    ``dry_run``)."""
+    have = set(spark.table(table).columns)
+    missing = [(c, t) for c, t in wanted.items() if c not in have]
+    if not missing:
+        return []
+    stmt = f"ALTER TABLE {table} ADD COLUMNS (" + ", ".join(f"{c} {t}" for c, t in missing) + ")"
+    if not dry_run:
+        spark.sql(stmt)
+    return [stmt]

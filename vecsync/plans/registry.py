@@ -734,8 +734,8 @@ def q_add_companions(spark, d):
     want = {"text_vector": "array<float>", "text_embedding_model": "string",
             "text_vector_created_at": "timestamp_ntz", "text_cleaned": "string",
             "text_cleaned_config": "string", "text_cleaned_at": "timestamp_ntz"}
-    add = {c: F.lit(None).cast(t) for c, t in want.items() if c not in u.columns}
-    out = u.withColumns(add)
+    add = [c for c in want if c not in u.columns]
+    out = K.add_missing_columns(u, want)
     return out.select("doc_id", F.col("text_vector").isNotNull().alias("has_vector"),
                       "text_embedding_model", "text_cleaned", "text_cleaned_config",
                       F.lit(",".join(sorted(add))).alias("added_columns"))
