@@ -87,23 +87,26 @@ def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
 
     Hot keys are split by time: rows are windowed per (key, time bucket), so
     one key holding a third of the feed still spreads over many tasks.  The
-    first row of a bucket is compared with the last timestamp of the key's
-    previous non-empty bucket, found on the small per-(key, bucket) aggregate.
-    Exact for any window; ``bucket_seconds`` only sets the parallelism.
+    first row of a bucket is compared with the last time of the key's
+    previous non-empty bucket, taken from the small set of bucket heads.
+    One scan and one shuffle of the events (the heads side is re-used from
+    the same exchange).  Exact for any window; ``bucket_seconds`` only sets
+    the parallelism.
     """
     ts_us = epoch_us(F.col(ts_col))
-    b = F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
-    x = df.withColumn("_bucket", b).withColumn("_us", ts_us)
-    last = (x.groupBy(*key, "_bucket").agg(F.max("_us").alias("_last"))
-             .withColumn("_prev_last",
-                         F.lag("_last").over(Window.partitionBy(*key).orderBy("_bucket")))
-             .drop("_last"))
-    w = Window.partitionBy(*key, "_bucket").orderBy("_us")
-    prev = F.coalesce(F.lag("_us").over(w), F.col("_prev_last"))
-    return (x.join(last, [*key, "_bucket"], "left")
+    x = (df.withColumn("_b", F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)))
+           .withColumn("_us", ts_us))
+    w = Window.partitionBy(*key, "_b").orderBy("_us")
+    y = (x.withColumn("_lag", F.lag("_us").over(w))
+          .withColumn("_bmax", F.max("_us").over(Window.partitionBy(*key, "_b"))))
+    heads = (y.filter(F.col("_lag").isNull()).select(*key, "_b", "_bmax")
+              .withColumn("_prev", F.lag("_bmax").over(Window.partitionBy(*key).orderBy("_b")))
+              .select(*key, "_b", "_prev"))
+    prev = F.coalesce(F.col("_lag"), F.col("_prev"))
+    return (y.join(heads, [*key, "_b"], "left")
               .withColumn("_gap", (F.col("_us") - prev) / 1e6)
               .filter(F.col("_gap").isNull() | (F.col("_gap") >= window_seconds))
-              .drop("_gap", "_bucket", "_us", "_prev_last"))
+              .drop("_gap", "_b", "_us", "_lag", "_bmax", "_prev"))
 
 
 def latest_per_key(df: DataFrame, key: list[str], ts_col: str,
