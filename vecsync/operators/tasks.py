@@ -38,26 +38,30 @@ def attempt_history(log: DataFrame, key: list[str], ts_col: str, tiebreak: str,
     """Attempt number and failures before each attempt, per task key.
 
     A key may hold a third of the log, so the running count / sum is split
-    by time bucket: each (key, bucket) is numbered on its own, and a small
-    per-(key, bucket) aggregate supplies the offsets of earlier buckets.
-    Exact for any bucket size; the bucket only sets the parallelism.
+    by time bucket: each (key, bucket) is numbered on its own, and the first
+    row of each bucket carries the bucket's totals, from which a small
+    per-key window derives the offsets of earlier buckets.  One scan and one
+    shuffle of the log.  Exact for any bucket size.
     """
     ts_us = epoch_us(F.col(ts_col))
     x = (log.withColumn("_b", F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)))
             .withColumn("_f", failed.cast("int")))
-    w = Window.partitionBy(*key, "_b").orderBy(F.col(ts_col), F.col(tiebreak))
+    part = Window.partitionBy(*key, "_b")
+    w = part.orderBy(F.col(ts_col), F.col(tiebreak))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = (x.withColumn("_rn", F.row_number().over(w))
-          .withColumn("_fb", F.coalesce(F.sum("_f").over(before), F.lit(0))))
-    totals = x.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_f").alias("_s"))
+    y = (x.withColumn("_rn", F.row_number().over(w))
+          .withColumn("_fb", F.coalesce(F.sum("_f").over(before), F.lit(0)))
+          .withColumn("_n", F.count(F.lit(1)).over(part))
+          .withColumn("_s", F.sum("_f").over(part)))
     wb = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (totals.withColumn("_on", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
-                  .withColumn("_os", F.coalesce(F.sum("_s").over(wb), F.lit(0)))
-                  .select(*key, "_b", "_on", "_os"))
-    return (x.join(offs, [*key, "_b"])
+    offs = (y.filter(F.col("_rn") == 1).select(*key, "_b", "_n", "_s")
+             .withColumn("_on", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+             .withColumn("_os", F.coalesce(F.sum("_s").over(wb), F.lit(0)))
+             .select(*key, "_b", "_on", "_os"))
+    return (y.join(offs, [*key, "_b"])
              .withColumn("attempt_no", (F.col("_on") + F.col("_rn")).cast("int"))
              .withColumn("failures_before", (F.col("_os") + F.col("_fb")).cast("long"))
-             .drop("_b", "_f", "_rn", "_fb", "_on", "_os"))
+             .drop("_b", "_f", "_rn", "_fb", "_n", "_s", "_on", "_os"))
 
 
 def backfill_requests(null_counts: DataFrame) -> DataFrame:
