@@ -109,3 +109,18 @@ def test_companion_columns_ddl_is_idempotent(spark):
     second = alter_table_add_columns(spark, "companions_t", want)
     assert len(first) == 1 and second == []
     assert set(want) <= set(spark.table("companions_t").columns)
+
+
+def test_approx_percentile_variant_is_close(spark):
+    from conftest import SF001
+    from vecsync.plans import derive
+    from vecsync.sources.tables import read_table
+    ev = read_table(spark, SF001, "events")
+    args = (derive.status_history(ev), derive.vectorization_log(ev), derive.drift_log(ev),
+            derive.collision_log(ev), derive.AS_OF)
+    exact = M.system_health_full(*args).first()
+    approx = M.system_health_full(*args, approx_percentile=True).first()
+    assert exact.successful_vectorizations == approx.successful_vectorizations
+    if exact.p95_processing_time_ms is not None:
+        assert abs(exact.p95_processing_time_ms - approx.p95_processing_time_ms) <= \
+            0.1 * max(1.0, exact.p95_processing_time_ms)

@@ -221,3 +221,10 @@ def rows_dropped_by_watermark(query) -> int:
                 else op.numRowsDroppedByWatermark
             total += int(v or 0)
     return total
+
+
+def compact_vectors(spark: SparkSession, out_path: str, snapshot_path: str) -> None:
+    """Fold the per-batch vector outputs into one snapshot (newest per row),
+    so readers and the next compaction scan one folder instead of every
+    micro-batch's output.  Writes a new folder; never the one being read."""
+    current_vectors(spark, out_path).write.mode("errorifexists").parquet(snapshot_path)
