@@ -8,8 +8,9 @@ per chunk (P8's count rule).  Embedders are picked by name from a registry
 of picklable classes (``register_provider``).
 
 Embedding calls are side effects: materialise the result once (write or
-``checkpoint``) before a second action; never filter on the UDF output
-before that point.  Real providers are marked non-deterministic.
+``checkpoint``, as ``plans.backfill.backfill_write_back`` does) before a
+second action; never filter on the UDF output before that point.  Providers
+carry a ``deterministic`` flag (False for HTTP) for callers that cache.
 """
 import json
 import time
