@@ -127,11 +127,11 @@ def backfill_write_back(user: DataFrame, id_col: str = "doc_id", text_col: str =
     todo = (user.filter(F.col(vector_col).isNull())
                 .select(id_col, clean(F.col(text_col)).alias("_clean"))
                 .filter(F.col("_clean") != ""))
-    emb = embed_column(todo, "_clean", "new_vector", provider, dimension=dimension,
-                       **embedder_config)
+    emb = embed_column(todo.select(id_col, "_clean"), "_clean", "new_vector", provider,
+                       dimension=dimension, **embedder_config).select(id_col, "new_vector")
+    checkpoint_dir(user.sparkSession)
+    emb = emb.checkpoint(eager=True)          # the side-effect boundary: nothing filters before it
     updates = emb.filter(vector_status(F.col("new_vector"), dimension) == "ok").select(
         id_col, "new_vector", F.lit(model).alias("new_model"),
         F.lit(as_of).cast("timestamp_ntz").alias("new_created_at"))
-    checkpoint_dir(user.sparkSession)
-    updates = updates.checkpoint(eager=True)
     return write_back(user, updates, id_col, vector_col, model_col, created_col)
