@@ -36,10 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def land_feed(feed: DataFrame, path: str, files: int = 8, ts_col: str = "ts") -> str:
-    """Land a (batch) feed in a folder as ``files`` time-ranged files (one
-    parallel write).  The file source may pick them up in any order."""
-    feed.repartitionByRange(files, ts_col).write.mode("errorifexists").parquet(path)
+def land_feed(feed: DataFrame, path: str, files: int | None = None, ts_col: str = "ts") -> str:
+    """Land a (batch) feed in a folder as time-ranged files (one parallel
+    write; the file count follows the shuffle settings and AQE unless
+    ``files`` is given).  The file source may pick them up in any order."""
+    ranged = feed.repartitionByRange(files, ts_col) if files else feed.repartitionByRange(ts_col)
+    ranged.write.mode("errorifexists").parquet(path)
     return path
 
 
