@@ -109,3 +109,11 @@ def test_extra_cleaners(spark):
     assert run(spark, C.limit_newlines, ["a\n\n\n\nb"]) == ["a\n\nb"]
     assert run(spark, C.remove_punctuation, ["a,b!c"]) == ["abc"]
     assert run(spark, C.lowercase, ["AbC"]) == ["abc"]
+
+
+def test_html_entities_follow_html_unescape(spark):
+    import html
+    cases = ["a &amp;lt; b", "and&ampDie", "x&amp", "&copyright &middot; &quot;q&quot",
+             "&ampersand &amp;amp", "&lt;b&gt; &ltx", "1&nbsp;2"]
+    got = run(spark, C.html_clean, cases)
+    assert got == [py_basic(html.unescape(t)) for t in cases]

@@ -32,6 +32,13 @@ HTML_DROPPED_TAGS = ("script", "style", "nav", "footer", "aside")
 HTML_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
                  ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
                  ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Of those, the ones HTML also decodes without the closing semicolon
+# ("&ampx" -> "&x"), longest-prefix style.
+HTML_LEGACY_ENTITIES = (("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"),
+                        ("copy", "©"), ("middot", "·"), ("amp", "&"))
+# Decoded "&" is parked on a private-use character until every pass is done,
+# so a decoded ampersand never starts a second decode (single-pass semantics).
+AMP_PLACEHOLDER = "\ue000"
 # Step-name aliases accepted in a pipeline definition.
 STEP_ALIASES = {
     "html_extraction": "html", "html": "html", "html_to_markdown": "html",
@@ -96,9 +103,12 @@ def html_text(c: Column) -> Column:
     """
     c = F.regexp_replace(_nz(c), HTML_DROP, "")
     c = F.regexp_replace(c, HTML_TAG, "")
+    park = lambda ch: AMP_PLACEHOLDER if ch == "&" else ch
     for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        c = F.replace(c, F.lit(ent), F.lit(park(ch)))
+    for name, ch in HTML_LEGACY_ENTITIES:
+        c = F.regexp_replace(c, f"&{name}(?!;)", park(ch))
+    return F.replace(c, F.lit(AMP_PLACEHOLDER), F.lit("&"))
 
 
 def html_clean(c: Column) -> Column:

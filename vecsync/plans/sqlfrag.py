@@ -6,7 +6,8 @@ helper takes a SQL expression string and returns one.  RE2 flavour:
 """
 from __future__ import annotations
 
-from ..functions.clean import CTRL, HTML_DROPPED_TAGS, HTML_ENTITIES, WS
+from ..functions.clean import (AMP_PLACEHOLDER, CTRL, HTML_DROPPED_TAGS, HTML_ENTITIES,
+                               HTML_LEGACY_ENTITIES, WS)
 
 
 def q(s: str) -> str:
@@ -41,9 +42,15 @@ def html_text(e: str) -> str:
     parts = [r"<!--.*?-->"] + [rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HTML_DROPPED_TAGS]
     c = rr(f"coalesce({e}, '')", "(?is)" + "|".join(parts))
     c = rr(c, r"<[a-zA-Z/!?][^>]*>")
+    park = lambda ch: AMP_PLACEHOLDER if ch == "&" else ch
     for ent, ch in HTML_ENTITIES:
-        c = f"replace({c}, {q(ent)}, {q(ch)})"
-    return c
+        c = f"replace({c}, {q(ent)}, {q(park(ch))})"
+    for name, ch in HTML_LEGACY_ENTITIES:
+        # RE2 has no look-ahead: consume the next character and put it back;
+        # a second pass catches entities that were adjacent
+        for _ in range(2):
+            c = rr(c, f"&{name}([^;]|$)", park(ch) + r"\1")
+    return f"replace({c}, {q(AMP_PLACEHOLDER)}, '&')"
 
 
 def html_clean(e: str) -> str:
