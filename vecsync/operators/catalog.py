@@ -205,8 +205,8 @@ def classify_collisions(desired: DataFrame, catalog: DataFrame, history: DataFra
     existing = catalog.groupBy(*k).agg(F.collect_set("column_name").alias("existing_columns"))
     d = desired.join(F.broadcast(cols), [*k, "column_name"], "left")
     if history is not None:
-        d = d.join(F.broadcast(history.withColumn("has_history", F.lit(True))),
-                   [*k, "column_name"], "left")
+        # history comes from logs: no hint, the planner / AQE sizes it at run time
+        d = d.join(history.withColumn("has_history", F.lit(True)), [*k, "column_name"], "left")
     else:
         d = d.withColumn("has_history", F.lit(None).cast("boolean"))
     d = d.join(F.broadcast(existing), k, "left")

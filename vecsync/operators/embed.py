@@ -267,8 +267,9 @@ def batch_plan(df: DataFrame, group: list[str], order: list[str], batch_size: in
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     rn = F.col("_offset") + (F.col("_pos") - F.col("_first")) + 1
-    return (x.join(F.broadcast(pieces.select("_pid", *group, "_first", "_offset")),
-                   ["_pid", *group])
+    # one row per (partition, group) present: small in practice but not bounded
+    # by a check, so the join strategy is left to the planner / AQE
+    return (x.join(pieces.select("_pid", *group, "_first", "_offset"), ["_pid", *group])
              .withColumn("row_number", rn)
              .withColumn("batch_no", F.floor((F.col("row_number") - 1) / batch_size))
              .drop("_pid", "_pos", "_first", "_offset"))
