@@ -835,3 +835,25 @@ SELECT count(*) AS total_tables, count(*) FILTER (WHERE status = 'success') AS s
   coalesce(array_to_string(list_sort(list(table_name) FILTER (WHERE status = 'failed')), ','), '')
     AS failed_tables
 FROM t"""
+ORACLE["completeness_report"] = with_(LOG_CTE, HISTORY_CTE, USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
+, allrows AS (
+  SELECT table_name, checked_at, null_vectors, total_rows, vector_column, last_vectorized_at FROM history
+  UNION ALL
+  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS INTEGER),
+         CAST(total_rows AS INTEGER), 'text_vector', CAST(NULL AS TIMESTAMP) FROM tnc
+), daily AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name, vector_column, CAST(checked_at AS DATE)
+                                              ORDER BY checked_at DESC) AS rn FROM allrows) x WHERE rn = 1
+), latest AS (
+  SELECT * FROM (SELECT *, rank() OVER (PARTITION BY table_name, vector_column ORDER BY checked_at DESC) AS r
+                 FROM daily) y WHERE r = 1
+)
+SELECT table_name, vector_column, null_vectors, total_rows,
+  {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage, checked_at,
+  CASE WHEN {S.completion_pct('null_vectors', 'total_rows')} >= 95 THEN 'healthy'
+       WHEN {S.completion_pct('null_vectors', 'total_rows')} >= 80 THEN 'warning' ELSE 'critical' END
+    AS health_status,
+  CASE WHEN last_vectorized_at < {_AS_OF} - INTERVAL 1 HOUR THEN 'stale'
+       WHEN last_vectorized_at < {_AS_OF} - INTERVAL 10 MINUTE THEN 'recent' ELSE 'current' END
+    AS freshness_status
+FROM latest"""

@@ -950,3 +950,15 @@ def q_reconcile_summary(spark, d):
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "failed",
                                                          F.col("table_name")))), ",")
          .alias("failed_tables"))
+
+
+@register("completeness_report")
+def q_completeness_report(spark, d):
+    """§3.3 end to end: today's check upserted into the history, then the
+    worst-first completion summary of the latest check per target."""
+    from . import completeness
+    _, summary, _ = completeness.completeness_report(target_null_counts(spark, d),
+                                                     history(spark, d), CHECK_TIME, derive.AS_OF)
+    return summary.select("table_name", "vector_column", "null_vectors", "total_rows",
+                          "completion_percentage", "checked_at", "health_status",
+                          "freshness_status")
