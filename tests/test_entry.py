@@ -27,12 +27,10 @@ def duck():
     return con
 
 
-FAST = ["clean_basic", "clean_html", "route_events", "snapshot_diff", "system_health_full",
-        "classify_collisions", "knn_exact", "write_back", "completion_after_backfill",
-        "debounce_events", "batch_plan"]
+ALL_WITH_ORACLE = sorted(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", ALL_WITH_ORACLE)
 def test_query_matches_oracle_sf0001(spark, duck, name):
     import sys, os
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "tools"))
