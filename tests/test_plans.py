@@ -69,3 +69,12 @@ def test_bucketed_snapshots_diff_without_shuffle(spark):
     eager = snapshot_diff(old, docs, "doc_id", "text")
     key = lambda r: (r.doc_id, r.operation)
     assert sorted(map(key, diff.collect())) == sorted(map(key, eager.collect()))
+
+
+def test_flagship_ships_only_cleaned_text_to_python(spark, q):
+    p = plan(q["completion_after_backfill"](spark, SF001))
+    sections = re.split(r"\n(?=\(\d+\) )", p)
+    arrow = [s for s in sections if re.match(r"\(\d+\) MapInPandas", s)]
+    assert arrow, "embedding runs in an Arrow task"
+    inputs = re.search(r"Input \[\d+\]: \[(.*)\]", arrow[0]).group(1)
+    assert "text_vector" not in inputs and "embedding" not in inputs and "text#" not in inputs
