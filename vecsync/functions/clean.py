@@ -106,8 +106,12 @@ def html_text(c: Column) -> Column:
     park = lambda ch: AMP_PLACEHOLDER if ch == "&" else ch
     for ent, ch in HTML_ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(park(ch)))
+    legacy = c
     for name, ch in HTML_LEGACY_ENTITIES:
-        c = F.regexp_replace(c, f"&{name}(?!;)", park(ch))
+        legacy = F.regexp_replace(legacy, f"&{name}(?!;)", park(ch))
+    # one scan decides whether the (rare) no-semicolon passes are needed
+    any_legacy = "&(?:" + "|".join(n for n, _ in HTML_LEGACY_ENTITIES) + ")(?!;)"
+    c = F.when(c.rlike(any_legacy), legacy).otherwise(c)
     return F.replace(c, F.lit(AMP_PLACEHOLDER), F.lit("&"))
 
 
