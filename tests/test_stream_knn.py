@@ -157,3 +157,16 @@ def test_late_replay_is_dropped_and_counted(spark):
     assert ST.rows_dropped_by_watermark(q) > 0
     ids = [r.event_id for r in spark.read.parquet(out).collect()]
     assert len(ids) == len(set(ids))          # a replay never duplicates output
+
+
+def test_compaction_equals_current_vectors(spark):
+    f = feed(spark)
+    path = ST.land_feed(f, ST.scratch(spark, "t-land5"), files=3)
+    out, ck = ST.scratch(spark, "t-vec5"), ST.scratch(spark, "t-vec5-ck")
+    ST.stream_vectorize(spark, ST.read_feed(spark, path, 1), derive.routing_config(spark),
+                        out, ck, 8, "m").awaitTermination()
+    snap = ST.scratch(spark, "t-snap5")
+    ST.compact_vectors(spark, out, snap)
+    key = lambda r: (r.table, r.row_id, r.event_id)
+    assert sorted(map(key, spark.read.parquet(snap).collect())) == \
+        sorted(map(key, ST.current_vectors(spark, out).collect()))
