@@ -1,7 +1,9 @@
 """Registered queries of this subpackage: (spark, sf_dir) -> DataFrame, and their SQL."""
 from __future__ import annotations
 
-from vecsync.llm import exact_dedup, simhash
+import public_tokenizers
+
+from vecsync.llm import bpe, exact_dedup, simhash
 from vecsync.llm.common import documents
 
 
@@ -9,9 +11,15 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
 
 
+def op5_byte_bpe(spark, sf_dir):
+    return bpe.encode(documents(spark, sf_dir),
+                      public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN, ids=False)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
