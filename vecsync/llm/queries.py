@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vecsync.llm import bpe, exact_dedup, simhash
+from vecsync.llm import bpe, crf, exact_dedup, simhash
 from vecsync.llm.common import documents
 
 
@@ -21,5 +21,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup)}
+def op7_line_crf(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    field = crf.learn(docs, documents(spark, sf_dir, "labels"), ~crf.held_out())
+    return crf.score(docs, field, 0.3, held_out=crf.held_out())
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
