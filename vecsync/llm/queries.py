@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from vecsync.llm import bpe, crf, exact_dedup, simhash
+from vecsync.llm import bpe, crf, decontam, exact_dedup, simhash
 from vecsync.llm.common import documents
 
 
@@ -27,5 +28,12 @@ def op7_line_crf(spark, sf_dir):
     return crf.score(docs, field, 0.3, held_out=crf.held_out())
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf)}
+def op9_string_tiling(spark, sf_dir):
+    pairs = decontam.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"),
+                           threshold=0.8, shortest=5)
+    return pairs.withColumn("n_tiles", F.size("tiles").cast("long")).drop("tiles")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
+                                  op9_string_tiling)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
