@@ -30,30 +30,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from vecsync.llm.common import per_text
+from vecsync.llm.common import Recent, per_text
 
 #: White space, space, white space or end: only there may a match span a cut at the space.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
-class Recent(dict):
-    """A dict that forgets: the entries of the last one or two generations of ``size``."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Codec:
     """Encoder and decoder for a rank file and a pattern; equal to the merges by rank."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecsync.llm import bpe, crf, decontam, exact_dedup, simhash
+from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, simhash
 from vecsync.llm.common import documents
 
 
@@ -34,6 +34,11 @@ def op9_string_tiling(spark, sf_dir):
     return pairs.withColumn("n_tiles", F.size("tiles").cast("long")).drop("tiles")
 
 
+def op10_huffman_ids(spark, sf_dir):
+    return huffman.round_trip(documents(spark, sf_dir),
+                              public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
-                                  op9_string_tiling)}
+                                  op9_string_tiling, op10_huffman_ids)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
