@@ -4,10 +4,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, simhash
+from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, ppm, simhash
 from vecsync.llm.common import documents
 
 
+def op1_ppm(spark, sf_dir):
+    return ppm.scores(documents(spark, sf_dir))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
 
@@ -39,6 +43,6 @@ def op10_huffman_ids(spark, sf_dir):
                               public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
+QUERIES = {f.__name__: f for f in (op1_ppm, op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
                                   op9_string_tiling, op10_huffman_ids)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
