@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, ppm, simhash
+from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, langid, ppm, simhash
 from vecsync.llm.common import documents
 
 
@@ -16,6 +16,12 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
 
 
+def op4_language_mixture(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    langs, model = langid.learn(docs, ~langid.held_out())
+    return langid.identify(docs, langs, model, langid.held_out())
+
+
 def op5_byte_bpe(spark, sf_dir):
     return bpe.encode(documents(spark, sf_dir),
                       public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -43,6 +49,6 @@ def op10_huffman_ids(spark, sf_dir):
                               public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op3_simhash, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
+QUERIES = {f.__name__: f for f in (op1_ppm, op3_simhash, op4_language_mixture, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
                                   op9_string_tiling, op10_huffman_ids)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
