@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecsync.llm import bpe, crf, decontam, exact_dedup, huffman, langid, ppm, simhash
+from vecsync.llm import (bpe, crf, decontam, exact_dedup, huffman, kdshard, langid, ppm, simhash,
+                         tokencount)
 from vecsync.llm.common import documents
 
 
@@ -12,6 +13,10 @@ def op1_ppm(spark, sf_dir):
     return ppm.scores(documents(spark, sf_dir))
 
 
+def op2_kd_shards(spark, sf_dir):
+    return kdshard.assign(documents(spark, sf_dir), 40, ["n_chars", "source", "lang", "doc_id"])
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
 
@@ -38,6 +43,11 @@ def op7_line_crf(spark, sf_dir):
     return crf.score(docs, field, 0.3, held_out=crf.held_out())
 
 
+def op8_section_tokens(spark, sf_dir):
+    return tokencount.section_counts(documents(spark, sf_dir),
+                                     public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_string_tiling(spark, sf_dir):
     pairs = decontam.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"),
                            threshold=0.8, shortest=5)
@@ -49,6 +59,7 @@ def op10_huffman_ids(spark, sf_dir):
                               public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op3_simhash, op4_language_mixture, op5_byte_bpe, op6_exact_dedup, op7_line_crf,
-                                  op9_string_tiling, op10_huffman_ids)}
+QUERIES = {f.__name__: f for f in (
+    op1_ppm, op2_kd_shards, op3_simhash, op4_language_mixture, op5_byte_bpe, op6_exact_dedup,
+    op7_line_crf, op8_section_tokens, op9_string_tiling, op10_huffman_ids)}
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
