@@ -20,7 +20,7 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
@@ -242,34 +242,65 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
     return df.mapInPandas(run, schema)
 
 
+SAMPLE_KEYS = 8192
+MAX_BUCKETS = 512
+
+
+def key_bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
+    """Up to ``buckets - 1`` sort keys that cut ``df`` into about equal ranges: quantiles of
+    the ``SAMPLE_KEYS`` rows with the lowest hash (a bounded sample)."""
+    from pyspark.sql import functions as F
+
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLE_KEYS).orderBy(*keys)
+    rows = [tuple(r) for r in sample.collect()]
+    return [rows[i * len(rows) // buckets] for i in range(1, buckets)] if rows else []
+
+
+def bucket_of(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """How many bounds are at or below a row's sort key: a pure function of the row, found
+    among every 23rd bound or so first and then among those up to the next one."""
+    from pyspark.sql import functions as F
+
+    if not bounds:
+        return F.lit(0)
+    kinds = [df.schema[k].dataType for k in keys]
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    lit = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}")
+                               for i, (v, t) in enumerate(zip(b, kinds))]) for b in bounds])
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.array(*[F.get(lit, F.lit(i)) for i in range(0, len(bounds), step)])
+    first = F.greatest(F.size(F.filter(coarse, lambda b: b <= key)) - 1, F.lit(0)) * step
+    return first + F.size(F.filter(F.slice(lit, first + 1, F.lit(step)), lambda b: b <= key))
+
+
 def batch_plan(df: DataFrame, group: list[str], order: list[str], batch_size: int
                ) -> DataFrame:
     """W2, table form: ``batch_no = floor((row_number() - 1) / batch_size)``
     per group in ``order`` — computed without a global or per-group window.
 
-    Rows are range-partitioned on (group, order) and sorted inside each
-    partition; a row's position inside its partition comes from
-    ``monotonically_increasing_id``.  A small side table (one row per
-    partition and group) gives each piece its offset, i.e. the number of
-    rows of the same group in earlier partitions.  A group holding a third
-    of all rows is spread over many partitions like any other.  ``order``
+    Sort keys sampled once cut the rows into ranges; a row's range is a pure
+    function of its key, so it is the same wherever it is computed.  Rows are
+    numbered per (group, range), and each range starts after the rows of the
+    group in earlier ranges (a table of one row per group and range).  A
+    group holding a third of all rows is spread over its ranges.  ``order``
     must identify rows uniquely inside a group (a total order).
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     keys = [*group, *order]
-    x = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_pos", F.monotonically_increasing_id()))
-    pieces = x.groupBy("_pid", *group).agg(F.min("_pos").alias("_first"),
-                                           F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    rn = F.col("_offset") + (F.col("_pos") - F.col("_first")) + 1
-    # one row per (partition, group) present: small in practice but not bounded
-    # by a check, so the join strategy is left to the planner / AQE
-    return (x.join(pieces.select("_pid", *group, "_first", "_offset"), ["_pid", *group])
-             .withColumn("row_number", rn)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bounds = key_bounds(df, keys, min(MAX_BUCKETS, 2 * parts))
+    x = df.withColumn("_range", bucket_of(df, keys, bounds))
+    pieces = x.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+                           F.col("_range").alias("_r"),
+                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    x = x.withColumn("_inside", F.row_number().over(inside))
+    same = [x[g].eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return (x.join(pieces, [*same, x["_range"] == pieces["_r"]])
+             .withColumn("row_number", (F.col("_offset") + F.col("_inside")).cast("long"))
              .withColumn("batch_no", F.floor((F.col("row_number") - 1) / batch_size))
-             .drop("_pid", "_pos", "_first", "_offset"))
+             .select(*df.columns, "row_number", "batch_no"))
