@@ -69,7 +69,7 @@ def main():
 
     def stage_knn_ivf():
         corpus, qs = read_table(spark, d, "embeddings"), RG.knn_queries(spark, d)
-        approx = KN.knn_ivf(spark, corpus, qs, 10, nlist=16, nprobe=4)
+        approx = KN.knn_ivf(spark, corpus, qs, 10)
         exact = KN.knn_exact(spark, corpus, qs, 10)
         rec = KN.recall_at_k(approx, exact).agg(F.avg("recall")).first()[0]
         recall_box["recall_at_10"] = round(float(rec or 0.0), 4)

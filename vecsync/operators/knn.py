@@ -1,18 +1,19 @@
 """T4 exact k-NN, T5 IVF k-NN, F19 dimension migration plan.
 
-T4: the query set is bounded (its row count is checked against
-``max_queries`` before it is shipped to executors as one broadcast
-matrix).  Each task scores its corpus batches against all queries with one
-BLAS matrix product and keeps a running top-``k`` per query (total order
-score, then id), so at most ``k × tasks`` candidates per query reach the
-shuffle; a ``row_number() <= k`` window (WindowGroupLimit) per query then
-gives the exact answer.  No join operator, no all-pairs output.
-
-T5: k-means cells (``pyspark.ml``) as the coarse quantiser.  Each corpus
-vector gets its nearest centroid; each query probes its ``nprobe`` nearest
-cells; candidates come from an equi-join on the cell id where the
-query×probe side (bounded, checked) is broadcast, so a hot cell never
-concentrates in one reducer.
+T4: the query set is worked off in blocks of at most ``QUERY_BLOCK`` queries,
+each shipped to executors as one broadcast matrix.  Each task scores its
+corpus batches against the block with one BLAS matrix product and keeps a
+running top-``k`` per query (total order: a number before NaN, score, id),
+so at most ``k × tasks`` candidates per query reach the shuffle; a
+``row_number() <= k`` window (WindowGroupLimit) per query then gives the
+exact answer.  No join operator, no all-pairs output.
+
+T5: k-means cells (``pyspark.ml``, fitted on a bounded sample) as the coarse
+quantiser, about the square root of the corpus size in number.  Each query
+probes its ``nprobe`` nearest cells; a task finds the cell of each of its
+corpus rows, scores a cell's rows only against the queries that probe the
+cell (matrix products again) and keeps the same running top-``k``.  Every
+row is searched, whatever the size of its cell.
 """
 from typing import Iterator
 
@@ -21,9 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import score as score_expr, vsize
+from ..functions.vectors import vsize
+from ..session import checkpoint_dir
 
-MAX_QUERIES = 100_000
+QUERY_BLOCK = 4096
+TRAIN_ROWS = 100_000
 # upper bound of one in-task score matrix (rows × queries or rows × centroids)
 SCORE_CELLS = 4_000_000
 
@@ -39,13 +42,14 @@ def _metric_scores(block: np.ndarray, queries: np.ndarray, metric: str,
         return np.sqrt(np.maximum(bn + (qnorm ** 2)[None, :] - 2.0 * ip, 0.0))
     if metric == "cosine":
         bn = np.sqrt((block * block).sum(axis=1))[:, None]
-        return 1.0 - ip / (bn * qnorm[None, :])
+        with np.errstate(invalid="ignore", divide="ignore"):    # zero vectors: NaN
+            return 1.0 - ip / (bn * qnorm[None, :])
     raise ValueError(metric)
 
 
 def _top_k(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
-    """Per query the ``k`` smallest by the total order (score, id)."""
-    order = np.lexsort((ids, sc, qi))
+    """Per query the ``k`` smallest by the total order (NaN last, score, id)."""
+    order = np.lexsort((ids, sc, np.isnan(sc), qi))
     qi, ids, sc = qi[order], ids[order], sc[order]
     starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
     sizes = np.diff(np.r_[starts, len(qi)])
@@ -54,118 +58,139 @@ def _top_k(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], ids[keep], sc[keep]
 
 
-def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
-              metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding",
-              qid_col: str = "query_id", qvec_col: str = "query_vector",
-              max_queries: int = MAX_QUERIES) -> DataFrame:
-    """T4: exact top-``k`` corpus rows per query: (query_id, rank, id, score).
+class _Running:
+    """Running top-``k`` per query of a block."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.q, self.id, self.s = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add(self, ids: np.ndarray, queries: np.ndarray, sc: np.ndarray) -> None:
+        """Scores of rows (ids) × queries (their numbers): per query the rows at or below its
+        k-th score (ties kept; NaN counts as the largest) go on."""
+        kk = min(self.k, len(ids))
+        filled = np.where(np.isnan(sc), np.inf, sc)
+        cut = np.partition(filled, kk - 1, axis=0)[kk - 1]
+        rows, cols = np.nonzero(filled <= cut[None, :])
+        self.q, self.id, self.s = _top_k(np.r_[self.q, queries[cols]], np.r_[self.id, ids[rows]],
+                                         np.r_[self.s, sc[rows, cols]], self.k)
+
+
+def _blocks(queries: DataFrame, qid_col: str, qvec_col: str, block: int):
+    """(ids, matrix) of the query set, about ``block`` queries at a time."""
+    checkpoint_dir(queries.sparkSession)
+    q = queries.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).checkpoint()
+    n = -(-q.count() // block)
+    for b in range(n):
+        rows = q.filter(F.pmod(F.xxhash64(qid_col), F.lit(n)) == b).collect()
+        if rows:
+            yield (np.array([r[0] for r in rows], dtype=np.int64),
+                   np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
+
+
+def _cut_to_k(cand: list[DataFrame], spark: SparkSession, k: int, qid_col: str, id_col: str
+              ) -> DataFrame:
+    schema = f"{qid_col} long, {id_col} long, score double"
+    every = spark.createDataFrame([], schema)
+    for c in cand:
+        every = every.unionByName(c)
+    # pandas hands NaN over as null
+    every = every.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+    w = Window.partitionBy(qid_col).orderBy(F.col("score"), F.col(id_col))
+    return (every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                 .select(qid_col, "rank", id_col, "score"))
 
-    Each task keeps a running top-k per query over all its batches (total
-    order score, then id, so the merge stays exact) and emits it once: at
-    most ``k × tasks`` rows per query reach the shuffle.
-    """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries exceed the broadcast bound {max_queries}; "
-                         "split the query set")
-    q = queries.select(qid_col, qvec_col).collect()   # bounded by the check above
-    qids = np.array([r[0] for r in q], dtype=np.int64)
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in q]).reshape(len(q), -1)
-    bc = spark.sparkContext.broadcast((qids, qmat))
+
+def _search(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str, id_col: str,
+            vec_col: str, qid_col: str, centers: np.ndarray | None = None,
+            nprobe: int = 0) -> DataFrame:
+    """Candidates of one block of queries: of all rows, or of the cells that they probe."""
+    ids_q, mat = block
+    probe = _cells(mat, centers, nprobe) if centers is not None else None
+    sent = spark.sparkContext.broadcast((ids_q, mat, centers, probe))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, mat = bc.value
-        if len(ids_q) == 0:
-            return
+        ids_q, mat, centers, probe = sent.value
         qnorm = np.sqrt((mat * mat).sum(axis=1))
-        acc_q = np.empty(0, dtype=np.int64)
-        acc_id = np.empty(0, dtype=np.int64)
-        acc_s = np.empty(0, dtype=np.float64)
+        best = _Running(k)
+        everyone = np.arange(len(ids_q))
         step = max(1, SCORE_CELLS // len(ids_q))   # rows × queries per score matrix
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0:
-                continue
             all_ids = pdf[id_col].to_numpy().astype(np.int64)
             vecs = pdf[vec_col].to_numpy()
             for lo in range(0, len(pdf), step):
-                block = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
+                rows = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
                 ids = all_ids[lo:lo + step]
-                sc = _metric_scores(block, mat, metric, qnorm)        # rows × Q
-                kk = min(k, len(ids))
-                # rows at or below each query's k-th score (ties kept), then the
-                # exact (score, id) cut merged into the running top-k
-                cut = np.partition(sc, kk - 1, axis=0)[kk - 1]
-                rows, cols = np.nonzero(sc <= cut[None, :])
-                acc_q, acc_id, acc_s = _top_k(np.r_[acc_q, cols], np.r_[acc_id, ids[rows]],
-                                              np.r_[acc_s, sc[rows, cols]], k)
-        if len(acc_q):
-            yield pd.DataFrame({qid_col: ids_q[acc_q], id_col: acc_id, "score": acc_s})
-
-    cand = corpus.select(id_col, vec_col).mapInPandas(
+                if centers is None:
+                    best.add(ids, everyone, _metric_scores(rows, mat, metric, qnorm))
+                    continue
+                cell = _cells(rows, centers, 1)[:, 0]
+                for c in np.unique(cell):
+                    own, asks = cell == c, np.flatnonzero((probe == c).any(axis=1))
+                    if len(asks):
+                        best.add(ids[own], asks, _metric_scores(rows[own], mat[asks], metric,
+                                                                qnorm[asks]))
+        if len(best.q):
+            yield pd.DataFrame({qid_col: ids_q[best.q], id_col: best.id, "score": best.s})
+
+    return corpus.select(id_col, vec_col).mapInPandas(
         run, f"{qid_col} long, {id_col} long, score double")
-    w = Window.partitionBy(qid_col).orderBy(F.col("score"), F.col(id_col))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select(qid_col, "rank", id_col, "score"))
+
+
+def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
+              metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding",
+              qid_col: str = "query_id", qvec_col: str = "query_vector",
+              query_block: int = QUERY_BLOCK) -> DataFrame:
+    """T4: exact top-``k`` corpus rows per query: (query_id, rank, id, score).
+
+    A NaN score (cosine with a zero vector) ranks after all numbers.
+    """
+    cand = [_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col)
+            for block in _blocks(queries, qid_col, qvec_col, query_block)]
+    return _cut_to_k(cand, spark, k, qid_col, id_col)
 
 
 def train_cells(corpus: DataFrame, nlist: int, vec_col: str = "embedding", seed: int = 7,
-                max_iter: int = 20):
-    """Fit k-means centroids (the IVF coarse quantiser)."""
+                max_iter: int = 20, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Fit k-means centroids (the IVF coarse quantiser) on about ``train_rows`` rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    feats = corpus.select(array_to_vector(F.col(vec_col)).alias("features"))
+    have = corpus.filter(F.col(vec_col).isNotNull())
+    n = have.count()
+    if n > train_rows:
+        have = have.sample(train_rows / n, seed=seed)
+    feats = have.select(array_to_vector(F.col(vec_col)).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    return [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
-
-
-def _nearest_cells(spark: SparkSession, df: DataFrame, vec_col: str, centers, nprobe: int,
-                   out: str) -> DataFrame:
-    cmat = np.stack(centers)
-    bc = spark.sparkContext.broadcast(cmat)
-    cols = df.columns
+    return np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cn = (c * c).sum(axis=1)
-            vecs = pdf[vec_col].to_numpy()
-            step = max(1, SCORE_CELLS // len(c))
-            best = []
-            for lo in range(0, len(pdf), step):
-                block = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
-                # squared L2 via the BLAS expansion: memory rows × centroids only
-                d = (block * block).sum(axis=1)[:, None] + cn[None, :] - 2.0 * (block @ c.T)
-                best.extend(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32))
-            pdf = pdf.copy()
-            pdf[out] = best
-            yield pdf
 
-    schema = df.select(*cols, F.array(F.lit(0)).alias(out)).schema
-    return df.mapInPandas(run, schema)
+def _cells(rows: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
+    """The ``nprobe`` nearest cells of every row, nearest first."""
+    # squared L2 via the BLAS expansion: memory rows × centroids only
+    d = ((rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
+         - 2.0 * (rows @ centers.T))
+    return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
 
 
 def knn_ivf(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
-            nlist: int = 16, nprobe: int = 4, metric: str = "l2", id_col: str = "vec_id",
-            vec_col: str = "embedding", qid_col: str = "query_id",
-            qvec_col: str = "query_vector", max_queries: int = MAX_QUERIES) -> DataFrame:
-    """T5: approximate top-``k`` via ``nprobe`` of ``nlist`` k-means cells."""
+            nlist: int | None = None, nprobe: int | None = None, metric: str = "l2",
+            id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "query_id",
+            qvec_col: str = "query_vector", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """T5: approximate top-``k`` via ``nprobe`` of ``nlist`` k-means cells.
+
+    ``nlist`` defaults to the square root of the corpus size and ``nprobe`` to
+    six tenths of the cells, which vectors without clusters need for a recall
+    of 0.9; clustered ones need far fewer.  ``nprobe = nlist`` is exact.
+    """
+    if nlist is None:
+        nlist = max(1, round(corpus.count() ** 0.5))
     centers = train_cells(corpus, nlist, vec_col)
-    cells = _nearest_cells(spark, corpus.select(id_col, vec_col), vec_col, centers, 1, "_c") \
-        .select(id_col, vec_col, F.col("_c")[0].alias("cell"))
-    n = queries.count()
-    if n * nprobe > max_queries:
-        raise ValueError("query × nprobe side exceeds the broadcast bound")
-    probes = _nearest_cells(spark, queries.select(qid_col, qvec_col), qvec_col, centers, nprobe,
-                            "_p").select(qid_col, qvec_col, F.explode("_p").alias("cell"))
-    cand = cells.join(F.broadcast(probes), "cell")
-    s = cand.withColumn("score", score_expr(metric, F.col(vec_col), F.col(qvec_col)))
-    w = Window.partitionBy(qid_col).orderBy(F.col("score"), F.col(id_col))
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-            .select(qid_col, "rank", id_col, "score")
+    nprobe = min(len(centers), nprobe or max(1, -(-6 * len(centers) // 10)))
+    cand = [_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col, centers, nprobe)
+            for block in _blocks(queries, qid_col, qvec_col, query_block)]
+    return _cut_to_k(cand, spark, k, qid_col, id_col)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "query_id",
