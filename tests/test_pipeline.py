@@ -131,3 +131,47 @@ def test_approx_percentile_variant_is_close(spark):
         lo, hi = vals[max(0, int(pos) - 1)], vals[min(len(vals) - 1, int(pos) + 2)]
         assert lo <= approx.p95_processing_time_ms <= hi
         assert vals[int(pos)] <= exact.p95_processing_time_ms <= vals[min(len(vals) - 1, int(pos) + 1)]
+
+
+def test_exact_percentile_narrows_to_the_value(spark, monkeypatch):
+    """All latencies distinct, many equal, few, none: as ``percentile`` gives it."""
+    import random
+
+    from pyspark.sql import functions as F
+    from vecsync.operators import monitor as M
+    monkeypatch.setattr(M, "NARROW", 20)
+    rnd = random.Random(1)
+    for values in ([rnd.random() * 1e6 for _ in range(5000)], [1.5] * 400 + [2.5] * 90 + [9.0],
+                   [3.0], [1.0, 2.0], [-1e300, 0.0, 1e300] * 50,
+                   [rnd.choice([1.0, 2.0, 3.0]) + rnd.random() * 1e-9 for _ in range(3000)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            want = df.agg(F.percentile("x", F.lit(q))).first()[0]
+            got = M.exact_percentile(df, "x", q)
+            assert got == want or abs(got - want) <= 1e-9 * abs(want), (q, got, want)
+    assert M.exact_percentile(df.limit(0), "x", 0.95) is None
+
+
+def test_registered_names_reach_the_mapping(spark):
+    """K2 then K3: a renamed cleaned-text column is found again."""
+    from vecsync.operators import catalog as K
+    want = spark.createDataFrame([("s", "t", "cleaned_config", "text_cleaned_config"),
+                                  ("s", "t", "vector", "text_vector")],
+                                 "schema_name string, table_name string, role string, "
+                                 "column_name string")
+    reg = want.select("schema_name", "table_name", K.role_family(want.role).alias("column_type"),
+                      want.column_name.alias("original_column_name")).selectExpr(
+        "*", "original_column_name || '_v2' AS actual_column_name")
+    got = {r.column_name: r.actual_column_name for r in K.column_mapping(want, reg).collect()}
+    assert got == {"text_cleaned_config": "text_cleaned_config_v2", "text_vector": "text_vector_v2"}
+
+
+def test_counts_beyond_the_int_range(spark):
+    from vecsync.operators import writeback as WB
+    cols = "database_name string, schema_name string, table_name string, vector_column string, " \
+           "checked_at timestamp_ntz, null_vectors long, total_rows long"
+    df = spark.sql("SELECT 'd' AS database_name, 's' AS schema_name, 't' AS table_name, 'v' AS "
+                   "vector_column, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS checked_at, "
+                   "3000000000L AS null_vectors, 4000000000L AS total_rows")
+    out = WB.upsert_daily_status(spark.createDataFrame([], cols), df).first()
+    assert (out.null_vectors, out.total_rows) == (3_000_000_000, 4_000_000_000)

@@ -1,5 +1,6 @@
 """Batch ≡ streaming, k-NN exactness and IVF recall, skew-safe batch numbering."""
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def test_stream_debounce_multi_batch_equals_batch(spark):
     path = ST.land_feed_in_order(f, ST.scratch(spark, "t-land"), chunks=4)
     p = ST.parsed(ST.read_feed(spark, path, 1)).select("event_id", "table", "row_id", "ts")
     s = ST.stream_debounce(p, ["table", "row_id"], "ts", 3600.0,
-                           "event_id long, table string, row_id long, ts timestamp_ntz")
+                           "event_id long, table string, row_id string, ts timestamp_ntz")
     got = ST.run_to_table(spark, s, "t-dedup")
     batch = detect.debounce(ST.parsed(f).select("event_id", "table", "row_id", "ts"),
                             ["table", "row_id"], "ts", 3600.0)
@@ -53,6 +54,16 @@ def test_debounce_hot_key_matches_plain_window(spark):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
 
 
+def test_batch_plan_null_groups_and_mixed_keys(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", i % 7, f"k{i:04d}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, a int, b string, v long")
+    got = {(r.g, r.b): r.row_number for r in batch_plan(df, ["g"], ["a", "b"], 10).collect()}
+    w = Window.partitionBy("g").orderBy("a", "b")
+    want = {(r.g, r.b): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
+    assert batch_plan(df.limit(0), ["g"], ["a", "b"], 10).count() == 0
+
+
 def test_batch_plan_skewed_group(spark):
     rows = [(0 if i % 10 else i % 3 + 1, i) for i in range(5000)]
     df = spark.createDataFrame(rows, "g int, id long").repartition(7)
@@ -127,6 +138,58 @@ def test_knn_exact_ties_break_by_id(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+@pytest.mark.parametrize("block", [4096, 2])
+def test_knn_with_zero_vectors_and_query_blocks(spark, metric, block):
+    """A NaN score ranks last and hides nothing; blocks of queries change nothing."""
+    rng = np.random.default_rng(3)
+    corpus = rng.normal(size=(50, 4))
+    corpus[[0, 7]] = 0.0
+    queries = np.vstack([corpus[3:8], np.zeros((1, 4))])
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)] + [(99, None)],
+                                "vec_id long, embedding array<double>").repartition(30)
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)],
+                                "query_id long, query_vector array<double>")
+    got = KN.knn_exact(spark, cdf, qdf, 3, metric, query_block=block).collect()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for qi, q in enumerate(queries):
+            s = {"l2": np.sqrt(((corpus - q) ** 2).sum(1)), "ip": -(corpus @ q),
+                 "cosine": 1 - (corpus @ q) / (np.sqrt((corpus ** 2).sum(1) * (q ** 2).sum()))
+                 }[metric]
+            own = sorted((r for r in got if r.query_id == qi), key=lambda r: r["rank"])
+            assert len(own) == 3
+            order = np.lexsort((np.arange(50), np.round(s, 9), np.isnan(s)))[:3]
+            want = s[order]
+            assert np.allclose([r.score for r in own], want, atol=1e-6, equal_nan=True)
+            if np.isnan(s).all():
+                assert [r.vec_id for r in own] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("parts,aqe", [(16, "true"), (64, "false")])
+def test_batch_plan_of_two_million_rows(spark, parts, aqe):
+    """Equal to the plain window, no row missing, with a payload column and hot groups."""
+    from pyspark.sql import functions as F
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                           "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        df = spark.range(2_000_000).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id") % 50).alias("g"),
+            F.xxhash64("id", F.lit(1)).alias("o"), F.concat(F.lit("p"), "id").alias("payload"))
+        got = batch_plan(df, ["g"], ["o"], 64)
+        w = Window.partitionBy("g").orderBy("o")
+        want = df.withColumn("rn", F.row_number().over(w))
+        both = want.join(got, ["g", "o"], "left")
+        r = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(
+            (F.col("rn") == F.col("row_number"))
+            & (F.col("batch_no") == F.floor((F.col("rn") - 1) / 64))).alias("ok")).first()
+        assert got.count() == 2_000_000 and r.n == r.ok == 2_000_000
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_watermark_dedup_keeps_one_row_per_key_in_a_batch(spark):
     f = feed(spark)
     path = ST.land_feed(f, ST.scratch(spark, "t-land3"), files=2)
@@ -147,7 +210,7 @@ def test_late_replay_is_dropped_and_counted(spark):
         .write.mode("append").parquet(path)
     p = ST.parsed(ST.read_feed(spark, path, 1)).select("event_id", "table", "row_id", "ts")
     s = ST.stream_debounce(p, ["table", "row_id"], "ts", 3600.0,
-                           "event_id long, table string, row_id long, ts timestamp_ntz",
+                           "event_id long, table string, row_id string, ts timestamp_ntz",
                            delay="1 hour")
     out = ST.scratch(spark, "t-late-out")
     q = (s.writeStream.format("parquet").option("path", out)

@@ -203,13 +203,13 @@ def classify_collisions(desired: DataFrame, catalog: DataFrame, history: DataFra
     cols = catalog.select(*k, "column_name", F.col("data_type").alias("existing_column_type"),
                           "is_vector", "dimension")
     existing = catalog.groupBy(*k).agg(F.collect_set("column_name").alias("existing_columns"))
-    d = desired.join(F.broadcast(cols), [*k, "column_name"], "left")
+    d = desired.join(cols, [*k, "column_name"], "left")
     if history is not None:
         # history comes from logs: no hint, the planner / AQE sizes it at run time
         d = d.join(history.withColumn("has_history", F.lit(True)), [*k, "column_name"], "left")
     else:
         d = d.withColumn("has_history", F.lit(None).cast("boolean"))
-    d = d.join(F.broadcast(existing), k, "left")
+    d = d.join(existing, k, "left")
     name = F.col("column_name")
     exists = F.col("existing_column_type").isNotNull()
     ctype = (F.when(~exists, "no_collision").when(F.col("is_vector"), "existing_vector")
@@ -278,15 +278,25 @@ def collision_log_rows(resolved: DataFrame, occurred_at: str, config_key: str) -
 
 # --- K3 / K4 / J6 / J7 ------------------------------------------------------------
 
+def role_family(role: Column) -> Column:
+    """The registry's type of a column role: cleaned text, its config and time are one."""
+    return F.when(role.startswith("cleaned"), "cleaned").otherwise(role)
+
+
 def column_mapping(desired: DataFrame, registry: DataFrame) -> DataFrame:
-    """K3: actual column per (table, role); falls back to the default name."""
+    """K3: actual column per (table, role); falls back to the default name.
+
+    The registry (K2) files all cleaned-text columns under one type, so both
+    sides are compared by that family; the original name tells them apart.
+    """
     reg = registry.select("schema_name", "table_name",
-                          F.col("column_type").alias("role"),
+                          role_family(F.col("column_type")).alias("_family"),
                           F.col("original_column_name").alias("column_name"),
                           "actual_column_name")
-    return desired.join(F.broadcast(reg), ["schema_name", "table_name", "role", "column_name"],
-                        "left") \
-        .withColumn("actual_column_name", F.coalesce("actual_column_name", "column_name"))
+    return desired.withColumn("_family", role_family(F.col("role"))) \
+        .join(reg, ["schema_name", "table_name", "_family", "column_name"], "left") \
+        .withColumn("actual_column_name", F.coalesce("actual_column_name", "column_name")) \
+        .drop("_family")
 
 
 def reconcile_plan(resolved: DataFrame, catalog: DataFrame, dry_run: bool = True) -> DataFrame:
@@ -296,8 +306,8 @@ def reconcile_plan(resolved: DataFrame, catalog: DataFrame, dry_run: bool = True
     present = catalog.select(*k, F.col("column_name").alias("resolved_column_name"),
                              F.lit(True).alias("_present"))
     rows = catalog.groupBy(*k).agg(F.max("row_count").alias("row_count"))
-    p = resolved.join(F.broadcast(present), [*k, "resolved_column_name"], "left") \
-                .join(F.broadcast(rows), k, "left")
+    p = resolved.join(present, [*k, "resolved_column_name"], "left") \
+                .join(rows, k, "left")
     todo = p.filter(F.col("_present").isNull())
     ddl = F.concat(F.lit("ALTER TABLE "), F.col("schema_name"), F.lit("."), F.col("table_name"),
                    F.lit(" ADD COLUMN "), F.col("resolved_column_name"), F.lit(" "),
@@ -332,7 +342,7 @@ def known_dimensions(spark: SparkSession) -> DataFrame:
 def model_dimension_check(configs: DataFrame, known: DataFrame) -> DataFrame:
     """Configured (model, dimensions) ⟕ known widths → ok / mismatch /
     unknown / exceeds_max (narrower is fine for shortenable models)."""
-    j = configs.join(F.broadcast(known), "model", "left")
+    j = configs.join(known, "model", "left")
     kd, d = F.col("known_dimension"), F.col("dimensions")
     short = F.col("model").startswith(SHORTENABLE_MODEL_PREFIX)
     status = (F.when(kd.isNull(), "unknown").when(d == kd, "ok")

@@ -1,9 +1,8 @@
 """Routing: J1, J3, F6, P11.
 
 The routing table holds one row per vectorization target (the reference's
-table configs).  It is bounded by the number of configured targets — never
-by data — so it is the broadcast side of every join here; the size is
-checked before the hint.
+table configs).  Joins with it carry no hint: the planner and adaptive
+execution size both sides.
 """
 from __future__ import annotations
 
@@ -13,15 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 
 KEY = ["_db", "schema", "table"]
-MAX_BROADCAST_ROUTES = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROUTES) -> DataFrame:
-    """Broadcast a config-sized frame after proving its size bound."""
-    n = df.count()
-    if n > max_rows:
-        return df  # let the planner choose a shuffle join
-    return F.broadcast(df)
 
 
 def route_keys(routing: DataFrame) -> DataFrame:
@@ -48,7 +38,7 @@ def _route(events: DataFrame, routing: DataFrame, how: str) -> DataFrame:
                  *[c for c in routing.columns if c not in ("database", "schema", "table")])
     cond = [(events["database"] == r["_r_db"]), (events["schema"] == r["_r_schema"]),
             (events["table"] == r["_r_table"])]
-    out = events.join(checked_broadcast(r), cond, how)
+    out = events.join(r, cond, how)
     return out.drop("_r_db", "_r_schema", "_r_table")
 
 

@@ -21,9 +21,11 @@ def write_back(table: DataFrame, updates: DataFrame, id_col: str, vector_col: st
 
     Ids missing from ``table`` are skipped (left join from the table side).
     With ``guard_stale`` an update older than the stored vector is ignored
-    (late / replayed events, ST6).  Several updates per id: the newest wins.
+    (late / replayed events, ST6).  Several updates per id: the newest wins;
+    of equally new ones the greatest (model, vector).
     """
-    w = Window.partitionBy(id_col).orderBy(F.col(new_created).desc())
+    w = Window.partitionBy(id_col).orderBy(F.col(new_created).desc(), F.col(new_model).desc(),
+                                           F.col(new_vector).desc())
     latest = (updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
                      .select(id_col, new_vector, new_model, new_created))
     j = table.join(latest, id_col, "left")
@@ -68,10 +70,13 @@ def upsert_daily_status(history: DataFrame, checks: DataFrame,
                         key: tuple[str, ...] = ("database_name", "schema_name", "table_name",
                                                 "vector_column")) -> DataFrame:
     """A later check on the same day replaces the earlier one; one row
-    per (key, day).  Union + ``row_number`` per (key, to_date(checked_at))."""
+    per (key, day).  Union + ``row_number`` per (key, to_date(checked_at));
+    equally late checks are told apart by their other columns, greatest first."""
     cols = history.columns
     both = history.unionByName(checks.select(*cols))
-    w = Window.partitionBy(*key, F.to_date("checked_at")).orderBy(F.col("checked_at").desc())
+    w = Window.partitionBy(*key, F.to_date("checked_at")).orderBy(
+        F.col("checked_at").desc(),
+        *[F.col(c).desc() for c in cols if c not in (*key, "checked_at")])
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn") \
                .withColumn("completion_percentage",
                            completion_pct(F.col("null_vectors"), F.col("total_rows")))

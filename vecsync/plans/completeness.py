@@ -19,8 +19,8 @@ def check_rows(null_counts: DataFrame, checked_at: str, config_key: str = "defau
     return null_counts.select(
         F.lit(checked_at).cast("timestamp_ntz").alias("checked_at"), "database_name",
         "schema_name", "table_name", "vector_column", F.lit(config_key).alias("config_key"),
-        F.col("null_vectors").cast("int").alias("null_vectors"),
-        F.col("total_rows").cast("int").alias("total_rows"),
+        F.col("null_vectors").cast("long").alias("null_vectors"),
+        F.col("total_rows").cast("long").alias("total_rows"),
         F.lit(None).cast("timestamp_ntz").alias("last_vectorized_at"))
 
 

@@ -208,8 +208,8 @@ def status_history(events: DataFrame) -> DataFrame:
     g = log.groupBy("database_name", "schema_name", "table_name", "vector_column",
                     F.to_date("created_at").alias("_day")).agg(
         F.max("created_at").alias("checked_at"),
-        F.count_if(F.col("status") != "success").cast("int").alias("null_vectors"),
-        F.count(F.lit(1)).cast("int").alias("total_rows"),
+        F.count_if(F.col("status") != "success").alias("null_vectors"),
+        F.count(F.lit(1)).alias("total_rows"),
         F.max(F.when(F.col("status") == "success", F.col("created_at"))).alias("last_vectorized_at"))
     return g.select("checked_at", "database_name", "schema_name", "table_name", "vector_column",
                     F.lit("default").alias("config_key"), "null_vectors", "total_rows",

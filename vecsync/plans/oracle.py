@@ -261,8 +261,8 @@ LOG_CTE = f"""log AS (
 HISTORY_CTE = """history AS (
   SELECT max(created_at) AS checked_at, database_name, schema_name, table_name, vector_column,
     'default' AS config_key,
-    CAST(count(*) FILTER (WHERE status <> 'success') AS INTEGER) AS null_vectors,
-    CAST(count(*) AS INTEGER) AS total_rows,
+    CAST(count(*) FILTER (WHERE status <> 'success') AS BIGINT) AS null_vectors,
+    CAST(count(*) AS BIGINT) AS total_rows,
     max(created_at) FILTER (WHERE status = 'success') AS last_vectorized_at
   FROM log GROUP BY database_name, schema_name, table_name, vector_column, CAST(created_at AS DATE)
 )"""
@@ -344,8 +344,8 @@ ORACLE["null_status_daily"] = with_(LOG_CTE, HISTORY_CTE, USER_CTE, TEXT_ROWS_CT
 , allrows AS (
   SELECT table_name, checked_at, null_vectors, total_rows, vector_column FROM history
   UNION ALL
-  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS INTEGER),
-         CAST(total_rows AS INTEGER), 'text_vector' FROM tnc
+  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS BIGINT),
+         CAST(total_rows AS BIGINT), 'text_vector' FROM tnc
 )
 SELECT table_name, CAST(checked_at AS DATE) AS day, checked_at, null_vectors, total_rows,
   {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage
@@ -661,7 +661,8 @@ ORACLE["column_mapping"] = with_(*COLL_CTES) + """
 SELECT d.table_name, d.text_column, d.role, d.column_name,
        coalesce(r.actual_column_name, d.column_name) AS actual_column_name
 FROM desired d LEFT JOIN reg r ON r.schema_name = d.schema_name AND r.table_name = d.table_name
-  AND r.column_type = d.role AND r.original_column_name = d.column_name"""
+  AND (r.column_type = d.role OR (r.column_type LIKE 'cleaned%' AND d.role LIKE 'cleaned%'))
+  AND r.original_column_name = d.column_name"""
 _ROLE_TYPE = ("CASE role WHEN 'vector' THEN 'vector' WHEN 'model' THEN 'text' WHEN 'timestamp' THEN "
               "'timestamp' WHEN 'cleaned' THEN 'text' WHEN 'cleaned_config' THEN 'text' "
               "WHEN 'cleaned_timestamp' THEN 'timestamp' END")
@@ -742,6 +743,7 @@ WHERE rank <= 10"""
 
 
 ORACLE["knn_exact"] = _knn_sql("list_distance(ev, qv)")
+ORACLE["knn_ivf_full_probe"] = ORACLE["knn_exact"]
 ORACLE["knn_exact_cosine"] = _knn_sql("1.0 - list_cosine_similarity(ev, qv)")
 ORACLE["knn_exact_ip"] = _knn_sql("-list_inner_product(ev, qv)")
 ORACLE["vector_text_roundtrip"] = "SELECT vec_id, len(embedding) AS dim, TRUE AS roundtrip_equal FROM embeddings"
@@ -839,8 +841,8 @@ ORACLE["completeness_report"] = with_(LOG_CTE, HISTORY_CTE, USER_CTE, TEXT_ROWS_
 , allrows AS (
   SELECT table_name, checked_at, null_vectors, total_rows, vector_column, last_vectorized_at FROM history
   UNION ALL
-  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS INTEGER),
-         CAST(total_rows AS INTEGER), 'text_vector', CAST(NULL AS TIMESTAMP) FROM tnc
+  SELECT table_name, TIMESTAMP '2024-01-30 23:59:59', CAST(null_vectors AS BIGINT),
+         CAST(total_rows AS BIGINT), 'text_vector', CAST(NULL AS TIMESTAMP) FROM tnc
 ), daily AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name, vector_column, CAST(checked_at AS DATE)
                                               ORDER BY checked_at DESC) AS rn FROM allrows) x WHERE rn = 1

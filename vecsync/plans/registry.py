@@ -355,8 +355,8 @@ def q_null_status_daily(spark, d):
     checks = target_null_counts(spark, d).select(
         F.lit(CHECK_TIME).cast("timestamp_ntz").alias("checked_at"), "database_name", "schema_name",
         "table_name", "vector_column", F.lit("default").alias("config_key"),
-        F.col("null_vectors").cast("int").alias("null_vectors"),
-        F.col("total_rows").cast("int").alias("total_rows"),
+        F.col("null_vectors").cast("long").alias("null_vectors"),
+        F.col("total_rows").cast("long").alias("total_rows"),
         F.lit(None).cast("timestamp_ntz").alias("last_vectorized_at"))
     return WB.upsert_daily_status(history(spark, d), checks).select(
         "table_name", F.to_date("checked_at").alias("day"), "checked_at", "null_vectors",
@@ -652,7 +652,7 @@ def q_alternative_names(spark, d):
     """F9 for every column of every table: alternatives to each existing name."""
     c = catalog(spark, d)
     ex = c.groupBy("table_name").agg(F.collect_set("column_name").alias("existing"))
-    return c.select("table_name", "column_name").join(F.broadcast(ex), "table_name").select(
+    return c.select("table_name", "column_name").join(ex, "table_name").select(
         "table_name", "column_name",
         F.array_join(K.alternative_names(F.col("column_name"), F.col("existing")), ",")
          .alias("alternatives"),
@@ -748,8 +748,7 @@ def q_registry_upsert(spark, d):
     new = r.select("database_name", "schema_name", "table_name",
                    F.col("column_name").alias("original_column_name"),
                    F.col("resolved_column_name").alias("actual_column_name"),
-                   F.when(F.col("role").startswith("cleaned"), "cleaned")
-                    .otherwise(F.col("role")).alias("column_type"),
+                   K.role_family(F.col("role")).alias("column_type"),
                    F.lit(None).cast("int").alias("dimension"),
                    F.lit(derive.CURRENT_MODEL).alias("model_name"),
                    F.lit(derive.AS_OF).cast("timestamp_ntz").alias("created_at"),
@@ -805,12 +804,19 @@ register("knn_exact_ip")(_knn("ip"))
 @register("knn_ivf")
 def q_knn_ivf(spark, d):
     corpus, qs = T(spark, d, "embeddings"), knn_queries(spark, d)
-    approx = KN.knn_ivf(spark, corpus, qs, KNN_K, nlist=8, nprobe=3)
+    approx = KN.knn_ivf(spark, corpus, qs, KNN_K)
     exact = KN.knn_exact(spark, corpus, qs, KNN_K)
     rec = KN.recall_at_k(approx, exact)
     return approx.join(rec, "query_id").withColumn("score", F.round("score", 6))
 
 
+@register("knn_ivf_full_probe")
+def q_knn_ivf_full_probe(spark, d):
+    r = KN.knn_ivf(spark, T(spark, d, "embeddings"), knn_queries(spark, d), KNN_K, nlist=8,
+                   nprobe=8)
+    return r.withColumn("score", F.round("score", 6))
+
+
 @register("vector_text_roundtrip")
 def q_vector_text_roundtrip(spark, d):
     e = T(spark, d, "embeddings")
@@ -869,7 +875,7 @@ def q_stream_route(spark, d):
 def q_stream_dedup(spark, d):
     p = ST.parsed(ST.read_feed(spark, landed_feed(spark, d)))
     s = ST.stream_debounce(p.select("event_id", "table", "row_id", "ts"), ["table", "row_id"],
-                           "ts", 3600.0, "event_id long, table string, row_id long, ts timestamp_ntz")
+                           "ts", 3600.0, "event_id long, table string, row_id string, ts timestamp_ntz")
     return ST.run_to_table(spark, s, "stream_dedup")
 
 

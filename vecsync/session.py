@@ -7,6 +7,7 @@ bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,15 +48,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when the session has none (local tests) a private scratch folder is
-    created and set.  On a cluster the configured shared folder is used as is.
+    Only a local session without one gets a private scratch folder; on a cluster a
+    machine-local folder would lose files, so there the setting is required.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver "
+                               f"and all executors of {master} share")
         d = tempfile.mkdtemp(prefix="vecsync-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -92,20 +92,26 @@ def row_field(row_json_col: str, field: F.Column | str, cast: str = "string") ->
 
 def with_row_fields(events: DataFrame, id_field: str = "id", text_field: str = "text",
                     vector_field: str = "text_vector") -> DataFrame:
-    """``row_id``, ``new_text``, ``old_text``, ``new_vector`` from the NEW / OLD
-    row objects — each row object is parsed once into a map."""
+    """``row_id`` (text: ids may be numbers, UUIDs or names), ``new_text``, ``old_text``,
+    ``new_vector`` from the NEW / OLD row objects — each is parsed once into a map."""
     x = events.select("*", F.from_json(F.col("id"), "map<string,string>").alias("_new"),
                       F.from_json(F.col("old_id"), "map<string,string>").alias("_old"))
     new, old = F.col("_new"), F.col("_old")
     return x.select(
         *events.columns,
         F.coalesce(F.element_at(new, F.lit(id_field)),
-                   F.element_at(old, F.lit(id_field))).cast("bigint").alias("row_id"),
+                   F.element_at(old, F.lit(id_field))).alias("row_id"),
         F.element_at(new, F.lit(text_field)).alias("new_text"),
         F.element_at(old, F.lit(text_field)).alias("old_text"),
         F.element_at(new, F.lit(vector_field)).alias("new_vector"))
 
 
+def wall_clock(instant: F.Column) -> F.Column:
+    """An instant as its UTC wall clock (TIMESTAMP_NTZ), whatever the session zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def read_feed_kafka(spark, bootstrap_servers: str, topic: str,
                     starting_offsets: str = "earliest", **options) -> DataFrame:
     """S3 from Kafka: ``(event_id, ts, value)`` in the shape every feed
@@ -119,19 +125,21 @@ def read_feed_kafka(spark, bootstrap_servers: str, topic: str,
     raw = r.load()
     return raw.select(
         (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("event_id"),
-        F.col("timestamp").alias("ts"), F.col("value").cast("string").alias("value"))
+        wall_clock(F.col("timestamp")).alias("ts"), F.col("value").cast("string").alias("value"))
 
 
 def with_config_fields(routed: DataFrame) -> DataFrame:
-    """After routing: take ``row_id`` / ``new_text`` / ``old_text`` from the
-    row objects by each event's configured ``id_column`` / ``text_column``
-    (tables differ in both), one map parse per row object."""
+    """After routing: take ``row_id`` / ``new_text`` / ``old_text`` / ``new_vector``
+    from the row objects by each event's configured ``id_column``, ``text_column``
+    and ``vector_column`` (default ``{text_column}_vector``), one map parse per
+    row object."""
     x = routed.select("*", F.from_json(F.col("id"), "map<string,string>").alias("_new"),
                       F.from_json(F.col("old_id"), "map<string,string>").alias("_old"))
     new, old = F.col("_new"), F.col("_old")
     idc, txt = F.col("id_column"), F.col("text_column")
-    return (x.withColumn("row_id", F.coalesce(F.element_at(new, idc), F.element_at(old, idc))
-                         .cast("bigint"))
+    vec = F.coalesce(F.col("vector_column"), F.concat(txt, F.lit("_vector")))
+    return (x.withColumn("row_id", F.coalesce(F.element_at(new, idc), F.element_at(old, idc)))
              .withColumn("new_text", F.element_at(new, txt))
              .withColumn("old_text", F.element_at(old, txt))
+             .withColumn("new_vector", F.element_at(new, vec))
              .drop("_new", "_old"))
