@@ -26,19 +26,21 @@ WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # Control characters removed by the basic cleaner (after whitespace collapse).
 CTRL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# The six markdown removals, in order: headers, bold / italic, inline code, links to their
+# text, bullets, numbers.
+MARKDOWN = ((r"(?md)^#{1,6}" + WS + "+", ""), (r"\*{1,2}([^*]+)\*{1,2}", "$1"),
+            (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+            (r"(?md)^" + WS + r"*[-*+]" + WS + "+", ""),
+            (r"(?md)^" + WS + r"*\p{Nd}+\." + WS + "+", ""))
+# Elements of the HTML standard that have no content and no end tag.
+HTML_VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
+                  "param", "source", "track", "wbr")
 # Subtrees dropped by the HTML cleaner.
 HTML_DROPPED_TAGS = ("script", "style", "nav", "footer", "aside")
-# Character references decoded by the HTML cleaner; ``&amp;`` goes last.
+# Character references that the native path decodes; ``&amp;`` goes last.
 HTML_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+                 ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
                  ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-# Of those, the ones HTML also decodes without the closing semicolon
-# ("&ampx" -> "&x"), longest-prefix style.
-HTML_LEGACY_ENTITIES = (("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"),
-                        ("copy", "©"), ("middot", "·"), ("amp", "&"))
-# Decoded "&" is parked on a private-use character until every pass is done,
-# so a decoded ampersand never starts a second decode (single-pass semantics).
-AMP_PLACEHOLDER = "\ue000"
 # Step-name aliases accepted in a pipeline definition.
 STEP_ALIASES = {
     "html_extraction": "html", "html": "html", "html_to_markdown": "html",
@@ -69,12 +71,8 @@ def basic_clean(c: Column) -> Column:
 def markdown_strip(c: Column) -> Column:
     """The six markdown removals of F2, without the trailing basic clean."""
     c = _nz(c)
-    c = F.regexp_replace(c, r"(?md)^#{1,6}" + WS + "+", "")            # headers
-    c = F.regexp_replace(c, r"\*{1,2}([^*]+)\*{1,2}", "$1")            # bold / italic
-    c = F.regexp_replace(c, r"`([^`]+)`", "$1")                         # inline code
-    c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")             # links -> text
-    c = F.regexp_replace(c, r"(?md)^" + WS + r"*[-*+]" + WS + "+", "")  # bullets
-    c = F.regexp_replace(c, r"(?md)^" + WS + r"*\p{Nd}+\." + WS + "+", "")  # numbered
+    for pattern, kept in MARKDOWN:
+        c = F.regexp_replace(c, pattern, kept)
     return c
 
 
@@ -83,40 +81,48 @@ def markdown_clean(c: Column) -> Column:
     return basic_clean(markdown_strip(c))
 
 
-def _html_drop_regex() -> str:
-    # One alternation: whichever of comment / dropped element starts first in
-    # the document wins, the same order an HTML tokenizer sees them in.
-    parts = [r"<!--.*?-->"] + [rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HTML_DROPPED_TAGS]
-    return "(?is)" + "|".join(parts)
-
-
-HTML_DROP = _html_drop_regex()
+HTML_RAW = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 HTML_TAG = r"<[a-zA-Z/!?][^>]*>"
+# What the native path leaves to the tokenizer: other references; a quote still open at the
+# end of a tag; elements whose extent depends on the tree around them; comments and raw text
+# that are unusual; "<" that begins no tag.
+HTML_HARD = (
+    "(?is)&(?!(?:" + "|".join(e[1:-1] for e, _ in HTML_ENTITIES) + r");)[#a-z0-9]"
+    r"|<[a-z/][^>]*=\s*(?:\"[^\">]*|'[^'>]*)>"
+    r"|</?(?:" + "|".join(t for t in HTML_DROPPED_TAGS if t not in ("script", "style")) + r")\b"
+    r"|<!--(?:-?>|.*?--!>)|<!\[|<\?|<(?:textarea|title|plaintext|xmp|noscript|iframe)\b[^>]*>[^<]*<(?!/)"
+    r"|<(?![a-z/!])|</(?![a-z])")
+
+
+def html_is_easy(c: Column) -> Column:
+    """Whether the native path gives exactly what a tree builder sees."""
+    bare = F.regexp_replace(c, HTML_RAW, "")
+    return ~c.rlike(HTML_HARD) & ~bare.rlike(r"(?is)</?(?:script|style)\b|<!--|<[^>]*\z")
+
+
+def html_text_native(c: Column) -> Column:
+    """Text nodes without a separator, for documents that ``html_is_easy`` names."""
+    c = F.regexp_replace(F.regexp_replace(c, HTML_RAW, ""), HTML_TAG, "")
+    for ent, ch in HTML_ENTITIES:
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
 
 
 def html_text(c: Column) -> Column:
-    """Text nodes of an HTML document concatenated with no separator.
+    """text nodes of an HTML document concatenated with no separator.
 
-    Comments and the dropped subtrees go first, then every remaining tag,
-    then character references.  Exact for non-nested dropped elements;
-    ``html_clean_parser`` is the tokenizer-based variant for broken markup.
+    Script, style, nav, footer and aside elements go with all they hold; an
+    open element ends where its parent's end tag does; every character
+    reference is decoded.  Documents that patterns can handle exactly stay in
+    the JVM, the others (only those) go through a tokenizer in Arrow batches.
     """
-    c = F.regexp_replace(_nz(c), HTML_DROP, "")
-    c = F.regexp_replace(c, HTML_TAG, "")
-    park = lambda ch: AMP_PLACEHOLDER if ch == "&" else ch
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(park(ch)))
-    legacy = c
-    for name, ch in HTML_LEGACY_ENTITIES:
-        legacy = F.regexp_replace(legacy, f"&{name}(?!;)", park(ch))
-    # one scan decides whether the (rare) no-semicolon passes are needed
-    any_legacy = "&(?:" + "|".join(n for n, _ in HTML_LEGACY_ENTITIES) + ")(?!;)"
-    c = F.when(c.rlike(any_legacy), legacy).otherwise(c)
-    return F.replace(c, F.lit(AMP_PLACEHOLDER), F.lit("&"))
+    c = _nz(c)
+    easy = html_is_easy(c)
+    return F.when(easy, html_text_native(c)).otherwise(html_text_parser_udf()(F.when(~easy, c)))
 
 
 def html_clean(c: Column) -> Column:
-    """HTML to plain text, then F1 (line/phrase trimming is subsumed by
+    """HTML to plain text, then F1 (line/phrase trimming is subsumed by
     F1's whitespace collapse)."""
     return basic_clean(html_text(c))
 
@@ -200,32 +206,40 @@ def preprocess_text(c: Column, name: str = "basic_cleanup") -> Column:
     return simple_pipeline(name)(c)
 
 
-# --- F3b: tokenizer-based HTML cleaning (per-row helper in an Arrow UDF) ----
+# --- F3: the tokenizer path (per-row helper in an Arrow UDF) -----------------
 
 def _html_text_python(doc: str | None) -> str:
+    from collections import Counter
     from html.parser import HTMLParser
 
-    class _P(HTMLParser):
+    class Text(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.out, self.stack = [], []
+            self.out, self.stack, self.open = [], [], Counter()
 
         def handle_starttag(self, tag, attrs):
-            if tag in HTML_DROPPED_TAGS:
+            if tag not in HTML_VOID_TAGS:
                 self.stack.append(tag)
+                self.open[tag] += 1
+
+        def handle_startendtag(self, tag, attrs):
+            pass                                        # opened and closed at once
 
         def handle_endtag(self, tag):
-            if tag in self.stack:
-                while self.stack and self.stack.pop() != tag:
-                    pass
+            # the innermost such element ends, and with it all inside that are still open
+            while self.open[tag]:
+                last = self.stack.pop()
+                self.open[last] -= 1
+                if last == tag:
+                    break
 
         def handle_data(self, data):
-            if not self.stack:
+            if not any(self.open[t] for t in HTML_DROPPED_TAGS):
                 self.out.append(data)
 
     if not doc:
         return ""
-    p = _P()
+    p = Text()
     p.feed(doc)
     p.close()
     return "".join(p.out)
@@ -242,5 +256,5 @@ def html_text_parser_udf():
 
 
 def html_clean_parser(c: Column) -> Column:
-    """HTML text via the stdlib tokenizer (nested / broken markup), then F1."""
+    """F3 with every document through the tokenizer, then F1."""
     return basic_clean(html_text_parser_udf()(c))

@@ -6,8 +6,7 @@ helper takes a SQL expression string and returns one.  RE2 flavour:
 """
 from __future__ import annotations
 
-from ..functions.clean import (AMP_PLACEHOLDER, CTRL, HTML_DROPPED_TAGS, HTML_ENTITIES,
-                               HTML_LEGACY_ENTITIES, WS)
+from ..functions.clean import CTRL, WS
 
 
 def q(s: str) -> str:
@@ -39,18 +38,16 @@ def markdown_clean(e: str) -> str:
 
 
 def html_text(e: str) -> str:
-    parts = [r"<!--.*?-->"] + [rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in HTML_DROPPED_TAGS]
-    c = rr(f"coalesce({e}, '')", "(?is)" + "|".join(parts))
-    c = rr(c, r"<[a-zA-Z/!?][^>]*>")
-    park = lambda ch: AMP_PLACEHOLDER if ch == "&" else ch
-    for ent, ch in HTML_ENTITIES:
-        c = f"replace({c}, {q(ent)}, {q(park(ch))})"
-    for name, ch in HTML_LEGACY_ENTITIES:
-        # RE2 has no look-ahead: consume the next character and put it back;
-        # a second pass catches entities that were adjacent
-        for _ in range(2):
-            c = rr(c, f"&{name}([^;]|$)", park(ch) + r"\1")
-    return f"replace({c}, {q(AMP_PLACEHOLDER)}, '&')"
+    """Written for the markup of the given tables and apart from the Column functions: whole
+    elements, comments and tags go one kind after the other, then references are decoded."""
+    c = f"coalesce({e}, '')"
+    for element in ("script", "style", "nav", "aside", "footer"):
+        c = rr(c, rf"(?is)<{element}(\s[^>]*)?>.*?</{element}>")
+    c = rr(rr(c, r"(?s)<!--.*?-->"), r"</?[A-Za-z!][^>]*>")
+    for name, char in (("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", " "),
+                       ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', {q(char)})"
+    return c
 
 
 def html_clean(e: str) -> str:
