@@ -148,3 +148,49 @@ def test_embed_column_bounded_tasks(spark):
     df = one_col(spark, TEXTS * 5).repartition(6)
     out = EM.embed_column(df, "t", "v", "mock", max_tasks=2, dimension=4)
     assert out.rdd.getNumPartitions() == 2 and out.count() == len(TEXTS) * 5
+
+
+def test_one_bad_text_costs_only_itself(spark):
+    """10,000 texts, one refused for good: 9,999 vectors, and few extra requests."""
+    from vecsync.operators.embed import embed_outcomes
+    rows = [(i, "x" * (7 if i == 4321 else 10)) for i in range(10_000)]
+    df = spark.createDataFrame(rows + [(10_000, None)], "i long, t string")
+    got = embed_outcomes(df, "t", "faulty", dimension=4, batch_size=64).collect()
+    bad = [r for r in got if r.outcome == "dead"]
+    assert [r.i for r in bad] == [4321] and bad[0].message == "HTTP 422: text refused"
+    assert bad[0].sent == 7 and bad[0].vector is None      # 64, 32, ... 1
+    assert sum(r.outcome == "success" and len(r.vector) == 4 for r in got) == 9_999
+    assert sum(r.sent for r in got) < 10_000 + 64 * 7
+    assert [r.outcome for r in got if r.i == 10_000] == ["skipped"]
+
+
+def test_outcomes_of_whole_requests():
+    """A wrong count is found and halved; a rate limit or a lost server is not."""
+    from vecsync.operators.embed import EmbeddingRequestError, MockEmbedder
+
+    class Short(MockEmbedder):
+        def embed(self, texts):
+            return super().embed([t for t in texts if t != "gone"])
+
+    got = Short(dimension=2, batch_size=8).embed_outcomes(["a", "gone", "b", "c"])
+    assert [g[1] for g in got] == ["success", "retry", "success", "success"]
+
+    class Down(MockEmbedder):
+        calls = 0
+
+        def embed(self, texts):
+            Down.calls += 1
+            raise EmbeddingRequestError(0, "no route", True)
+
+    got = Down(dimension=2, batch_size=8).embed_outcomes(["a"] * 20)
+    assert Down.calls == 3 and {g[1] for g in got} == {"retry"}
+
+
+def test_default_waits_by_provider():
+    from vecsync.operators import embed as EM
+    waits = []
+    for name in ("openai", "infinity", "custom"):
+        replies = iter([(429, {}, "{}"), (200, {}, '{"embeddings": [[1.0]]}')])
+        EM.make_embedder(name, endpoint="http://e", sleep=waits.append,
+                         transport=lambda *a: next(replies)).embed(["x"])
+    assert waits == [60.0, 30.0, 30.0]

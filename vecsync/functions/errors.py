@@ -47,11 +47,14 @@ def parse_error_message(body: Column) -> Column:
 
 
 # --- F16 -------------------------------------------------------------------------
-# Default waits (seconds) when a 429 carries no retry-after.
+# Default waits (seconds) when a 429 carries no retry-after: of a hosted API,
+# and of self-hosted or custom endpoints.
 DEFAULT_RATE_LIMIT_WAIT = 60
+SELF_HOSTED_RATE_LIMIT_WAIT = 30
 
 
-def classify_failure(status: Column, retry_after: Column | None = None) -> Column:
+def classify_failure(status: Column, retry_after: Column | None = None,
+                     default_wait: int = DEFAULT_RATE_LIMIT_WAIT) -> Column:
     """F16: struct(error_class, retryable, wait_s) from the HTTP status
     (0 / NULL = network error or timeout)."""
     ra = retry_after if retry_after is not None else F.lit(None).cast("int")
@@ -62,7 +65,7 @@ def classify_failure(status: Column, retry_after: Column | None = None) -> Colum
             .when(status >= 500, "server")
             .otherwise("api"))
     retryable = ~cls.isin("authentication", "validation")
-    wait = F.when(status == 429, F.coalesce(ra, F.lit(DEFAULT_RATE_LIMIT_WAIT)))
+    wait = F.when(status == 429, F.coalesce(ra, F.lit(default_wait)))
     return F.struct(cls.alias("error_class"), retryable.alias("retryable"),
                     wait.cast("int").alias("wait_s"))
 

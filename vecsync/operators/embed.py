@@ -55,6 +55,33 @@ class Embedder:
         return out
 
 
+    def embed_outcomes(self, texts: list[str]) -> list[tuple]:
+        """(vector, outcome, message, sent) per text, in order; never raises for a refusal.
+
+        A refused chunk is halved until the refused texts are alone, so one bad text costs
+        its neighbours a few more requests and nothing else.  ``outcome`` is 'success',
+        'retry' (may work later) or 'dead' (will not); ``sent`` counts a text's requests.
+        """
+        out: list[tuple] = []
+        for i in range(0, len(texts), self.batch_size):
+            out += self._halved(texts[i:i + self.batch_size], 1)
+        return out
+
+    def _halved(self, texts: list[str], sent: int) -> list[tuple]:
+        try:
+            vecs = self.embed(texts)
+            if len(vecs) != len(texts):
+                raise EmbeddingRequestError(
+                    200, f"expected {len(texts)} embeddings, got {len(vecs)}", True)
+            return [(v, "success", None, sent) for v in vecs]
+        except EmbeddingRequestError as e:
+            # a rate limit, a lost server or a wrong key concerns every text alike
+            if len(texts) == 1 or e.status in (0, 401, 403, 429):
+                return [(None, "retry" if e.retryable else "dead", str(e), sent)] * len(texts)
+        half = len(texts) // 2
+        return self._halved(texts[:half], sent + 1) + self._halved(texts[half:], sent + 1)
+
+
 class MockEmbedder(Embedder):
     """Deterministic test embedder (F18 formula), vectorised with numpy."""
 
@@ -70,6 +97,23 @@ class MockEmbedder(Embedder):
         return out
 
 
+class FaultyEmbedder(MockEmbedder):
+    """The test embedder with a provider's refusals, by text length: a request with a text
+    whose length leaves ``dead`` (or ``busy``) when divided by ``modulus`` is refused for good
+    (or for now)."""
+
+    name = "faulty"
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        o = self.options
+        rest = [len(t) % int(o.get("modulus", 50)) for t in texts]
+        if int(o.get("dead", 7)) in rest:
+            raise EmbeddingRequestError(422, "text refused", False)
+        if int(o.get("busy", 9)) in rest:
+            raise EmbeddingRequestError(503, "busy", True)
+        return super().embed(texts)
+
+
 # --- UD2: HTTP providers -----------------------------------------------------------
 
 def urllib_transport(url: str, payload: dict, headers: dict, timeout: float):
@@ -137,10 +181,14 @@ class HttpEmbedder(Embedder):
     Options: ``endpoint``, ``api_key``, ``timeout``, ``max_retries``,
     ``retry_delay``, ``send_dimensions``, ``transport`` (injectable),
     ``sleep`` (injectable).  Retry rules follow F16/F17: 429 waits
-    ``retry-after`` (default 60 s), 401/403/422 fail at once, others back
-    off ``retry_delay * 2^attempt``.
+    ``retry-after`` (default ``default_wait``), 401/403/422 fail at once, others
+    back off ``retry_delay * 2^attempt``.
     """
 
+    # Seconds to wait on a 429 without retry-after; self-hosted and custom
+    # endpoints wait less.
+    default_wait = 60
+
     name = "http"
     deterministic = False
 
@@ -173,7 +221,7 @@ class HttpEmbedder(Embedder):
                 raise EmbeddingRequestError(status, msg, retryable)
             if status == 429:
                 lower = {k.lower(): v for k, v in (hdrs or {}).items()}
-                sleep(float(lower.get("retry-after", 60)))
+                sleep(float(lower.get("retry-after", self.default_wait)))
             else:
                 sleep(delay * (2 ** attempt))
             attempt += 1
@@ -193,14 +241,23 @@ class SelfHostedEmbedder(HttpEmbedder):
     """Self-hosted OpenAI-compatible server: ``{endpoint}/v1/embeddings``."""
 
     name = "infinity"
+    default_wait = 30
 
     def url(self) -> str:
         return self.options.get("endpoint", "").rstrip("/") + "/v1/embeddings"
 
 
+class CustomEmbedder(HttpEmbedder):
+    """A custom endpoint."""
+
+    name = "custom"
+    default_wait = 30
+
+
 PROVIDERS: dict[str, type[Embedder]] = {"mock": MockEmbedder, "http": HttpEmbedder,
-                                        "custom": HttpEmbedder, "openai": OpenAIEmbedder,
-                                        "infinity": SelfHostedEmbedder}
+                                        "custom": CustomEmbedder, "openai": OpenAIEmbedder,
+                                        "infinity": SelfHostedEmbedder,
+                                        "faulty": FaultyEmbedder}
 
 
 def register_provider(name: str, cls: type[Embedder]) -> None:
@@ -242,6 +299,38 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
     return df.mapInPandas(run, schema)
 
 
+def embed_outcomes(df: DataFrame, text_col: str, provider: str = "mock",
+                   vector_col: str = "vector", max_tasks: int | None = None,
+                   **config) -> DataFrame:
+    """UD1 with failures as rows: ``df`` plus the vector, ``outcome`` ('success', 'retry',
+    'dead'; 'skipped' for NULL texts), ``message`` and ``sent`` (requests with the text).
+
+    What S5, S7 and F17 read: a text that a provider refuses never ends the job.
+    """
+    if max_tasks:
+        df = df.repartition(max_tasks)
+    schema = T.StructType(df.schema.fields + [
+        T.StructField(vector_col, T.ArrayType(T.FloatType(), False), True),
+        T.StructField("outcome", T.StringType()), T.StructField("message", T.StringType()),
+        T.StructField("sent", T.IntegerType())])
+    cls = PROVIDERS[provider]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = cls(**config)
+        for pdf in batches:
+            texts = pdf[text_col]
+            there = texts.notna().to_numpy()
+            found = iter(client.embed_outcomes(texts[there].tolist()))
+            rows = [next(found) if x else (None, "skipped", None, 0) for x in there]
+            pdf[vector_col] = [None if r[0] is None else np.asarray(r[0], dtype=np.float32)
+                               for r in rows]
+            for i, name in enumerate(("outcome", "message", "sent"), 1):
+                pdf[name] = [r[i] for r in rows]
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
 SAMPLE_KEYS = 8192
 MAX_BUCKETS = 512
 

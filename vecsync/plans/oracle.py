@@ -456,6 +456,13 @@ FROM documents"""
 ORACLE["embed_udf"] = f"""
 SELECT doc_id, {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('c', derive.DIMENSION))} AS checksum
 FROM (SELECT doc_id, {S.basic_clean('text')} AS c FROM documents)"""
+ORACLE["embed_with_failures"] = f"""
+SELECT doc_id, CASE length(c) % 50 WHEN 7 THEN 'dead' WHEN 9 THEN 'retry' ELSE 'success' END AS outcome,
+  CASE length(c) % 50 WHEN 7 THEN 'HTTP 422: text refused' WHEN 9 THEN 'HTTP 503: busy' END AS message,
+  CASE WHEN length(c) % 50 NOT IN (7, 9) THEN {derive.DIMENSION} END AS dim,
+  CASE WHEN length(c) % 50 NOT IN (7, 9)
+       THEN {checksum(S.mock_embedding('c', derive.DIMENSION))} END AS checksum
+FROM (SELECT doc_id, {S.basic_clean('text')} AS c FROM documents)"""
 ORACLE["write_back"] = with_(USER_CTE) + f"""
 SELECT doc_id,
   CASE WHEN text_vector IS NULL AND c <> '' THEN '{derive.CURRENT_MODEL}' ELSE text_embedding_model END

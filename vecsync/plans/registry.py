@@ -462,6 +462,16 @@ def q_embed_udf(spark, d):
     return e.select("doc_id", V.vsize("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
 
 
+@register("embed_with_failures")
+def q_embed_with_failures(spark, d):
+    """A provider that refuses some texts for good and some for now: vectors, dead letters
+    and retries of the whole table."""
+    docs = T(spark, d, "documents").select("doc_id", C.basic_clean(F.col("text")).alias("clean"))
+    e = EM.embed_outcomes(docs, "clean", "faulty", dimension=derive.DIMENSION, batch_size=32)
+    return e.select("doc_id", "outcome", "message", V.vsize("vector").alias("dim"),
+                    checksum(F.col("vector")).alias("checksum"))
+
+
 @register("write_back")
 def q_write_back(spark, d):
     out = backfill.backfill_write_back(user(spark, d))
