@@ -222,14 +222,67 @@ def test_late_replay_is_dropped_and_counted(spark):
     assert len(ids) == len(set(ids))          # a replay never duplicates output
 
 
-def test_compaction_equals_current_vectors(spark):
-    f = feed(spark)
-    path = ST.land_feed(f, ST.scratch(spark, "t-land5"), files=3)
-    out, ck = ST.scratch(spark, "t-vec5"), ST.scratch(spark, "t-vec5-ck")
-    ST.stream_vectorize(spark, ST.read_feed(spark, path, 1), derive.routing_config(spark),
-                        out, ck, 8, "m").awaitTermination()
-    snap = ST.scratch(spark, "t-snap5")
-    ST.compact_vectors(spark, out, snap)
-    key = lambda r: (r.table, r.row_id, r.event_id)
-    assert sorted(map(key, spark.read.parquet(snap).collect())) == \
-        sorted(map(key, ST.current_vectors(spark, out).collect()))
+KEY = lambda r: (r.table, r.row_id, r.event_id)
+
+
+def run_stream(spark, f, out, ck, **more):
+    path = ST.land_feed(f, ST.scratch(spark, "t-land"), files=3)
+    ST.stream_vectorize(spark, ST.read_feed(spark, path, 1), derive.routing_config(spark), out, ck,
+                        8, "m", **more).awaitTermination()
+
+
+def test_a_new_checkpoint_on_the_same_sink_loses_nothing(spark):
+    f, out = feed(spark), ST.scratch(spark, "t-two")
+    for part in (0, 1):
+        run_stream(spark, f.filter(F.col("event_id") % 2 == part), out,
+                   ST.scratch(spark, "t-two-ck"))
+    whole = ST.scratch(spark, "t-one")
+    run_stream(spark, f, whole, ST.scratch(spark, "t-one-ck"))
+    assert sorted(map(KEY, ST.current_vectors(spark, out).collect())) == \
+        sorted(map(KEY, ST.current_vectors(spark, whole).collect())) != []
+    rejects = spark.read.parquet(f"{out}/rejects")
+    from vecsync.sources.feed import feed_rejects
+    assert rejects.count() == feed_rejects(f).count() > 0
+
+
+def test_compaction_then_new_batches(spark):
+    f, out = feed(spark), ST.scratch(spark, "t-vec5")
+    snaps = [ST.scratch(spark, "t-snap") for _ in range(2)]
+    for part in range(3):
+        run_stream(spark, f.filter(F.col("event_id") % 3 == part), out,
+                   ST.scratch(spark, f"t-ck{part}"))
+        plain = sorted(map(KEY, ST.current_vectors(spark, out).collect()))
+        if part:
+            assert sorted(map(KEY, ST.current_vectors(spark, out, snaps[part - 1]).collect())) \
+                == plain
+        if part < 2:
+            ST.compact_vectors(spark, out, snaps[part], snaps[part - 1] if part else None)
+    empty = ST.scratch(spark, "t-none")
+    assert ST.current_vectors(spark, empty).count() == 0
+    left = ST.current_vectors(spark, out, snaps[1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in left and "batch_id" in left
+
+
+def test_retries_until_dead(spark):
+    out = ST.scratch(spark, "t-retry")
+    run_stream(spark, feed(spark), out, ST.scratch(spark, "t-retry-ck"), provider="faulty",
+               modulus=10, dead=1, busy=2)
+    tries = ST.attempts(spark, out)
+    kinds = {r.outcome: r["count"] for r in tries.groupBy("outcome").count().collect()}
+    assert set(kinds) == {"success", "dead", "retry"}
+    start = ST.dead_letters(spark, out).count()
+    again = dict(dimension=8, model="m", provider="faulty", modulus=10, dead=1, busy=2)
+    assert ST.run_retries(spark, out, "1999-01-01 00:00:00", **again) == 0
+    waiting = ST._latest_attempts(spark, out).filter("outcome = 'retry'").count()
+    late = "2199-01-01 00:00:00"
+    for _ in range(4):                                  # three retries, then given up
+        assert ST.run_retries(spark, out, late, **again) == waiting
+    assert ST.run_retries(spark, out, late, **again) == 0
+    assert ST.dead_letters(spark, out).count() == start + waiting
+    # a provider that is well again: the next retry gives vectors
+    mended = ST.scratch(spark, "t-retry2")
+    run_stream(spark, feed(spark), mended, ST.scratch(spark, "t-retry2-ck"), provider="faulty",
+               modulus=10, dead=1, busy=2)
+    before = ST.current_vectors(spark, mended).count()
+    n = ST.run_retries(spark, mended, late, 8, "m")
+    assert n == waiting and ST.current_vectors(spark, mended).count() >= before

@@ -10,12 +10,14 @@ batch replaces its own output instead of duplicating it).
 stateful streams derive an event-time instant with the same UTC reading
 (``functions.time.event_time``), so nothing depends on the session zone.
 """
+import hashlib
 import os
 import uuid
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,7 +25,7 @@ from ..functions import clean as C
 from ..functions.time import epoch_date, epoch_us, event_time
 from ..functions.vectors import is_valid_vector
 from ..operators import detect, routing as R
-from ..operators.embed import embed_column
+from ..operators.embed import embed_outcomes
 from ..session import checkpoint_dir
 from ..sources import feed as FD
 
@@ -74,8 +76,8 @@ def parsed(feed: DataFrame) -> DataFrame:
 # --- ST2 ---------------------------------------------------------------------------
 
 def stream_route(feed: DataFrame, routing: DataFrame) -> DataFrame:
-    """ST2: stream ⋈ static routing table (broadcast, size-checked); the row
-    id and texts are read by each target's configured column names."""
+    """ST2: stream ⋈ static routing table; the row id, texts and vector are
+    read by each target's configured column names."""
     return FD.with_config_fields(R.route_events(parsed(feed), routing))
 
 
@@ -106,10 +108,9 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
             return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(pdfs)).sort_values(["_us", cols[0]])
-        keep = []
-        for us in pdf["_us"].tolist():
-            keep.append(last is None or us - last >= win_us)
-            last = us
+        us = pdf["_us"].to_numpy()
+        keep = np.r_[last is None or us[0] - last >= win_us, np.diff(us) >= win_us]
+        last = int(us[-1])
         state.update((last,))
         # a later event of this key is always kept once the watermark passed
         # last + window, so the state can go then (never before the watermark)
@@ -126,8 +127,10 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
 
 # --- ST1 / ST6 ---------------------------------------------------------------------
 
-def vectorize_changes(routed: DataFrame, dimension: int, model: str) -> DataFrame:
-    """Per micro-batch: P1 → F6 → P3 → W4 → UD1 → P8 (a pure function of the batch).
+def vectorize_changes(routed: DataFrame, dimension: int, model: str, provider: str = "mock",
+                      **config) -> DataFrame:
+    """Per micro-batch: P1 → F6 → P3 → W4 → UD1 → P8: one attempt per row that needs a
+    vector, with its outcome (a pure function of the batch but for the provider).
 
     Only events that need a vector compete for "newest per row", so the
     result over many batches equals the batch job over the whole feed.
@@ -139,36 +142,141 @@ def vectorize_changes(routed: DataFrame, dimension: int, model: str) -> DataFram
                                    F.col("cleaning_config")))
     x = x.filter(C.basic_clean(F.col("new_text")) != "").filter(F.col("clean") != "")
     x = detect.latest_per_key(x, ["table", "row_id"], "ts", ["event_id"])
-    e = embed_column(x.select("event_id", "ts", "table", "row_id", "clean"), "clean",
-                     "vector", "mock", dimension=dimension)
-    return (e.filter(is_valid_vector(F.col("vector"), dimension))
-             .withColumn("model", F.lit(model)))
+    return attempt(x.select("event_id", "ts", "table", "row_id", "clean",
+                            F.lit(0).alias("retry_count")), dimension, model, provider, **config)
+
+
+def attempt(x: DataFrame, dimension: int, model: str, provider: str, **config) -> DataFrame:
+    """Embed ``clean``; a vector of the wrong kind is a failure that will not mend."""
+    e = embed_outcomes(x, "clean", provider, dimension=dimension, **config)
+    bad = (F.col("outcome") == "success") & ~is_valid_vector(F.col("vector"), dimension)
+    return e.select(*x.columns, F.when(~bad, F.col("vector")).alias("vector"),
+                    F.when(bad, "dead").otherwise(F.col("outcome")).alias("outcome"),
+                    F.when(bad, "invalid vector").otherwise(F.col("message")).alias("message"),
+                    F.lit(model).alias("model"))
+
+
+def _run_id(checkpoint: str) -> str:
+    """Names a query's outputs: the same after a restart, another for another checkpoint."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
 def stream_vectorize(spark: SparkSession, feed: DataFrame, routing: DataFrame, out_path: str,
-                     checkpoint: str, dimension: int, model: str):
+                     checkpoint: str, dimension: int, model: str, provider: str = "mock",
+                     trigger: dict | None = None, **config):
     """ST1: continuous change processing with an idempotent upsert.
 
     Each micro-batch keeps the newest event per (table, row) that needs a
-    vector (W4), embeds it and writes ``out_path/batch_id=<n>`` (overwrite →
-    replay-safe).  The current vectors are the newest row per key over all
-    batches (``current_vectors``); late / replayed events lose against newer
-    ones (ST6) because event time decides, not arrival order.
+    vector (W4), embeds it and writes all attempts (S5) to
+    ``out_path/attempts/run=<id>/batch_id=<n>`` and the malformed events (S8)
+    to ``out_path/rejects/...``.  Overwriting them makes a replayed batch
+    harmless; the run id comes from the checkpoint, so a new checkpoint adds to
+    the sink and never replaces what an earlier one wrote.  Vectors, dead
+    letters (S7) and retries (ST4) are read from the attempts.  Late / replayed
+    events lose against newer ones (ST6) because event time decides.
+
+    ``trigger`` is passed to ``DataStreamWriter.trigger`` (default: all that is
+    there, then stop); ``provider`` and ``config`` name the embedder.
     """
-    routed = stream_route(feed, routing)
+    run = _run_id(checkpoint)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        out = vectorize_changes(batch, dimension, model)
-        out.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
-
-    return (routed.writeStream.foreachBatch(upsert)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def current_vectors(spark: SparkSession, out_path: str) -> DataFrame:
-    """The upserted state: newest vector per (table, row_id) over all batches."""
-    allv = spark.read.parquet(out_path)
-    return detect.latest_per_key(allv, ["table", "row_id"], "ts", ["event_id"])
+        place = f"run={run}/batch_id={batch_id}"
+        batch.persist()
+        try:
+            out = vectorize_changes(stream_route(batch, routing), dimension, model, provider,
+                                    **config)
+            out.write.mode("overwrite").parquet(os.path.join(out_path, "attempts", place))
+            FD.feed_rejects(batch).write.mode("overwrite").parquet(
+                os.path.join(out_path, "rejects", place))
+        finally:
+            batch.unpersist()
+
+    return (feed.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+ATTEMPTS = ("event_id long, ts timestamp_ntz, table string, row_id string, clean string, "
+            "retry_count int, vector array<float>, outcome string, message string, model string, "
+            "run string, batch_id long")
+
+
+def attempts(spark: SparkSession, out_path: str) -> DataFrame:
+    """Every attempt of every batch; empty before the first one."""
+    path = os.path.join(out_path, "attempts")
+    os_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = os_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(os_path):
+        return spark.createDataFrame([], ATTEMPTS)
+    return spark.read.schema(ATTEMPTS).parquet(path)
+
+
+def _newest(df: DataFrame) -> DataFrame:
+    return detect.latest_per_key(df, ["table", "row_id"], "ts", ["event_id", "retry_count"])
+
+
+def current_vectors(spark: SparkSession, out_path: str, snapshot: str | None = None) -> DataFrame:
+    """The upserted state: newest vector per (table, row_id) over all batches.  With a
+    ``snapshot`` (``compact_vectors``) only that and the batches after it are read."""
+    every = attempts(spark, out_path)
+    cols = ["event_id", "ts", "table", "row_id", "clean", "vector", "model", "retry_count"]
+    if snapshot is None:
+        return _newest(every.filter(F.col("outcome") == "success").select(*cols))
+    # one row per run: conditions on partition columns, so folded batches are not read
+    for r in spark.read.parquet(os.path.join(snapshot, "folded")).collect():
+        every = every.filter((F.col("run") != r.run) | (F.col("batch_id") > r.last))
+    old = spark.read.parquet(os.path.join(snapshot, "vectors")).select(*cols)
+    return _newest(every.filter(F.col("outcome") == "success").select(*cols).unionByName(old))
+
+
+def compact_vectors(spark: SparkSession, out_path: str, snapshot_path: str,
+                    previous: str | None = None) -> None:
+    """Fold the attempts so far (and an earlier snapshot) into a new one that
+    ``current_vectors`` reads: the newest vector per row, and the last batch of each run
+    that is in it.  Writes a new folder; never one being read."""
+    last = attempts(spark, out_path).groupBy("run").agg(F.max("batch_id").alias("last"))
+    # which batches are in it is fixed first: one that arrives meanwhile may be in it and is
+    # read again after it, which changes nothing
+    last.write.mode("errorifexists").parquet(os.path.join(snapshot_path, "folded"))
+    every = current_vectors(spark, out_path, previous)
+    every.write.mode("errorifexists").parquet(os.path.join(snapshot_path, "vectors"))
+
+
+def _latest_attempts(spark: SparkSession, out_path: str) -> DataFrame:
+    w = Window.partitionBy("table", "row_id").orderBy(
+        F.col("ts").desc(), F.col("event_id").desc(), F.col("retry_count").desc())
+    return (attempts(spark, out_path).withColumn("_rn", F.row_number().over(w))
+            .filter("_rn = 1").drop("_rn"))
+
+
+def dead_letters(spark: SparkSession, out_path: str) -> DataFrame:
+    """Rows whose newest attempt will not be tried again."""
+    return _latest_attempts(spark, out_path).filter(F.col("outcome") == "dead")
+
+
+def run_retries(spark: SparkSession, out_path: str, as_of: str, dimension: int, model: str,
+                provider: str = "mock", retry_delay: float = 1.0, max_retries: int = 3,
+                **config) -> int:
+    """ST4: read the retries back, try those that are due at ``as_of`` once more, and add the
+    attempts to the sink; after ``max_retries`` a row becomes a dead letter.  Returns how many
+    were due.  A row with a newer event has moved on and is left alone."""
+    from ..functions.errors import retry_schedule
+    failed = _latest_attempts(spark, out_path).filter(F.col("outcome") == "retry")
+    s = retry_schedule(F.col("ts"), F.col("retry_count"), retry_delay, max_retries)
+    plan = failed.withColumn("_s", s).filter(
+        (F.col("_s.decision") == "dead")
+        | (F.col("_s.retry_at") <= F.lit(as_of).cast("timestamp_ntz")))
+    again = plan.filter(F.col("_s.decision") == "retry").select(
+        "event_id", "ts", "table", "row_id", "clean",
+        (F.col("retry_count") + 1).alias("retry_count"))
+    tried = attempt(again, dimension, model, provider, **config)
+    over = plan.filter(F.col("_s.decision") == "dead").select(
+        "event_id", "ts", "table", "row_id", "clean",
+        (F.col("retry_count") + 1).alias("retry_count"), "vector", F.lit("dead").alias("outcome"),
+        "message", "model")
+    place = os.path.join(out_path, "attempts", f"run=retry-{uuid.uuid4().hex[:12]}/batch_id=0")
+    tried.unionByName(over).write.mode("errorifexists").parquet(place)
+    return spark.read.parquet(place).count()
 
 
 # --- ST4 ---------------------------------------------------------------------------
@@ -223,10 +331,3 @@ def rows_dropped_by_watermark(query) -> int:
                 else op.numRowsDroppedByWatermark
             total += int(v or 0)
     return total
-
-
-def compact_vectors(spark: SparkSession, out_path: str, snapshot_path: str) -> None:
-    """Fold the per-batch vector outputs into one snapshot (newest per row),
-    so readers and the next compaction scan one folder instead of every
-    micro-batch's output.  Writes a new folder; never the one being read."""
-    current_vectors(spark, out_path).write.mode("errorifexists").parquet(snapshot_path)
