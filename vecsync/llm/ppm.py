@@ -148,10 +148,15 @@ def trie(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     contexts (k, ctx, n, d, nx, dx): total and distinct symbols, and those of the next
     shorter context once this one's symbols are excluded."""
     k = F.col("k")
-    entries = (counts.filter("learned > 0").withColumn("k", _orders(order))
-               .groupBy("k", F.col("gram").bitwiseAND(_mask(k + 1)).alias("gram"))
-               .agg(F.sum("learned").alias("e")))
-    entries = materialise(entries, "ppm-entries")
+    level = counts.filter("learned > 0").select(F.lit(order).alias("k"), "gram",
+                                                F.col("learned").alias("e"))
+    entries = level
+    for shorter in reversed(range(order)):              # each order from the next longer one
+        level = materialise(
+            level.groupBy(F.col("gram").bitwiseAND(_mask(F.lit(shorter + 1))).alias("gram"))
+            .agg(F.sum("e").alias("e")).select(F.lit(shorter).alias("k"), "gram", "e"),
+            "ppm-entries")
+        entries = entries.unionByName(level)
     lower = entries.select((k + 1).alias("k"), F.col("gram").alias("tail"),
                            F.col("e").alias("below"))
     same = entries.withColumn("tail", F.col("gram").bitwiseAND(_mask(k)))
@@ -173,8 +178,14 @@ def trie(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, seen, lp): log10 probability of every gram's last symbol after the others."""
     entries, contexts = trie(counts, order)
+    contexts = materialise(contexts, "ppm-contexts")
     k = F.col("k")
-    each = (counts.select("gram", "seen").withColumn("k", _orders(order))
+    # a gram that was learned needs its longest context only
+    longest = contexts.filter(k == order).select("ctx", "n")
+    known = (counts.filter("learned > 0").withColumn("ctx", F.shiftright("gram", WIDE))
+             .join(longest, "ctx")
+             .select("gram", "seen", F.log10((F.col("learned") - 0.5) / F.col("n")).alias("lp")))
+    each = (counts.filter("learned = 0").select("gram", "seen").withColumn("k", _orders(order))
             .withColumn("own", F.col("gram").bitwiseAND(_mask(k + 1)))
             .withColumn("ctx", F.shiftright("own", WIDE)))
     met = (each.join(entries.withColumnRenamed("gram", "own"), ["k", "own"], "left")
@@ -204,7 +215,7 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
             wide = wide.withColumn(f"a{i}", after)
             after = F.col(f"a{i}")
         plain = F.col(f"p{i}")
-    return wide.select("gram", "seen", plain.alias("lp"))
+    return known.unionByName(wide.select("gram", "seen", plain.alias("lp")))
 
 
 # -- scores -------------------------------------------------------------------------------
@@ -280,15 +291,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     below = total + 0.5 * (kinds + 1)
     # lengths bound what is sent; longer words wait for the join
     sent_words = _most_frequent(vocabulary.filter(F.octet_length("word") <= 64), "n",
-                                hot_words).toPandas()
+                                hot_words).select("word", "n").toArrow()
     ends = vocabulary.filter(F.octet_length("word") == 0).first()
     chances = materialise(log_probabilities(materialise(gram_counts(src, order), "ppm-grams"),
                                             order), "ppm-chances")
-    sent_grams = _most_frequent(chances, "seen", hot_grams).select("gram", "lp").toPandas()
+    sent_grams = _most_frequent(chances, "seen", hot_grams).select("gram", "lp").toArrow()
     sent = spark.sparkContext.broadcast((
         {bytes(w): math.log10((n + 0.5) / below)
-         for w, n in zip(sent_words["word"], sent_words["n"])},
-        sent_grams["gram"].to_numpy(np.int64), sent_grams["lp"].to_numpy(float)))
+         for w, n in zip(sent_words["word"].to_pylist(), sent_words["n"].to_pylist())},
+        sent_grams["gram"].to_numpy(), sent_grams["lp"].to_numpy()))
     name = uuid.uuid4().hex
     end = math.log10(((ends["n"] if ends else 0) + 0.5) / below)
     kind = docs.schema[id_col].dataType.simpleString()
