@@ -78,3 +78,35 @@ def test_flagship_ships_only_cleaned_text_to_python(spark, q):
     assert arrow, "embedding runs in an Arrow task"
     inputs = re.search(r"Input \[\d+\]: \[(.*)\]", arrow[0]).group(1)
     assert "text_vector" not in inputs and "embedding" not in inputs and "text#" not in inputs
+
+
+def test_debounce_is_one_scan_one_shuffle_no_join(spark, q):
+    p = plan(q["debounce_events"](spark, SF001))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", p, re.M)) == 1
+    assert len(re.findall(r"^\(\d+\) Exchange", p, re.M)) == 1 and "Join" not in p
+
+
+def test_exact_percentile_is_not_one_buffer(spark, q):
+    assert "percentile" not in plan(q["system_health_full"](spark, SF001)).replace(
+        "p95_processing_time_ms", "")
+
+
+def test_status_stream_in_several_batches_ends_its_state(spark):
+    from pyspark.sql import functions as F
+    from vecsync.plans import derive
+    from vecsync.streaming import jobs as ST
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    path = ST.scratch(spark, "t-days")
+    days = [r[0] for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    for i, d in enumerate(days):                        # one file a day, in order
+        ev.filter(F.to_date("ts") == d).coalesce(1).write.parquet(f"{path}/n={i:03d}")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .parquet(path))
+    s = ST.stream_daily_status(derive.vectorization_log(stream), "0 seconds")
+    seen = []
+    q = (s.writeStream.outputMode("update").option("checkpointLocation", ST.scratch(spark, "t-ck"))
+         .foreachBatch(lambda b, n: seen.append(b.count())).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = [op.numRowsTotal for p in q.recentProgress for op in p.stateOperators]
+    closed = sum(op.numRowsRemoved for p in q.recentProgress for op in p.stateOperators)
+    assert len(days) > 3 and closed > 0 and max(rows) < sum(seen)

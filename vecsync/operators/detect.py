@@ -87,26 +87,25 @@ def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
 
     Hot keys are split by time: rows are windowed per (key, time bucket), so
     one key holding a third of the feed still spreads over many tasks.  The
-    first row of a bucket is compared with the last time of the key's
-    previous non-empty bucket, taken from the small set of bucket heads.
-    One scan and one shuffle of the events (the heads side is re-used from
-    the same exchange).  Exact for any window; ``bucket_seconds`` only sets
-    the parallelism.
+    rows of a bucket's last ``window_seconds`` also go to the next bucket, as
+    context only: whatever is farther back is outside the window anyway.  One
+    scan, one shuffle, no join.  Exact for any window; ``bucket_seconds`` (at
+    least the window) only sets the parallelism.
     """
-    ts_us = epoch_us(F.col(ts_col))
-    x = (df.withColumn("_b", F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)))
-           .withColumn("_us", ts_us))
+    win = int(round(window_seconds * 1_000_000))
+    size = max(int(bucket_seconds * 1_000_000), win, 1)
+    x = df.withColumn("_us", epoch_us(F.col(ts_col)))
+    own = F.floor(F.col("_us") / F.lit(size))
+    near_end = F.col("_us") > (own + 1) * F.lit(size) - F.lit(win)
+    x = (x.withColumn("_own", own)
+          .withColumn("_b", F.explode(F.when(near_end, F.array(own, own + 1))
+                                       .otherwise(F.array(own)))))
     w = Window.partitionBy(*key, "_b").orderBy("_us")
-    y = (x.withColumn("_lag", F.lag("_us").over(w))
-          .withColumn("_bmax", F.max("_us").over(Window.partitionBy(*key, "_b"))))
-    heads = (y.filter(F.col("_lag").isNull()).select(*key, "_b", "_bmax")
-              .withColumn("_prev", F.lag("_bmax").over(Window.partitionBy(*key).orderBy("_b")))
-              .select(*key, "_b", "_prev"))
-    prev = F.coalesce(F.col("_lag"), F.col("_prev"))
-    return (y.join(heads, [*key, "_b"], "left")
-              .withColumn("_gap", (F.col("_us") - prev) / 1e6)
-              .filter(F.col("_gap").isNull() | (F.col("_gap") >= window_seconds))
-              .drop("_gap", "_b", "_us", "_lag", "_bmax", "_prev"))
+    gap = F.col("_us") - F.lag("_us").over(w)
+    return (x.withColumn("_gap", gap)
+             .filter((F.col("_b") == F.col("_own"))
+                     & (F.col("_gap").isNull() | (F.col("_gap") >= win)))
+             .drop("_gap", "_b", "_us", "_own"))
 
 
 def latest_per_key(df: DataFrame, key: list[str], ts_col: str,

@@ -40,8 +40,9 @@ def attempt_history(log: DataFrame, key: list[str], ts_col: str, tiebreak: str,
     A key may hold a third of the log, so the running count / sum is split
     by time bucket: each (key, bucket) is numbered on its own, and the first
     row of each bucket carries the bucket's totals, from which a small
-    per-key window derives the offsets of earlier buckets.  One scan and one
-    shuffle of the log.  Exact for any bucket size.
+    per-key window derives the offsets of earlier buckets.  The log is read
+    twice, the second time only its key, time and outcome.  Exact for any
+    bucket size.
     """
     ts_us = epoch_us(F.col(ts_col))
     x = (log.withColumn("_b", F.floor(ts_us / F.lit(bucket_seconds * 1_000_000)))

@@ -917,7 +917,7 @@ def q_stream_daily_status(spark, d):
     path = ST.land_feed(ev, ST.scratch(spark, "events-landing"))
     stream = ST.read_feed(spark, path, None, ev.schema)
     s = ST.stream_daily_status(derive.vectorization_log(stream))
-    return ST.run_to_table(spark, s, "stream_daily_status", "complete")
+    return ST.run_to_table(spark, s, "stream_daily_status", ["table_name", "day"])
 
 
 @register("stream_retry")

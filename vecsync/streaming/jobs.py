@@ -304,21 +304,25 @@ def stream_daily_status(log: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
-                 output_mode: str = "append") -> DataFrame:
+                 key: list[str] | None = None) -> DataFrame:
     """Drive a stream to completion (availableNow) into Parquet under the
     shared checkpoint dir and read the result back as a batch DataFrame.
 
-    ``complete`` mode (aggregations) rewrites the whole result each batch
-    through ``foreachBatch``; ``append`` uses the file sink."""
+    With a ``key`` (aggregations) the stream runs in ``update`` mode: a batch
+    writes only the rows it changed, the newest row of a key counts, and the
+    watermark ends the state of closed windows.  Otherwise rows are appended.
+    """
     path, ck = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ck")
-    w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", ck)
-    if output_mode == "complete":
-        w = w.foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(path))
+    w = stream.writeStream.option("checkpointLocation", ck)
+    if key:
+        w = w.outputMode("update").foreachBatch(
+            lambda b, n: b.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={n}")))
     else:
-        w = w.format("parquet").option("path", path)
+        w = w.outputMode("append").format("parquet").option("path", path)
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    return detect.latest_per_key(out, key, "batch_id").drop("batch_id") if key else out
 
 
 def rows_dropped_by_watermark(query) -> int:
