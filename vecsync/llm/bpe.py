@@ -8,8 +8,10 @@ and steps back when none is left, marking that end as impossible.  A sequence wh
 adjacent pairs are all compatible is the one that the merges give, and each position is
 given up at most once, so the work is linear in the bytes of a piece.
 
-Pieces are the matches of the pattern.  A text is first cut before single spaces at which
-every match ends anyway, and what stands between cuts is remembered, within bounds.
+Pieces are the matches of the pattern, which has to be of the usual kind: letters with a
+space before them, digits, marks, white space.  A text is first cut before single spaces and
+beside single line feeds, where every match ends anyway, and what stands between cuts is
+remembered, within bounds.
 
 Defined results
     null text            empty: no ids, digests of the empty string
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -32,14 +35,16 @@ from pyspark.sql import DataFrame
 
 from vecsync.llm.common import Recent, per_text
 
-#: White space, space, white space or end: only there may a match span a cut at the space.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: White space beside a line feed, or on both sides of a space (the end counts): only there
+#: may a match span a cut before the space or beside the line feed.
+UNSAFE = re.compile(r"\s (?:\s|\Z)|\s\n|\n\s")
+MARKS = frozenset(".,;:!?")
 
 
 class Codec:
     """Encoder and decoder for a rank file and a pattern; equal to the merges by rank."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 600_000):
         self.ranks = ranks
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for tok, rank in ranks.items():
@@ -52,11 +57,12 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for tok, rank in self.ids.items():
             self.automaton.add_word(tok, rank)
+        self.automaton.make_automaton()
         self.shorter = [next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks),
                              None) for t in self.token]
         self.compatible = Recent(self._compatible, remember)
         self.first = Recent(self._chunk, remember)
-        self.spaced = Recent(lambda s: self._chunk(" " + s), remember)
+        self.spaced = Recent(self._spaced, remember)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -84,6 +90,8 @@ class Codec:
 
     def _compatible(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
+        if a == len(self.token):                        # the start: do merges give b at all?
+            return self.merged(self.token[b]) == [b]
         return self.merged(self.token[a] + self.token[b], self.length[a]) == [a, b]
 
     def _longest(self, data: str, at: int) -> int | None:
@@ -102,12 +110,22 @@ class Codec:
         if whole is not None:
             return [whole]
         n, length, fits, longest = len(data), self.length, self.compatible, self._longest
-        closed: set[int] = set()
+        # the longest matches one after the other, as far as they are compatible
         out: list[int] = []
-        at, tok, before = 0, longest(data, 0), None
+        at, before = 0, len(self.token)
+        for _, tok in self.automaton.iter_long(data):
+            if not fits[before << 32 | tok]:
+                break
+            out.append(tok)
+            at += length[tok]
+            before = tok
+        if at == n:
+            return out
+        closed: set[int] = set()
+        tok = longest(data, at)
         while True:
-            while tok is not None and (at + length[tok] in closed or (
-                    before is not None and not fits[before << 32 | tok])):
+            while tok is not None and (at + length[tok] in closed
+                                       or not fits[before << 32 | tok]):
                 tok = self.shorter[tok]
             if tok is not None:
                 out.append(tok)
@@ -119,25 +137,36 @@ class Codec:
                 closed.add(at)
                 tok = out.pop()
                 at -= length[tok]
-                before, tok = (out[-1] if out else None), self.shorter[tok]
+                before, tok = (out[-1] if out else len(self.token)), self.shorter[tok]
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
 
     def _chunk(self, text: str) -> bytes:
         """The ids of a stretch of text, four bytes each."""
-        out: list[int] = []
-        # one space and letters: a match by itself
-        for match in [text] if text[1:].isalpha() and text[0] == " " else self.matches(text):
-            out += self.piece(match if match.isascii() else match.encode().decode("latin-1"))
-        return np.array(out, dtype=np.uint32).tobytes()
+        return b"".join(map(self._coded, self.matches(text)))
+
+    def _coded(self, match: str) -> bytes:
+        return array("I", self.piece(match if match.isascii()
+                                     else match.encode().decode("latin-1"))).tobytes()
+
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        if word.isalpha():                              # with the space, one match
+            return self._coded(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.first[word[-1]]
+        return self._chunk(" " + word)
 
     def encode(self, text: str) -> list[int]:
         if UNSAFE.search(text):
             coded = self._chunk(text)
         else:
-            head, *rest = text.split(" ")
-            spaced = self.spaced
-            coded = self.first[head] + b"".join([spaced[x] for x in rest])
+            spaced, coded = self.spaced, []
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                coded += [self.first["\n"], self.first[head]]
+                coded += [spaced[x] for x in rest]
+            coded = b"".join(coded[1:])
         return np.frombuffer(coded, dtype=np.uint32).tolist()
 
     def decode(self, ids) -> bytes:

@@ -66,13 +66,13 @@ def slices(batches: Iterator, text: str, most: int = 4_000_000) -> Iterator:
 
 
 def per_text(docs: DataFrame, id_col: str, text_col: str, fn: Callable, schema: str,
-             *extra: Column) -> DataFrame:
-    """``fn`` over frames of (doc_id, text, extra columns); other columns never reach Python."""
-    src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"),
-                      *extra)
+             most: int = 4_000_000) -> DataFrame:
+    """``fn`` over frames of (doc_id, text) of about ``most`` characters; other columns never
+    reach Python."""
+    src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for pdf in slices(batches, "text"):
+        for pdf in slices(batches, "text", most):
             yield fn(pdf)
 
     return src.mapInPandas(run, schema)
@@ -94,12 +94,15 @@ class Recent(dict):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+    def put(self, key, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.put(key, value)
         return value
