@@ -574,10 +574,10 @@ def catalog(spark, d):
     return K.column_catalog(spark, catalog_tables(spark, d), derive.DATABASE, derive.SCHEMA)
 
 
-def registry_rows(spark, d):
+def registry_rows(spark, d, cat=None):
     """column_registry derived from the catalog: every vector column and its
     ``{text}_embedding_model`` sibling are registered."""
-    c = catalog(spark, d)
+    c = catalog(spark, d) if cat is None else cat
     vec = c.filter("is_vector").select("database_name", "schema_name", "table_name",
                                        F.col("column_name").alias("vcol"), "dimension")
     model = c.select("table_name", F.col("column_name").alias("mcol"))
@@ -604,10 +604,11 @@ def desired(spark, d):
         F.col("table").alias("table_name"), "text_column", "column_name", "role")
 
 
-def collisions(spark, d):
-    hist = K.history_keys(registry_rows(spark, d),
+def collisions(spark, d, cat=None):
+    cat = catalog(spark, d) if cat is None else cat     # a query builds it once
+    hist = K.history_keys(registry_rows(spark, d, cat),
                           derive.collision_log(T(spark, d, "events")))
-    return K.classify_collisions(desired(spark, d), catalog(spark, d), hist)
+    return K.classify_collisions(desired(spark, d), cat, hist)
 
 
 ROLE_TYPES = {"vector": "vector", "model": "text", "timestamp": "timestamp",
@@ -706,8 +707,10 @@ def q_column_mapping(spark, d):
 
 @register("reconcile_plan")
 def q_reconcile_plan(spark, d):
-    r = K.resolve_columns(collisions(spark, d)).withColumn("column_type", role_type(F.col("role")))
-    return K.reconcile_plan(r, catalog(spark, d)).select(
+    cat = catalog(spark, d)
+    r = K.resolve_columns(collisions(spark, d, cat)).withColumn("column_type",
+                                                                role_type(F.col("role")))
+    return K.reconcile_plan(r, cat).select(
         "table_name", "column_name", "resolved_column_name", "ddl", "blocked", "large_table")
 
 
@@ -753,8 +756,9 @@ def q_add_companions(spark, d):
 
 @register("registry_upsert")
 def q_registry_upsert(spark, d):
-    old = registry_rows(spark, d)
-    r = K.resolve_columns(collisions(spark, d)).filter(~F.col("blocked"))
+    cat = catalog(spark, d)
+    old = registry_rows(spark, d, cat)
+    r = K.resolve_columns(collisions(spark, d, cat)).filter(~F.col("blocked"))
     new = r.select("database_name", "schema_name", "table_name",
                    F.col("column_name").alias("original_column_name"),
                    F.col("resolved_column_name").alias("actual_column_name"),
@@ -943,8 +947,10 @@ def q_batch_plan(spark, d):
 def q_reconcile_summary(spark, d):
     """A6 over reconciliation: per table success / failed (a critical
     collision blocks the table in safe mode), then one summary row."""
-    r = K.resolve_columns(collisions(spark, d)).withColumn("column_type", role_type(F.col("role")))
-    plan = K.reconcile_plan(r, catalog(spark, d))
+    cat = catalog(spark, d)
+    r = K.resolve_columns(collisions(spark, d, cat)).withColumn("column_type",
+                                                                role_type(F.col("role")))
+    plan = K.reconcile_plan(r, cat)
     per_table = plan.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("changes"),
         F.count_if(~F.col("blocked")).alias("ok_changes"),
