@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, processors
 
 from vecsync.llm import bpe, huffman, tokencount
 
@@ -103,9 +103,14 @@ def test_code_lengths_are_optimal_and_limited():
 def test_words_equal_the_library():
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    for text in mixed(3000, 3):
-        got = np.frombuffer(huffman.word_ids(path).encode(text), "<u4").tolist()
-        assert got == t.encode(text, add_special_tokens=False).ids, repr(text)
+    rnd = random.Random(6)
+    cased = ["a" + chr(c) + " " + chr(c) + "\u0301\n" + chr(c) + "," for c in
+             list(range(1, 0x3000)) + rnd.sample(range(0x3000, 0xd800), 3000)
+             + rnd.sample(range(0xe000, 0x110000), 3000)]
+    texts = mixed(3000, 3) + cased + ["The<|ENDOFTEXT|> Words.\nAnd, more!! (x). don't DON'T."]
+    for text, got in zip(texts, huffman.word_ids(path).encode(texts)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -152,6 +157,17 @@ def test_allocation_against_brute_force(rule):
         assert np.allclose(got, want)
 
 
+def test_spans_equal_the_library():
+    """Spans from remembered stretches are those of the text encoded as a whole."""
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    t.post_processor = processors.ByteLevel(trim_offsets=False)
+    texts = mixed(3000, 8) + [r[1] or "" for r in cases.rows()] + ["a\nb c\n\nd", "x \ny", "\n"]
+    for text, (start, end) in zip(texts, tokencount.spans(path, texts)):
+        assert list(zip(start, end)) == t.encode(text, add_special_tokens=False).offsets, repr(text)
+
+
 def test_sections_and_fields(spark):
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)

@@ -22,6 +22,8 @@ Defined results
 """
 from __future__ import annotations
 
+import os
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
-from vecsync.llm.common import col, slices
+from vecsync.llm.bpe import UNSAFE
+from vecsync.llm.common import Recent, col, slices
 
 RULES = ("start", "majority", "share")
 SLICE = 400_000
@@ -53,26 +56,65 @@ def allocate(start: np.ndarray, end: np.ndarray, border: np.ndarray,
     return out
 
 
-_tokenizers: dict[str, Tokenizer] = {}
-
-
-def tokenizer(path: str) -> Tokenizer:
-    """One per worker; strings of special tokens are ordinary text, offsets keep spaces."""
-    if path not in _tokenizers:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        t.post_processor = processors.ByteLevel(trim_offsets=False)
-        _tokenizers[path] = t
-    return _tokenizers[path]
+class Spans:
+    """Spans of the tokens of whole texts by the tokenizers library.
+
+    The tokenizer's pattern lets no token cross the cut before a single space or beside a
+    single line feed: the library encodes what stands between, in batches, and the spans it
+    gave are remembered, within bounds.  Texts with other white space are encoded as they are.
+    """
+
+    def __init__(self, path: str, remember: int = 300_000):
+        # Spark gives a task its core; the library's own threads would take others'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = Tokenizer.from_file(path)
+        # strings of special tokens are ordinary text; spans keep their spaces
+        tokenizer.encode_special_tokens = True
+        tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+        self.batch = tokenizer.encode_batch
+        self.spans = Recent(lambda text: self._coded([text])[0], remember)
+
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        """First and last-but-one-past character of every token, four bytes each."""
+        return [array("i", chain.from_iterable(e.offsets)).tobytes()
+                for e in self.batch(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        out = []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out += ["\n", head]
+            out += [" " + x for x in rest]
+        return [x for x in out[1:] if x]
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = [[t] if UNSAFE.search(t) else self._cut(t) for t in texts]
+        known = self.spans
+        new = [x for x in {x for own in parts for x in own} if x not in known
+               and x not in known.old and len(x) < 1_000]
+        for at in range(0, len(new), 5_000):
+            for x, coded in zip(new[at:at + 5_000], self._coded(new[at:at + 5_000])):
+                known.put(x, coded)
+        out = []
+        for own in parts:
+            found = [known[x] if len(x) < 1_000 else self._coded([x])[0] for x in own]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            many = np.fromiter(map(len, found), np.int64, len(found)) // 8
+            flat = np.frombuffer(b"".join(found), np.int32).astype(np.int64).reshape(-1, 2)
+            flat = flat + np.repeat(np.cumsum(size) - size, many)[:, None]
+            out.append((flat[:, 0], flat[:, 1]))
+        return out
+
+
+_spans: dict[str, Spans] = {}
 
 
 def spans(path: str, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First and last-but-one-past character of every token of every text."""
-    out = []
-    for e in tokenizer(path).encode_batch(texts, add_special_tokens=False):
-        flat = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e.ids))
-        out.append((flat[::2], flat[1::2]))
-    return out
+    """By the worker's one tokenizer for the vocabulary."""
+    if path not in _spans:
+        _spans[path] = Spans(path)
+    return _spans[path](texts)
 
 
 def line_borders(text: str, separator: str = "\n") -> np.ndarray:
