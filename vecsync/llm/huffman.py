@@ -24,8 +24,11 @@ Defined results
 """
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -134,20 +137,58 @@ def unpack(payload: bytes, n: int, marks: np.ndarray, table: tuple) -> np.ndarra
 # -- tokenising ---------------------------------------------------------------------------
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, for vocabularies whose tokenizer puts
+    texts into lower case and drops white space.
 
-    The pre-tokenizer drops white space, so no token crosses a space: the library encodes
-    what stands between spaces, and what it gave is remembered, within bounds.
+    There no token crosses a space or line feed, and marks after a word are tokens of their
+    own: the library encodes what stands between, in batches, and what it gave is remembered,
+    within bounds.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
-        encode = Tokenizer.from_file(path).encode
-        self.ids = Recent(lambda chunk: np.array(encode(chunk, add_special_tokens=False).ids,
-                                                 dtype="<u4").tobytes(), remember)
+    MARKS = frozenset(".,;:!?")
+    #: dotted capital I, and everything beyond the Latin letters
+    BEYOND = staticmethod(re.compile("[\u0130\u0300-\U0010ffff]").search)
 
-    def encode(self, text: str | None) -> bytes:
+    def __init__(self, path: str, remember: int = 300_000):
+        # Spark gives a task its core; the library's own threads would take others'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tokenizer = Tokenizer.from_file(path)
+        self.batch = tokenizer.encode_batch_fast
+        self.ids = Recent(self._one, remember)
+
+    def _one(self, word: str) -> bytes:
+        if self._marked(word):
+            return self.ids[word[:-1]] + self.ids[word[-1]]
+        return self._coded([word])[0]
+
+    def _marked(self, word: str) -> bool:
+        return word[-1] in self.MARKS and word[:-1].isalpha() and not self.BEYOND(word)
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes()
+                for e in self.batch(words, add_special_tokens=False)]
+
+    def words(self, text: str | None) -> list[str]:
+        # as the tokenizer would, but for letters beyond Latin, where lower case and composed
+        # characters depend on each other, and strings that may name special tokens
+        text = text or ""
+        if (text.isascii() or not self.BEYOND(text)) and "<|" not in text:
+            text = text.lower()
+        return [x for x in text.replace("\n", " ").split(" ") if x]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        each = [self.words(t) for t in texts]
         ids = self.ids
-        return b"".join([ids[x] for x in text.split(" ") if x]) if text else b""
+        found = [list(map(ids.get, own)) for own in each]
+        new = {x for own, got in zip(each, found) if None in got
+               for x, coded in zip(own, got) if coded is None and x not in ids.old}
+        base = list({x[:-1] if self._marked(x) else x for x in new})
+        for at in range(0, len(base), 5_000):
+            part = [x for x in base[at:at + 5_000] if x not in ids]
+            for x, coded in zip(part, self._coded(part)):
+                ids.put(x, coded)
+        return [b"".join([ids[x] if coded is None else coded for x, coded in zip(own, got)]
+                         if None in got else got) for own, got in zip(each, found)]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -167,8 +208,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        press = zstandard.ZstdCompressor(level=3).compress
-        raw = [word_ids(path).encode(t) + end for t in pdf["text"]]
+        press = zstandard.ZstdCompressor(level=1).compress
+        raw = [own + end for own in word_ids(path).encode(list(pdf["text"]))]
         # the four bytes of an id apart from each other compress better
         apart = [np.frombuffer(r, np.uint8).reshape(-1, 4).T.tobytes() for r in raw]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(r) // 4 for r in raw],
@@ -176,7 +217,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                              "ids": [press(a) for a in apart]})
 
     return per_text(docs, id_col, text_col, run,
-                    f"doc_id {kind}, n long, crc long, ids binary")
+                    f"doc_id {kind}, n long, crc long, ids binary", most=1_000_000)
 
 
 def _raw(blob: bytes) -> np.ndarray:
