@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from vecsync.operators import detect, knn as KN
 from vecsync.operators.embed import batch_plan
 from vecsync.plans import derive
@@ -112,6 +112,28 @@ def test_ivf_full_probe_has_full_recall(spark):
     assert rec and min(rec) == 1.0
 
 
+@pytest.mark.parametrize("sf_dir", [SF01, SF01.replace("sf0.01", "sf0.1")])
+def test_registered_ivf_query_has_the_required_recall(spark, sf_dir):
+    from vecsync.plans.registry import QUERIES
+    rec = QUERIES["knn_ivf"](spark, sf_dir).groupBy("query_id").agg(F.first("recall").alias("r"))
+    n = read_table(spark, sf_dir, "benchmark").count()
+    got = rec.agg(F.count("r"), F.avg("r")).first()
+    assert got[0] == n and got[1] >= 0.9
+
+
+def test_ivf_recall_holds_for_queries_beyond_the_sample(spark):
+    rng = np.random.default_rng(11)
+    corpus = rng.normal(size=(900, 16)).astype(np.float32)
+    qs = rng.normal(1.0, 2.0, size=(KN.PROBE_SAMPLE * 2, 16)).astype(np.float32)   # off centre
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)],
+                                "vec_id long, embedding array<float>")
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)],
+                                "query_id long, query_vector array<float>")
+    approx = KN.knn_ivf(spark, cdf, qdf, 10, query_block=128)
+    rec = [r.recall for r in KN.recall_at_k(approx, KN.knn_exact(spark, cdf, qdf, 10)).collect()]
+    assert len(rec) == len(qs) and np.mean(rec) >= 0.9
+
+
 def test_attempt_history_hot_key_matches_plain_window(spark):
     from vecsync.operators.tasks import attempt_history
     rows = [(i, "hot" if i % 4 else f"k{i}", i * 500, i % 3 == 0) for i in range(3000)]

@@ -13,7 +13,9 @@ quantiser, about the square root of the corpus size in number.  Each query
 probes its ``nprobe`` nearest cells; a task finds the cell of each of its
 corpus rows, scores a cell's rows only against the queries that probe the
 cell (matrix products again) and keeps the same running top-``k``.  Every
-row is searched, whatever the size of its cell.
+row is searched, whatever the size of its cell.  How many cells a wanted
+recall needs depends on corpus and queries, so it is measured: at most
+``PROBE_SAMPLE`` queries are searched exactly.
 """
 from typing import Iterator
 
@@ -27,6 +29,7 @@ from ..session import checkpoint_dir
 
 QUERY_BLOCK = 4096
 TRAIN_ROWS = 100_000
+PROBE_SAMPLE = 256
 # upper bound of one in-task score matrix (rows × queries or rows × centroids)
 SCORE_CELLS = 4_000_000
 
@@ -174,22 +177,49 @@ def _cells(rows: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
 
 
+def _probes_for(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str, id_col: str,
+                vec_col: str, qid_col: str, centers: np.ndarray, recall: float) -> int:
+    """The number of nearest cells in which a sample of the block's queries has at least
+    ``recall`` of its exact neighbours."""
+    ids_q, mat = block
+    by_id = np.argsort(ids_q, kind="stable")
+    some = by_id[np.random.default_rng(7).permutation(len(by_id))[:PROBE_SAMPLE]]
+    ids_q, mat = ids_q[some], mat[some]
+    found = _search(spark, corpus, (ids_q, mat), k, metric, id_col, vec_col, qid_col)
+    # at most k rows per sampled query reach the driver
+    near = (_cut_to_k([found], spark, k, qid_col, id_col).select(qid_col, id_col)
+            .join(corpus.select(id_col, vec_col), id_col).select(qid_col, vec_col).collect())
+    if not near:
+        return len(centers)
+    row = {q: i for i, q in enumerate(ids_q.tolist())}
+    rank = np.argsort(_cells(mat, centers, len(centers)), axis=1, kind="stable")
+    own = _cells(np.array([np.asarray(r[1], dtype=np.float64) for r in near]), centers, 1)[:, 0]
+    need = np.sort(rank[[row[r[0]] for r in near], own]) + 1
+    return int(need[max(0, int(np.ceil(recall * len(need))) - 1)])
+
+
 def knn_ivf(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
             nlist: int | None = None, nprobe: int | None = None, metric: str = "l2",
             id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "query_id",
-            qvec_col: str = "query_vector", query_block: int = QUERY_BLOCK) -> DataFrame:
+            qvec_col: str = "query_vector", query_block: int = QUERY_BLOCK,
+            recall: float = 0.95) -> DataFrame:
     """T5: approximate top-``k`` via ``nprobe`` of ``nlist`` k-means cells.
 
     ``nlist`` defaults to the square root of the corpus size and ``nprobe`` to
-    six tenths of the cells, which vectors without clusters need for a recall
-    of 0.9; clustered ones need far fewer.  ``nprobe = nlist`` is exact.
+    as many cells as a sample of ``PROBE_SAMPLE`` queries needs for ``recall``
+    (one exact search of the sample; a query set no larger than that is
+    measured whole).  ``nprobe = nlist`` is exact.
     """
     if nlist is None:
         nlist = max(1, round(corpus.count() ** 0.5))
     centers = train_cells(corpus, nlist, vec_col)
-    nprobe = min(len(centers), nprobe or max(1, -(-6 * len(centers) // 10)))
-    cand = [_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col, centers, nprobe)
-            for block in _blocks(queries, qid_col, qvec_col, query_block)]
+    cand = []
+    for block in _blocks(queries, qid_col, qvec_col, query_block):
+        # blocks are cut by hash, so the first one is a fair sample of all queries
+        nprobe = nprobe or _probes_for(spark, corpus, block, k, metric, id_col, vec_col, qid_col,
+                                       centers, recall)
+        cand.append(_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col, centers,
+                            min(len(centers), nprobe)))
     return _cut_to_k(cand, spark, k, qid_col, id_col)
 
 
