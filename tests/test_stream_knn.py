@@ -244,6 +244,49 @@ def test_late_replay_is_dropped_and_counted(spark):
     assert len(ids) == len(set(ids))          # a replay never duplicates output
 
 
+HOT_SCHEMA = "event_id long, k string, ts timestamp_ntz"
+
+
+def hot_feed(spark):
+    """One key with four fifths of the events, pauses of 7,000 s, two events without a time."""
+    rows = [(i, "hot" if i % 5 else f"k{i % 40}", 1_700_000_000 + i * 7 + i % 3)
+            for i in range(24_000) if i // 1000 % 5 != 4]
+    return spark.createDataFrame(rows + [(-1, "hot", None), (-2, "k0", None)],
+                                 "event_id long, k string, s long").select(
+        "event_id", "k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+
+
+def land_in_slices(spark, f, slices):
+    path = ST.scratch(spark, "t-hot")
+    for n in range(slices):
+        f.filter(F.greatest(F.floor(F.col("event_id") * slices / 24_000), F.lit(0)) == n) \
+            .coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("window", [10.0, 650.0, 5000.0])
+def test_stream_debounce_hot_key_matches_plain_window(spark, window):
+    f = hot_feed(spark)
+    s = ST.stream_debounce(ST.read_feed(spark, land_in_slices(spark, f, 3), 1, HOT_SCHEMA), ["k"],
+                           "ts", window, HOT_SCHEMA)
+    got = sorted(r.event_id for r in ST.run_to_table(spark, s, "t-hot-dedup").collect())
+    us = ST.epoch_us(F.col("ts"))
+    gap = us - F.lag(us).over(Window.partitionBy("k").orderBy("ts"))
+    want = f.withColumn("g", gap).filter(F.col("g").isNull() | (F.col("g") >= window * 1e6))
+    assert got == sorted(r.event_id for r in want.collect())
+
+
+def test_stream_debounce_splits_a_hot_key_of_one_batch(spark):
+    f = hot_feed(spark).filter("k = 'hot' and ts is not null")
+    s = ST.stream_debounce(ST.read_feed(spark, land_in_slices(spark, f, 1), None, HOT_SCHEMA),
+                           ["k"], "ts", 60.0, HOT_SCHEMA)
+    q = (s.writeStream.format("noop").option("checkpointLocation", ST.scratch(spark, "t-hot-ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    states = max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
+    assert states >= 30                      # one per hour of the feed; a single one before
+
+
 KEY = lambda r: (r.table, r.row_id, r.event_id)
 
 

@@ -80,6 +80,17 @@ def look_back(df: DataFrame, ts_col: str, as_of, interval: str) -> DataFrame:
     return df.filter(F.col(ts_col) > _ts(as_of) - F.expr(f"INTERVAL {interval}"))
 
 
+def in_buckets(df: DataFrame, win: int, size: int) -> DataFrame:
+    """Rows with a time ``_us`` by time bucket ``_b``; those of a bucket's last ``win``
+    also in the next bucket, there as context (``_own`` is false).  A row without a time
+    is its own and has no bucket."""
+    own = F.floor(F.col("_us") / F.lit(size))
+    near_end = F.col("_us") > (own + 1) * F.lit(size) - F.lit(win)
+    return (df.select("*", F.posexplode(F.when(near_end, F.array(own, own + 1))
+                                         .otherwise(F.array(own))).alias("_own", "_b"))
+              .withColumn("_own", F.col("_own") == 0))
+
+
 def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
              bucket_seconds: int = 3600) -> DataFrame:
     """Drop an event when the previous event of the same key is less than

@@ -90,37 +90,65 @@ def stream_dedup(events: DataFrame, key: list[str], ts_col: str, delay: str) ->
 
 
 def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_seconds: float,
-                    out_schema: str, delay: str = "2 hours") -> DataFrame:
-    """ST3 exact: the W3 rule on a stream.  Per key the state holds the last
-    event time seen; rows of a micro-batch are sorted by time inside the key's
-    group.  Event-time timeout drops idle keys once the watermark passes.
-    A key's rows of one micro-batch are sorted together, so the batch size
-    (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``) bounds a hot key's
-    memory."""
-    win_us = int(window_seconds * 1_000_000)
+                    out_schema: str, delay: str = "2 hours",
+                    bucket_seconds: int = 3600) -> DataFrame:
+    """ST3 exact: the W3 rule on a stream.  Groups are (key, time bucket) as in
+    ``detect.debounce``: an event near the end of its bucket also goes to the
+    next one as context, so a hot key spreads over many tasks.  The state holds
+    the last event time seen; event-time timeout drops it once the watermark
+    passes.
+
+    Of the events less than a window apart only the first can stay, so a group
+    is folded, one Arrow batch after another, into the first event and the last
+    time of each window-wide cell: however many events a group has, a task
+    holds one batch and ``bucket_seconds / window_seconds`` cells.  An event
+    without a time stays."""
+    win_us = int(round(window_seconds * 1_000_000))
+    size = max(int(bucket_seconds * 1_000_000), win_us, 1)
     cols = [f.split()[0] for f in out_schema.split(",")]
-    events = events.withColumn("_et", event_time(F.col(ts_col))) \
-                   .withColumn("_us", epoch_us(F.col(ts_col)))
+    if win_us <= 0:
+        return events.select(*cols)
+    events = detect.in_buckets(events.withColumn("_us", epoch_us(F.col(ts_col))), win_us, size)
+    # a context copy has no event time: it is never late, so late events are counted once
+    events = events.withColumn("_et", F.when(F.col("_own"), event_time(F.col(ts_col))))
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs)).sort_values(["_us", cols[0]])
-        us = pdf["_us"].to_numpy()
-        keep = np.r_[last is None or us[0] - last >= win_us, np.diff(us) >= win_us]
-        last = int(us[-1])
-        state.update((last,))
+        first, last = None, pd.Series(dtype="int64")
+        for pdf in pdfs:
+            timed = pdf["_us"].notna()
+            if not timed.all():
+                yield pdf.loc[~timed, cols]
+                pdf = pdf[timed]
+            if not len(pdf):
+                continue
+            us = pdf["_us"].astype("int64")
+            # context comes from the window before the bucket: cell -1
+            cell = (us - pdf["_b"].astype("int64") * size) // win_us
+            last = pd.concat([last, us.groupby(cell).max()]).groupby(level=0).max()
+            own = pdf.assign(_us=us, _cell=cell)[pdf["_own"].astype(bool)]
+            first = own if first is None else pd.concat([first, own])
+            first = first.sort_values(["_us", cols[0]]).drop_duplicates("_cell")
+        if not len(last):
+            return
+        # no event yet: earlier than any
+        seen = state.get[0] if state.exists else -2 ** 62
+        before = last.cummax().shift(fill_value=seen).clip(lower=seen)
+        seen = max(seen, int(last.max()))
+        state.update((seen,))
         # a later event of this key is always kept once the watermark passed
         # last + window, so the state can go then (never before the watermark)
-        state.setTimeoutTimestamp(max(last // 1000 + int(window_seconds * 1000),
+        state.setTimeoutTimestamp(max((seen + win_us) // 1000,
                                       state.getCurrentWatermarkMs()) + 1)
-        out = pdf[keep][cols]
-        if len(out):
-            yield out
+        if first is not None and len(first):
+            gap = first["_us"].to_numpy() - before.loc[first["_cell"]].to_numpy()
+            out = first.loc[gap >= win_us, cols]
+            if len(out):
+                yield out
 
-    return (events.withWatermark("_et", delay).groupBy(*key)
+    return (events.withWatermark("_et", delay).groupBy(*key, "_b")
             .applyInPandasWithState(fn, out_schema, "last_us long", "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
