@@ -54,6 +54,15 @@ def test_debounce_hot_key_matches_plain_window(spark):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
 
 
+def test_debounce_keeps_events_without_a_time(spark):
+    rows = [(1, "a", None), (2, "a", 100), (3, "a", 200), (4, "a", 9000), (5, "b", None),
+            (6, "b", None)]
+    df = spark.createDataFrame(rows, "id long, k string, s long") \
+        .withColumn("ts", F.timestamp_seconds("s"))
+    got = detect.debounce(df, ["k"], "ts", 1000.0)
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5, 6]
+
+
 def test_batch_plan_null_groups_and_mixed_keys(spark):
     rows = [(None if i % 5 == 0 else f"g{i % 3}", i % 7, f"k{i:04d}", i) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, a int, b string, v long")

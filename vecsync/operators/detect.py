@@ -95,6 +95,7 @@ def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
              bucket_seconds: int = 3600) -> DataFrame:
     """Drop an event when the previous event of the same key is less than
     ``window_seconds`` older (compared with the previous event, kept or not).
+    An event without a time stays.
 
     Hot keys are split by time: rows are windowed per (key, time bucket), so
     one key holding a third of the feed still spreads over many tasks.  The
@@ -105,17 +106,11 @@ def debounce(df: DataFrame, key: list[str], ts_col: str, window_seconds: float,
     """
     win = int(round(window_seconds * 1_000_000))
     size = max(int(bucket_seconds * 1_000_000), win, 1)
-    x = df.withColumn("_us", epoch_us(F.col(ts_col)))
-    own = F.floor(F.col("_us") / F.lit(size))
-    near_end = F.col("_us") > (own + 1) * F.lit(size) - F.lit(win)
-    x = (x.withColumn("_own", own)
-          .withColumn("_b", F.explode(F.when(near_end, F.array(own, own + 1))
-                                       .otherwise(F.array(own)))))
+    x = in_buckets(df.withColumn("_us", epoch_us(F.col(ts_col))), win, size)
     w = Window.partitionBy(*key, "_b").orderBy("_us")
     gap = F.col("_us") - F.lag("_us").over(w)
     return (x.withColumn("_gap", gap)
-             .filter((F.col("_b") == F.col("_own"))
-                     & (F.col("_gap").isNull() | (F.col("_gap") >= win)))
+             .filter(F.col("_own") & (F.col("_gap").isNull() | (F.col("_gap") >= win)))
              .drop("_gap", "_b", "_us", "_own"))
 
 
