@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -26,7 +23,3 @@ def spark():
     checkpoint_dir(s)
     yield s
     s.stop()
-
-
-def one_col(spark, values, name="t"):
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, {name} string")

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, one_col
+from support import SF001, one_col
 from vecsync.functions import clean as C
 
 

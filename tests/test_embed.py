@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one_col
+from support import one_col
 from vecsync.functions import errors as ER
 from vecsync.functions.vectors import mock_embedding
 from vecsync.operators import embed as EM

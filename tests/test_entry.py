@@ -3,7 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from support import SF001
 from vecsync.sources.tables import TABLES
 
 

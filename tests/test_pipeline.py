@@ -112,7 +112,7 @@ def test_companion_columns_ddl_is_idempotent(spark):
 
 
 def test_approx_percentile_variant_is_close(spark):
-    from conftest import SF001
+    from support import SF001
     from vecsync.plans import derive
     from vecsync.sources.tables import read_table
     ev = read_table(spark, SF001, "events")

@@ -4,7 +4,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from support import SF001
 
 
 def plan(df):

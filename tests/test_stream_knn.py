@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from support import SF001, SF01
 from vecsync.operators import detect, knn as KN
 from vecsync.operators.embed import batch_plan
 from vecsync.plans import derive
