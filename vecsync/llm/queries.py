@@ -4,8 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecsync.llm import (bpe, crf, decontam, exact_dedup, huffman, kdshard, langid, ppm, simhash,
-                         tokencount)
+from vecsync.llm import (bpe, crf, decontam, divergence, exact_dedup, huffman, kdshard, langid,
+                         lexical, lzprint, ppm, simhash, tokencount)
 from vecsync.llm.common import documents
 
 
@@ -59,7 +59,21 @@ def op10_huffman_ids(spark, sf_dir):
                               public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_lz_fingerprint(spark, sf_dir):
+    return lzprint.edited_neighbours(documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergence(documents(spark, sf_dir), least_docs=30, top=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ppm, op2_kd_shards, op3_simhash, op4_language_mixture, op5_byte_bpe, op6_exact_dedup,
-    op7_line_crf, op8_section_tokens, op9_string_tiling, op10_huffman_ids)}
-ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
+    op7_line_crf, op8_section_tokens, op9_string_tiling, op10_huffman_ids, op11_lexical_search,
+    op12_lz_fingerprint, op13_source_divergence)}
+ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op11_lexical_search": lexical.ORACLE,
+          "op13_source_divergence": divergence.ORACLE}
