@@ -37,6 +37,30 @@ def snapshot_diff(old: DataFrame, new: DataFrame, id_col: str, text_col: str) ->
     return j.select(F.col("_id").alias(id_col), op.alias("operation"), "old_text", "new_text")
 
 
+def snapshot_diff_narrow(old: DataFrame, new: DataFrame, id_col: str, text_col: str,
+                         texts: bool = False) -> DataFrame:
+    """J2 without texts in the join: id, operation, old_len, new_len from ids, 128-bit digests
+    and lengths.  With ``texts``, ``new_text`` of the INSERT and UPDATE rows, looked up for
+    those ids only (AQE sends few of them to the texts rather than all texts to them)."""
+    def side(df, name):
+        return df.select(F.col(id_col).alias("_id"), F.lit(True).alias(f"_in_{name}"),
+                         F.unhex(F.md5(F.col(text_col))).alias(f"_{name}"),
+                         F.length(text_col).alias(f"{name}_len"))
+
+    same = F.col("_old").eqNullSafe(F.col("_new")) & F.col("old_len").eqNullSafe(F.col("new_len"))
+    op = (F.when(F.col("_in_old").isNull(), "INSERT").when(F.col("_in_new").isNull(), "DELETE")
+           .when(same, "UNCHANGED").otherwise("UPDATE"))
+    diff = (side(old, "old").join(side(new, "new"), "_id", "full_outer")
+            .select(F.col("_id").alias(id_col), op.alias("operation"), "old_len", "new_len"))
+    if not texts:
+        return diff
+    text = new.select(F.col(id_col), F.col(text_col).alias("new_text"))
+    changed = diff.filter(F.col("operation").isin("INSERT", "UPDATE"))
+    return (changed.join(text, id_col, "left")
+            .unionByName(diff.filter(~F.col("operation").isin("INSERT", "UPDATE")),
+                         allowMissingColumns=True))
+
+
 def needs_vectorization(operation: Column, new_vector: Column, old_text: Column,
                         new_text: Column) -> Column:
     """INSERT with a NULL vector, or UPDATE whose text changed (Q5)."""

@@ -3,8 +3,8 @@
 T4: the query set is worked off in blocks of at most ``QUERY_BLOCK`` queries,
 each shipped to executors as one broadcast matrix.  Each task scores its
 corpus batches against the block with one BLAS matrix product and keeps a
-running top-``k`` per query (total order: a number before NaN, score, id),
-so at most ``k × tasks`` candidates per query reach the shuffle; a
+running top-``k`` per query (total order: a number before NaN, score, id;
+ids of any type, other than whole numbers as text), so at most ``k × tasks`` candidates per query reach the shuffle; a
 ``row_number() <= k`` window (WindowGroupLimit) per query then gives the
 exact answer.  No join operator, no all-pairs output.
 
@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (DoubleType, IntegralType, LongType, StringType, StructField,
+                               StructType)
 
 from ..functions.vectors import vsize
 from ..session import checkpoint_dir
@@ -52,7 +54,8 @@ def _metric_scores(block: np.ndarray, queries: np.ndarray, metric: str,
 
 def _top_k(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
     """Per query the ``k`` smallest by the total order (NaN last, score, id)."""
-    order = np.lexsort((ids, sc, np.isnan(sc), qi))
+    by = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+    order = np.lexsort((by, sc, np.isnan(sc), qi))
     qi, ids, sc = qi[order], ids[order], sc[order]
     starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
     sizes = np.diff(np.r_[starts, len(qi)])
@@ -64,9 +67,9 @@ def _top_k(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
 class _Running:
     """Running top-``k`` per query of a block."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, ids=np.int64):
         self.k = k
-        self.q, self.id, self.s = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.q, self.id, self.s = np.empty(0, np.int64), np.empty(0, ids), np.empty(0)
 
     def add(self, ids: np.ndarray, queries: np.ndarray, sc: np.ndarray) -> None:
         """Scores of rows (ids) × queries (their numbers): per query the rows at or below its
@@ -79,26 +82,38 @@ class _Running:
                                          np.r_[self.s, sc[rows, cols]], self.k)
 
 
+def id_kind(df: DataFrame, name: str) -> tuple:
+    """How ids travel through Python (numpy and Spark type), and the column's own type."""
+    own = df.schema[name].dataType
+    return (np.int64, "long", own) if isinstance(own, IntegralType) else (object, "string", own)
+
+
 def _blocks(queries: DataFrame, qid_col: str, qvec_col: str, block: int):
-    """(ids, matrix) of the query set, about ``block`` queries at a time."""
+    """(ids, matrix) of the query set, about ``block`` queries at a time; a query without an
+    id or a vector asks nothing."""
     checkpoint_dir(queries.sparkSession)
-    q = queries.select(qid_col, qvec_col).filter(F.col(qvec_col).isNotNull()).checkpoint()
+    numpy_kind, kind, _ = id_kind(queries, qid_col)
+    q = (queries.select(F.col(qid_col).cast(kind).alias(qid_col), qvec_col)
+         .filter(F.col(qvec_col).isNotNull() & F.col(qid_col).isNotNull()).checkpoint())
     n = -(-q.count() // block)
     for b in range(n):
         rows = q.filter(F.pmod(F.xxhash64(qid_col), F.lit(n)) == b).collect()
         if rows:
-            yield (np.array([r[0] for r in rows], dtype=np.int64),
+            yield (np.array([r[0] for r in rows], dtype=numpy_kind),
                    np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
 
 
-def _cut_to_k(cand: list[DataFrame], spark: SparkSession, k: int, qid_col: str, id_col: str
-              ) -> DataFrame:
-    schema = f"{qid_col} long, {id_col} long, score double"
-    every = spark.createDataFrame([], schema)
+def _cut_to_k(cand: list[DataFrame], spark: SparkSession, k: int, qid_col: str, id_col: str,
+              kinds: tuple) -> DataFrame:
+    """The ``k`` best candidates of every query, ids in their own types (``kinds``)."""
+    every = spark.createDataFrame([], StructType([
+        StructField(qid_col, kinds[0]), StructField(id_col, kinds[1]),
+        StructField("score", DoubleType())]))
     for c in cand:
-        every = every.unionByName(c)
-    # pandas hands NaN over as null
-    every = every.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+        # pandas hands NaN over as null
+        every = every.unionByName(c.select(
+            F.col(qid_col).cast(kinds[0]).alias(qid_col), F.col(id_col).cast(kinds[1])
+            .alias(id_col), F.coalesce("score", F.lit(float("nan"))).alias("score")))
     w = Window.partitionBy(qid_col).orderBy(F.col("score"), F.col(id_col))
     return (every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                  .select(qid_col, "rank", id_col, "score"))
@@ -111,16 +126,18 @@ def _search(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str,
     ids_q, mat = block
     probe = _cells(mat, centers, nprobe) if centers is not None else None
     sent = spark.sparkContext.broadcast((ids_q, mat, centers, probe))
+    numpy_kind, kind, _ = id_kind(corpus, id_col)
+    query_kind = "string" if ids_q.dtype == object else "long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_q, mat, centers, probe = sent.value
         qnorm = np.sqrt((mat * mat).sum(axis=1))
-        best = _Running(k)
+        best = _Running(k, numpy_kind)
         everyone = np.arange(len(ids_q))
         step = max(1, SCORE_CELLS // len(ids_q))   # rows × queries per score matrix
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
-            all_ids = pdf[id_col].to_numpy().astype(np.int64)
+            all_ids = pdf[id_col].to_numpy().astype(numpy_kind)
             vecs = pdf[vec_col].to_numpy()
             for lo in range(0, len(pdf), step):
                 rows = np.stack([np.asarray(v, dtype=np.float64) for v in vecs[lo:lo + step]])
@@ -128,7 +145,7 @@ def _search(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str,
                 if centers is None:
                     best.add(ids, everyone, _metric_scores(rows, mat, metric, qnorm))
                     continue
-                cell = _cells(rows, centers, 1)[:, 0]
+                cell = _nearest(rows, centers)
                 for c in np.unique(cell):
                     own, asks = cell == c, np.flatnonzero((probe == c).any(axis=1))
                     if len(asks):
@@ -137,8 +154,9 @@ def _search(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str,
         if len(best.q):
             yield pd.DataFrame({qid_col: ids_q[best.q], id_col: best.id, "score": best.s})
 
-    return corpus.select(id_col, vec_col).mapInPandas(
-        run, f"{qid_col} long, {id_col} long, score double")
+    src = corpus.select(F.col(id_col).cast(kind).alias(id_col), vec_col)
+    return src.filter(F.col(id_col).isNotNull()).mapInPandas(
+        run, f"{qid_col} {query_kind}, {id_col} {kind}, score double")
 
 
 def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
@@ -147,11 +165,13 @@ def knn_exact(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int
               query_block: int = QUERY_BLOCK) -> DataFrame:
     """T4: exact top-``k`` corpus rows per query: (query_id, rank, id, score).
 
-    A NaN score (cosine with a zero vector) ranks after all numbers.
+    A NaN score (cosine with a zero vector) ranks after all numbers.  Rows without an id or
+    a vector are nobody's neighbours.  The corpus is read once for each ``query_block``.
     """
     cand = [_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col)
             for block in _blocks(queries, qid_col, qvec_col, query_block)]
-    return _cut_to_k(cand, spark, k, qid_col, id_col)
+    return _cut_to_k(cand, spark, k, qid_col, id_col,
+                     (queries.schema[qid_col].dataType, corpus.schema[id_col].dataType))
 
 
 def train_cells(corpus: DataFrame, nlist: int, vec_col: str = "embedding", seed: int = 7,
@@ -169,12 +189,20 @@ def train_cells(corpus: DataFrame, nlist: int, vec_col: str = "embedding", seed:
     return np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
 
+def _squared(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared L2 via the BLAS expansion: memory rows × centroids only."""
+    return ((rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
+            - 2.0 * (rows @ centers.T))
+
+
+def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest cell of every row."""
+    return np.argmin(_squared(rows, centers), axis=1)
+
+
 def _cells(rows: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
     """The ``nprobe`` nearest cells of every row, nearest first."""
-    # squared L2 via the BLAS expansion: memory rows × centroids only
-    d = ((rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
-         - 2.0 * (rows @ centers.T))
-    return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+    return np.argsort(_squared(rows, centers), axis=1, kind="stable")[:, :nprobe]
 
 
 def _probes_for(spark: SparkSession, corpus: DataFrame, block, k: int, metric: str, id_col: str,
@@ -187,13 +215,15 @@ def _probes_for(spark: SparkSession, corpus: DataFrame, block, k: int, metric: s
     ids_q, mat = ids_q[some], mat[some]
     found = _search(spark, corpus, (ids_q, mat), k, metric, id_col, vec_col, qid_col)
     # at most k rows per sampled query reach the driver
-    near = (_cut_to_k([found], spark, k, qid_col, id_col).select(qid_col, id_col)
+    near = (_cut_to_k([found], spark, k, qid_col, id_col,
+                      (StringType() if ids_q.dtype == object else LongType(),
+                       corpus.schema[id_col].dataType)).select(qid_col, id_col)
             .join(corpus.select(id_col, vec_col), id_col).select(qid_col, vec_col).collect())
     if not near:
         return len(centers)
     row = {q: i for i, q in enumerate(ids_q.tolist())}
     rank = np.argsort(_cells(mat, centers, len(centers)), axis=1, kind="stable")
-    own = _cells(np.array([np.asarray(r[1], dtype=np.float64) for r in near]), centers, 1)[:, 0]
+    own = _nearest(np.array([np.asarray(r[1], dtype=np.float64) for r in near]), centers)
     need = np.sort(rank[[row[r[0]] for r in near], own]) + 1
     return int(need[max(0, int(np.ceil(recall * len(need))) - 1)])
 
@@ -220,7 +250,8 @@ def knn_ivf(spark: SparkSession, corpus: DataFrame, queries: DataFrame, k: int,
                                        centers, recall)
         cand.append(_search(spark, corpus, block, k, metric, id_col, vec_col, qid_col, centers,
                             min(len(centers), nprobe)))
-    return _cut_to_k(cand, spark, k, qid_col, id_col)
+    return _cut_to_k(cand, spark, k, qid_col, id_col,
+                     (queries.schema[qid_col].dataType, corpus.schema[id_col].dataType))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, qid_col: str = "query_id",

@@ -159,6 +159,9 @@ SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
   length(o.text) AS old_len, length(n.text) AS new_len
 FROM old o FULL OUTER JOIN documents n ON o.doc_id = n.doc_id"""
 
+ORACLE["snapshot_diff_texts"] = ORACLE["snapshot_diff"]
+ORACLE["snapshot_diff_tree"] = ORACLE["snapshot_diff"]
+
 ORACLE["feed_parse"] = with_(FEED_CTE) + """
 SELECT event_id, database, schema, "table", operation, row_id, new_text, old_text,
        'default' AS config_key FROM feed"""
@@ -752,6 +755,8 @@ WHERE rank <= 10"""
 ORACLE["knn_exact"] = _knn_sql("list_distance(ev, qv)")
 ORACLE["knn_ivf_full_probe"] = ORACLE["knn_exact"]
 ORACLE["knn_exact_cosine"] = _knn_sql("1.0 - list_cosine_similarity(ev, qv)")
+ORACLE["knn_ivf_index_exact"] = ORACLE["knn_exact"]
+ORACLE["knn_ivf_index_cosine"] = ORACLE["knn_exact_cosine"]
 ORACLE["knn_exact_ip"] = _knn_sql("-list_inner_product(ev, qv)")
 ORACLE["vector_text_roundtrip"] = "SELECT vec_id, len(embedding) AS dim, TRUE AS roundtrip_equal FROM embeddings"
 ORACLE["truncate_vectors"] = f"""
@@ -781,6 +786,8 @@ FROM (SELECT lang, count(*) FILTER (WHERE text_embedding_model = '{derive.CURREN
 ORACLE["stream_route"] = ORACLE["route_events"]
 ORACLE["stream_dedup"] = ORACLE["debounce_events"]
 ORACLE["stream_retry"] = ORACLE["retry_schedule"]
+ORACLE["stream_retry_timers"] = ORACLE["retry_schedule"]
+ORACLE["feed_outbox"] = ORACLE["feed_parse"]
 ORACLE["stream_vectorize"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, FEED_CTE) + f"""
 , rf AS (
   SELECT f.*, k.cleaning_enabled, k.cleaning_config FROM feed f

@@ -18,15 +18,18 @@ from ..functions import errors as ER
 from ..functions import vectors as V
 from ..functions.vectors import CONFIG_DEFAULT_DIMENSIONS
 from ..operators import catalog as K
-from ..operators import detect, routing as R
+from ..operators import detect, digest_tree as DT, routing as R
 from ..operators import embed as EM
+from ..operators import ivf as IVF
 from ..operators import knn as KN
 from ..operators import monitor as M
 from ..operators import tasks as TK
 from ..operators import writeback as WB
 from ..sources import feed as FD
+from ..sources import outbox as OB
 from ..sources.tables import TABLES, read_table, scan_multi_target, scan_text_table
 from ..streaming import jobs as ST
+from ..streaming import retries as RT
 from . import backfill, derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,18 +170,52 @@ def q_clean_extra(spark, d):
 # --- J2 / P1–P9 / W3 / W4 / S3 / S8 / J1 / J3 ----------------------------------
 @register("snapshot_diff")
 def q_snapshot_diff(spark, d):
+    old = derive.old_snapshot(T(spark, d, "documents"), T(spark, d, "benchmark"))
+    return detect.snapshot_diff_narrow(old, T(spark, d, "documents"), "doc_id", "text")
+
+
+@register("snapshot_diff_texts")
+def q_snapshot_diff_texts(spark, d):
     old = derive.old_snapshot(T(spark, d, "documents"), T(spark, d, "benchmark"))
     diff = detect.snapshot_diff(old, T(spark, d, "documents"), "doc_id", "text")
     return diff.select("doc_id", "operation", F.length("old_text").alias("old_len"),
                        F.length("new_text").alias("new_len"))
 
 
+@register("snapshot_diff_tree")
+def q_snapshot_diff_tree(spark, d):
+    docs = T(spark, d, "documents")
+    old = derive.old_snapshot(docs, T(spark, d, "benchmark"))
+    old, new = (DT.write_snapshot(s, "doc_id", "text", ST.scratch(spark, "snapshot-tree"), depth=3)
+                for s in (old, docs))
+    return DT.snapshot_changes(old, new, "doc_id", unchanged=True).drop("old_text", "new_text")
+
+
 @register("feed_parse")
 def q_feed_parse(spark, d):
     return parsed_feed(spark, d).select("event_id", "database", "schema", "table", "operation",
                                         "row_id", "new_text", "old_text", "config_key")
 
 
+@register("feed_outbox")
+def q_feed_outbox(spark, d):
+    """S3 from an outbox table: a stream over its commit ids, stopped, the table grown, and
+    started again from its checkpoint."""
+    table, out, ck = (ST.scratch(spark, f"outbox-{x}") for x in ("table", "out", "ck"))
+    events = feed(spark, d)
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    last = 0
+    for part in (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)):
+        last = OB.append_outbox(events.filter(part), table, last)
+        stream = ST.parsed(OB.read_feed_outbox(spark, path=table, rows_per_partition=5_000))
+        (stream.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start()
+         .awaitTermination())
+    return spark.read.parquet(out).select(
+        "event_id", "database", "schema", "table", "operation", "row_id", "new_text", "old_text",
+        "config_key")
+
+
 @register("feed_valid")
 def q_feed_valid(spark, d):
     v = FD.with_validation(feed(spark, d))
@@ -831,6 +868,32 @@ def q_knn_ivf_full_probe(spark, d):
     return r.withColumn("score", F.round("score", 6))
 
 
+def ivf_index(spark, d, metric="l2"):
+    """The stored index of the embeddings, written anew."""
+    path = IVF.build(T(spark, d, "embeddings"), ST.scratch(spark, "ivf-index"), metric)
+    return IVF.Index(spark, path)
+
+
+@register("knn_ivf_index")
+def q_knn_ivf_index(spark, d):
+    index, qs = ivf_index(spark, d), knn_queries(spark, d)
+    approx = IVF.search(index, qs, KNN_K)
+    rec = KN.recall_at_k(approx, IVF.search(index, qs, KNN_K, exact=True))
+    return approx.join(rec, "query_id").withColumn("score", F.round("score", 6))
+
+
+@register("knn_ivf_index_exact")
+def q_knn_ivf_index_exact(spark, d):
+    r = IVF.search(ivf_index(spark, d), knn_queries(spark, d), KNN_K, exact=True)
+    return r.withColumn("score", F.round("score", 6))
+
+
+@register("knn_ivf_index_cosine")
+def q_knn_ivf_index_cosine(spark, d):
+    r = IVF.search(ivf_index(spark, d, "cosine"), knn_queries(spark, d), KNN_K, exact=True)
+    return r.withColumn("score", F.round("score", 6))
+
+
 @register("vector_text_roundtrip")
 def q_vector_text_roundtrip(spark, d):
     e = T(spark, d, "embeddings")
@@ -936,6 +999,33 @@ def q_stream_retry(spark, d):
     return ST.run_to_table(spark, s, "stream_retry")
 
 
+@register("stream_retry_timers")
+def q_stream_retry_timers(spark, d):
+    """The failed tasks as a stream of attempts, in order of time and several micro-batches;
+    a last success, far later, lets the watermark pass every timer."""
+    failed = tasks(spark, d).filter(FAILED_TASKS()).select(
+        "id", "retry_count", F.col("completed_at").alias("failed_at"),
+        F.lit("retry").alias("outcome"))
+    path = ST.scratch(spark, "attempts-landing")
+    ST.land_feed_in_order(failed, path, 4, "failed_at")
+    last = failed.agg(F.lit(-1).cast("long").alias("id"), F.lit(0).alias("retry_count"),
+                      (F.max("failed_at") + F.expr("INTERVAL 30 DAYS")).alias("failed_at"),
+                      F.lit("success").alias("outcome"))
+    last.select(*[F.col(f.name).cast(f.dataType) for f in failed.schema]).write.mode(
+        "append").parquet(path)
+    stream = spark.readStream.schema(failed.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    store = spark.conf.get(RT.PROVIDER, None)
+    due = RT.retry_timers(stream, ["id"], "failed_at", "id", "failed_at", 5.0, 3)
+    out = ST.run_to_table(spark, due, "stream_retry_timers")
+    spark.conf.set(RT.PROVIDER, store) if store else spark.conf.unset(RT.PROVIDER)
+    again = F.col("decision") == "retry"
+    before = F.when(again, F.col("retry_count") - 1).otherwise(F.col("retry_count"))
+    s = ER.retry_schedule(F.col("failed_at"), F.col("before"), 5.0, 3)
+    return out.withColumn("before", before).withColumn("_s", s).select(
+        "id", F.col("before").alias("retry_count"), "decision",
+        F.when(again, F.col("retry_count")).alias("next_retry_count"), "_s.delay_s", "_s.retry_at")
+
+
 @register("batch_plan")
 def q_batch_plan(spark, d):
     r = routed_texts(spark, d).select("config_order", "table", "row_id")
