@@ -1,10 +1,12 @@
 import collections
 import hashlib
+import random
 
 import cases
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vecsync.llm import components, exact_dedup, simhash
 
@@ -52,6 +54,73 @@ def test_exact_hot_text_and_levels(spark):
     assert got[2999].keep_id == 1 and got[2999].group_size == 1500 and got[2].group_size == 1
 
 
+def test_runs_are_sorted_and_merged_in_order(spark):
+    """Every round sorts and aggregates along the order; the way down reads each level and the
+    rows once; levels are written in order."""
+    data = [(i, f"t{i % 700}", None, None, 1) for i in range(2000)]
+    rows, levels = exact_dedup.digest_groups(cases.frame(spark, data), fan_in=4)
+    parents = levels[0].withColumn("run", F.floor(F.col("run") / 4))
+    plan = exact_dedup._merge(parents, "max", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [range" in plan and "SortAggregate" in plan and "HashAggregate" not in plan
+    assert plan.count("Exchange") == 1
+    down = exact_dedup.exact_dedup(cases.frame(spark, data), fan_in=4)
+    plan = down._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == len(levels) + 1
+    for level in levels:
+        assert all(e.count() == 1 for e in [level.groupBy("range").agg(
+            F.count_distinct("run").alias("n")).agg(F.max("n")).limit(1)])
+        for part in level.withColumn("f", F.input_file_name()).toPandas().groupby("f"):
+            own = [(r.range, r.run, bytes(r.sha)) for r in part[1].itertuples()]
+            assert own == sorted(own)
+    assert levels[-1].select("run").distinct().count() == 1
+
+
+def test_one_row_of_equal_ones_whatever_the_order(spark):
+    """Equal identifiers and texts, other columns: the same row stays however rows are dealt."""
+    data = [(1, "AB" if i % 2 else "ab", None, f"s{i}", i) for i in range(50)]
+    data += [(None, "xy", None, f"s{i}", i) for i in range(20)]
+    for drop in (lambda d: exact_dedup.deduplicate(d, keep="max"), simhash.deduplicate):
+        kept = {tuple(sorted(map(str, drop(cases.frame(spark, data).repartition(n, F.rand(n)))
+                                 .collect()))) for n in (1, 3, 7)}
+        assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_prefixes_that_too_many_share_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "ROOM", 4_000)
+    rnd = random.Random(7)
+    base = rnd.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rnd.sample(range(30), rnd.randint(0, 6)))
+           for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)}
+    fps = sorted(fps)
+    signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    assert len(simhash._prefixes(df, 6, 2)) > 2
+    links = simhash.ball_links(df, 4).collect()
+    got = {r.node: r.root for r in components.components(
+        spark.createDataFrame([tuple(x) for x in links], "u long, v long")).collect()}
+    by = collections.defaultdict(set)
+    for i, x in brute_components(fps, 4).items():
+        by[x].add(got.get(signed[i], signed[i]))
+    assert all(len(v) == 1 for v in by.values())
+    assert len(by) == len({got.get(x, x) for x in signed})
+
+
+def test_a_dense_cluster_stays_within_memory():
+    """200,000 fingerprints that agree but for 18 bits, in one task: links are folded as they
+    are found, so what grows is a few arrays of their number."""
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    own = np.unique(rng.integers(0, 1 << 18, 420_000).astype(np.uint64)) << np.uint64(20)
+    own = own[:200_000]
+    root = np.arange(len(own))
+    tracemalloc.start()
+    simhash._meet(own, root.copy(), np.full(len(own), 2), 64, 4, root)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(root)) == 1 and peak < 600e6
+
+
 def test_empty_tables(spark):
     none = cases.frame(spark, [])
     assert exact_dedup.exact_dedup(none).count() == 0

@@ -115,6 +115,84 @@ def test_em_climbs_and_single_language_wins_without_gain():
         last = ll[0]
 
 
+def brute_mixture(counts, model, penalty):
+    """One text, language by language: EM run very long, the best further language if its gain
+    exceeds the cost."""
+    keys = sorted(counts)
+    n = np.array([counts[k] for k in keys], dtype=float)
+    p = np.exp(model[:, keys].T.astype(float))
+
+    def best_of(langs):
+        share = np.full(len(langs), 1 / len(langs))
+        for _ in range(20_000):
+            each = p[:, langs] * share
+            new = ((n / each.sum(axis=1))[:, None] * each).sum(axis=0) / n.sum()
+            if np.abs(new - share).max() < 1e-13:
+                break
+            share = new
+        return (n * np.log((p[:, langs] * share).sum(axis=1))).sum(), share
+
+    single = [best_of([k])[0] for k in range(len(model))]
+    chosen = [int(np.argmax(single))]
+    have, share = max(single), np.ones(1)
+    while len(chosen) < len(model):
+        tries = [(best_of(chosen + [k]), k) for k in range(len(model)) if k not in chosen]
+        (ll, new), k = max(tries, key=lambda x: (x[0][0], -x[1]))
+        if ll - have <= penalty * math.log(n.sum() + 1):
+            break
+        chosen, have, share = chosen + [k], ll, new
+    out = np.zeros(len(model))
+    out[chosen] = share
+    return out
+
+
+@pytest.mark.parametrize("languages", [2, 5, 24])
+def test_mixtures_against_brute_force(languages):
+    """Synthetic languages, texts of one to three of them: no second language is refused that a
+    search of all sets grants."""
+    rnd = random.Random(languages)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = [["".join(rnd.choices(letters[k % 13:k % 13 + 9], k=rnd.randint(2, 6)))
+                for _ in range(30)] for k in range(languages)]
+    model = np.full((languages, langid.BUCKETS), 0.1)
+    for k, words in enumerate(lexicon):
+        _, bucket, n = langid.trigrams([" ".join(rnd.choices(words, k=800))])
+        model[k, bucket] += n
+    model = np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+    texts, mixed = [], 0
+    for i in range(40):
+        own = rnd.sample(range(languages), min(languages, 1 + i % 3))
+        texts.append(" ".join(w for k in own for w in rnd.choices(lexicon[k],
+                                                                  k=rnd.choice([2, 6, 15]))))
+    got = langid.mixtures(texts, model)
+    for text, share in zip(texts, got):
+        _, bucket, n = langid.trigrams([text])
+        want = brute_mixture(dict(zip(bucket.tolist(), n.tolist())), model, 3.0)
+        assert (share > 0).tolist() == (want > 0).tolist()
+        assert np.abs(share - want).max() < 0.05
+        mixed += (want > 0).sum() > 1
+    assert mixed > 5
+
+
+def test_language_ties_go_to_the_first():
+    model = np.log(np.full((3, langid.BUCKETS), 1 / langid.BUCKETS)).astype(np.float32)
+    assert langid.mixtures(["some words", "", None], model).tolist() == [
+        [1, 0, 0], [0, 0, 0], [0, 0, 0]]
+
+
+def test_the_bound_on_the_maximum_holds():
+    rng = np.random.default_rng(3)
+    p = rng.random((60, 5)) ** 3 + 1e-3
+    n = rng.integers(1, 9, 60).astype(float)
+    start, on = np.array([0, 17]), np.ones((2, 5), bool)
+    _, far = langid._fit(p, n, start, np.full((2, 5), 0.2), 20_000)
+    for steps in (0, 1, 3, 12, 100):
+        share, ll = langid._fit(p, n, start, np.full((2, 5), 0.2), steps)
+        assert (ll + langid._above(p, n, start, share, on) >= far - 1e-6).all()
+    _, ll, gap = langid._maximum(p, n, start, on)
+    assert (gap <= langid.TOLERANCE).all() and (far - ll <= langid.TOLERANCE).all()
+
+
 def test_language_edge_cases(spark):
     docs = cases.clashing(cases.frame(spark))
     langs, model = langid.learn(docs, ~langid.held_out())
@@ -167,6 +245,39 @@ def test_quality_of_held_out_documents(spark):
         got[got.predicted == 1].doc_id)
 
 
+def test_score_is_the_length_weighted_mean_of_line_marginals():
+    """Marginals by enumeration of all labellings of a text's lines, weighted by length; ties
+    at the threshold count as good."""
+    rng = np.random.default_rng(5)
+    field = crf.Field(rng.normal(size=crf.FEATURES) / 4, 0.6)
+    texts = ["one line", "a b c\n\nTHE 123 !!\nlast of these lines here", "", None, "x\ny\nz"]
+    for text, got in zip(texts, crf.scores(texts, field)):
+        x, size, first = crf.line_features([text])
+        lines = (text or "").split("\n")
+        assert size.tolist() == [len(x) for x in lines]
+        each, total = np.zeros(len(lines)), 0.0
+        for y in itertools.product((0, 1), repeat=len(lines)):
+            w = math.exp(sum(x[i] @ field.weight for i in range(len(y)) if y[i])
+                         + field.stay * sum(a == b for a, b in zip(y, y[1:])))
+            each += w * np.array(y)
+            total += w
+        weight = np.array([max(1, len(x)) for x in lines])
+        assert got == pytest.approx((each / total) @ weight / weight.sum())
+
+
+def test_threshold_and_training_stretch(spark):
+    from pyspark.sql import functions as F
+    docs = cases.frame(spark, [(i, "\n".join(f"line {i} {j}" for j in range(200)), None, None, 0)
+                               for i in range(6)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    some, more, every = (crf.learn(docs, labels, F.lit(True), text_lines=n) for n in (80, 150, 0))
+    assert not np.allclose(some.weight, every.weight)
+    assert not np.allclose(more.weight, every.weight)
+    blank = crf.Field(np.zeros(crf.FEATURES), 0.0)      # every score is 0.5
+    assert {r.predicted for r in crf.score(docs, blank, 0.5).collect()} == {1}
+    assert crf.keep_good(docs, blank, 0.5).count() == 6
+
+
 def test_quality_edge_cases(spark):
     from pyspark.sql import functions as F
     docs = cases.clashing(cases.frame(spark))
@@ -245,6 +356,7 @@ def test_leaks_whole_reordered_partial(spark):
                                    (13, "w1 w2"), (10, " ".join(item))],
                                   "item_id long, text string")
     want = [(1, 10)] * 4 + [(2, 10)] * 2 + [(5, 10)] * 2 + [(5, 11)] + [(8, 10)] * 2
+    want += [(i, 13) for i in (1, 1, 2, 3, 5, 8)]      # an item of two words, found whole
     for size in (8_000_000, 100):                      # one block, or a block for each item
         got = decontam.leaks(docs, bench, block_bytes=size).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
@@ -252,12 +364,59 @@ def test_leaks_whole_reordered_partial(spark):
                    for r in got)
         clean = decontam.decontaminate(docs, bench, block_bytes=size)
         assert clean.columns == docs.columns
-        assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 6, 7]
+        assert sorted(r.doc_id for r in clean.collect()) == [4, 6, 7]
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 9
     assert decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def brute_leaks(docs, items, threshold, shortest=5):
+    """Pairs by word lists: short items by every window, others by plain greedy tiling."""
+    out = []
+    for doc, text in docs:
+        d = decontam.tokens((text or "").lower())
+        for item, own in items:
+            w = decontam.tokens((own or "").lower())
+            if not w:
+                continue
+            if len(w) < shortest:
+                covered = len(w) * any(d[i:i + len(w)] == w for i in range(len(d)))
+            else:
+                covered = brute_tiles(d, w, shortest)
+            if covered and covered >= threshold * len(w):
+                out.append((doc, item, len(w), covered))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size", [8_000_000, 60])
+def test_leaks_against_brute_force(spark, size):
+    """Short items, scripts without spaces, null ids and texts, repeats, a very long text."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    han = "".join(chr(0x4e00 + rnd.randrange(300)) for _ in range(40))
+    thai = "".join(chr(0x0e01 + rnd.randrange(40)) for _ in range(20))
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 12)))) for i in range(25)]
+    items += [(40, han[:25]), (41, thai), (42, None), (43, " ,"), (None, "Only Words Here now"),
+              (45, items[3][1]), (46, items[3][1]), (47, han[3:5])]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 60)))) for i in range(60)]
+    docs += [(i + 100, " ".join(rnd.choices(words, k=9)) + " " + (items[i][1] or ""))
+             for i in range(25)]
+    docs += [(200, "x" + han + "y"), (201, han[12:25] + "," + han[:12]), (202, thai + thai),
+             (None, "and only words here NOW."), (None, None), (205, ""), (206, "w1 " * 30_000),
+             docs[61]]
+    frame = cases.clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    bench = cases.clashing(spark.createDataFrame(items, "item_id long, text string"))
+    got = decontam.leaks(frame, bench, 0.8, block_bytes=size).collect()
+    want = brute_leaks(docs, items, 0.8)
+    pairs = [(r.doc_id, r.item_id, r.item_words) for r in got]
+    assert sorted(pairs, key=str) == [x[:3] for x in want]
+    assert {(200, 40), (201, 40), (202, 41), (200, 47)} <= {x[:2] for x in pairs}
+    kept = decontam.decontaminate(frame, bench, 0.8, block_bytes=size)
+    bad = {x[0] for x in want if x[0] is not None}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(
+        i for i, _ in docs if i is not None and i not in bad)
+
+
 # -- shards -------------------------------------------------------------------------------
 
 def test_shards_hold_equal_bytes(spark):
@@ -284,3 +443,49 @@ def test_shards_of_equal_rows_odd_rows_and_none(spark):
     assert kdshard.assign(cases.frame(spark, []), 4, ["n_chars"]).count() == 0
     few = kdshard.assign(cases.frame(spark, [(1, "a", "x", "s", 1)]), 4, ["n_chars"]).collect()
     assert len(few) == 1 and 0 <= few[0].shard < 4 and few[0].slot == 0
+
+
+def brute_tree(keys, size, shards):
+    """Shard of every row: nodes split one by one, at the weighted quantile of sorted keys."""
+    out = np.zeros(len(keys), int)
+    wide = {}
+
+    def go(own, first, last):
+        if last - first == 1 or not len(own):
+            out[own] = first
+            return
+        span = (keys[own].max(axis=0) >> 32) - (keys[own].min(axis=0) >> 32)
+        if not wide:
+            wide.update(enumerate(np.maximum(span, 1)))
+        dim = max(range(keys.shape[1]), key=lambda d: (span[d] / wide[d], -d))
+        k = keys[own, dim]
+        order = np.argsort(k, kind="stable")
+        upto = np.cumsum(size[own][order])
+        need = upto[-1] * ((last - first) // 2) / (last - first)
+        at = min(int(np.searchsorted(upto, need)), len(own) - 1)
+        before = upto[at] - size[own][order][at]
+        take = upto[at] - need <= need - before
+        cut = k[order][at] if take else k[order][at] - 1
+        half = first + (last - first) // 2
+        go(own[k <= cut], first, half)
+        go(own[k > cut], half, last)
+
+    go(np.arange(len(keys)), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards,dims", [(2, 1), (7, 2), (40, 3)])
+def test_tree_against_brute_force(spark, shards, dims):
+    """Every row in the shard that recursive splitting of sorted lists gives; a null dimension
+    (code 0) and a hot value among them."""
+    rnd = random.Random(shards)
+    rows = []
+    for i in range(1500):
+        codes = [0 if rnd.random() < 0.2 else 77 if rnd.random() < 0.4
+                 else rnd.randrange(1, 1 << 31) for _ in range(dims)]
+        rows.append(([c << 32 | rnd.getrandbits(32) for c in codes], rnd.choice([16, 50, 900])))
+    frame = spark.createDataFrame(rows, "keys array<long>, size long").repartition(3)
+    tree = kdshard.grow(frame, dims, shards)
+    keys, size = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = np.array([s[0] for s in tree.shards])[tree.leaf_of(keys)]
+    assert (got == brute_tree(keys, size, shards)).all()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecsync.session import checkpoint_dir
 
@@ -26,6 +27,28 @@ def unpacked(df: DataFrame, columns: list[str], name: str = "__row") -> DataFram
     return df.select(*[F.col(name).getField(c).alias(c) for c in columns])
 
 
+def id_keys(name: str) -> list[Column]:
+    """An identifier as two columns that are never null, so that joins and aggregations on
+    them share a partitioning: ``id_none``, ``id_text``."""
+    return [col(name).isNull().alias("id_none"),
+            F.coalesce(col(name).cast("string"), F.lit("")).alias("id_text")]
+
+
+def _has_map(kind) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_of_each(df: DataFrame, keys: list[str], name: str = "__row") -> DataFrame:
+    """Of the rows with equal ``keys`` the one whose packed columns have the least hash, so a
+    repeated run keeps the same one."""
+    every = F.xxhash64(F.to_json(name) if _has_map(df.schema[name].dataType) else F.col(name))
+    return df.groupBy(*keys).agg(F.min_by(name, every).alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
@@ -87,6 +110,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A character for each byte, as byte-level vocabularies spell them: printable Latin-1 as it
+#: is, the others in order from U+0100 on.
+BYTE_LETTER = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172
+                                                      or b >= 174)], map(chr, range(256, 324))))
+
+
+def byte_letters(text: str) -> str:
+    return "".join(BYTE_LETTER.get(b) or chr(b) for b in text.encode("utf-8"))
+
+
 class Recent(dict):
     """A dict that forgets: the entries of the last one or two generations of ``size``."""
 

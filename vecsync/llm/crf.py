@@ -166,19 +166,20 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 150,
 
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality", max_lines: int = 40_000,
-          max_docs: int = 4_000) -> Field:
+          max_docs: int = 4_000, text_lines: int = 80) -> Field:
     """Fit on the documents that ``rows`` names and that have a label: of those the
-    ``max_docs`` with the lowest identifier hash, cut off after ``max_lines`` lines."""
+    ``max_docs`` with the lowest identifier hash, cut off after ``max_lines`` lines.  A
+    training text with over ``text_lines`` lines gives that many in a row, from a place its
+    checksum names (``text_lines=0``: all).  Only what is learned from is bounded; scores are
+    of whole texts."""
     own = (labels.filter(col(label_col).isNotNull() & rows)
            .select(col(id_col).alias("id"), col(label_col).cast("int").alias("y"))
            .orderBy(F.xxhash64("id"), "id", "y").limit(max_docs))
     named = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
 
-    most = max(1, 8 * max_lines // max_docs)
-
     def stretch(text: str | None) -> str:
-        """Up to ``most`` lines in a row, from a place that the text's checksum names."""
         lines = (text or "").split("\n")
+        most = text_lines or len(lines)
         at = zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % max(
             1, len(lines) - most + 1)
         return "\n".join(lines[at:at + most])

@@ -1,23 +1,25 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words (runs of letters, digits and underscores, lower case) of a text and a benchmark item
-are tiled: the longest match of unmarked words is marked on both sides, again and again,
+Words of a text and a benchmark item (lower case; runs of letters, digits and underscores,
+and single characters of scripts written without spaces) are tiled: the longest match of unmarked words is marked on both sides, again and again,
 until no match of ``shortest`` words is left.  Matches are found by running Karp-Rabin
 hashes over unmarked windows and verified word by word.  An item's coverage is the share of
 its words under tiles, in whatever order and with whatever between them, so reordered
 passages count like untouched ones.  A text is contaminated by an item from ``threshold`` on.
 
 Seeds decide what is tiled: windows of ``shortest`` words are looked up in the item's
-windows, and a pair goes on only if its seeds could cover enough of the item.
+windows, and a pair goes on only if its seeds could cover enough of the item.  An item of
+fewer words is matched whole, by windows of its own length.
 
-The benchmark is the stated query set and is worked off in blocks of at most about
-``block_bytes`` of its text; a block's seed index is all that is broadcast, and documents are
-never shuffled, so a passage that very many documents share costs each of them its own
-tiling and nothing else.
+The benchmark is the stated query set; its distinct texts are worked off in blocks of about
+``block_bytes``, one after the other: a block's seed index is all that reaches the driver and
+tasks, its pairs are written before the next block comes, and the items that share a text
+are joined to them afterwards.  Documents are never shuffled, so a passage that very many
+documents share costs each of them its own tiling and nothing else.
 
 Defined results
     null or empty text or item   no words, no match
-    item under ``shortest`` words  has no tile and is never reported
+    item under ``shortest`` words  covered, wholly, where its words stand in a row
     repeated items or rows       each is reported
     empty tables                 no pairs, all documents stay
     very long texts              tiled whole
@@ -27,16 +29,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsync.llm.common import col, packed, slices, unpacked
+from vecsync.llm.common import col, materialise, packed, slices, unpacked
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-tokens = re.compile(r"\w+").findall
+#: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+            "\uf900-\ufaff\U00020000-\U0003ffff")
+tokens = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+").findall
 
 
 def powers(n: int) -> np.ndarray:
@@ -130,15 +136,35 @@ class Block:
         order = np.argsort(seed, kind="stable")
         self.seed, self.of, self.place = seed[order], of[order], place[order]
         self.seeds = np.unique(self.seed)
+        #: items of fewer words, by their length
+        self.short = {w: [i for i, x in enumerate(self.items) if len(x) == w]
+                      for w in range(1, shortest)}
 
     def numbers(self, text: str | None) -> np.ndarray:
         """A text's words by the block's numbers; words that no item has are -1."""
         get = self.number.get
         return np.array([get(w, -1) for w in tokens((text or "").lower())], dtype=np.int64)
 
+    def _whole(self, doc: np.ndarray) -> list[tuple[int, list]]:
+        """The short items that stand in ``doc``, each with the first place."""
+        out = []
+        for width, own in self.short.items():
+            if own and len(doc) >= width:
+                seen = running(doc, width)
+                wanted = np.concatenate([running(self.items[i], width) for i in own])
+                for i, h in zip(own, wanted):
+                    for at in np.flatnonzero(seen == h).tolist():
+                        if np.array_equal(doc[at:at + width], self.items[i]):
+                            out.append((i, [(at, 0, width)]))
+                            break
+        return out
+
     def search(self, text: str | None, threshold: float) -> list[tuple[int, list]]:
         """(index of an item, tiles) of all items that the text covers enough of."""
         doc = self.numbers(text)
+        return self._whole(doc) + self._tiled(doc, threshold)
+
+    def _tiled(self, doc: np.ndarray, threshold: float) -> list[tuple[int, list]]:
         k = self.shortest
         if len(doc) < k or not len(self.seeds):
             return []
@@ -168,17 +194,26 @@ class Block:
         return out
 
 
-def blocks(benchmark: DataFrame, shortest: int, id_col: str, text_col: str,
-           block_bytes: int) -> list[Block]:
-    """The benchmark in blocks of about ``block_bytes`` of text at most (or one item)."""
-    size = F.coalesce(F.octet_length(F.col("text")), F.lit(0)) + 16
-    items = benchmark.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(size.cast("long"))).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_bytes))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    found = [Block([tuple(r) for r in items.filter(part == b).collect()], shortest)
-             for b in range(n)] if total else []
-    return [b for b in found if len(b.seeds)]
+def _texts(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The items: item_id, text, key (of equal texts)."""
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    return benchmark.select(col(id_col).alias("item_id"), text.alias("text"),
+                            F.sha2(text, 256).alias("key"))
+
+
+def blocks(items: DataFrame, shortest: int, block_bytes: int) -> Iterator[tuple[Block, bool]]:
+    """The distinct texts of ``items`` (key, text) in blocks of about ``block_bytes`` at most
+    (or one text), one at a time, and whether more may follow."""
+    texts = materialise(items.groupBy("key").agg(F.first("text").alias("text")),
+                        "benchmark-texts")
+    size = F.octet_length(F.col("text")) + 16
+    n = math.ceil(2 * (texts.agg(F.sum(size.cast("long"))).first()[0] or 0) / block_bytes)
+    part = F.pmod(F.xxhash64("key"), F.lit(n))
+    for b in range(n):
+        block = Block([tuple(r) for r in texts.filter(part == b).select("key", "text").collect()],
+                      shortest)
+        if any(len(x) for x in block.items):
+            yield block, b + 1 < n
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shortest: int = 5,
@@ -187,11 +222,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shortes
     """Pairs of documents and items they cover enough of: doc_id, item_id, item_words,
     covered_words, coverage, tiles (places in the document and the item, and lengths)."""
     spark = docs.sparkSession
-    schema = (f"doc_id {docs.schema[id_col].dataType.simpleString()}, "
-              f"item_id {benchmark.schema[item_col].dataType.simpleString()}, item_words long, "
-              "covered_words long, coverage double, "
+    kind = docs.select(col(id_col)).schema[0].dataType
+    schema = ("doc_id string, key string, item_words long, covered_words long, coverage double, "
               "tiles array<struct<doc_at: long, item_at: long, words: long>>")
-    src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    src = docs.select(col(id_col).cast("string").alias("doc_id"),
+                      col(text_col).cast("string").alias("text"))
+    items = _texts(benchmark, item_col, item_text_col)
 
     def against(block: Block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
@@ -205,25 +241,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shortes
                         n, own = len(b.items[item]), sum(t[2] for t in found)
                         rows.append((doc, b.ids[item], n, own, own / n, [
                             {"doc_at": x, "item_at": y, "words": z} for x, y, z in found]))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words",
+                yield pd.DataFrame(rows, columns=["doc_id", "key", "item_words",
                                                   "covered_words", "coverage", "tiles"])
 
         return src.mapInPandas(run, schema)
 
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, shortest, item_col, item_text_col, block_bytes):
-        out = out.unionByName(against(block))
-    return out
+    for block, more in blocks(items, shortest, block_bytes):
+        found = against(block)
+        out = out.unionByName(materialise(found, "leaks") if more else found)
+    return (out.join(items.select("key", "item_id"), "key")
+            .select(F.col("doc_id").cast(kind).alias("doc_id"), "item_id", "item_words",
+                    "covered_words", "coverage", "tiles"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                   shortest: int = 5, text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with their own columns."""
+    """The rows of ``docs`` that no item contaminates, with their own columns.  What one block
+    leaves is written before the next one is read."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(packed(docs), col(text_col).cast("string").alias("text"))
-    for block in blocks(benchmark, shortest, item_col, item_text_col, block_bytes):
+    items = _texts(benchmark, item_col, item_text_col)
+    for block, more in blocks(items, shortest, block_bytes):
         rows = rows.filter(_untouched(sc.broadcast(block), threshold)("text"))
+        rows = materialise(rows, "untouched") if more else rows
     return unpacked(rows, docs.columns)
 
 

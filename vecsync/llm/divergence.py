@@ -66,6 +66,8 @@ def _tally(batches):
     def out():
         for (lang, source), (count, docs) in room.items():
             terms = list(count)
+            if not terms:
+                continue
             yield pd.DataFrame({"lang": lang, "source": source,
                                 "term": [t.decode("utf-8", "replace") for t in terms],
                                 "count": [count[t] for t in terms],

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vecsync.llm.common import Recent, materialise, per_text, shuffle_partitions
+from vecsync.llm.common import (Recent, byte_letters, materialise, per_text,
+                                shuffle_partitions)
 from vecsync.session import checkpoint_dir
 
 LIMIT = 18
@@ -154,6 +155,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         self.batch = tokenizer.encode_batch_fast
+        self.model = tokenizer.model.tokenize
         self.ids = Recent(self._one, remember)
 
     def _one(self, word: str) -> bytes:
@@ -165,8 +167,18 @@ class WordIds:
         return word[-1] in self.MARKS and word[:-1].isalpha() and not self.BEYOND(word)
 
     def _coded(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.batch(words, add_special_tokens=False)]
+        """A lower-case Latin word of letters only is one match of the tokenizer's pattern, as
+        it stands: the library's merges suffice.  All others take its whole path."""
+        merges, out, rest = self.model, [b""] * len(words), []
+        for i, word in enumerate(words):
+            if word.isalpha() and word.islower() and not self.BEYOND(word):
+                plain = word if word.isascii() else byte_letters(word)
+                out[i] = array("I", [t.id for t in merges(plain)]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.batch([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def words(self, text: str | None) -> list[str]:
         # as the tokenizer would, but for letters beyond Latin, where lower case and composed

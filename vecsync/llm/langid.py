@@ -7,6 +7,11 @@ share of each language, and a language is added to a text's set, the most useful
 while the log-likelihood grows by more than ``penalty`` * log(number of trigrams).  The
 prediction is the language with the largest share, the score that share.
 
+Expectation-maximisation runs until a text's log-likelihood is within ``TOLERANCE`` of its
+maximum, which N log(max g / N) bounds (g: a language's gradient, N: the trigrams).  With the
+same bound on the likelihood of all languages together, which no smaller set exceeds, texts
+that cannot gain enough from a second language are spared the search.
+
 Texts are worked off in slices: all texts of a slice go through an EM step together, as
 segment sums over their distinct trigrams.  The model, a row of ``BUCKETS`` numbers for each
 language, is what tasks receive; scoring has no shuffle.
@@ -35,7 +40,10 @@ from vecsync.llm.common import col, crc_of_id, slices
 
 BUCKETS = 1 << 16
 SLICE = 500_000
-STEPS = 12
+#: Log-likelihood (nats) that expectation-maximisation may leave to be gained.
+TOLERANCE = 0.05
+#: Steps between two looks at the bound, and looks after which a text is left as it is.
+STEPS, BURSTS = 12, 200
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
 
 
@@ -116,6 +124,41 @@ def _fit(p: np.ndarray, n: np.ndarray, start: np.ndarray, share: np.ndarray,
     return share, np.add.reduceat(n * np.log(mix), start)
 
 
+def _above(p: np.ndarray, n: np.ndarray, start: np.ndarray, share: np.ndarray,
+           on: np.ndarray) -> np.ndarray:
+    """How far the maximum over mixtures of the languages ``on`` may be above ``share``'s
+    log-likelihood, by text."""
+    many, total = np.diff(np.r_[start, len(n)]), np.add.reduceat(n, start)
+    mix = (p * np.repeat(share, many, axis=0)).sum(axis=1)
+    slope = np.add.reduceat(p * (n / mix)[:, None], start, axis=0)
+    return total * np.log(np.maximum(1.0, np.where(on, slope, 0).max(axis=1) / total))
+
+
+def _maximum(p: np.ndarray, n: np.ndarray, start: np.ndarray, on: np.ndarray,
+             enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixtures of the languages ``on``, from equal shares: (shares, log-likelihood, what may be
+    missing).  A text is done within ``TOLERANCE`` of its maximum, or as soon as that is known
+    to be at most ``enough``."""
+    share = on / on.sum(axis=1, keepdims=True)
+    out, best, gap = share.copy(), np.zeros(len(on)), np.zeros(len(on))
+    text, many = np.arange(len(on)), np.diff(np.r_[start, len(n)])
+    for _ in range(BURSTS):
+        share, ll = _fit(p, n, start, share)
+        more = _above(p, n, start, share, on)
+        out[text], best[text], gap[text] = share, ll, more
+        todo = more > TOLERANCE
+        if enough is not None:
+            todo &= ll + more > enough[text]
+        if not todo.any():
+            break
+        if not todo.all():                             # go on with the others only
+            rows = np.repeat(todo, many)
+            p, n, share, on, text, many = (p[rows], n[rows], share[todo], on[todo], text[todo],
+                                           many[todo])
+            start = np.cumsum(many) - many
+    return out, best, gap
+
+
 def mixtures(texts, model: np.ndarray, penalty: float = 3.0) -> np.ndarray:
     """Shares by text and language; zero rows where a text has no letter."""
     of, bucket, n = trigrams(texts)
@@ -136,8 +179,8 @@ def mixtures(texts, model: np.ndarray, penalty: float = 3.0) -> np.ndarray:
     # subtracting the best language's own log-probability leaves shares as they are
     p = np.exp(np.clip(logp - logp[np.arange(len(of)), np.repeat(best, size)][:, None], -50, 50))
     base = have.copy()
-    _, full = _fit(p, n, start, np.full(single.shape, 1 / len(model)))
-    todo = np.flatnonzero(base + full - have > cost)    # where all languages together gain
+    _, full, gap = _maximum(p, n, start, np.ones(single.shape, bool), have + cost - base)
+    todo = np.flatnonzero(base + full + gap - have > cost)     # where a set may gain enough
     while len(todo):
         at = np.concatenate([np.arange(start[d], start[d] + size[d]) for d in todo])
         begin = np.cumsum(size[todo]) - size[todo]
@@ -147,7 +190,7 @@ def mixtures(texts, model: np.ndarray, penalty: float = 3.0) -> np.ndarray:
             new = ~chosen[todo, k]
             on = chosen[todo].copy()
             on[:, k] = True
-            share, ll = _fit(p[at], n[at], begin, on / on.sum(axis=1, keepdims=True))
+            share, ll, _ = _maximum(p[at], n[at], begin, on)
             gain[new, k] = (base[todo] + ll)[new]
             shares[:, k] = share
         pick = gain.argmax(axis=1)

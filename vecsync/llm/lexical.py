@@ -43,6 +43,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from vecsync.llm.common import col, materialise, slices
 
@@ -228,46 +229,61 @@ def blocks(index: DataFrame, ranking) -> DataFrame:
         run, "cell long, term int, docs array<int>, summary array<int>")
 
 
-def _bounds(pdf: pd.DataFrame, rank):
-    """(rows of pdf, items, bounds) of the blocks, term by term."""
+def _bounds(pdf: pd.DataFrame, rank, low: np.ndarray):
+    """Rows of ``pdf``, items and bounds of the blocks whose bound is at least ``low`` (by
+    item), term by term."""
+    rows, items, bounds = [], [], []
+    summary = pdf["summary"].to_numpy()
     for t, at in pdf.groupby("term").indices.items():
-        _, items, table = rank.lists[int(t)]
-        yield at, items, np.stack(pdf["summary"].to_numpy()[at]).astype(np.int64) @ table
+        _, own, table = rank.lists[int(t)]
+        bound = np.stack(summary[at]).astype(np.int64) @ table
+        r, c = np.nonzero(bound >= low[own])
+        if len(r):
+            rows.append(at[r])
+            items.append(own[c])
+            bounds.append(bound[r, c])
+    none = [np.zeros(0, np.int64)]
+    return [np.concatenate(x or none) for x in (rows, items, bounds)]
+
+
+def _highest(item: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Places of the ``FIRST_BLOCKS`` highest bounds of each item."""
+    order = np.lexsort((-bound, item))
+    start = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0][:len(order)])
+    size = np.diff(np.r_[start, len(order)])
+    return order[np.arange(len(order)) - np.repeat(start, size) < FIRST_BLOCKS]
 
 
 def open_blocks(stored: DataFrame, ranking, least: list | None = None) -> DataFrame:
     """cell, item, docs of the blocks whose bound is above 0 and at least the item's ``least``;
-    without it, those of the ``FIRST_BLOCKS`` highest bounds of each item and task."""
+    without it, those of the ``FIRST_BLOCKS`` highest bounds of each item."""
     sent = stored.sparkSession.sparkContext.broadcast((ranking, least))
+    columns = ["cell", "item", "docs", "bound"]
 
     def every(batches):
         rank, low = sent.value
         low = np.maximum(np.array(low, dtype=np.int64), 1)
         for pdf in batches:
-            for at, items, bound in _bounds(pdf, rank):
-                r, c = np.nonzero(bound >= low[items])
-                if len(r):
-                    got = pdf.iloc[at[r]]
-                    yield pd.DataFrame({"cell": got["cell"].to_numpy(), "item": items[c],
-                                        "docs": got["docs"].to_numpy(), "bound": bound[r, c]})
+            at, item, bound = _bounds(pdf, rank, low)
+            yield pd.DataFrame(dict(zip(columns, (
+                pdf["cell"].to_numpy()[at], item, pdf["docs"].to_numpy()[at], bound))))
 
     def highest(batches):
         rank, _ = sent.value
-        best = None
+        low = np.ones(len(rank.items), dtype=np.int64)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object),
+                np.zeros(0, np.int64)]
         for pdf in batches:
-            for at, items, bound in _bounds(pdf, rank):
-                k = min(FIRST_BLOCKS, len(at))
-                r = np.argpartition(-bound, k - 1, axis=0)[:k]
-                c = np.broadcast_to(np.arange(len(items)), r.shape)
-                r, c = r.ravel(), c.ravel()
-                got = pdf.iloc[at[r]]
-                new = pd.DataFrame({"cell": got["cell"].to_numpy(), "item": items[c],
-                                    "docs": got["docs"].to_numpy(), "bound": bound[r, c]})
-                best = new[new["bound"] > 0] if best is None else pd.concat([best, new])
-                if len(best) > 64 * FIRST_BLOCKS * len(rank.items):
-                    best = _first(best)
-        if best is not None:
-            yield _first(best)
+            at, item, bound = _bounds(pdf, rank, low)
+            new = pdf["cell"].to_numpy()[at], item, pdf["docs"].to_numpy()[at], bound
+            best = [np.concatenate(x) for x in zip(best, new)]
+            keep = _highest(best[1], best[3])
+            best = [x[keep] for x in best]
+            full = np.bincount(best[1], minlength=len(low)) >= FIRST_BLOCKS
+            lowest = np.full(len(low), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, best[1], best[3])
+            low[full] = lowest[full]
+        yield pd.DataFrame(dict(zip(columns, best)))
 
     schema = "cell long, item int, docs array<int>, bound long"
     if least is not None:
@@ -277,14 +293,12 @@ def open_blocks(stored: DataFrame, ranking, least: list | None = None) -> DataFr
             .filter(F.col("at") <= FIRST_BLOCKS).drop("at"))
 
 
-def _first(best: pd.DataFrame) -> pd.DataFrame:
-    best = best[best["bound"] > 0].sort_values("bound", ascending=False, kind="stable")
-    return best.groupby("item").head(FIRST_BLOCKS)
-
-
-def scored(opened: DataFrame, index: DataFrame, ranking, k: int) -> DataFrame:
+def scored(opened: DataFrame, index: DataFrame, ranking, k: int, kind) -> DataFrame:
     """The exact scores of the documents of ``opened`` blocks: item, doc_id, row, score, the k
-    best of each item and cell.  A cell meets its blocks in a join."""
+    best of each item and cell.  A cell meets its blocks in a join.  ``kind``: the identifiers'
+    type; equal scores are cut here where it is a whole number or text."""
+    number = {True: int, False: str}[isinstance(kind, IntegralType)]
+    orders = isinstance(kind, (IntegralType, StringType))
     sent = opened.sparkSession.sparkContext.broadcast(ranking)
     met = (opened.groupBy("cell", "item").agg(F.array_distinct(F.flatten(F.collect_list("docs")))
                                               .alias("docs"))
@@ -305,10 +319,13 @@ def scored(opened: DataFrame, index: DataFrame, ranking, k: int) -> DataFrame:
                     score = table[np.ix_(docs, terms)].astype(np.int64) @ rank.weight[terms]
                     some = pd.DataFrame({"item": item, "doc_id": np.asarray(r.ids, object)[docs],
                                          "row": np.asarray(r.rows)[docs], "score": score})
-                    # the k-th best and all its ties: identifiers are compared on the way up
                     some = some[some["score"] > 0]
-                    if len(some) > k:
+                    if len(some) > k:           # the k-th best and all its ties
                         some = some[some["score"] >= np.partition(some["score"], -k)[-k]]
+                    if len(some) > k and orders:
+                        key = [(-s, i is None, number(i or 0), w) for i, w, s in
+                               zip(some["doc_id"], some["row"], some["score"])]
+                        some = some.iloc[sorted(range(len(key)), key=key.__getitem__)[:k]]
                     out.append(some)
                 yield pd.concat(out)
 
@@ -353,11 +370,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         placed = materialise(vectors(found, ranking, sample), "vectors")
         index = materialise(cells(placed, len(place)), "cells")
         stored = materialise(blocks(index, ranking), "blocks")
-        first = _best(scored(open_blocks(stored, ranking), index, ranking, k), kind, k)
+        first = _best(scored(open_blocks(stored, ranking), index, ranking, k, kind), kind,
+                      k)
         least = [0] * len(names)
         for item, score in (first.filter(F.col("rank") == k).select("item", "score").collect()):
             least[item] = score
-        best = _best(scored(open_blocks(stored, ranking, least), index, ranking, k), kind, k)
+        best = _best(scored(open_blocks(stored, ranking, least), index, ranking, k, kind),
+                     kind, k)
         labels = spark.createDataFrame(list(enumerate(names)), "item int, item_id string")
         best = best.join(F.broadcast(labels), "item")        # at most QUERY_TERMS items
         done.append(best.select("item_id", F.col("rank").cast("int").alias("rank"),

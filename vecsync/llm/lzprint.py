@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,11 @@ class Phrases:
     __slots__ = ("child", "hashes", "at")
 
     def __init__(self):
-        self.child, self.hashes, self.at = {}, [0], 0
+        self.child, self.hashes, self.at = {}, array("Q", [0]), 0
 
     def copy(self) -> "Phrases":
         other = Phrases.__new__(Phrases)
-        other.child, other.hashes, other.at = self.child.copy(), self.hashes.copy(), self.at
+        other.child, other.hashes, other.at = self.child.copy(), self.hashes[:], self.at
         return other
 
     def read(self, data: bytes) -> "Phrases":
@@ -68,25 +69,33 @@ class Phrases:
 
     def signature(self, size: int = SIZE) -> np.ndarray:
         """The least ``size`` hashes of the phrases, mixed and cut to 4 bits a digit."""
-        x = np.unique(np.array(self.hashes[1:], dtype=np.uint64))
+        x = np.frombuffer(self.hashes, dtype=np.uint64)[1:].copy()
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
             x ^= x >> np.uint64(shift)
             x *= np.uint64(factor)
         x ^= x >> np.uint64(33)
-        x = np.unique(x >> np.uint64(64 - 4 * DIGITS))
-        return x[:size]
+        x >>= np.uint64(64 - 4 * DIGITS)
+        if len(x) > 2 * size:
+            least = np.unique(np.partition(x, 2 * size - 1)[:2 * size])
+            if len(least) >= size:
+                return least[:size]
+        return np.unique(x)[:size]
 
 
 def text_of(signature: np.ndarray) -> str:
-    return "".join(f"{x:0{DIGITS}x}" for x in signature.tolist())
+    """``DIGITS`` hexadecimal digits for each hash."""
+    whole = signature.astype(">u8").tobytes().hex()
+    return "".join(whole[at + 16 - DIGITS:at + 16] for at in range(0, len(whole), 16))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     """Jaccard likeness of two phrase sets from their least hashes."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).mean())
+    both = np.sort(np.concatenate([a, b]))
+    again = both[1:] == both[:-1]
+    place = 1 + np.cumsum(~again)                       # among the distinct, of both[1:]
+    return float((again & (place <= size)).sum() / min(size, int(place[-1])))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

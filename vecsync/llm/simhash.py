@@ -7,11 +7,15 @@ shuffle, and fingerprints that share one are linked once their distance has been
 The shuffle carries a variant's leading bits only: a fingerprint goes once to each prefix
 that its variants have, and the rest of a variant is spelt out where it lands.  That moves
 1 + p + p(p-1)/2 rows a fingerprint in place of all 2,081 variants and meets the same
-variants.  p follows the number of fingerprints; a prefix with too many variants for a
-task's memory is worked off by further leading bits, one after the other.
+variants.  p follows the number of fingerprints.  Prefixes are counted, and one that more
+than ``GROUP`` fingerprints share is split by four further bits at a time, in the same way.
+Where all fingerprints of a prefix would have to flip one and the same bit to get there, the
+prefix adds nothing: the same fingerprints meet where none of them flips it.  Inside a task,
+too many variants for its memory are worked off by further leading bits, one after the other.
 
-Fingerprints that meet in one variant form a star around the smallest; a task sends the
-spanning stars of what it saw, never all pairs.  Components come from ``components``.
+Fingerprints that meet in one variant form a star around the smallest; stars are folded into
+a forest as they are found, and a task sends the forest, never all pairs.  Components come
+from ``components``.
 
 Defined results
     null, empty or wordless text   fingerprint zero, linked like any other
@@ -19,6 +23,7 @@ Defined results
     equal identifiers              each row has the component of its own text; the
                                    component is the smallest identifier of all its rows
     null identifier                has a component of its links; null if all are null
+    equal rows but for a column    ``deduplicate`` keeps the one with the least hash
     empty table                    empty result
     extra columns                  kept by ``deduplicate``, whatever their names
 """
@@ -33,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsync.llm.common import col, materialise, packed, per_text, slices, unpacked, words
+from vecsync.llm.common import (col, id_keys, materialise, one_of_each, packed, per_text, slices,
+                                unpacked, words)
 from vecsync.llm.components import components
 
 SEED = 42
 BITS = 64
 ROOM = 2_000_000          # variants that a task spells out at a time
+GROUP = 1 << 16           # fingerprints of one prefix in one task, about
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -82,8 +89,10 @@ def flips(bits: int, most: int, at: int = 0) -> list[int]:
             for c in combinations(range(bits), k)]
 
 
-def _stars(v: np.ndarray, who: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple]:
-    """Links of fingerprints that share a variant: each to the smallest of its run."""
+def _stars(v: np.ndarray, who: np.ndarray, fps: np.ndarray, radius: int,
+           root: np.ndarray) -> None:
+    """Fold the links of fingerprints that share a variant, each to the smallest of its run,
+    into the forest ``root``."""
     order = np.argsort(v, kind="stable")
     v, who = v[order], who[order]
     same = v[1:] == v[:-1]
@@ -92,18 +101,19 @@ def _stars(v: np.ndarray, who: np.ndarray, fps: np.ndarray, radius: int) -> list
     hit[:-1] |= same
     v, who = v[hit], who[hit]
     if not len(v):
-        return []
+        return
     start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
     low = np.repeat(np.minimum.reduceat(who, start), np.diff(np.r_[start, len(v)]))
     pair = np.unique(low.astype(np.int64) << 32 | who)
     a, b = pair >> 32, pair & 0xFFFFFFFF
     near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
-    return [(a[near], b[near])]
+    _fold(root, a[near], b[near])
 
 
-def _meet(fps: np.ndarray, who: np.ndarray, left: np.ndarray, rest: int, radius: int) -> list:
-    """Links among ``who``, whose variants here agree above the lowest ``rest`` bits and may
-    still flip ``left`` bits of those."""
+def _meet(fps: np.ndarray, who: np.ndarray, left: np.ndarray, rest: int, radius: int,
+          root: np.ndarray) -> None:
+    """Fold the links among ``who``, whose variants here agree above the lowest ``rest`` bits
+    and may still flip ``left`` bits of those, into ``root``."""
     low = np.uint64((1 << rest) - 1) if rest < 64 else np.uint64(2 ** 64 - 1)
     many = sum(math.comb(rest, k) * int((left >= k).sum()) for k in range(int(left.max()) + 1))
     if many <= ROOM or rest <= 4:
@@ -114,33 +124,60 @@ def _meet(fps: np.ndarray, who: np.ndarray, left: np.ndarray, rest: int, radius:
                 masks = np.array(flips(rest, most), dtype=np.uint64)
                 vs.append(((fps[own] & low)[:, None] ^ masks[None, :]).ravel())
                 ws.append(np.repeat(own, len(masks)))
-        return _stars(np.concatenate(vs), np.concatenate(ws), fps, radius)
-    out, step = [], min(4, rest)
+        _stars(np.concatenate(vs), np.concatenate(ws), fps, radius, root)
+        return
+    step = min(4, rest)
     head = (fps[who] & low) >> np.uint64(rest - step)
     for value in range(1 << step):
-        still = left - np.bitwise_count(head ^ np.uint64(value)).astype(left.dtype)
+        flip = head ^ np.uint64(value)
+        still = left - np.bitwise_count(flip).astype(left.dtype)
         on = still >= 0
-        if on.sum() > 1:
-            out += _meet(fps, who[on], still[on], rest - step, radius)
-    return out
+        # a bit that all flip: they meet where none does
+        if on.sum() > 1 and not np.bitwise_and.reduce(flip[on]):
+            _meet(fps, who[on], still[on], rest - step, radius, root)
 
 
-def _spanning(n: int, links: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Each node's smallest node in its component, for the nodes that are not that."""
-    root = np.arange(n)
-    a = np.concatenate([x for x, _ in links]) if links else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in links]) if links else np.zeros(0, np.int64)
+def _fold(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Add links to the forest: every node points to the smallest of its component."""
     while len(a):
         ra, rb = root[a], root[b]
         low = np.minimum(ra, rb)
         np.minimum.at(root, ra, low)
         np.minimum.at(root, rb, low)
         while (root[root] != root).any():
-            root = root[root]
+            root[:] = root[root]
         on = root[a] != root[b]
         a, b = a[on], b[on]
-    own = np.flatnonzero(root != np.arange(n))
-    return own, root[own]
+
+
+def _prefixes(fps: DataFrame, p: int, half: int) -> list[DataFrame]:
+    """Rows (p, prefix, fp): every fingerprint under every prefix of its variants, prefixes
+    that too many share split by further bits.  Prefixes that add nothing are left out where
+    they are split."""
+    masks = F.array(*[F.lit(m) for m in flips(p, half)])
+    rows = fps.select("fp", F.explode(masks).alias("flip")).select(
+        F.lit(p).alias("p"), "fp", F.shiftrightunsigned("fp", BITS - p).bitwiseXOR(F.col("flip"))
+        .alias("prefix"), "flip")
+    done, step = [], 4
+    four = F.array(*[F.lit(m) for m in flips(step, half)])
+    while p + step <= BITS - 4:
+        many = (rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"),
+                                           F.bit_and("flip").alias("all"))
+                .filter(F.col("n") > GROUP))
+        many = materialise(many, "simhash-prefixes")        # at most rows / GROUP of them
+        if many.isEmpty():
+            break
+        done.append(rows.join(many, "prefix", "left_anti"))
+        p += step
+        head = F.shiftrightunsigned("fp", BITS - p)
+        rows = (rows.join(many.filter("all = 0"), "prefix", "left_semi")
+                .withColumn("more", F.explode(four))
+                .withColumn("flip", F.shiftleft("flip", step).bitwiseOR(F.col("more")))
+                .filter(F.bit_count("flip") <= half)
+                .select(F.lit(p).alias("p"), "fp", head.bitwiseXOR(F.col("flip")).alias("prefix"),
+                        "flip"))
+        rows = materialise(rows, "simhash-split")
+    return [*done, rows]
 
 
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -151,18 +188,24 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     n = fps.count()
     ball = sum(math.comb(BITS, k) for k in range(half + 1))
     p = min(24, max(4, math.ceil(math.log2(max(2, n) * ball / (ROOM // 8)))))
-    masks = F.array(*[F.lit(m) for m in flips(p, half)])
-    sent = fps.select("fp", F.explode(masks).alias("flip")).select(
-        F.shiftrightunsigned("fp", BITS - p).bitwiseXOR(F.col("flip")).alias("prefix"), "fp")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits, prefix = key
         own = np.unique(pdf["fp"].to_numpy()).view(np.uint64)
-        head = own >> np.uint64(BITS - p)
-        left = half - np.bitwise_count(head ^ np.uint64(pdf["prefix"].iloc[0])).astype(np.int64)
-        b, a = _spanning(len(own), _meet(own, np.arange(len(own)), left, BITS - p, radius))
+        flip = (own >> np.uint64(BITS - bits)) ^ np.uint64(prefix)
+        root = np.arange(len(own))
+        if len(own) > 1 and not np.bitwise_and.reduce(flip):
+            left = half - np.bitwise_count(flip).astype(np.int64)
+            _meet(own, root.copy(), left, BITS - int(bits), radius, root)
+        b = np.flatnonzero(root != np.arange(len(own)))
+        a = root[b]
         return pd.DataFrame({"u": own[a].view(np.int64), "v": own[b].view(np.int64)})
 
-    return sent.groupBy("prefix").applyInPandas(run, "u long, v long")
+    sent, *more = _prefixes(fps, p, half)
+    for rows in more:
+        sent = sent.unionByName(rows)
+    return (sent.select("p", "prefix", "fp").groupBy("p", "prefix")
+            .applyInPandas(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -202,7 +245,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.col("fp") == F.col("node"), "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low")))
     won = materialise(root.select("low.id", "low.digest"), "simhash-won")
-    full = docs.select(packed(docs), col(id_col).alias("id"), digest.alias("digest"))
-    kept = (full.join(won, full["id"].eqNullSafe(won["id"]) & (full["digest"] == won["digest"]),
-                      "left_semi").dropDuplicates(["id", "digest"]))
-    return unpacked(kept, docs.columns)
+    own = ["id_none", "id_text", "digest"]
+    full = docs.select(packed(docs), *id_keys(id_col), digest.alias("digest"))
+    kept = full.join(won.select(*id_keys("id"), "digest"), own, "left_semi")
+    return unpacked(one_of_each(kept, own), docs.columns)
