@@ -121,24 +121,27 @@ def _share(count, total, kept):
 
 
 def _pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the terms of one bucket add to each pair of sources of two blocks."""
+    """What the terms of one bucket add to each pair of sources of two blocks.  Every source of
+    the blocks has a row without a term, so one that lacks all terms of the bucket counts too."""
     lang, _, a, b = key
-    pdf = pdf.sort_values("source", kind="stable", ignore_index=True)
-    term = pd.factorize(pdf["term"])[0]
-    share, none = pdf["p"].to_numpy(np.int64), pdf["p0"].to_numpy(np.int64)
-    names, first = np.unique(pdf["source"].to_numpy(object).astype(str), return_index=True)
-    ends = np.append(first[1:], len(pdf))
-    block = pdf["block"].to_numpy()[first]
-    base = none[first]
-    owner = np.repeat(np.arange(len(names)), ends - first)
+    marks = pdf[pdf["term"].isna()].sort_values("source", ignore_index=True)
+    names, base = marks["source"].tolist(), marks["p0"].to_numpy(np.int64)
+    block = marks["block"].to_numpy()
+    cells = pdf[pdf["term"].notna()]
+    owner = cells["source"].map({s: i for i, s in enumerate(names)}).to_numpy(np.int64)
+    order = np.argsort(owner, kind="stable")
+    cells, owner = cells.iloc[order], owner[order]
+    term = pd.factorize(cells["term"])[0]
+    share, none = cells["p"].to_numpy(np.int64), base[owner]
+    ends = np.cumsum(np.bincount(owner, minlength=len(names)))
     out = []
     for i in np.flatnonzero(block == a):
-        mine = slice(first[i], ends[i])
-        full = np.full(term.max() + 1, base[i], np.int64)
+        mine = slice(ends[i - 1] if i else 0, ends[i])
+        full = np.full(term.max(initial=0) + 1, base[i], np.int64)
         full[term[mine]] = share[mine]
         at = full[term]
-        lift = np.abs(share - at) - np.abs(none - at)
-        sums = np.add.reduceat(lift, first)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, owner, np.abs(share - at) - np.abs(none - at))
         own = share[mine]
         for j in np.flatnonzero((block == b) & (np.arange(len(names)) > (i if a == b else -1))):
             value = int(sums[j] + (np.abs(own - base[j]) - abs(int(base[i] - base[j]))).sum())
@@ -175,7 +178,13 @@ def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, text_col: s
              .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top))
 
     # a row meets every block of its lang's sources, in the bucket of its term
-    met = (held.withColumn("bucket", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BUCKET_TERMS)))
+    buckets = F.ceil(F.col("v") / BUCKET_TERMS)
+    own = ["lang", "bucket", "blocks", "block", "source", "term", "p", "p0"]
+    cells = held.withColumn("bucket", F.pmod(F.xxhash64("term"), buckets)).select(own)
+    marks = (groups.filter("v > 0").withColumn("term", F.lit(None).cast("string"))
+             .withColumn("p", F.lit(None).cast("long"))
+             .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1))))
+    met = (cells.unionByName(marks.select(own))
            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
            .select("lang", "bucket", F.least("block", "other").alias("a"),
                    F.greatest("block", "other").alias("b"), "block", "source", "term", "p", "p0"))
