@@ -219,11 +219,7 @@ def classify_collisions(desired: DataFrame, catalog: DataFrame, history: DataFra
     sev = (F.when(ctype == "no_collision", "safe")
             .when(ctype.isin("existing_vector", "previous_vectorizer"), "critical")
             .when(ctype == "vectorizer_pattern", "warning").otherwise("info"))
-    details = (F.when(ctype == "no_collision", "No collision detected")
-                .when(ctype == "existing_vector", "Column is already a vector column")
-                .when(ctype == "previous_vectorizer", "Column was previously managed by the vectorizer")
-                .when(ctype == "vectorizer_pattern", "Column name suggests vectorizer origin")
-                .otherwise("Column exists but appears unrelated to vectorization"))
+    details = F.concat(ctype, F.coalesce(F.concat(F.lit(": "), "existing_column_type"), F.lit("")))
     d = d.withColumn("collision_type", ctype).withColumn("severity", sev) \
          .withColumn("details", details) \
          .withColumn("matched_pattern", F.when(ctype == "vectorizer_pattern", matched_pattern(name)))

@@ -119,18 +119,54 @@ def order_statistic(values: DataFrame, rank: int) -> float:
     return low
 
 
+#: Size of the quantile sketches, and how far a sketched rank is off at most (99 % of sketches).
+KLL_K = 2048
+
+
+def kll_rank_error(k: int = KLL_K) -> float:
+    """Normalised rank error of a KLL sketch of size ``k`` at 99 % confidence."""
+    return 2.296 / k ** 0.9723
+
+
+def _between(values: DataFrame, low: float, high: float, ranks: list[int]) -> list | None:
+    """The values of some ranks, if [low, high] holds them in at most ``NARROW`` values: one
+    pass, whose first group counts what is below."""
+    below = F.when(F.col("v") >= low, F.col("v"))
+    few = (values.filter(F.col("v") <= high).groupBy(below.alias("v")).count()
+           .limit(NARROW + 2).collect())
+    if len(few) > NARROW + 1:
+        return None
+    at, out = 0, []
+    for v, n in sorted(few, key=lambda r: (r[0] is not None, r[0])):
+        out += [v for r in ranks if at <= r < at + n]
+        at += n
+    return out if len(out) == len(ranks) and None not in out else None
+
+
 def exact_percentile(df: DataFrame, column: str, q: float) -> float | None:
     """The interpolated percentile of the non-null values, as ``percentile`` gives it, with
-    neither all values nor all distinct ones in one task."""
+    neither all values nor all distinct ones in one task.
+
+    A KLL sketch bounds the interval that holds the one or two order statistics, and a second
+    pass counts what is below it and the values inside; only where these are too many (or the
+    sketch was off) is the interval narrowed further.
+    """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
+    e = kll_rank_error()
+    n, sketched, low, high = (
+        values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                   F.kll_sketch_agg_double("v", KLL_K).alias("s"))
+        .select("n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.array(
+            F.lit(max(0.0, q - e)), F.lit(min(1.0, q + e))))), "lo", "hi").first())
     if not n:
         return None
     place = q * (n - 1)
     first = int(place)
-    a = order_statistic(values, first)
-    b = order_statistic(values, first + 1) if place > first else a
-    return a + (b - a) * (place - first)
+    ranks = [first, first + 1] if place > first else [first]
+    # at the ends the sketch is not asked
+    low, high = (sketched[0] if q - e > 0 else low), (sketched[1] if q + e < 1 else high)
+    found = _between(values, low, high, ranks) or [order_statistic(values, r) for r in ranks]
+    return found[0] + (found[-1] - found[0]) * (place - first)
 
 
 def system_health_full(null_status: DataFrame, log: DataFrame, drift: DataFrame,

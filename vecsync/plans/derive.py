@@ -174,6 +174,15 @@ def old_snapshot(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return prev.unionByName(gone)
 
 
+def old_user_table(documents: DataFrame, benchmark: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """The previous version of the user table: rows of ``old_snapshot``, Spanish ones still
+    filed as French, vectors of the previous model only."""
+    kept = old_snapshot(documents, benchmark).join(
+        documents.select("doc_id", "lang", "source"), "doc_id", "left")
+    lang = F.when(F.col("lang") == "es", "fr").otherwise(F.coalesce("lang", F.lit("en")))
+    return user_table(kept.withColumn("lang", lang), embeddings.filter(F.col("label") == 0))
+
+
 # --- task table / status history --------------------------------------------------
 
 def task_table(events: DataFrame) -> DataFrame:

@@ -334,6 +334,22 @@ FROM usr GROUP BY lang"""
 ORACLE["completion"] = with_(USER_CTE) + f"""
 SELECT lang, {S.completion_pct('n', 't')} AS completion_percentage FROM (
   SELECT lang, count(*) FILTER (WHERE text_vector IS NULL) AS n, count(*) AS t FROM usr GROUP BY lang)"""
+ORACLE["completeness_incremental"] = with_(USER_CTE) + f"""
+SELECT lang, null_vectors, total_rows, {S.completion_pct('null_vectors', 'total_rows')}
+  AS completion_percentage
+FROM (SELECT lang, count(*) FILTER (WHERE text_vector IS NULL) AS null_vectors,
+             count(*) AS total_rows FROM usr GROUP BY lang)"""
+ORACLE["health_sketches"] = with_(LOG_CTE) + """
+, w AS (SELECT 'all' AS look_back, * FROM log UNION ALL
+        SELECT 'week', * FROM log WHERE CAST(created_at AS DATE) >
+          (SELECT max(CAST(created_at AS DATE)) FROM log) - INTERVAL 7 DAY)
+SELECT look_back, table_name, count(*) AS total,
+  count(*) FILTER (WHERE status = 'success') AS successful,
+  count(*) FILTER (WHERE status = 'failed') AS failed,
+  round(avg(processing_time) FILTER (WHERE status = 'success'), 6) AS avg_ms,
+  max(created_at) AS last_vectorization, count(DISTINCT embedding_model) AS distinct_models,
+  TRUE AS p95_within_bounds, TRUE AS rows_within_bounds
+FROM w GROUP BY look_back, database_name, schema_name, table_name"""
 ORACLE["check_null_vectors"] = with_(USER_CTE, TEXT_ROWS_CTE, TNC_CTE) + f"""
 SELECT table_name, 'text_vector' AS vector_column, null_vectors, total_rows,
   {S.completion_pct('null_vectors', 'total_rows')} AS completion_percentage,
@@ -619,11 +635,7 @@ COLL_CTES = [CAT_CTE, LOG_CTE, COLL_CTE, _desired_rows_sql(), """reg AS (
                   lambda x: NOT list_contains(coalesce(existing, []), x) AND NOT list_contains(vers, x)
                             AND NOT list_contains(nums, x))[1:7 - len(vers) - len(nums)])
       ELSE [] END AS alts,
-    CASE collision_type WHEN 'no_collision' THEN 'No collision detected'
-         WHEN 'existing_vector' THEN 'Column is already a vector column'
-         WHEN 'previous_vectorizer' THEN 'Column was previously managed by the vectorizer'
-         WHEN 'vectorizer_pattern' THEN 'Column name suggests vectorizer origin'
-         ELSE 'Column exists but appears unrelated to vectorization' END AS details
+    collision_type || coalesce(': ' || existing_column_type, '') AS details
   FROM cls3
 ), res AS (
   SELECT *, CASE WHEN severity = 'safe' THEN column_name

@@ -7,6 +7,7 @@ same names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import reduce as _reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -416,6 +417,60 @@ def q_system_health_full(spark, d):
             .withColumn("p95_processing_time_ms", F.round("p95_processing_time_ms", 6))
 
 
+@register("health_sketches")
+def q_health_sketches(spark, d):
+    """Health per table from stored daily sketches, over the last seven days of the log and
+    over all: exact counts, and whether the sketched figures are within their stated errors of
+    the exact ones."""
+    from ..operators import health as H
+    rows, path = log(spark, d), ST.scratch(spark, "health-sketches")
+    H.store_sketches(rows, path)
+    last = rows.agg(F.max(F.to_date("created_at"))).first()[0]
+    out = None
+    e = M.kll_rank_error()
+    for label, first in (("week", last - timedelta(days=6)), ("all", date(1970, 1, 1))):
+        window = rows.filter(F.to_date("created_at").between(F.lit(first), F.lit(last)))
+        ok = F.when(F.col("status") == "success", F.col("processing_time").cast("double"))
+        got = H.health_between(spark, path, str(first), str(last))
+        ranks = (window.withColumn("ms", ok).join(got.select(*M.TABLE_KEY, "p_ms"), M.TABLE_KEY)
+                 .groupBy(*M.TABLE_KEY).agg(
+                     (F.count_if(F.col("ms") < F.col("p_ms")) / F.count("ms")).alias("low"),
+                     (F.count_if(F.col("ms") <= F.col("p_ms")) / F.count("ms")).alias("high"),
+                     F.count_distinct("row_id").alias("n_rows")))
+        both = got.join(ranks, M.TABLE_KEY).select(
+            F.lit(label).alias("look_back"), "table_name", "total", "successful", "failed",
+            F.round("avg_ms", 6).alias("avg_ms"), "last_vectorization", "distinct_models",
+            (F.col("p_ms").isNull() | ((F.col("low") <= 0.95 + e) & (F.col("high") >= 0.95 - e)))
+            .alias("p95_within_bounds"),
+            (F.abs(F.col("distinct_rows") - F.col("n_rows")) <= 0.07 * F.col("n_rows") + 1)
+            .alias("rows_within_bounds"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@register("completeness_incremental")
+def q_completeness_incremental(spark, d):
+    """A1/A2 of the users' table from totals of its previous snapshot and the changes since,
+    in two batches of which the first is replayed, with the store folded in between."""
+    from ..operators import incremental as IN
+    new = user(spark, d)
+    old = derive.old_user_table(T(spark, d, "documents"), T(spark, d, "benchmark"),
+                                T(spark, d, "embeddings"))
+    missing = F.col("text_vector").isNull()
+    store = IN.Totals(spark, ST.scratch(spark, "completeness"), new.schema["lang"].dataType)
+    store.start(M.null_vector_counts(old, "text_vector", ["lang"]).withColumnRenamed(
+        "lang", "group"))
+    changes = IN.row_changes(old, new, "doc_id", "lang", missing)
+    first = F.coalesce(F.col("new_group"), F.lit("")) < "f"
+    store.apply(0, changes.filter(first))
+    store.apply(0, changes.filter(first))
+    store = store.fold(ST.scratch(spark, "completeness"))
+    store.apply(0, changes.filter(first))
+    store.apply(1, changes.filter(~first))
+    return store.current().select(F.col("group").alias("lang"), "null_vectors", "total_rows",
+                                  "completion_percentage")
+
+
 @register("status_summary")
 def q_status_summary(spark, d):
     return M.status_summary(log(spark, d), ["table_name"])
