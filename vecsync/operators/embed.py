@@ -254,10 +254,24 @@ class CustomEmbedder(HttpEmbedder):
     default_wait = 30
 
 
+class ThrottledEmbedder(MockEmbedder):
+    """The test embedder behind a rate limit: of the tasks of a job, the first ``limit`` are
+    served at a time and all others refused."""
+
+    name = "throttled"
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() >= int(self.options.get("limit", 8)):
+            raise EmbeddingRequestError(429, "too many requests at once", True)
+        return super().embed(texts)
+
+
 PROVIDERS: dict[str, type[Embedder]] = {"mock": MockEmbedder, "http": HttpEmbedder,
                                         "custom": CustomEmbedder, "openai": OpenAIEmbedder,
                                         "infinity": SelfHostedEmbedder,
-                                        "faulty": FaultyEmbedder}
+                                        "faulty": FaultyEmbedder, "throttled": ThrottledEmbedder}
 
 
 def register_provider(name: str, cls: type[Embedder]) -> None:

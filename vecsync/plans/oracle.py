@@ -475,6 +475,15 @@ FROM documents"""
 ORACLE["embed_udf"] = f"""
 SELECT doc_id, {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('c', derive.DIMENSION))} AS checksum
 FROM (SELECT doc_id, {S.basic_clean('text')} AS c FROM documents)"""
+ORACLE["embed_packed"] = ORACLE["embed_udf"]
+ORACLE["embed_in_waves"] = ORACLE["embed_udf"]
+ORACLE["embed_cached"] = f"""
+WITH t AS (SELECT doc_id, source, {S.basic_clean('text')} AS c FROM documents),
+old AS (SELECT DISTINCT c FROM t WHERE source <> 'src0')
+SELECT doc_id, CASE WHEN old.c IS NULL THEN 'success' ELSE 'hit' END AS outcome,
+  CASE WHEN old.c IS NULL THEN 1 ELSE 0 END AS sent,
+  {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('t.c', derive.DIMENSION))} AS checksum
+FROM t LEFT JOIN old ON t.c = old.c"""
 ORACLE["embed_with_failures"] = f"""
 SELECT doc_id, CASE length(c) % 50 WHEN 7 THEN 'dead' WHEN 9 THEN 'retry' ELSE 'success' END AS outcome,
   CASE length(c) % 50 WHEN 7 THEN 'HTTP 422: text refused' WHEN 9 THEN 'HTTP 503: busy' END AS message,
@@ -827,6 +836,13 @@ ORACLE["batch_plan"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, TEXT_ROWS_CTE) + f"""
 SELECT "table", row_id, row_number() OVER (PARTITION BY config_order ORDER BY row_id) AS row_number,
   CAST(floor((row_number() OVER (PARTITION BY config_order ORDER BY row_id) - 1) / 100) AS BIGINT) AS batch_no
 FROM r"""
+ORACLE["batch_plan_packed"] = with_(ROUTING_CTE, ROUTE_KEYS_CTE, TEXT_ROWS_CTE) + f"""
+SELECT t."table", count(*) AS texts,
+  CAST(sum(greatest(1, CAST(ceil(length(t.text) / 4.0) AS BIGINT))) AS BIGINT) AS tokens,
+  TRUE AS texts_fit, TRUE AS tokens_fit, TRUE AS near_bound
+FROM text_rows t JOIN route_keys k ON k._db = '{derive.DATABASE}'
+  AND k.schema = '{derive.SCHEMA}' AND k."table" = t."table"
+WHERE t.text IS NOT NULL GROUP BY t."table" """
 ORACLE["alternative_names"] = with_(CAT_CTE) + """
 , a0 AS (SELECT c.table_name, c.column_name,
                 (SELECT list(column_name) FROM cat x WHERE x.table_name = c.table_name) AS ex

@@ -417,6 +417,63 @@ def q_system_health_full(spark, d):
             .withColumn("p95_processing_time_ms", F.round("p95_processing_time_ms", 6))
 
 
+def cleaned(spark, d):
+    """doc_id, source and cleaned text of the documents."""
+    return T(spark, d, "documents").select("doc_id", "source",
+                                           C.basic_clean(F.col("text")).alias("clean"))
+
+
+@register("embed_cached")
+def q_embed_cached(spark, d):
+    """Documents of all but one source embedded through a new cache, then all documents: their
+    texts of before are hits, and every other distinct text is sent once."""
+    from ..operators import vector_cache as VC
+    docs = cleaned(spark, d)
+    cache = VC.VectorCache.create(spark, ST.scratch(spark, "vector-cache"), 16, 1 << 16)
+    model = derive.CURRENT_MODEL
+    VC.embed_cached(docs.filter("source <> 'src0'"), "doc_id", "clean", cache,
+                    ST.scratch(spark, "cached-run"), model, derive.DIMENSION)
+    got = VC.embed_cached(docs, "doc_id", "clean", cache, ST.scratch(spark, "cached-run"), model,
+                          derive.DIMENSION)
+    return got.select("doc_id", "outcome", "sent", F.size("vector").alias("dim"),
+                      checksum(F.col("vector")).alias("checksum"))
+
+
+@register("batch_plan_packed")
+def q_batch_plan_packed(spark, d):
+    """The texts of every target packed into requests of at most 32 texts and 4,000 tokens:
+    totals per target, and whether the limits and 1.25 times the lower bound hold."""
+    from ..operators import packing as PK
+    rows = routed_texts(spark, d).select("table", "row_id", "text")
+    packed = PK.pack_requests(rows, "row_id", "text", 32, 4000, ["table"])
+    t = PK.request_totals(packed, 32, 4000, ["table"])
+    return t.select("table", "texts", "tokens", (F.col("most_texts") <= 32).alias("texts_fit"),
+                    F.coalesce(F.col("most_tokens") <= 4000, F.lit(True)).alias("tokens_fit"),
+                    (F.col("requests") <= 1.25 * F.col("lower_bound") + 1).alias("near_bound"))
+
+
+@register("embed_packed")
+def q_embed_packed(spark, d):
+    """All documents embedded by packed requests, one call for each."""
+    from ..operators import packing as PK
+    packed = PK.pack_requests(cleaned(spark, d), "doc_id", "clean", 32, 4000)
+    got = PK.embed_requests(packed.select("doc_id", "clean", "request"), "clean",
+                            dimension=derive.DIMENSION)
+    return got.select("doc_id", F.size("vector").alias("dim"),
+                      checksum(F.col("vector")).alias("checksum"))
+
+
+@register("embed_in_waves")
+def q_embed_in_waves(spark, d):
+    """All documents embedded in waves against a provider that serves four tasks at a time."""
+    from ..operators import waves as WV
+    got, _ = WV.embed_in_waves(cleaned(spark, d), "doc_id", "clean", ST.scratch(spark, "waves"),
+                               "throttled", start=6, rows_per_task=200, limit=4,
+                               dimension=derive.DIMENSION)
+    return got.select("doc_id", F.size("vector").alias("dim"),
+                      checksum(F.col("vector")).alias("checksum"))
+
+
 @register("health_sketches")
 def q_health_sketches(spark, d):
     """Health per table from stored daily sketches, over the last seven days of the log and
