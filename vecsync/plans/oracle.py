@@ -779,6 +779,8 @@ ORACLE["knn_exact_cosine"] = _knn_sql("1.0 - list_cosine_similarity(ev, qv)")
 ORACLE["knn_ivf_index_exact"] = ORACLE["knn_exact"]
 ORACLE["knn_ivf_index_cosine"] = ORACLE["knn_exact_cosine"]
 ORACLE["knn_exact_ip"] = _knn_sql("-list_inner_product(ev, qv)")
+for _m in ("", "_cosine", "_ip"):
+    ORACLE[f"knn_exact_filtered{_m}"] = ORACLE[f"knn_exact{_m}"]
 ORACLE["vector_text_roundtrip"] = "SELECT vec_id, len(embedding) AS dim, TRUE AS roundtrip_equal FROM embeddings"
 ORACLE["truncate_vectors"] = f"""
 SELECT vec_id, {checksum('embedding[1:16]')} AS checksum,

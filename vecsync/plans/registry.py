@@ -980,6 +980,22 @@ def q_knn_ivf_full_probe(spark, d):
     return r.withColumn("score", F.round("score", 6))
 
 
+def _knn_filtered(metric):
+    def q(spark, d):
+        from ..operators import quantised as QN
+        corpus = T(spark, d, "embeddings")
+        codes = QN.write_codes(corpus, ST.scratch(spark, "codes"), metric)
+        r, _ = QN.knn_filtered(codes, corpus, knn_queries(spark, d), KNN_K,
+                               ST.scratch(spark, "filtered"), metric)
+        return r.withColumn("score", F.round("score", 6))
+    return q
+
+
+register("knn_exact_filtered")(_knn_filtered("l2"))
+register("knn_exact_filtered_cosine")(_knn_filtered("cosine"))
+register("knn_exact_filtered_ip")(_knn_filtered("ip"))
+
+
 def ivf_index(spark, d, metric="l2"):
     """The stored index of the embeddings, written anew."""
     path = IVF.build(T(spark, d, "embeddings"), ST.scratch(spark, "ivf-index"), metric)
