@@ -90,7 +90,7 @@ def test_the_loop_runs_until_rows_are_done_or_dead(spark):
 
     def drive(out, done, **provider):
         ck = ST.scratch(spark, "t-ck")
-        for limit in (4, 150):                          # stopped early, then to the end
+        for limit in (4, 420):                          # stopped early, then to the end
             q = RT.run_retry_stream(spark, out, ck, 8, "m", retry_delay=0.5, max_retries=3,
                                     trigger={"processingTime": "1 second"}, **provider)
             stop = time.time() + limit

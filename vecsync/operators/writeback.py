@@ -66,6 +66,26 @@ def log_rows(results: DataFrame, database: str, schema: str, table: str, text_co
         vsize(vector_col).alias("vector_dimension"))
 
 
+def append_log(rows: DataFrame, path: str, batch_id: int, ts_col: str = "created_at") -> None:
+    """Add a batch of log rows to the date-partitioned log at ``path``
+    (``log_date=<day>/batch_id=<n>``).  A replayed batch replaces its own partitions and no
+    others; rows without a time lie in the null date."""
+    (rows.withColumn("log_date", F.to_date(ts_col)).withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("log_date", "batch_id").parquet(path))
+
+
+def read_log(spark, path: str, first_day: str | None = None, last_day: str | None = None
+             ) -> DataFrame:
+    """The log, or its rows of some days: only their folders are opened."""
+    log = spark.read.parquet(path)
+    if first_day is not None:
+        log = log.filter(F.col("log_date") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        log = log.filter(F.col("log_date") <= F.lit(last_day).cast("date"))
+    return log
+
+
 def upsert_daily_status(history: DataFrame, checks: DataFrame,
                         key: tuple[str, ...] = ("database_name", "schema_name", "table_name",
                                                 "vector_column")) -> DataFrame:

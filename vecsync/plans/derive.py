@@ -183,6 +183,18 @@ def old_user_table(documents: DataFrame, benchmark: DataFrame, embeddings: DataF
     return user_table(kept.withColumn("lang", lang), embeddings.filter(F.col("label") == 0))
 
 
+def provider_stand_in(url: str, payload: dict, headers: dict, timeout: float):
+    """Answers an embeddings request in place of a server: vectors of the test embedder, the
+    items of the reply in reverse order (their ``index`` tells which is which)."""
+    import json
+
+    from ..operators.embed import MockEmbedder
+
+    vectors = MockEmbedder(dimension=payload["dimensions"]).embed(payload["input"])
+    items = [{"index": i, "embedding": v.tolist()} for i, v in enumerate(vectors)]
+    return 200, {}, json.dumps({"model": payload["model"], "data": items[::-1]})
+
+
 # --- task table / status history --------------------------------------------------
 
 def task_table(events: DataFrame) -> DataFrame:

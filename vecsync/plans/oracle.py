@@ -476,6 +476,11 @@ ORACLE["embed_udf"] = f"""
 SELECT doc_id, {derive.DIMENSION} AS dim, {checksum(S.mock_embedding('c', derive.DIMENSION))} AS checksum
 FROM (SELECT doc_id, {S.basic_clean('text')} AS c FROM documents)"""
 ORACLE["embed_packed"] = ORACLE["embed_udf"]
+ORACLE["embed_http"] = ORACLE["embed_udf"]
+ORACLE["vectorization_log_append"] = with_(LOG_CTE) + """
+SELECT CAST(created_at AS DATE) AS log_date, table_name, status, count(*) AS n,
+  max(created_at) AS last
+FROM log GROUP BY ALL"""
 ORACLE["embed_in_waves"] = ORACLE["embed_udf"]
 ORACLE["embed_cached"] = f"""
 WITH t AS (SELECT doc_id, source, {S.basic_clean('text')} AS c FROM documents),
@@ -827,6 +832,12 @@ SELECT "table", row_id, event_id, '{derive.CURRENT_MODEL}' AS model, {derive.DIM
        {checksum(S.mock_embedding('clean', derive.DIMENSION))} AS checksum
 FROM latest"""
 ORACLE["stream_late"] = ORACLE["stream_vectorize"]
+_head, _, _ = ORACLE["stream_vectorize"].rpartition('SELECT "table", row_id, event_id,')
+ORACLE["stream_retries_until_done"] = _head + """
+SELECT "table", row_id, event_id,
+  CASE WHEN length(clean) % 10 IN (0, 6) THEN 'dead' ELSE 'success' END AS outcome,
+  CASE WHEN length(clean) % 10 = 6 THEN 4 ELSE 0 END AS retry_count
+FROM latest"""
 ORACLE["stream_daily_status"] = with_(LOG_CTE) + """
 SELECT table_name, CAST(created_at AS DATE) AS day, count(*) AS total,
   count(*) FILTER (WHERE status = 'success') AS successful,

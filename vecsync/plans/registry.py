@@ -641,6 +641,43 @@ def q_vectorization_log_rows(spark, d):
     return rows.select("row_id", "status", "text_length", "vector_dimension", "embedding_model")
 
 
+@register("vectorization_log_append")
+def q_vectorization_log_append(spark, d):
+    """The log in two batches, the second replayed, into the date-partitioned table."""
+    rows, path = log(spark, d), ST.scratch(spark, "vectorization-log")
+    early = F.to_date("created_at") < F.lit(derive.AS_OF).cast("date")
+    for batch, part in ((0, early), (1, ~early), (1, ~early)):
+        WB.append_log(rows.filter(part), path, batch)
+    return WB.read_log(spark, path).groupBy("log_date", "table_name", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last"))
+
+
+@register("embed_http")
+def q_embed_http(spark, d):
+    """UD2: the hosted provider's client over all documents, a transport in place of a server."""
+    e = EM.embed_column(cleaned(spark, d), "clean", "v", "openai", dimension=derive.DIMENSION,
+                        model=derive.CURRENT_MODEL, transport=derive.provider_stand_in,
+                        send_dimensions=True, batch_size=64, api_key="none")
+    return e.select("doc_id", F.size("v").alias("dim"), checksum(F.col("v")).alias("checksum"))
+
+
+@register("stream_retries_until_done")
+def q_stream_retries_until_done(spark, d):
+    """ST4: the feed vectorized by a provider that refuses some texts for now and some for good,
+    then retries until none is due: every row's last outcome."""
+    bad = dict(provider="faulty", modulus=10, dead=0, busy=6)
+    out = ST.scratch(spark, "retries-out")
+    path = ST.land_feed(feed(spark, d), ST.scratch(spark, "retries-landing"))
+    ST.stream_vectorize(spark, ST.read_feed(spark, path), derive.routing_config(spark), out,
+                        ST.scratch(spark, "retries-ck"), derive.DIMENSION, derive.CURRENT_MODEL,
+                        **bad).awaitTermination()
+    while ST.run_retries(spark, out, "2199-01-01 00:00:00", derive.DIMENSION,
+                         derive.CURRENT_MODEL, **bad):
+        pass
+    return ST._latest_attempts(spark, out).select("table", "row_id", "event_id", "outcome",
+                                                  "retry_count")
+
+
 @register("vector_validity")
 def q_vector_validity(spark, d):
     u = user(spark, d)

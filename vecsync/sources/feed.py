@@ -122,7 +122,12 @@ def read_feed_kafka(spark, bootstrap_servers: str, topic: str,
          .option("subscribe", topic).option("startingOffsets", starting_offsets))
     for k, v in options.items():
         r = r.option(k, v)
-    raw = r.load()
+    return kafka_events(r.load())
+
+
+def kafka_events(raw: DataFrame) -> DataFrame:
+    """The rows of the Kafka source as feed events: partition and offset name an event, its
+    time is the record's, its payload the value as text."""
     return raw.select(
         (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("event_id"),
         wall_clock(F.col("timestamp")).alias("ts"), F.col("value").cast("string").alias("value"))

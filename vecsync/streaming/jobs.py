@@ -282,13 +282,34 @@ def dead_letters(spark: SparkSession, out_path: str) -> DataFrame:
     return _latest_attempts(spark, out_path).filter(F.col("outcome") == "dead")
 
 
+RETRY_KEY = ["table", "row_id", "event_id", "retry_count"]
+
+
+def _claims(spark: SparkSession, out_path: str) -> DataFrame:
+    """The retries that runs have taken on: the key of each, the run and when."""
+    schema = ("table string, row_id string, event_id long, retry_count int, clean string, "
+              "ts timestamp_ntz, claimed_at timestamp, run string")
+    path = os.path.join(out_path, "claims")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def run_retries(spark: SparkSession, out_path: str, as_of: str, dimension: int, model: str,
                 provider: str = "mock", retry_delay: float = 1.0, max_retries: int = 3,
-                **config) -> int:
+                lease_seconds: float = 3600.0, **config) -> int:
     """ST4: read the retries back, try those that are due at ``as_of`` once more, and add the
     attempts to the sink; after ``max_retries`` a row becomes a dead letter.  Returns how many
-    were due.  A row with a newer event has moved on and is left alone."""
+    were due.  A row with a newer event has moved on and is left alone.
+
+    A run writes what it takes on (its claim) before it calls a provider, and leaves out what
+    another run has claimed within ``lease_seconds`` and not finished, so runs at the same time
+    do not send a row twice; of two that claim a row at once neither sends it, and the next run
+    after the lease does.  The texts are read from the claim, the attempts written once.
+    """
     from ..functions.errors import retry_schedule
+    run = f"retry-{uuid.uuid4().hex[:12]}"
     failed = _latest_attempts(spark, out_path).filter(F.col("outcome") == "retry")
     s = retry_schedule(F.col("ts"), F.col("retry_count"), retry_delay, max_retries)
     plan = failed.withColumn("_s", s).filter(
@@ -297,12 +318,23 @@ def run_retries(spark: SparkSession, out_path: str, as_of: str, dimension: int,
     again = plan.filter(F.col("_s.decision") == "retry").select(
         "event_id", "ts", "table", "row_id", "clean",
         (F.col("retry_count") + 1).alias("retry_count"))
-    tried = attempt(again, dimension, model, provider, **config)
+    claim = os.path.join(out_path, "claims", f"run={run}")
+    # in a plan of its own: what a job reads must not be what it writes
+    mine = again.withColumn("claimed_at", F.current_timestamp())
+    mine.write.mode("errorifexists").parquet(claim)
+    held = _claims(spark, out_path).filter(
+        (F.col("run") != run) & (F.col("claimed_at") > F.current_timestamp()
+                                 - F.make_dt_interval(secs=F.lit(float(lease_seconds)))))
+    done = attempts(spark, out_path).select(*RETRY_KEY)
+    held = held.select(*RETRY_KEY).join(done, RETRY_KEY, "left_anti")
+    own = (_claims(spark, out_path).filter(F.col("run") == run)
+           .join(held, RETRY_KEY, "left_anti").select(*again.columns))
+    tried = attempt(own, dimension, model, provider, **config)
     over = plan.filter(F.col("_s.decision") == "dead").select(
         "event_id", "ts", "table", "row_id", "clean",
         (F.col("retry_count") + 1).alias("retry_count"), "vector", F.lit("dead").alias("outcome"),
         "message", "model")
-    place = os.path.join(out_path, "attempts", f"run=retry-{uuid.uuid4().hex[:12]}/batch_id=0")
+    place = os.path.join(out_path, "attempts", f"run={run}/batch_id=0")
     tried.unionByName(over).write.mode("errorifexists").parquet(place)
     return spark.read.parquet(place).count()
 
