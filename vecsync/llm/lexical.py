@@ -293,20 +293,22 @@ def open_blocks(stored: DataFrame, ranking, least: list | None = None) -> DataFr
             .filter(F.col("at") <= FIRST_BLOCKS).drop("at"))
 
 
-def scored(opened: DataFrame, index: DataFrame, ranking, k: int, kind) -> DataFrame:
+def scored(opened: DataFrame, index: DataFrame, ranking, k: int, kind,
+           least: list | None = None) -> DataFrame:
     """The exact scores of the documents of ``opened`` blocks: item, doc_id, row, score, the k
-    best of each item and cell.  A cell meets its blocks in a join.  ``kind``: the identifiers'
-    type; equal scores are cut here where it is a whole number or text."""
+    best of each item and cell, of those that reach the item's ``least``.  A cell meets its
+    blocks in a join.  ``kind``: the identifiers' type; equal scores are cut here where it is a
+    whole number or text."""
     number = {True: int, False: str}[isinstance(kind, IntegralType)]
     orders = isinstance(kind, (IntegralType, StringType))
-    sent = opened.sparkSession.sparkContext.broadcast(ranking)
+    sent = opened.sparkSession.sparkContext.broadcast((ranking, least))
     met = (opened.groupBy("cell", "item").agg(F.array_distinct(F.flatten(F.collect_list("docs")))
                                               .alias("docs"))
            .groupBy("cell").agg(F.collect_list(F.struct("item", "docs")).alias("asked"))
            .join(index, "cell"))
 
     def run(batches):
-        rank = sent.value
+        rank, low = sent.value
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 doc, term, impact = _one_cell(r.sizes, r.terms, r.impacts)
@@ -319,7 +321,7 @@ def scored(opened: DataFrame, index: DataFrame, ranking, k: int, kind) -> DataFr
                     score = table[np.ix_(docs, terms)].astype(np.int64) @ rank.weight[terms]
                     some = pd.DataFrame({"item": item, "doc_id": np.asarray(r.ids, object)[docs],
                                          "row": np.asarray(r.rows)[docs], "score": score})
-                    some = some[some["score"] > 0]
+                    some = some[some["score"] >= max(1, low[item] if low else 1)]
                     if len(some) > k:           # the k-th best and all its ties
                         some = some[some["score"] >= np.partition(some["score"], -k)[-k]]
                     if len(some) > k and orders:
@@ -375,7 +377,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         least = [0] * len(names)
         for item, score in (first.filter(F.col("rank") == k).select("item", "score").collect()):
             least[item] = score
-        best = _best(scored(open_blocks(stored, ranking, least), index, ranking, k, kind),
+        best = _best(scored(open_blocks(stored, ranking, least), index, ranking, k, kind, least),
                      kind, k)
         labels = spark.createDataFrame(list(enumerate(names)), "item int, item_id string")
         best = best.join(F.broadcast(labels), "item")        # at most QUERY_TERMS items
