@@ -175,10 +175,13 @@ def run_retry_stream(spark: SparkSession, out_path: str, checkpoint: str, dimens
     def send(batch: DataFrame, batch_id: int) -> None:
         claim, place = (os.path.join(out_path, kind, f"run={run}", f"batch_id={batch_id}")
                         for kind in ("claims", "attempts"))
+        # the batch is run in every case, since running it is what commits its state
+        if _there(spark, place) or _there(spark, claim):
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            batch.write.mode("overwrite").parquet(claim)
         if _there(spark, place):
             return
-        if not _there(spark, claim):
-            batch.write.mode("overwrite").parquet(claim)
         rows = spark.read.schema(batch.schema).parquet(claim)
         if rows.isEmpty():
             return
