@@ -117,7 +117,7 @@ BYTE_LETTER = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b
 
 
 def byte_letters(text: str) -> str:
-    return "".join(BYTE_LETTER.get(b) or chr(b) for b in text.encode("utf-8"))
+    return text.encode("utf-8").decode("latin-1").translate(BYTE_LETTER)
 
 
 class Recent(dict):

@@ -171,9 +171,12 @@ class WordIds:
         it stands: the library's merges suffice.  All others take its whole path."""
         merges, out, rest = self.model, [b""] * len(words), []
         for i, word in enumerate(words):
-            if word.isalpha() and word.islower() and not self.BEYOND(word):
-                plain = word if word.isascii() else byte_letters(word)
-                out[i] = array("I", [t.id for t in merges(plain)]).tobytes()
+            if not word.isalpha() or not word.islower():
+                rest.append(i)
+            elif word.isascii():
+                out[i] = array("I", [t.id for t in merges(word)]).tobytes()
+            elif not self.BEYOND(word):
+                out[i] = array("I", [t.id for t in merges(byte_letters(word))]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self.batch([words[i] for i in rest], add_special_tokens=False)):
@@ -186,21 +189,28 @@ class WordIds:
         text = text or ""
         if (text.isascii() or not self.BEYOND(text)) and "<|" not in text:
             text = text.lower()
-        return [x for x in text.replace("\n", " ").split(" ") if x]
+        return list(filter(None, text.replace("\n", " ").split(" ")))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         each = [self.words(t) for t in texts]
-        ids = self.ids
-        found = [list(map(ids.get, own)) for own in each]
-        new = {x for own, got in zip(each, found) if None in got
-               for x, coded in zip(own, got) if coded is None and x not in ids.old}
+        ids, old = self.ids, self.ids.old
+        distinct = list(set().union(*each))            # each distinct word is looked up once
+        found = list(map(ids.get, distinct))
+        local, new = dict(zip(distinct, found)), []
+        for x in [w for w, coded in zip(distinct, found) if coded is None]:
+            coded = old.get(x)
+            if coded is None:
+                new.append(x)
+            else:
+                local[x] = coded
         base = list({x[:-1] if self._marked(x) else x for x in new})
         for at in range(0, len(base), 5_000):
             part = [x for x in base[at:at + 5_000] if x not in ids]
             for x, coded in zip(part, self._coded(part)):
                 ids.put(x, coded)
-        return [b"".join([ids[x] if coded is None else coded for x, coded in zip(own, got)]
-                         if None in got else got) for own, got in zip(each, found)]
+        for x in new:
+            local[x] = ids[x]
+        return [b"".join(map(local.__getitem__, own)) for own in each]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -229,7 +239,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                              "ids": [press(a) for a in apart]})
 
     return per_text(docs, id_col, text_col, run,
-                    f"doc_id {kind}, n long, crc long, ids binary", most=1_000_000)
+                    f"doc_id {kind}, n long, crc long, ids binary", most=3_000_000)
 
 
 def _raw(blob: bytes) -> np.ndarray:
@@ -242,13 +252,23 @@ def _raw(blob: bytes) -> np.ndarray:
 def id_counts(coded: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs, summed in each task before the shuffle."""
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, held, many = np.zeros(0, np.int64), [], 0
+
+        def added(total):
+            own = np.bincount(np.concatenate(held))
+            if len(own) < len(total):
+                own, total = total, own
+            own[:len(total)] += total
+            return own
+
         for pdf in batches:
             for blob in pdf["ids"]:
-                own = np.bincount(_raw(blob))
-                if len(own) > len(total):
-                    total = np.r_[total, np.zeros(len(own) - len(total), np.int64)]
-                total[:len(own)] += own
+                held.append(_raw(blob))
+                many += len(held[-1])
+                if many > 1_000_000:
+                    total, held, many = added(total), [], 0
+        if held:
+            total = added(total)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
