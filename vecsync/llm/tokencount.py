@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from itertools import accumulate, chain
 
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
 from vecsync.llm.bpe import UNSAFE
-from vecsync.llm.common import BYTE_LETTER, Recent, col, slices
+from vecsync.llm.common import BYTE_LETTER, Recent, byte_letters, col, slices
 
 RULES = ("start", "majority", "share")
-SLICE = 400_000
+SLICE = 1_500_000
 
 
 def allocate(start: np.ndarray, end: np.ndarray, border: np.ndarray,
@@ -64,6 +65,10 @@ class Spans:
     gave are remembered, within bounds.  Texts with other white space are encoded as they are.
     """
 
+    MARKS = frozenset(".,;:!?")
+    #: everything beyond the Latin letters of one or two bytes
+    BEYOND = staticmethod(re.compile("[\u0300-\U0010ffff]").search)
+
     def __init__(self, path: str, remember: int = 300_000):
         # Spark gives a task its core; the library's own threads would take others'
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,21 +77,43 @@ class Spans:
         tokenizer.encode_special_tokens = True
         tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
         self.batch = tokenizer.encode_batch
-        self.model = tokenizer.model.tokenize
+        self.merges = tokenizer.model.tokenize
         self.spans = Recent(lambda text: self._coded([text])[0], remember)
 
+    def _plain(self, text: str) -> list[int] | None:
+        """First and last-but-one-past characters of the tokens of Latin letters, after one
+        space or none: one match of the tokenizer's pattern, so the library's merges suffice."""
+        word = text[1:] if text[:1] == " " else text
+        if not word.isalpha():
+            return None
+        if text.isascii():
+            out, at = [], 0
+            for t in self.merges(text if word is text else BYTE_LETTER[32] + word):
+                end = at + len(t.value)
+                out += (at, end)
+                at = end
+            return out
+        if self.BEYOND(word):
+            return None
+        ends = list(accumulate(len(t.value) for t in self.merges(byte_letters(text))))
+        # ends count bytes: a token has every character that one of its bytes belongs to
+        of = [i for i, c in enumerate(text) for _ in range(1 + (c > "\x7f"))]
+        return list(chain.from_iterable((of[a], of[b - 1] + 1) for a, b in zip([0, *ends], ends)))
+
     def _coded(self, texts: list[str]) -> list[bytes]:
-        """First and last-but-one-past character of every token, four bytes each.  ASCII
-        letters, after one space or none, are one match of the tokenizer's pattern and a
-        character a byte: the library's merges suffice.  All others take its whole path."""
-        merges, out, rest = self.model, [b""] * len(texts), []
+        """First and last-but-one-past character of every token, four bytes each.  Letters take
+        the merges alone, with one mark after them (a token of its own) or none; all others the
+        library's whole path."""
+        out, rest = [b""] * len(texts), []
         for i, text in enumerate(texts):
-            if text.isascii() and (text.isalpha() or text[0] == " " and text[1:].isalpha()):
-                ends = list(accumulate(len(t.value) for t in merges(
-                    BYTE_LETTER[32] + text[1:] if text[0] == " " else text)))
-                out[i] = array("i", chain.from_iterable(zip([0, *ends], ends))).tobytes()
-            else:
+            marked = text[-1] in self.MARKS
+            own = self._plain(text[:-1] if marked else text)
+            if own is None:
                 rest.append(i)
+                continue
+            if marked:
+                own += (len(text) - 1, len(text))
+            out[i] = array("i", own).tobytes()
         for i, e in zip(rest, self.batch([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = array("i", chain.from_iterable(e.offsets)).tobytes()
         return out
@@ -102,15 +129,25 @@ class Spans:
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         parts = [[t] if UNSAFE.search(t) else self._cut(t) for t in texts]
-        known = self.spans
-        new = [x for x in {x for own in parts for x in own} if x not in known
-               and x not in known.old and len(x) < 1_000]
+        known, local, new = self.spans, {}, []
+        for x in set().union(*parts):                  # each distinct stretch is looked up once
+            coded = known.get(x)
+            if coded is None:
+                coded = known.old.get(x)
+                if coded is not None:
+                    known.put(x, coded)
+            if coded is None:
+                new.append(x)
+            else:
+                local[x] = coded
         for at in range(0, len(new), 5_000):
             for x, coded in zip(new[at:at + 5_000], self._coded(new[at:at + 5_000])):
-                known.put(x, coded)
+                local[x] = coded
+                if len(x) < 1_000:
+                    known.put(x, coded)
         out = []
         for own in parts:
-            found = [known[x] if len(x) < 1_000 else self._coded([x])[0] for x in own]
+            found = list(map(local.__getitem__, own))
             size = np.fromiter(map(len, own), np.int64, len(own))
             many = np.fromiter(map(len, found), np.int64, len(found)) // 8
             flat = np.frombuffer(b"".join(found), np.int32).astype(np.int64).reshape(-1, 2)
