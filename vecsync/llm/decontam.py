@@ -42,7 +42,13 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
             "\uf900-\ufaff\U00020000-\U0003ffff")
-tokens = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+").findall
+_spaced = re.compile(r"\w+").findall
+_unspaced = re.compile(f"[{UNSPACED}]").search
+_mixed = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+").findall
+
+
+def tokens(text: str) -> list[str]:
+    return _mixed(text) if not text.isascii() and _unspaced(text) else _spaced(text)
 
 
 def powers(n: int) -> np.ndarray:
