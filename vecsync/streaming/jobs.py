@@ -91,18 +91,19 @@ def stream_dedup(events: DataFrame, key: list[str], ts_col: str, delay: str) ->
 
 def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_seconds: float,
                     out_schema: str, delay: str = "2 hours",
-                    bucket_seconds: int = 3600) -> DataFrame:
-    """ST3 exact: the W3 rule on a stream.  Groups are (key, time bucket) as in
-    ``detect.debounce``: an event near the end of its bucket also goes to the
-    next one as context, so a hot key spreads over many tasks.  The state holds
-    the last event time seen; event-time timeout drops it once the watermark
-    passes.
-
-    Of the events less than a window apart only the first can stay, so a group
-    is folded, one Arrow batch after another, into the first event and the last
-    time of each window-wide cell: however many events a group has, a task
-    holds one batch and ``bucket_seconds / window_seconds`` cells.  An event
-    without a time stays."""
+                    bucket_seconds: int = 3600, spread: int = 8) -> DataFrame:
+    """ST3 exact: the W3 rule on a stream.  Groups are (hash of the key modulo ``spread``, time
+    bucket) with time buckets as in ``detect.debounce``: an event near the end of its bucket
+    also goes to the next one as context, so a hot key spreads over many tasks.  A group folds
+    its keys together, so the calls grow with the time the feed covers and not with its keys.
+    The state holds the last event time seen of each of the group's keys; event-time timeout
+    drops it once the watermark passes the last of them.
+
+    Of the events of a key less than a window apart only the first can stay, so a group is
+    folded, one Arrow batch after another, into the first event and the last time of each
+    window-wide cell of a key: however many events a key has, a task holds one batch and
+    ``bucket_seconds / window_seconds`` cells of each key of the group.  An event without a
+    time stays."""
     win_us = int(round(window_seconds * 1_000_000))
     size = max(int(bucket_seconds * 1_000_000), win_us, 1)
     cols = [f.split()[0] for f in out_schema.split(",")]
@@ -111,12 +112,23 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
     events = detect.in_buckets(events.withColumn("_us", epoch_us(F.col(ts_col))), win_us, size)
     # a context copy has no event time: it is never late, so late events are counted once
     events = events.withColumn("_et", F.when(F.col("_own"), event_time(F.col(ts_col))))
+    events = events.withColumn("_key", F.to_json(F.struct(*key)))
+    events = events.withColumn("_h", F.pmod(F.xxhash64("_key"), F.lit(spread)))
+    never = -2 ** 62                        # no event yet: earlier than any
+
+    def fold(x: pd.DataFrame) -> pd.DataFrame:
+        """Of each cell of a key the first event and, as ``_last``, the last time."""
+        x = x.sort_values(["_key", "_us", cols[0]])
+        names, cell = x["_key"].to_numpy(), x["_cell"].to_numpy()
+        new = np.r_[True, (names[1:] != names[:-1]) | (cell[1:] != cell[:-1])]
+        last = np.maximum.reduceat(x["_last"].to_numpy(), np.flatnonzero(new))
+        return x[new].assign(_last=last)
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first, last = None, pd.Series(dtype="int64")
+        cells = None
         for pdf in pdfs:
             timed = pdf["_us"].notna()
             if not timed.all():
@@ -127,30 +139,31 @@ def stream_debounce(events: DataFrame, key: list[str], ts_col: str, window_secon
             us = pdf["_us"].astype("int64")
             # context comes from the window before the bucket: cell -1
             cell = (us - pdf["_b"].astype("int64") * size) // win_us
-            last = pd.concat([last, us.groupby(cell).max()]).groupby(level=0).max()
-            own = pdf.assign(_us=us, _cell=cell)[pdf["_own"].astype(bool)]
-            first = own if first is None else pd.concat([first, own])
-            first = first.sort_values(["_us", cols[0]]).drop_duplicates("_cell")
-        if not len(last):
+            part = fold(pdf[[*cols, "_key"]].assign(_us=us, _cell=cell, _last=us))
+            cells = part if cells is None else fold(pd.concat([cells, part]))
+        if cells is None:
             return
-        # no event yet: earlier than any
-        seen = state.get[0] if state.exists else -2 ** 62
-        before = last.cummax().shift(fill_value=seen).clip(lower=seen)
-        seen = max(seen, int(last.max()))
-        state.update((seen,))
-        # a later event of this key is always kept once the watermark passed
+        seen = dict(zip(*state.get)) if state.exists else {}
+        names, last = cells["_key"].to_numpy(), cells["_last"].to_numpy()
+        new = np.r_[True, names[1:] != names[:-1]]
+        before = np.where(new, never, np.r_[never, last[:-1]])
+        if seen:
+            before = np.maximum(before, [seen.get(x, never) for x in names])
+        ends = np.r_[new[1:], True]
+        for x, at in zip(names[ends], last[ends].tolist()):
+            seen[x] = max(seen.get(x, never), at)
+        state.update((list(seen), list(seen.values())))
+        # a later event of these keys is always kept once the watermark passed
         # last + window, so the state can go then (never before the watermark)
-        state.setTimeoutTimestamp(max((seen + win_us) // 1000,
+        state.setTimeoutTimestamp(max((max(seen.values()) + win_us) // 1000,
                                       state.getCurrentWatermarkMs()) + 1)
-        if first is not None and len(first):
-            gap = first["_us"].to_numpy() - before.loc[first["_cell"]].to_numpy()
-            out = first.loc[gap >= win_us, cols]
-            if len(out):
-                yield out
-
-    return (events.withWatermark("_et", delay).groupBy(*key, "_b")
-            .applyInPandasWithState(fn, out_schema, "last_us long", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+        keep = (cells["_cell"].to_numpy() >= 0) & (cells["_us"].to_numpy() - before >= win_us)
+        if keep.any():
+            yield cells.loc[keep, cols]
+
+    return (events.withWatermark("_et", delay).groupBy("_h", "_b")
+            .applyInPandasWithState(fn, out_schema, "keys array<string>, last_us array<long>",
+                                    "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # --- ST1 / ST6 ---------------------------------------------------------------------
