@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,10 @@ from pyspark.sql import types as T
 from .embed import PROVIDERS
 
 GROUP_ROWS = 20_000
+#: Tasks that the rows of one ``by`` are dealt to when they learn how many groups it has.
+SALTS = 64
+#: Rows that a task has in Python objects at a time.
+CHUNK_ROWS = 256
 CHARS_PER_TOKEN = 4
 
 
@@ -66,17 +71,23 @@ def pack_requests(df: DataFrame, id_col: str, text_col: str, batch_size: int, to
     counted = df.filter(has).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     groups = F.greatest(F.lit(1), F.ceil(F.col("_n") / GROUP_ROWS)).cast("long")
     names = [f"_b{i}" for i in range(len(by))]
-    own = df.select("*", *[F.col(c).alias(n) for c, n in zip(by, names)])
-    sized = counted.select(*[F.col(c).alias(n) for c, n in zip(by, names)], groups.alias("_g"))
+    named = [F.col(c).alias(n) for c, n in zip(by, names)]
+    own = df.select("*", *named, F.when(has, size).alias("tokens"))
+    slim = df.filter(has).select(F.col(id_col).alias("_id"), size.alias("tokens"), *named)
+    sized = counted.select(*named, groups.alias("_g"))
     if by:
-        same = [own[n].eqNullSafe(sized[n]) for n in names]
-        own = own.join(sized, same, "left").drop(*[sized[n] for n in names])
+        # neither texts nor all rows of a ``by`` meet in a task
+        sized = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        slim = slim.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(SALTS))
+                               .cast("int"))
+        same = [slim[n].eqNullSafe(sized[n]) for n in names]
+        slim = slim.join(sized, [*same, slim["_salt"] == sized["_salt"]]).select(
+            slim["_id"], slim["tokens"], *[slim[n] for n in names], "_g")
     else:
-        own = own.withColumn("_g", F.lit(sized.first()["_g"]))
-    own = own.withColumn("tokens", F.when(has, size)).withColumn(
-        "_g", F.when(has, F.pmod(F.xxhash64(id_col), F.col("_g"))))
+        slim = slim.withColumn("_g", F.lit(sized.first()["_g"]))
     key = F.sha2(F.to_json(F.struct(F.lit(0), *[F.col(n) for n in names])), 256)
-    slim = own.filter(has).select(key.alias("_k"), "_g", F.col(id_col).alias("_id"), "tokens")
+    slim = slim.select(key.alias("_k"), F.pmod(F.xxhash64("_id"), F.col("_g")).alias("_g"),
+                       "_id", "tokens")
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "_id"], ascending=[False, True], kind="stable")
@@ -131,32 +142,44 @@ def embed_requests(packed: DataFrame, text_col: str, provider: str = "mock",
         T.StructField("sent", T.IntegerType())])
     cls = PROVIDERS[provider]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = cls(**{**config, "batch_size": 1 << 30})
         left = None                      # the last request of a batch may go on in the next
 
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.reset_index(drop=True)
-            rows = [(None, "skipped", None, 0)] * len(pdf)
-            for at in pdf.groupby("request").indices.values():
-                for i, r in zip(at, client.embed_outcomes(pdf[text_col].iloc[at].tolist())):
+        def done(part: pa.Table, names: list) -> Iterator[pa.RecordBatch]:
+            texts, rows = part[text_col].to_pylist(), [(None, "skipped", None, 0)] * len(names)
+            asked: dict[str, list[int]] = {}
+            for i, name in enumerate(names):
+                if name is not None:
+                    asked.setdefault(name, []).append(i)
+            for at in asked.values():
+                for i, r in zip(at, client.embed_outcomes([texts[i] for i in at])):
                     rows[i] = r
-            pdf[vector_col] = [None if r[0] is None else np.asarray(r[0], dtype=np.float32)
-                               for r in rows]
-            for i, name in enumerate(("outcome", "message", "sent"), 1):
-                pdf[name] = [r[i] for r in rows]
-            return pdf
-
-        for pdf in batches:
-            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
-            last = pdf["request"].iloc[-1] if len(pdf) else None
-            open_ = (pdf["request"] == last).to_numpy() & pd.notna(last)
-            left = pdf[open_]
-            if (~open_).any():
-                yield done(pdf[~open_])
-        if left is not None and len(left):
-            yield done(left)
+            vectors = [None if r[0] is None else np.asarray(r[0], dtype=np.float32)
+                       for r in rows]
+            part = part.append_column(vector_col, pa.array(vectors, pa.list_(pa.float32())))
+            for i, (name, kind) in enumerate((("outcome", pa.string()), ("message", pa.string()),
+                                              ("sent", pa.int32())), 1):
+                part = part.append_column(name, pa.array([r[i] for r in rows], kind))
+            yield from part.combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            part = part if left is None else pa.concat_tables([left, part])
+            names = part["request"].to_pylist()
+            lo = 0
+            for hi in range(1, len(names)):
+                if hi - lo >= CHUNK_ROWS and (names[hi] is None or names[hi] != names[hi - 1]):
+                    yield from done(part.slice(lo, hi - lo), names[lo:hi])
+                    lo = hi
+            # a copy of the few rows, so that the batch itself can go
+            rest = part.slice(lo)
+            left = rest.take(pa.array(range(rest.num_rows)))
+        if left is not None:
+            yield from done(left, left["request"].to_pylist())
 
     rows = (packed.repartition(max_tasks, "request") if max_tasks
             else packed.repartition("request"))
-    return rows.sortWithinPartitions("request").mapInPandas(run, schema)
+    return rows.sortWithinPartitions("request").mapInArrow(run, schema)
