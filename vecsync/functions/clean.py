@@ -115,10 +115,13 @@ def html_text(c: Column) -> Column:
     open element ends where its parent's end tag does; every character
     reference is decoded.  Documents that patterns can handle exactly stay in
     the JVM, the others (only those) go through a tokenizer in Arrow batches.
+    A text without "<" and "&" is its own text, and no pattern looks at it.
     """
     c = _nz(c)
+    plain = ~F.contains(c, F.lit("<")) & ~F.contains(c, F.lit("&"))
     easy = html_is_easy(c)
-    return F.when(easy, html_text_native(c)).otherwise(html_text_parser_udf()(F.when(~easy, c)))
+    hard = html_text_parser_udf()(F.when(~plain & ~easy, c))
+    return F.when(plain, c).when(easy, html_text_native(c)).otherwise(hard)
 
 
 def html_clean(c: Column) -> Column:
