@@ -192,6 +192,16 @@ class Index:
         return np.sqrt(np.maximum(2.0 * score, 0.0)) * (1 + SLACK) + 1e-6
 
 
+def _near(r: np.ndarray, away: np.ndarray, limit: np.ndarray, step: int) -> np.ndarray:
+    """Which rows, at ``r`` from their centroid, some query that is ``away`` from it can have
+    within its limit; rows times queries are held for ``step`` rows at a time."""
+    out = np.zeros(len(r), bool)
+    for lo in range(0, len(r), step):
+        gap = np.abs(away[None, :] - r[lo:lo + step, None])
+        out[lo:lo + step] = (~(gap > limit[None, :])).any(axis=1)
+    return out
+
+
 def _probe(index: Index, block, asks: np.ndarray, k: int, limit: np.ndarray | None,
            odd: bool, qid_col: str, id_col: str) -> DataFrame:
     """Candidates of the queries of a block in the cells that each asks for (``asks``, queries
@@ -220,10 +230,9 @@ def _probe(index: Index, block, asks: np.ndarray, k: int, limit: np.ndarray | No
                         best.add(ids, which[[q]], np.full((len(ids), 1), np.nan))
                     continue
                 if limit is not None:
-                    away = far[which, number[int(cell)]]
+                    away, most = far[which, number[int(cell)]], limit[which]
                     r = pdf["far"].to_numpy()[at]
-                    near = ~(np.abs(away[None, :] - r[:, None]) > limit[which][None, :])
-                    near = near.any(axis=1)
+                    near = _near(r, away, most, step)
                     ids, vectors = ids[near], vectors[near]
                 for lo in range(0, len(ids), step):
                     score = _metric_scores(_matrix(vectors[lo:lo + step]), mat[which], metric,
