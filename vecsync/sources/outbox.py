@@ -28,6 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "commit_id long, event_id long, ts timestamp_ntz, value string"
 COLUMNS = ["commit_id", "event_id", "ts", "value"]
+#: Bytes of a row group that ``append_outbox`` writes: an id range reads whole groups, so large
+#: ones would be read again for every range inside.
+ROW_GROUP = 2 << 20
 
 
 @dataclass
@@ -188,5 +191,5 @@ def append_outbox(feed: DataFrame, path: str, after: int = 0) -> int:
     rows = batch_plan(feed, [], ["ts", "event_id"], 1)
     out = rows.select((F.col("row_number") + after).alias("commit_id"), "event_id", "ts", "value")
     (out.repartitionByRange("commit_id").sortWithinPartitions("commit_id")
-     .write.mode("append").option("parquet.block.size", str(32 << 20)).parquet(path))
+     .write.mode("append").option("parquet.block.size", str(ROW_GROUP)).parquet(path))
     return after + feed.count()
