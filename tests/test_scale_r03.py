@@ -62,8 +62,9 @@ def test_rows_of_a_target_do_not_meet_to_be_routed(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     _no_small_joins(spark)
     try:
-        rows = spark.range(10).selectExpr("'appdb' database", "'public' schema",
-                                          "'documents' table", "id")
+        rows = spark.range(10).selectExpr(
+            "if(id < 0, 'x', 'appdb') database", "if(id < 0, 'x', 'public') schema",
+            "if(id < 0, 'x', 'documents') table", "id")
         got = R.route_events(rows, derive.routing_config(spark))
         assert "BroadcastHashJoin" in _plan(got) and got.count() == 10
     finally:
