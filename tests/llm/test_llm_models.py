@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import cases
@@ -489,3 +490,17 @@ def test_tree_against_brute_force(spark, shards, dims):
     keys, size = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     got = np.array([s[0] for s in tree.shards])[tree.leaf_of(keys)]
     assert (got == brute_tree(keys, size, shards)).all()
+
+
+def test_ppm_lookup_takes_little_more_than_half_full_tables():
+    """op1_ppm: the table of 2 million contexts, and what building it takes beside it."""
+    rnd = np.random.default_rng(5)
+    keys = np.unique(rnd.integers(0, 1 << 53, 2_000_000))
+    values = rnd.random(len(keys))
+    tracemalloc.start()
+    look = ppm.Lookup(keys, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
+    assert (look(keys) == values).all()
+    assert np.isnan(look(np.setdiff1d(rnd.integers(0, 1 << 53, 10_000), keys))).all()

@@ -45,7 +45,12 @@ SYMBOLS = 257
 WIDE = 9                       # bits of a symbol
 HOT_WORDS = 1 << 17
 HOT_GRAMS = 1 << 21
+# What a task holds beside its batch and its tables: characters counted or scored at once, grams
+# kept before they are merged, and rows given to Spark at once.
 SLICE = 1_000_000
+SCORED = 250_000
+KEPT = 2_000_000
+GIVEN = 100_000
 
 
 # -- symbols ------------------------------------------------------------------------------
@@ -94,22 +99,23 @@ def gram_counts(src: DataFrame, order: int = ORDER) -> DataFrame:
             return code, np.bincount(inverse, many).astype(np.int64)
 
         def rows(code, many):
-            train = code & 1 == 0
-            return pd.DataFrame({"gram": code >> 1, "learned": np.where(train, many, 0),
-                                 "seen": many})
+            for at in range(0, len(code), GIVEN):
+                c, n = code[at:at + GIVEN], many[at:at + GIVEN]
+                yield pd.DataFrame({"gram": c >> 1, "learned": np.where(c & 1 == 0, n, 0),
+                                    "seen": n})
 
         for pdf in slices(batches, "text", SLICE):
             code, first = grams(pdf["text"], order)
             many = np.diff(np.r_[first, len(code)])
             out = np.repeat(pdf["held_out"].to_numpy(bool).astype(np.int64), many)
             kept.append(np.unique(code << 1 | out, return_counts=True))
-            if sum(len(k) for k, _ in kept) > 4_000_000:
+            if sum(len(k) for k, _ in kept) > KEPT:
                 kept = [merged()]
-                if len(kept[0][0]) > 2_000_000:
-                    yield rows(*kept[0])
+                if len(kept[0][0]) > KEPT * 3 // 4:
+                    yield from rows(*kept[0])
                     kept = []
         if kept:
-            yield rows(*merged())
+            yield from rows(*merged())
 
     return (src.mapInPandas(run, "gram long, learned long, seen long")
             .groupBy("gram").agg(F.sum("learned").alias("learned"), F.sum("seen").alias("seen")))
@@ -237,19 +243,24 @@ def _most_frequent(table: DataFrame, n: str, most: int) -> DataFrame:
 
 
 class Lookup:
-    """A fixed hash table from gram to log-probability; misses give NaN."""
+    """A fixed hash table from gram to log-probability, half full at most; misses give NaN."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, math.ceil(math.log2(max(1, 3 * len(keys))))))
+    def __init__(self, keys: np.ndarray, values: np.ndarray, step: int = 1 << 17):
+        self.shift = np.uint64(64 - max(4, math.ceil(math.log2(max(1, 2 * len(keys))))))
         size = 1 << (64 - int(self.shift))
         self.keys, self.values = np.full(size, -1, np.int64), np.full(size, np.nan)
+        # some at a time: all at once would take the table's memory again
+        for lo in range(0, len(keys), step):
+            self._put(keys[lo:lo + step], values[lo:lo + step])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == -1
             self.keys[at[free]] = keys[left[free]]      # of several, one stays
             took = self.keys[at] == keys[left]
             self.values[at[took]] = values[left[took]]
-            left, at = left[~took], (at[~took] + 1) % size
+            left, at = left[~took], (at[~took] + 1) % len(self.keys)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(
@@ -307,7 +318,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         known, keys, values = sent.value
         look, get = _lookup(name, keys, values), known.get
-        for pdf in slices(batches, "text", SLICE):
+        for pdf in slices(batches, "text", SCORED):
             code, first = grams(pdf["text"], order)
             lp = look(code)
             missed = np.flatnonzero(np.isnan(lp))
