@@ -26,6 +26,10 @@ WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # Control characters removed by the basic cleaner (after whitespace collapse).
 CTRL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# The same for Java, which asks the ranges of a set one after another for every character of a
+# text: a look ahead passes most letters by at once.
+_WS_RUN = r"(?![!-~\x{a1}-\x{167f}])" + WS + WS + "*"
+_CTRL_SHORT = r"[\x00-\x1F\x7F&&[^\t\n\r]]"
 # The six markdown removals, in order: headers, bold / italic, inline code, links to their
 # text, bullets, numbers.
 MARKDOWN = ((r"(?md)^#{1,6}" + WS + "+", ""), (r"\*{1,2}([^*]+)\*{1,2}", "$1"),
@@ -63,9 +67,9 @@ def basic_clean(c: Column) -> Column:
 
     The delete runs after the collapse, so ``"a \\x00 b"`` becomes ``"a  b"``.
     """
-    c = F.regexp_replace(_nz(c), WS + "+", " ")
+    c = F.regexp_replace(_nz(c), _WS_RUN, " ")
     c = F.trim(c)  # only spaces remain at the ends after the collapse
-    return F.regexp_replace(c, CTRL, "")
+    return F.regexp_replace(c, _CTRL_SHORT, "")
 
 
 def markdown_strip(c: Column) -> Column:

@@ -632,7 +632,9 @@ def q_write_back(spark, d):
 @register("vectorization_log_rows")
 def q_vectorization_log_rows(spark, d):
     from .backfill import backfill_vectors
-    done = backfill_vectors(user(spark, d)).filter(F.col("backfill_status") != "present")
+    # the rows that backfill_status would call 'present' are left out before the embedding: a
+    # filter on the status is pushed below it and would clean and embed every row several times
+    done = backfill_vectors(user(spark, d).filter(F.col("text_vector").isNull()))
     st = F.when(F.col("backfill_status") == "created", "success") \
           .when(F.col("backfill_status") == "skipped", "skipped").otherwise("failed")
     rows = WB.log_rows(done.withColumn("st", st), derive.DATABASE, derive.SCHEMA, "documents",
