@@ -119,13 +119,13 @@ def embed_cached(df: DataFrame, id_col: str, text_col: str, cache: VectorCache,
         step.write.parquet(f"{scratch}/{name}")
         return spark.read.schema(step.schema).parquet(f"{scratch}/{name}")
 
-    key = digest_of(F.col(text_col), model, dimension)
-    rows = written(df.select(F.col(id_col).alias("id"), key.alias("digest")), "rows")
+    # with the texts: ``df`` may clean them, which takes longer than reading them back
+    rows = written(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                   .withColumn("digest", digest_of(F.col("text"), model, dimension)), "rows")
     wanted = rows.select("digest").filter(F.col("digest").isNotNull()).distinct()
     hits = written(cache.lookup(wanted, f"{scratch}/passed"), "hits")
     missing = written(wanted.join(hits, "digest", "left_anti"), "missing")
-    texts = (df.select(key.alias("digest"), F.col(text_col).alias("text"))
-             .join(missing, "digest", "left_semi")
+    texts = (rows.select("digest", "text").join(missing, "digest", "left_semi")
              .groupBy("digest").agg(F.first("text").alias("text")))
     # the provider is called in this step and nowhere else
     tried = written(embed_outcomes(texts, "text", provider, dimension=dimension, model=model,
@@ -134,6 +134,6 @@ def embed_cached(df: DataFrame, id_col: str, text_col: str, cache: VectorCache,
     known = tried.unionByName(hits.select(
         "digest", "vector", F.lit("hit").alias("outcome"),
         F.lit(None).cast("string").alias("message"), F.lit(0).alias("sent")))
-    return rows.join(known, "digest", "left").select(
+    return rows.drop("text").join(known, "digest", "left").select(
         F.col("id").alias(id_col), "vector", F.coalesce("outcome", F.lit("skipped"))
         .alias("outcome"), "message", F.coalesce("sent", F.lit(0)).alias("sent"))
