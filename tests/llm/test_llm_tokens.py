@@ -192,3 +192,18 @@ def test_sections_and_fields(spark):
     assert tokencount.section_counts(cases.frame(spark, []), path).count() == 0
     with pytest.raises(ValueError):
         tokencount.section_counts(docs, path, rule="all")
+
+
+def test_plain_words_with_marks_and_numbers_need_no_whole_path(monkeypatch):
+    """op10_huffman_ids: such words are cut into matches of the tokenizer's pattern."""
+    path = P.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), huffman.WordIds(path)
+    rnd = random.Random(8)
+    letters = "abdelmrstv'019.,;:!?-_<>()[]{}@#$%^&*+=~`\"\\/"
+    plain = ["don't", "''s", "'tis", "rock'n'roll's", "1'd", "'", "<", "a<b", "42.", "x-9,"] + [
+        "".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(5_000)]
+    monkeypatch.setattr(w, "batch", None)
+    for text, got in zip(plain, w.encode(plain)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+    assert w.encode(["", None, " \n "]) == [b"", b"", b""]

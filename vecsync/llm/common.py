@@ -137,5 +137,8 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put(key, value)
+        if len(self) < self.size:
+            self[key] = value
+        else:
+            self.put(key, value)
         return value

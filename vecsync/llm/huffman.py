@@ -137,15 +137,25 @@ def unpack(payload: bytes, n: int, marks: np.ndarray, table: tuple) -> np.ndarra
 
 # -- tokenising ---------------------------------------------------------------------------
 
+#: Latin letters as byte-level vocabularies spell them
+LATIN = tuple(byte_letters(chr(c)) for c in range(0x300))
+
+
 class WordIds:
     """Ids of whole texts by the tokenizers library, for vocabularies whose tokenizer puts
     texts into lower case and drops white space.
 
-    There no token crosses a space or line feed, and marks after a word are tokens of their
-    own: the library encodes what stands between, in batches, and what it gave is remembered,
-    within bounds.
+    There no token crosses a space or line feed: the library encodes what stands between, and
+    what it gave is remembered, within bounds.  Lower-case Latin words are cut into the matches
+    of the tokenizer's pattern, each remembered alike, so that a word with a mark or a number
+    after it costs no encoding of its own.
     """
 
+    #: the tokenizer's pattern over printable ASCII
+    PIECES = staticmethod(re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall)
+    #: printable ASCII without capitals
+    PLAIN = staticmethod(re.compile(r"[!-@\[-~]+").fullmatch)
     MARKS = frozenset(".,;:!?")
     #: dotted capital I, and everything beyond the Latin letters
     BEYOND = staticmethod(re.compile("[\u0130\u0300-\U0010ffff]").search)
@@ -158,30 +168,30 @@ class WordIds:
         self.model = tokenizer.model.tokenize
         self.ids = Recent(self._one, remember)
 
+    def _merged(self, match: str) -> bytes:
+        """Of one match of the tokenizer's pattern: the library's merges suffice."""
+        return array("I", [t.id for t in self.model(match)]).tobytes()
+
     def _one(self, word: str) -> bytes:
-        if self._marked(word):
+        """Lower-case Latin letters, and words of plain ASCII, by their matches; all others take
+        the library's whole path."""
+        if word.isalpha():
+            if word.islower():
+                if word.isascii():
+                    return self._merged(word)
+                if not self.BEYOND(word):
+                    return self._merged(word.translate(LATIN))
+        elif not word:
+            return b""
+        elif self.PLAIN(word):
+            if "<|" not in word:
+                pieces = self.PIECES(word)
+                if len(pieces) == 1:
+                    return self._merged(word)
+                return b"".join([self.ids[p] for p in pieces])
+        elif word[-1] in self.MARKS and word[:-1].isalpha() and not self.BEYOND(word):
             return self.ids[word[:-1]] + self.ids[word[-1]]
-        return self._coded([word])[0]
-
-    def _marked(self, word: str) -> bool:
-        return word[-1] in self.MARKS and word[:-1].isalpha() and not self.BEYOND(word)
-
-    def _coded(self, words: list[str]) -> list[bytes]:
-        """A lower-case Latin word of letters only is one match of the tokenizer's pattern, as
-        it stands: the library's merges suffice.  All others take its whole path."""
-        merges, out, rest = self.model, [b""] * len(words), []
-        for i, word in enumerate(words):
-            if not word.isalpha() or not word.islower():
-                rest.append(i)
-            elif word.isascii():
-                out[i] = array("I", [t.id for t in merges(word)]).tobytes()
-            elif not self.BEYOND(word):
-                out[i] = array("I", [t.id for t in merges(byte_letters(word))]).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.batch([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = array("I", e.ids).tobytes()
-        return out
+        return array("I", self.batch([word], add_special_tokens=False)[0].ids).tobytes()
 
     def words(self, text: str | None) -> list[str]:
         # as the tokenizer would, but for letters beyond Latin, where lower case and composed
@@ -189,28 +199,11 @@ class WordIds:
         text = text or ""
         if (text.isascii() or not self.BEYOND(text)) and "<|" not in text:
             text = text.lower()
-        return list(filter(None, text.replace("\n", " ").split(" ")))
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        each = [self.words(t) for t in texts]
-        ids, old = self.ids, self.ids.old
-        distinct = list(set().union(*each))            # each distinct word is looked up once
-        found = list(map(ids.get, distinct))
-        local, new = dict(zip(distinct, found)), []
-        for x in [w for w, coded in zip(distinct, found) if coded is None]:
-            coded = old.get(x)
-            if coded is None:
-                new.append(x)
-            else:
-                local[x] = coded
-        base = list({x[:-1] if self._marked(x) else x for x in new})
-        for at in range(0, len(base), 5_000):
-            part = [x for x in base[at:at + 5_000] if x not in ids]
-            for x, coded in zip(part, self._coded(part)):
-                ids.put(x, coded)
-        for x in new:
-            local[x] = ids[x]
-        return [b"".join(map(local.__getitem__, own)) for own in each]
+        get = self.ids.__getitem__
+        return [b"".join(map(get, self.words(t))) for t in texts]
 
 
 _tokenizers: dict[str, WordIds] = {}
