@@ -207,3 +207,35 @@ def test_plain_words_with_marks_and_numbers_need_no_whole_path(monkeypatch):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
     assert w.encode(["", None, " \n "]) == [b"", b"", b""]
+
+
+def test_equal_words_of_a_call_are_looked_up_once(monkeypatch):
+    """op10_huffman_ids: runs of letters and what follows them are words of their own."""
+    path = P.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), huffman.WordIds(path)
+    asked = []
+
+    class Asked(type(w.ids)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(w, "ids", Asked(w._one, 1_000))
+    texts = ["Wort, wort. ÉTÉ, été; don't\nWORT 7,7x (wort)"] * 200
+    want = t.encode(texts[0], add_special_tokens=False).ids
+    assert all(np.frombuffer(x, "<u4").tolist() == want for x in w.encode(texts))
+    assert len(asked) < 30
+
+
+def test_words_of_mixed_characters_equal_the_library():
+    path = P.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), huffman.WordIds(path)
+    rnd = random.Random(9)
+    letters = "aZéßÑªʰ'ſsTdre.,!<|>7²½_- \t\n\r\x00\x1c\x85\xa0\xad"
+    odd = letters + "İȺΣσ̸́— ‍K中😀"
+    texts = ["".join(rnd.choices(kind, k=rnd.randint(0, 20))) for kind in (letters, odd)
+             for _ in range(4_000)] + [None, "a<|endoftext|>b", "x|>"]
+    for text, got in zip(texts, w.encode(texts)):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+    assert w.encode([]) == []

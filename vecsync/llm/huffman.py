@@ -26,12 +26,16 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -137,27 +141,31 @@ def unpack(payload: bytes, n: int, marks: np.ndarray, table: tuple) -> np.ndarra
 
 # -- tokenising ---------------------------------------------------------------------------
 
-#: Latin letters as byte-level vocabularies spell them
+#: Latin characters as byte-level vocabularies spell them
 LATIN = tuple(byte_letters(chr(c)) for c in range(0x300))
 
 
+def _latin(kind: str) -> str:
+    """The Latin characters of a Unicode category."""
+    return "".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == kind)
+
+
 class WordIds:
     """Ids of whole texts by the tokenizers library, for vocabularies whose tokenizer puts
     texts into lower case and drops white space.
 
-    There no token crosses a space or line feed: the library encodes what stands between, and
-    what it gave is remembered, within bounds.  Lower-case Latin words are cut into the matches
-    of the tokenizer's pattern, each remembered alike, so that a word with a mark or a number
-    after it costs no encoding of its own.
+    There no token crosses a space or line feed, nor, in Latin texts, the end of a run of
+    letters.  Of equal words between these one is looked up for all texts of a call; the library
+    encodes those not known, and what it gave is remembered, within bounds.
     """
 
-    #: the tokenizer's pattern over printable ASCII
+    #: the tokenizer's pattern over Latin characters in lower case
     PIECES = staticmethod(re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall)
-    #: printable ASCII without capitals
-    PLAIN = staticmethod(re.compile(r"[!-@\[-~]+").fullmatch)
-    MARKS = frozenset(".,;:!?")
-    #: dotted capital I, and everything beyond the Latin letters
+        "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\t-\r \x85\xa0{0}{1}]+".format(
+            _latin("L"), _latin("N"))).findall)
+    #: the end of a run of letters where no space follows, for Arrow
+    RUN_END = "([{0}])([^\\t-\\r \\x{{85}}\\x{{A0}}{0}])".format(_latin("L"))
+    #: dotted capital I, and everything beyond the Latin characters
     BEYOND = staticmethod(re.compile("[\u0130\u0300-\U0010ffff]").search)
 
     def __init__(self, path: str, remember: int = 300_000):
@@ -172,38 +180,55 @@ class WordIds:
         """Of one match of the tokenizer's pattern: the library's merges suffice."""
         return array("I", [t.id for t in self.model(match)]).tobytes()
 
+    def _lower(self, text: str) -> str | None:
+        """A Latin text as the tokenizer puts it; None where letters beyond Latin, whose lower
+        case and composed characters depend on each other, or a special token may stand."""
+        if "<|" in text:
+            return None
+        if text.isascii():
+            return text.lower()
+        low = text.lower()
+        return None if self.BEYOND(text) or self.BEYOND(low) else low
+
     def _one(self, word: str) -> bytes:
-        """Lower-case Latin letters, and words of plain ASCII, by their matches; all others take
-        the library's whole path."""
-        if word.isalpha():
-            if word.islower():
-                if word.isascii():
-                    return self._merged(word)
-                if not self.BEYOND(word):
-                    return self._merged(word.translate(LATIN))
-        elif not word:
-            return b""
-        elif self.PLAIN(word):
-            if "<|" not in word:
-                pieces = self.PIECES(word)
-                if len(pieces) == 1:
-                    return self._merged(word)
-                return b"".join([self.ids[p] for p in pieces])
-        elif word[-1] in self.MARKS and word[:-1].isalpha() and not self.BEYOND(word):
-            return self.ids[word[:-1]] + self.ids[word[-1]]
-        return array("I", self.batch([word], add_special_tokens=False)[0].ids).tobytes()
-
-    def words(self, text: str | None) -> list[str]:
-        # as the tokenizer would, but for letters beyond Latin, where lower case and composed
-        # characters depend on each other, and strings that may name special tokens
-        text = text or ""
-        if (text.isascii() or not self.BEYOND(text)) and "<|" not in text:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        """Latin words by the matches of the tokenizer's pattern; all others take the library's
+        whole path."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return self._merged(word)
+        low = self._lower(word)
+        if low is None:
+            return array("I", self.batch([word], add_special_tokens=False)[0].ids).tobytes()
+        pieces = self.PIECES(low)
+        if len(pieces) == 1:
+            return self._merged(pieces[0].translate(LATIN))
+        return b"".join([self.ids[p] for p in pieces])
+
+    def words(self, texts: list[str | None]) -> pa.Array:
+        """A list of words for each text."""
+        texts = [t or "" for t in texts]
+        lower = [self._lower(t) for t in texts]
+        plain = pa.array([t if low is None else low for t, low in zip(texts, lower)],
+                         pa.large_string())
+        cut = pc.if_else(pa.array([low is not None for low in lower], pa.bool_()),
+                         pc.replace_substring_regex(plain, self.RUN_END, "\\1 \\2"), plain)
+        return pc.split_pattern(pc.replace_substring(cut, "\n", " "), " ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.ids.__getitem__
-        return [b"".join(map(get, self.words(t))) for t in texts]
+        words = self.words(texts)
+        first = words.offsets.to_numpy()
+        each = words.flatten().dictionary_encode()
+        del words
+        known = [self.ids[w] for w in each.dictionary.to_numpy(zero_copy_only=False)]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        code = each.indices.to_numpy()
+        many = size[code]
+        end = np.cumsum(many)
+        # an id's place among those of the different words: after the first one of its word
+        at = np.repeat((np.cumsum(size) - size)[code] - (end - many), many)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
+        cut = (np.r_[0, end][first] * 4).tolist()
+        return [data[x:y] for x, y in zip(cut, cut[1:])]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -232,7 +257,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
                              "ids": [press(a) for a in apart]})
 
     return per_text(docs, id_col, text_col, run,
-                    f"doc_id {kind}, n long, crc long, ids binary", most=3_000_000)
+                    f"doc_id {kind}, n long, crc long, ids binary")
 
 
 def _raw(blob: bytes) -> np.ndarray:
