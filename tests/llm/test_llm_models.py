@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import pickle
 import random
 import tracemalloc
 import zlib
@@ -504,3 +505,33 @@ def test_ppm_lookup_takes_little_more_than_half_full_tables():
     assert peak < 90e6
     assert (look(keys) == values).all()
     assert np.isnan(look(np.setdiff1d(rnd.integers(0, 1 << 53, 10_000), keys))).all()
+
+
+def test_ppm_tables_arrive_in_little_more_than_their_arrays():
+    """op1_ppm: words and contexts as a worker gets them."""
+    rnd = np.random.default_rng(7)
+    keys = np.unique(rnd.integers(0, 1 << 53, 2_000_000))
+    values = rnd.random(len(keys))
+    data = pickle.dumps(ppm.Sent({b"a": -1.0}, keys, values), 5)
+    tracemalloc.start()
+    known, look = pickle.loads(data)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 70e6 and now < 55e6
+    assert known == {b"a": -1.0} and (look(keys) == values).all()
+    assert np.isnan(ppm.Lookup(keys[:0], values[:0])(keys[:10])).all()
+
+
+def test_ppm_counts_merge_in_little_more_than_they_take():
+    """op1_ppm: what a task holds while it merges counts of contexts."""
+    rnd = np.random.default_rng(8)
+    kept = [np.unique(rnd.integers(0, 5_000_000, 300_000), return_counts=True) for _ in range(7)]
+    tracemalloc.start()
+    code, many = ppm.merged(kept)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    want = np.zeros(5_000_000, np.int64)
+    for own, n in kept:
+        want[own] += n
+    assert (code == np.flatnonzero(want)).all() and (many == want[code]).all()

@@ -29,8 +29,8 @@ Defined results
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,7 @@ HOT_WORDS = 1 << 17
 HOT_GRAMS = 1 << 21
 # What a task holds beside its batch and its tables: characters counted or scored at once, grams
 # kept before they are merged, and rows given to Spark at once.
-SLICE = 1_000_000
+SLICE = 500_000
 SCORED = 250_000
 KEPT = 2_000_000
 GIVEN = 100_000
@@ -87,17 +87,22 @@ def _source(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFr
 
 # -- counts -------------------------------------------------------------------------------
 
+def merged(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One ascending (code, count) of several, each of which has a code once."""
+    code = np.concatenate([k for k, _ in kept])
+    code.sort()
+    code = code[np.r_[True, code[1:] != code[:-1]]]
+    many = np.zeros(len(code), np.int64)
+    for own, n in kept:
+        many[np.searchsorted(code, own)] += n
+    return code, many
+
+
 def gram_counts(src: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, learned, seen): counts in training rows and in all rows."""
     def run(batches):
         kept: list = []
 
-        def merged():
-            code = np.concatenate([k for k, _ in kept])
-            many = np.concatenate([m for _, m in kept])
-            code, inverse = np.unique(code, return_inverse=True)
-            return code, np.bincount(inverse, many).astype(np.int64)
-
         def rows(code, many):
             for at in range(0, len(code), GIVEN):
                 c, n = code[at:at + GIVEN], many[at:at + GIVEN]
@@ -110,12 +115,13 @@ def gram_counts(src: DataFrame, order: int = ORDER) -> DataFrame:
             out = np.repeat(pdf["held_out"].to_numpy(bool).astype(np.int64), many)
             kept.append(np.unique(code << 1 | out, return_counts=True))
             if sum(len(k) for k, _ in kept) > KEPT:
-                kept = [merged()]
+                kept = [merged(kept)]
                 if len(kept[0][0]) > KEPT * 3 // 4:
                     yield from rows(*kept[0])
                     kept = []
         if kept:
-            yield from rows(*merged())
+            kept = [merged(kept)]
+            yield from rows(*kept[0])
 
     return (src.mapInPandas(run, "gram long, learned long, seen long")
             .groupBy("gram").agg(F.sum("learned").alias("learned"), F.sum("seen").alias("seen")))
@@ -125,15 +131,20 @@ def word_counts(src: DataFrame) -> DataFrame:
     """(word, n) of the training rows; the empty word stands for the end of a text."""
     def run(batches):
         count: Counter = Counter()
+
+        def rows():
+            own = iter(count.items())
+            while some := list(islice(own, GIVEN)):
+                yield pd.DataFrame(some, columns=["word", "n"])
+
         for pdf in slices(batches, "text"):
             for text in pdf["text"]:
                 count.update(words(text))
             count[b""] += len(pdf)
             if len(count) > 500_000:
-                yield pd.DataFrame({"word": list(count.keys()), "n": list(count.values())})
-                count = Counter()
-        if count:
-            yield pd.DataFrame({"word": list(count.keys()), "n": list(count.values())})
+                yield from rows()
+                count.clear()
+        yield from rows()
 
     return (src.filter(~F.col("held_out")).mapInPandas(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -243,51 +254,57 @@ def _most_frequent(table: DataFrame, n: str, most: int) -> DataFrame:
 
 
 class Lookup:
-    """A fixed hash table from gram to log-probability, half full at most; misses give NaN."""
+    """A fixed hash table from different grams to log-probability, half full at most: places in
+    the two arrays as they came, so that it adds little to them.  Misses give NaN."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, step: int = 1 << 17):
         self.shift = np.uint64(64 - max(4, math.ceil(math.log2(max(1, 2 * len(keys))))))
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, np.nan)
+        self.keys, self.values = keys, values
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
         # some at a time: all at once would take the table's memory again
         for lo in range(0, len(keys), step):
-            self._put(keys[lo:lo + step], values[lo:lo + step])
+            self._put(np.arange(lo, min(lo + step, len(keys)), dtype=np.int32))
 
-    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        left, at = np.arange(len(keys)), self._home(keys)
+    def _put(self, left: np.ndarray) -> None:
+        at = self._home(self.keys[left])
         while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[left[free]]      # of several, one stays
-            took = self.keys[at] == keys[left]
-            self.values[at[took]] = values[left[took]]
-            left, at = left[~took], (at[~took] + 1) % len(self.keys)
+            free = self.slots[at] == -1
+            self.slots[at[free]] = left[free]           # of several, one stays
+            on = self.slots[at] != left
+            left, at = left[on], (at[on] + 1) % len(self.slots)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(
             np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._home(keys)
         out = np.full(len(keys), np.nan)
+        if not len(self.keys):
+            return out
+        at = self._home(keys)
         left = np.arange(len(keys))
         while len(left):
-            there = self.keys[at]
-            hit = there == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (there != -1)
-            left, at = left[on], (at[on] + 1) % len(self.keys)
+            there = self.slots[at]
+            hit = (self.keys[there] == keys[left]) & (there >= 0)
+            out[left[hit]] = self.values[there[hit]]
+            on = ~hit & (there >= 0)
+            left, at = left[on], (at[on] + 1) % len(self.slots)
         return out
 
 
-_lookups: dict[str, Lookup] = {}
+class Sent:
+    """What goes to the tasks: where it arrives it becomes (known words, ``Lookup``), once per
+    worker."""
+
+    def __init__(self, known: dict[bytes, float], keys: np.ndarray, values: np.ndarray):
+        self.parts = known, keys, values
+
+    def __reduce__(self):
+        return _arrived, self.parts
 
 
-def _lookup(name: str, keys: np.ndarray, values: np.ndarray) -> Lookup:
-    """The table of a run, built once per worker; that of an earlier run goes."""
-    if name not in _lookups:
-        _lookups.clear()
-        _lookups[name] = Lookup(keys, values)
-    return _lookups[name]
+def _arrived(known: dict[bytes, float], keys: np.ndarray, values: np.ndarray) -> tuple:
+    return known, Lookup(keys, values)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -307,17 +324,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chances = materialise(log_probabilities(materialise(gram_counts(src, order), "ppm-grams"),
                                             order), "ppm-chances")
     sent_grams = _most_frequent(chances, "seen", hot_grams).select("gram", "lp").toArrow()
-    sent = spark.sparkContext.broadcast((
+    sent = spark.sparkContext.broadcast(Sent(
         {bytes(w): math.log10((n + 0.5) / below)
          for w, n in zip(sent_words["word"].to_pylist(), sent_words["n"].to_pylist())},
         sent_grams["gram"].to_numpy(), sent_grams["lp"].to_numpy()))
-    name = uuid.uuid4().hex
     end = math.log10(((ends["n"] if ends else 0) + 0.5) / below)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known, keys, values = sent.value
-        look, get = _lookup(name, keys, values), known.get
+        known, look = sent.value
+        get = known.get
         for pdf in slices(batches, "text", SCORED):
             code, first = grams(pdf["text"], order)
             lp = look(code)
