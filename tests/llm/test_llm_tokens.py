@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer, processors
 
 from vecsync.llm import bpe, huffman, tokencount
@@ -239,3 +240,43 @@ def test_words_of_mixed_characters_equal_the_library():
         want = t.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
     assert w.encode([]) == []
+
+
+def test_words_of_latin_letters_need_no_pattern(monkeypatch):
+    """op10_huffman_ids: letters of Latin-1 are neither searched for others nor cut."""
+    path = P.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), huffman.WordIds(path)
+    for name in ("batch", "PIECES", "BEYOND"):
+        monkeypatch.setattr(w, name, None)
+    texts = ["Élève été, ÇÀ", "Straße\nÜBUNG ªº µ", "naïve ÿ"]
+    for text, got in zip(texts, w.encode([x.replace(",", "") for x in texts])):
+        want = t.encode(text.replace(",", ""), add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
+
+
+def test_ids_lie_in_as_many_planes_as_they_have_bytes(spark):
+    """op10_huffman_ids: the vocabulary needs two bytes of the four."""
+    for r in huffman.token_ids(cases.frame(spark), P.path("word_bpe_49k.json"), 1).collect():
+        assert len(zstandard.ZstdDecompressor().decompress(r.ids)) <= 2 * r.n
+        own = next(huffman._ids([r.ids], [r.n]))
+        assert zlib.crc32(own.astype("<u4").tobytes()) == r.crc
+    for top in (0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1):
+        ids = np.array([top, 1, top // 2], "<u4")
+        blob = zstandard.ZstdCompressor().compress(b"".join(huffman._planes(ids)))
+        assert next(huffman._ids([blob], [3])).tolist() == ids.tolist()
+
+
+def test_codes_stand_bit_after_bit():
+    """op10_huffman_ids: payload and marks as strings of bits give them."""
+    rnd = np.random.default_rng(4)
+    for limit, many in ((18, 5_000), (12, 700), (18, 1)):
+        counts = (rnd.pareto(0.6, 3_000) * 20).astype(np.int64)[:many] + 1
+        bits = huffman.code_lengths(counts, limit)
+        codes, ids = huffman.canonical(bits), rnd.integers(0, len(counts), many)
+        each = [f"{int(codes[i]):0{bits[i]}b}" for i in ids]
+        plain = "".join(each)
+        plain += "0" * (-len(plain) % 8)
+        payload, marks = huffman.pack(ids, bits, codes)
+        assert payload == int(plain, 2).to_bytes(len(plain) // 8, "big")
+        assert marks.tolist() == [sum(map(len, each[:i])) for i in range(0, many, huffman.EVERY)]
+        assert (huffman.unpack(payload, many, marks, huffman.decode_table(bits)) == ids).all()

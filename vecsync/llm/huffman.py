@@ -30,6 +30,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -91,51 +92,56 @@ def canonical(bits: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(id, length) of the code at the head of every window of the longest length."""
+def decode_table(bits: np.ndarray) -> tuple[np.ndarray, int]:
+    """32 times the id and the length of the code at the head of every window of the longest
+    length, in one number."""
     most = int(bits.max(initial=1))
     order = np.lexsort((np.arange(len(bits)), bits))
     order = order[bits[order] > 0]
     each = 1 << (most - bits[order])
-    ids, size = np.repeat(order, each), np.repeat(bits[order], each)
-    rest = (1 << most) - len(ids)                      # unused windows of a lone symbol
-    return (np.r_[ids, np.zeros(rest, ids.dtype)].astype(np.uint32),
-            np.r_[size, np.ones(rest, size.dtype)].astype(np.int64), most)
+    both = np.repeat(order << 5 | bits[order], each)
+    rest = (1 << most) - len(both)                     # unused windows of a lone symbol
+    return np.r_[both, np.ones(rest, both.dtype)].astype(np.uint32), most
 
 
 def pack(ids: np.ndarray, bits: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(payload, bit offset of every ``EVERY``-th id)."""
     if not len(ids):
         return b"", np.zeros(0, np.int64)
-    size = bits[ids]
+    size, code = bits[ids], codes[ids]
     end = np.cumsum(size)
-    at = end - size
-    word = at >> 6
-    shift = 64 - (at & 63) - size
-    over = shift < 0
-    high = np.where(over, codes[ids] >> np.maximum(-shift, 0).astype(np.uint64),
-                    codes[ids] << np.maximum(shift, 0).astype(np.uint64))
-    words = np.zeros(int(end[-1] >> 6) + 1, np.uint64)
+    # a code stands in the word of its last bit; what does not fit there goes before it
+    word = (end - 1) >> 6
+    shift = -end & 63
+    low = code << shift.view(np.uint64)
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    words[word[first]] = np.bitwise_or.reduceat(high, first)
-    words[word[over] + 1] |= codes[ids[over]] << (64 + shift[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[:(int(end[-1]) + 7) // 8], at[::EVERY]
+    words = np.zeros(int(word[-1]) + 1, np.uint64)
+    words[word[first]] = np.bitwise_or.reduceat(low, first)
+    over = np.flatnonzero(size + shift > 64)
+    words[word[over] - 1] |= code[over] >> (64 - shift[over]).astype(np.uint64)
+    marks = end[::EVERY] - size[::EVERY]
+    return words.astype(">u8").tobytes()[:(int(end[-1]) + 7) // 8], marks
 
 
 def unpack(payload: bytes, n: int, marks: np.ndarray, table: tuple) -> np.ndarray:
     """``n`` ids, decoded from all marks at once."""
-    ids, size, most = table
+    both, most = table
     if not n:
         return np.zeros(0, np.uint32)
-    data = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
-    window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
+    # from the last mark on, codes may be read that are not there
+    data = np.frombuffer(payload + b"\0" * (EVERY * most // 8 + 8), np.uint8).astype(np.uint32)
+    window = data[:-3] << 24
+    for k in (1, 2, 3):
+        window |= data[k:len(data) - 3 + k] << (24 - 8 * k)
     out = np.zeros((EVERY, len(marks)), np.uint32)
-    at, end = marks.astype(np.int64), len(window) - 1
-    mask = np.uint32((1 << most) - 1)
+    at = marks.astype(np.int64)
     for k in range(min(EVERY, n)):
-        head = window[np.minimum(at >> 3, end)] >> (32 - most - (at & 7)).astype(np.uint32) & mask
-        out[k] = ids[head]
-        at = at + size[head]
+        head = window[at >> 3]
+        head <<= (at & 7).astype(np.uint32)
+        head >>= 32 - most
+        out[k] = got = both[head]
+        at += got & 31
+    out >>= 5
     return out.T.ravel()[:n]
 
 
@@ -185,10 +191,14 @@ class WordIds:
         case and composed characters depend on each other, or a special token may stand."""
         if "<|" in text:
             return None
-        if text.isascii():
-            return text.lower()
         low = text.lower()
-        return None if self.BEYOND(text) or self.BEYOND(low) else low
+        if text.isascii():
+            return low
+        try:
+            text.encode("latin-1")                     # and so is its lower case
+        except UnicodeEncodeError:
+            return None if self.BEYOND(text) or self.BEYOND(low) else low
+        return low
 
     def _one(self, word: str) -> bytes:
         """Latin words by the matches of the tokenizer's pattern; all others take the library's
@@ -198,7 +208,7 @@ class WordIds:
         low = self._lower(word)
         if low is None:
             return array("I", self.batch([word], add_special_tokens=False)[0].ids).tobytes()
-        pieces = self.PIECES(low)
+        pieces = [low] if low.isalpha() else self.PIECES(low)
         if len(pieces) == 1:
             return self._merged(pieces[0].translate(LATIN))
         return b"".join([self.ids[p] for p in pieces])
@@ -218,17 +228,12 @@ class WordIds:
         first = words.offsets.to_numpy()
         each = words.flatten().dictionary_encode()
         del words
-        known = [self.ids[w] for w in each.dictionary.to_numpy(zero_copy_only=False)]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        code = each.indices.to_numpy()
-        many = size[code]
-        end = np.cumsum(many)
-        # an id's place among those of the different words: after the first one of its word
-        at = np.repeat((np.cumsum(size) - size)[code] - (end - many), many)
-        at += np.arange(len(at))
-        data = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
-        cut = (np.r_[0, end][first] * 4).tolist()
-        return [data[x:y] for x, y in zip(cut, cut[1:])]
+        known = map(self.ids.__getitem__, each.dictionary.to_numpy(zero_copy_only=False))
+        every = pa.array(list(known), pa.large_binary()).take(each.indices)
+        _, ends, data = every.buffers()
+        cut = np.frombuffer(ends, np.int64, len(every) + 1)[first].tolist()
+        data = memoryview(data or b"")
+        return [data[x:y].tobytes() for x, y in zip(cut, cut[1:])]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -243,26 +248,41 @@ def word_ids(path: str) -> WordIds:
 
 def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """(doc_id, n, crc, ids): ids of whole texts and the end id, little-endian, zstandard."""
+    """(doc_id, n, crc, ids): ids of whole texts and the end id; crc is that of the ids as
+    little-endian 32-bit integers."""
     end = np.array([end_id], dtype="<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         press = zstandard.ZstdCompressor(level=1).compress
         raw = [own + end for own in word_ids(path).encode(list(pdf["text"]))]
-        # the four bytes of an id apart from each other compress better
-        apart = [np.frombuffer(r, np.uint8).reshape(-1, 4).T.tobytes() for r in raw]
+        end_at = np.cumsum([len(r) // 4 for r in raw]).tolist()
+        planes = _planes(np.frombuffer(b"".join(raw), "<u4"))
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(r) // 4 for r in raw],
                              "crc": [zlib.crc32(r) for r in raw],
-                             "ids": [press(a) for a in apart]})
+                             "ids": [press(b"".join([p[x:y] for p in planes]))
+                                     for x, y in zip([0] + end_at, end_at)]})
 
     return per_text(docs, id_col, text_col, run,
                     f"doc_id {kind}, n long, crc long, ids binary")
 
 
-def _raw(blob: bytes) -> np.ndarray:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel()
+def _planes(ids: np.ndarray) -> list[bytes]:
+    """The lowest bytes of all ids, then the next ones, as many as the largest id has: apart
+    from each other they compress better."""
+    width = (int(ids.max(initial=1)).bit_length() + 7) // 8
+    return [(ids >> 8 * k).astype(np.uint8).tobytes() for k in range(width)]
+
+
+def _ids(blobs, sizes) -> Iterator[np.ndarray]:
+    """The ids of each row, from its ``ids`` and ``n``."""
+    plain = zstandard.ZstdDecompressor().decompress
+    for blob, n in zip(blobs, sizes):
+        planes = np.frombuffer(plain(blob), np.uint8).reshape(-1, n)
+        own = planes[0].astype(np.uint32)
+        for k in range(1, len(planes)):
+            own |= planes[k].astype(np.uint32) << 8 * k
+        yield own
 
 
 # -- files --------------------------------------------------------------------------------
@@ -280,9 +300,9 @@ def id_counts(coded: DataFrame) -> DataFrame:
             return own
 
         for pdf in batches:
-            for blob in pdf["ids"]:
-                held.append(_raw(blob))
-                many += len(held[-1])
+            for own in _ids(pdf["ids"], pdf["n"]):
+                held.append(own)
+                many += len(own)
                 if many > 1_000_000:
                     total, held, many = added(total), [], 0
         if held:
@@ -290,7 +310,7 @@ def id_counts(coded: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    return (coded.select("ids").mapInPandas(run, "id long, n long")
+    return (coded.select("n", "ids").mapInPandas(run, "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")))
 
 
@@ -320,8 +340,7 @@ def write(coded: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
                                  "marks": [marks.tolist()], "payload": [payload]})
 
         for pdf in batches:
-            for name, blob in zip(pdf["doc_id"], pdf["ids"]):
-                own = _raw(blob)
+            for name, own in zip(pdf["doc_id"], _ids(pdf["ids"], pdf["n"])):
                 names.append(name)
                 sizes.append(len(own))
                 held.append(own)
@@ -335,7 +354,7 @@ def write(coded: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> None:
 
     ordered = (coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "n", "crc")
                .sortWithinPartitions("doc_id", "n", "crc"))
-    (ordered.select("doc_id", "ids")
+    (ordered.select("doc_id", "n", "ids")
      .mapInPandas(run, f"shard int, block int, start long, doc_ids array<{kind}>, "
                        "n_tokens array<int>, marks array<long>, payload binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
@@ -358,10 +377,11 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 many = np.asarray(b.n_tokens, dtype=np.int64)
                 end = np.cumsum(many)
                 got = unpack(b.payload, int(end[-1]), np.asarray(b.marks), table)
+                got = got.astype("<u4", copy=False)
                 own = [got[x:y] for x, y in zip(end - many, end)]
                 frame = {"doc_id": list(b.doc_ids), "shard": b.shard,
                          "inside": b.start + end - many, "n_tokens": many,
-                         "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in own]}
+                         "ids_crc32": [zlib.crc32(x) for x in own]}
                 yield pd.DataFrame(frame | ({"ids": own} if ids else {}))
 
     rows = blocks.mapInPandas(run, f"doc_id {kind}, shard int, inside long, n_tokens long, "
