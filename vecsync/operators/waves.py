@@ -10,17 +10,16 @@ that many requests are under way at once.  Its rows are written with their outco
 Rows that may be tried again make up the next pass, until none is left or ``passes`` are over.
 A wave is one Spark job over its own slots; its tasks count what they sent, and the driver sees
 counts only.  Waves wait for each other's requests and for nothing else: while one runs, the next
-slots are fetched, both inputs the next wave may have are made ready, and the files of the wave
-before are committed.
+slots are fetched, both plans the next wave may have are made, and earlier outcomes are written,
+``WRITTEN`` waves at a time.
 """
 from __future__ import annotations
 
 import math
-import time
 from concurrent.futures import Future, ThreadPoolExecutor
 from functools import partial, reduce
 
-from pyspark import AccumulatorParam, inheritable_thread_target
+from pyspark import AccumulatorParam, StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +31,8 @@ BLOCK = 16
 #: Slots that are kept at hand, and the parts they are dealt into: up to a third as many tasks
 #: take whole parts, more tasks get their rows by a shuffle.
 GROUP, PARTS = 4 * BLOCK, 24
-#: Seconds between looks at whether a wave's tasks are done.
-LOOK = 0.002
+#: Waves whose rows are written together.
+WRITTEN = 8
 
 
 def next_concurrency(now: int, refused: int, most: int) -> int:
@@ -94,6 +93,21 @@ class _Slots:
         rows.unpersist()
 
 
+class _Wave:
+    """The rows of a wave, planned but not sent.  ``send`` runs them once and keeps the outcomes on
+    two executors until they are written: nothing sends them again, and one executor may be lost."""
+
+    def __init__(self, rows: DataFrame, tasks: int):
+        self.rows, self.tasks = rows.localCheckpoint(False, StorageLevel.MEMORY_AND_DISK_2), tasks
+        self._run = self.rows._jdf.queryExecution().toRdd()
+
+    def send(self) -> None:
+        self._run.count()
+
+    def release(self) -> None:
+        self.rows._jdf.logicalPlan().rdd().unpersist(False)
+
+
 def embed_in_waves(df: DataFrame, id_col: str, text_col: str, path: str, provider: str = "mock",
                    start: int = 4, most: int = 64, rows_per_task: int = 1_000,
                    passes: int = 10, **config) -> tuple[DataFrame, DataFrame]:
@@ -106,12 +120,18 @@ def embed_in_waves(df: DataFrame, id_col: str, text_col: str, path: str, provide
     counts = spark.sparkContext.accumulator({}, WaveCounts())
     again = F.col("outcome") == "retry"
 
-    def plan(pending: _Slots, at: int, tasks: int, wave: int) -> DataFrame:
+    def plan(pending: _Slots, at: int, tasks: int, wave: int) -> _Wave:
         got = embed_outcomes(pending.take(at, tasks), "_text", provider,
                              at_end=partial(_count, counts, wave), **config)
-        return got.withColumn("_text", F.when(again, F.col("_text")))
+        return _Wave(got.withColumn("_text", F.when(again, F.col("_text"))), tasks)
+
+    def write(sent: list[_Wave], place: str) -> None:
+        together = reduce(DataFrame.union, [x.rows for x in sent])
+        together.coalesce(max(x.tasks for x in sent)).write.parquet(place)
+        for x in sent:
+            x.release()
 
-    with ThreadPoolExecutor(3) as pool:
+    with ThreadPoolExecutor(6) as pool:
         def run(f, *args) -> Future:
             return pool.submit(inheritable_thread_target(spark)(f), *args)
 
@@ -126,28 +146,28 @@ def embed_in_waves(df: DataFrame, id_col: str, text_col: str, path: str, provide
             (todo.withColumn("slot", slot).withColumn("block", block).repartition("block")
              .sortWithinPartitions("block", "slot").write.partitionBy("block").parquet(place))
             pending = _Slots(spark.read.parquet(place), slots, pool)
-            at, plans, before = 0, {}, None
+            at, plans, sent, written = 0, {}, [], None
             while at < slots:
                 # as many tasks as slots: what is under way at once
                 if concurrency not in plans:
                     pending.hold(at, at + concurrency)
-                    plans[concurrency] = plan(pending, at, concurrency, wave)
-                after = at + concurrency
-                job = run(plans[concurrency].write.parquet, f"{path}/tried/pass={turn}/wave={wave}")
+                    plans[concurrency] = run(plan, pending, at, concurrency, wave)
+                sent.append(plans[concurrency].result())
+                job, after = run(sent[-1].send), at + concurrency
                 pending.hold(at, after + concurrency + 1)
-                plans = {c: plan(pending, after, c, wave + 1) for c in
+                plans = {c: run(plan, pending, after, c, wave + 1) for c in
                          {next_concurrency(concurrency, r, most) for r in (0, 1)} if after < slots}
-                if before:
-                    before.result()
-                while not job.done() and counts.value.get(wave, (0,))[0] < concurrency:
-                    time.sleep(LOOK)
-                if job.done():
-                    job.result()
+                job.result()
                 _, rows, refused = counts.value.get(wave, (0, 0, 0))
                 history.append((turn, wave, concurrency, rows, refused))
-                at, wave, before = after, wave + 1, job
+                at, wave = after, wave + 1
                 concurrency = next_concurrency(concurrency, refused, most)
-            before.result()
+                if len(sent) == WRITTEN or at >= slots:
+                    if written:
+                        written.result()
+                    written = run(write, sent, f"{path}/tried/pass={turn}/wave={wave - 1}")
+                    sent = []
+            written.result()
             for group in list(pending.groups):
                 pending.drop(group)
             done = spark.read.parquet(f"{path}/tried/pass={turn}").drop("wave")
